@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_classifier, quality_rules, token_counts, topk, url_filter
+from . import bpe, hmm, mixing, quality_classifier, quality_rules, token_counts, topk, url_filter
 from .common import table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.lm_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_documents(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN, digests=True)
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_byte_bpe, op3_exact_topk, op6_quality_classifier, op7_quality_rules, op8_token_counts, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_exact_topk, op6_quality_classifier, op7_quality_rules, op8_token_counts, op9_url_filter, op10_mixing)}
 
 
 OP3_SQL = """
