@@ -74,3 +74,8 @@ def text_or_empty(name: str = "text") -> Column:
 def fold_of(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n).cast("int")
+
+
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows (narrow ones), else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

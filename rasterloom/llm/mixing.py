@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, settled, text_or_empty
+from .common import WORD, settled, small_side, text_or_empty
 
 #: Weights by source in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -81,7 +81,7 @@ def taken_words(docs: DataFrame, *, seed="mix", weights=WEIGHTS, max_repeat=MAX_
         return F.least(F.floor(at * float(BINS**level)), F.lit(BINS**level - 1)).cast("long")
 
     for level in range(1, LEVELS + 1):
-        inside = narrow.join(state, "key").where(F.floor(cell(level) / BINS) == F.col("bin"))
+        inside = narrow.join(small_side(state), "key").where(F.floor(cell(level) / BINS) == F.col("bin"))
         bins = inside.groupBy("key", cell(level).alias("b")).agg(F.sum("size").alias("words"))
         run = bins.withColumn("upto", F.sum("words").over(W.partitionBy("key").orderBy("b")))
         # the first bin whose end passes the rest
@@ -94,7 +94,7 @@ def taken_words(docs: DataFrame, *, seed="mix", weights=WEIGHTS, max_repeat=MAX_
             f"op10-level{level}",
         )
     goal = plan.select("key", "source_size", "target", "whole").join(state, "key")
-    rows = sized.join(goal, "key").withColumn("cell", cell(LEVELS)).withColumn("q", at)
+    rows = sized.join(small_side(goal), "key").withColumn("cell", cell(LEVELS)).withColumn("q", at)
     edge = rows.where(F.col("cell") == F.col("bin"))
     upto = F.sum("size").over(W.partitionBy("key").orderBy("q", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1))
     edge = edge.withColumn("drawn", (F.col("before") + F.coalesce(upto, F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("long"))
