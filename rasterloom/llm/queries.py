@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, mixing, quality_classifier, quality_rules, token_counts, topk, url_filter
+from . import bpe, hmm, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, token_counts, topk, url_filter
 from .common import table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
@@ -28,6 +28,16 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_lost", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
+
+
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = near_dedup.numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_dedup.near_classes(docs).select("doc_id", "class_id", "kept", "n_rows")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +59,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_exact_topk, op6_quality_classifier, op7_quality_rules, op8_token_counts, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_exact_topk, op4_line_dedup, op5_near_dedup, op6_quality_classifier, op7_quality_rules, op8_token_counts, op9_url_filter, op10_mixing)}
 
 
 OP3_SQL = """
