@@ -101,3 +101,10 @@ def taken_words(docs: DataFrame, *, seed="mix", weights=WEIGHTS, max_repeat=MAX_
     rest = rows.where(F.col("cell") != F.col("bin")).withColumn("drawn", (F.col("cell") < F.col("bin")).cast("long"))
     copies = F.when(F.col("size") > 0, F.least(F.col("whole") + F.col("drawn"), F.lit(max_repeat))).otherwise(F.col("whole"))
     return rest.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), *keep)
+
+
+def mixed(docs: DataFrame, *, seed="mix", weights=WEIGHTS, max_repeat=MAX_REPEAT) -> DataFrame:
+    """The columns of ``docs``, each row as often as the mix takes it."""
+    held = docs.select("doc_id", "source", "text", F.struct("*").alias("__row"))
+    taken = taken_words(held, seed=seed, weights=weights, max_repeat=max_repeat, keep=("__row",))
+    return taken.where("copies > 0").select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("__row.*")

@@ -122,8 +122,9 @@ def element_keys(words: list[bytes]) -> np.ndarray:
         h *= np.uint64(0xD6E8FEB86659FD93)
         at = np.sort(np.argpartition(h, pick - 1)[:pick]) if n > pick else np.arange(n)
         s = (h[at] * _PLACE[: len(at)]).sum(dtype=np.uint64) ^ np.uint64(e)
-        out[e] = (s ^ (s >> np.uint64(33))) * np.uint64(0x9E3779B97F4A7C15)
-    return out.view(np.int64)
+        out[e] = s
+    out ^= out >> np.uint64(33)
+    return (out * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
 def text_id(words: list[bytes]) -> int:

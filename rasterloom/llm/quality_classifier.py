@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import fold_of, settled
+from .common import fold_of, settled, text_or_empty
 from .quality_rules import NAMES, labelled_sample
 from .textstats import text_stats, with_features
 
@@ -88,11 +88,25 @@ def fit_ensemble(x: np.ndarray, y: np.ndarray, *, rounds=25, depth=3, penalty=0.
     return RuleEnsemble(bias, [(paths[k], float(c)) for k, c in zip(kept, w, strict=True) if abs(c) > 1e-6])
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, keep: tuple[str, ...] = (), sample_rows=20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted, and the columns ``keep`` of ``docs``."""
-    keep = tuple(c for c in keep if c != "doc_id")
-    stats = settled(text_stats(docs, "doc_id", *keep), "op6-stats")
-    held_out = fold_of("doc_id", HELD_OUT[0]) == HELD_OUT[1]
-    x, y = labelled_sample(stats.where(~held_out), labels, "quality", sample_rows)
+def _held_out():
+    return fold_of("doc_id", HELD_OUT[0]) == HELD_OUT[1]
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, *, sample_rows=20_000) -> DataFrame:
+    """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
+    stats = settled(text_stats(docs, "doc_id"), "op6-stats")
+    x, y = labelled_sample(stats.where(~_held_out()), labels, "quality", sample_rows)
     scored = with_features(stats).withColumn("score", fit_ensemble(x, y).column())
-    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *keep)
+    return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, *, sample_rows=20_000) -> DataFrame:
+    """The rows of ``docs`` that the classifier accepts, with all their columns; texts pass through once more unshuffled."""
+    ids = labels.where(F.col("quality").isNotNull() & ~_held_out()).select("doc_id").distinct()
+    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    stats = text_stats(docs.where(~_held_out()).join(F.broadcast(ids), "doc_id", "left_semi"), "doc_id")
+    x, y = labelled_sample(stats, labels, "quality", sample_rows)
+    # the statistics stand beside the columns of the caller, under names that cannot clash
+    given = docs.select(F.struct("*").alias("__row"), text_or_empty().alias("text"))
+    scored = with_features(text_stats(given, "__row")).withColumn("__score", fit_ensemble(x, y).column())
+    return scored.where(F.col("__score") >= THRESHOLD).select("__row.*")

@@ -84,18 +84,17 @@ def stats_of(text: str) -> tuple[int, ...]:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [stats_of(t) for t in batch.column("text").to_pylist()]
+        rows = [stats_of(t.as_py()) for t in batch.column("__text")]
         cols = list(zip(*rows, strict=True)) if rows else [[] for _ in COUNTS]
-        kept = [batch.column(i) for i, n in enumerate(batch.schema.names) if n != "text"]
-        names = [n for n in batch.schema.names if n != "text"]
-        yield pa.RecordBatch.from_arrays(kept + [pa.array(c, pa.int64()) for c in cols], names=names + list(COUNTS))
+        kept = batch.drop_columns(["__text"])
+        yield pa.RecordBatch.from_arrays([*kept.columns, *[pa.array(c, pa.int64()) for c in cols]], names=[*kept.schema.names, *COUNTS])
 
 
 def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and the COUNTS (long) of every row's text."""
     types = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + [f"{c} long" for c in COUNTS])
-    return docs.select(*keep, text_or_empty().alias("text")).mapInArrow(_batches, schema)
+    return docs.select(*keep, text_or_empty().alias("__text")).mapInArrow(_batches, schema)
 
 
 #: Features by name, as SQL over COUNTS; all are ratios, so that a text's length alone says little.
