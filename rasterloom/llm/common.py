@@ -79,3 +79,32 @@ def fold_of(id_col: str, n: int) -> Column:
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows (narrow ones), else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def heaviest(df: DataFrame, weight: str, rows: int) -> DataFrame:
+    """The rows of greatest ``weight`` (1 or more), at most ``rows``: all above a cut between bins of 1/16 octave.
+
+    A histogram of at most 1024 bins finds the cut, so no task or driver ever holds more than the result.
+    """
+    bin_ = F.floor(F.log2(F.greatest(F.col(weight), F.lit(1)).cast("double")) * 16).cast("int")
+    found = df.groupBy(bin_.alias("b")).count().collect()
+    cut, left = 1 << 30, rows
+    for r in sorted(found, key=lambda r: -r["b"]):
+        left -= r["count"]
+        if left < 0:
+            break
+        cut = r["b"]
+    return df.where(bin_ >= cut)
+
+
+def hashed_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows, the smallest by hash of ``keys`` (then by all columns); a filter cuts the most before."""
+    n = df.count()
+    h = F.xxhash64(*keys)
+    if n > 2 * rows:
+        span = 1 << 30
+        df = df.where(F.pmod(h, F.lit(span)) < int(span * 1.2 * rows / n) + 1)
+        order = F.pmod(h, F.lit(span))
+    else:
+        order = h
+    return df.orderBy(order, *keys).limit(rows)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, settled, text_or_empty
+from .common import fold_of, hashed_sample, heaviest, settled, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text; no word holds a space.
@@ -105,16 +105,13 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 
 def lexicon(counts: DataFrame, *, head: int, symbols: int, classes: int) -> Lexicon:
-    top = counts.where(F.col("word") != END.decode()).orderBy(F.desc("c"), "word").limit(head)
-    rows = top.toPandas()
+    rows = heaviest(counts.where(F.col("word") != END.decode()), "c", head).toPandas().sort_values(["c", "word"], ascending=[False, True])
     n_end = counts.where(F.col("word") == END.decode()).agg(F.sum("c")).first()[0] or 0
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     names = [END, *(w.encode() for w in rows["word"])]
     c = np.array([n_end, *rows["c"]], dtype=np.int64)
-    # all words by the class of their last three bytes: sums by suffix, the head's share taken off
-    raw = F.encode("word", "UTF-8")
+    # all words by the class of their last three bytes, the symbols' share taken off
     by = counts.where(F.col("word") != END.decode()).groupBy((F.crc32(F.expr("substring(encode(word, 'UTF-8'), -3)")) % classes).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
-    del raw
     n, v = np.zeros(classes), np.zeros(classes)
     n[by["k"]], v[by["k"]] = by["n"], by["v"]
     for w, k in zip(names[1:symbols], c[1:symbols], strict=False):
@@ -339,8 +336,8 @@ def score(coded: DataFrame, model: Hmm) -> DataFrame:
 
 def train(coded: DataFrame, lex: Lexicon, *, states: int, passes: int) -> Hmm:
     share = lex.symbol_share()
-    rows = coded.where(~F.col("held_out")).select("symbols", F.xxhash64("key").alias("h")).orderBy("h").limit(SEED_TEXTS)
-    sample = [np.array(r, dtype=np.int32)[:2048] for r in rows.select(F.slice("symbols", 1, 2048).alias("s")).toPandas()["s"]]
+    rows = hashed_sample(coded.where(~F.col("held_out")).select("key", F.slice("symbols", 1, 2048).alias("s")), SEED_TEXTS, "key")
+    sample = [np.array(r, dtype=np.int32) for r in rows.toPandas()["s"]]
     model = seeded(sample, share, states)
     for _ in range(passes):
         model = baum_welch(coded, model, share)

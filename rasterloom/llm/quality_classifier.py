@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import fold_of, settled, text_or_empty
+from .common import fold_of, hashed_sample, settled, text_or_empty
 from .quality_rules import NAMES, labelled_sample
 from .textstats import text_stats, with_features
 
@@ -103,7 +103,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, sample_rows=20_000) ->
 def keep_quality(docs: DataFrame, labels: DataFrame, *, sample_rows=20_000) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, with all their columns; texts pass through once more unshuffled."""
     ids = labels.where(F.col("quality").isNotNull() & ~_held_out()).select("doc_id").distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    ids = hashed_sample(ids, sample_rows, "doc_id")
     stats = text_stats(docs.where(~_held_out()).join(F.broadcast(ids), "doc_id", "left_semi"), "doc_id")
     x, y = labelled_sample(stats, labels, "quality", sample_rows)
     # the statistics stand beside the columns of the caller, under names that cannot clash

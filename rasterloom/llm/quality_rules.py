@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import settled
+from .common import hashed_sample, settled
 from .textstats import FEATURES, text_stats, with_features
 
 NAMES = tuple(FEATURES)
@@ -35,13 +35,8 @@ def labelled_sample(stats: DataFrame, labels: DataFrame, label: str, sample_rows
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id").agg((F.avg(F.col(label).cast("double")) >= 0.5).cast("double").alias("y"))
     )
-    rows = (
-        with_features(stats.where(F.col("doc_id").isNotNull()).join(known, "doc_id"))
-        .select("y", *[f"f_{n}" for n in NAMES], F.xxhash64("doc_id").alias("h"), "doc_id")
-        .orderBy("h", "doc_id", *[f"f_{n}" for n in NAMES])
-        .limit(sample_rows)
-        .toPandas()
-    )
+    joined = stats.where(F.col("doc_id").isNotNull()).join(known, "doc_id")
+    rows = with_features(hashed_sample(joined, sample_rows, "doc_id")).select("y", *[f"f_{n}" for n in NAMES]).toPandas()
     return rows[[f"f_{n}" for n in NAMES]].to_numpy(np.float64), rows["y"].to_numpy(np.float64)
 
 
