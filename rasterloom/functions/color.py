@@ -126,8 +126,8 @@ def gaussian_kernel(sigma: float, half: int) -> Column:
 def format_bytes(n: Column, decimals: int = 2) -> Column:
     """'0 B', '1.5 KB', ...: base 1024 up to GB, zeros at the end trimmed."""
     i = F.when(n >= 1024**3, 3).when(n >= 1024**2, 2).when(n >= 1024, 1).otherwise(0)
-    shown = F.format_number(n / F.pow(F.lit(1024.0), i), f"0.{'0' * decimals}" if decimals else "0")
-    trimmed = F.regexp_replace(F.regexp_replace(shown, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    shown = F.format_string(f"%.{decimals}f", n / F.pow(F.lit(1024.0), i))
+    trimmed = F.regexp_replace(F.regexp_replace(shown, r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
     return F.when(n.isNull() | (n == 0), "0 B").otherwise(F.concat_ws(" ", trimmed, F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), i + 1)))
 
 

@@ -16,8 +16,12 @@ from ..functions import color as C
 from .aggregate import with_size
 from .point import RGB, hard_alpha
 
-ALONG_X = W.partitionBy("image_id", "y").orderBy("x")
-ALONG_Y = W.partitionBy("image_id", "x").orderBy("y")
+def along_x():
+    return W.partitionBy("image_id", "y").orderBy("x")
+
+
+def along_y():
+    return W.partitionBy("image_id", "x").orderBy("y")
 
 
 def dealt(df: DataFrame) -> DataFrame:
@@ -28,8 +32,8 @@ def dealt(df: DataFrame) -> DataFrame:
 def separable(df: DataFrame, col: str, radius: int, how, into: str | None = None) -> DataFrame:
     """``how`` (F.min, F.max, F.sum) over the square of ``radius``, cut at the border."""
     into = into or col
-    df = df.withColumn(into, how(col).over(ALONG_X.rowsBetween(-radius, radius)))
-    return df.withColumn(into, how(into).over(ALONG_Y.rowsBetween(-radius, radius)))
+    df = df.withColumn(into, how(col).over(along_x().rowsBetween(-radius, radius)))
+    return df.withColumn(into, how(into).over(along_y().rowsBetween(-radius, radius)))
 
 
 def erode_alpha(df: DataFrame, radius: int) -> DataFrame:
@@ -52,9 +56,9 @@ def alpha_threshold(df: DataFrame, threshold: int, choke: int = 0) -> DataFrame:
 def _at(col: str | Column, dx: int = 0, dy: int = 0) -> Column:
     """A neighbour along one axis; null outside."""
     if dx:
-        return (F.lead(col, dx) if dx > 0 else F.lag(col, -dx)).over(ALONG_X)
+        return (F.lead(col, dx) if dx > 0 else F.lag(col, -dx)).over(along_x())
     if dy:
-        return (F.lead(col, dy) if dy > 0 else F.lag(col, -dy)).over(ALONG_Y)
+        return (F.lead(col, dy) if dy > 0 else F.lag(col, -dy)).over(along_y())
     return F.col(col) if isinstance(col, str) else col
 
 
@@ -85,7 +89,7 @@ def feather_alpha(df: DataFrame, radius: float) -> DataFrame:
         return d.withColumn("s", inner + low + high)
 
     d = dealt(with_size(df)).withColumn("s", F.col("a").cast("long"))
-    d = pass_(pass_(d, ALONG_X, "x", "w"), ALONG_Y, "y", "h")
+    d = pass_(pass_(d, along_x(), "x", "w"), along_y(), "y", "h")
     return d.withColumn("a", C.half_up(F.col("s") / (2 * r + 1) ** 2).cast("int")).select(df.columns)
 
 
@@ -108,14 +112,14 @@ def convolve(df: DataFrame, kernel: list[list[float]]) -> DataFrame:
             return F.col(col)
         return F.coalesce((F.lead(col, k) if k > 0 else F.lag(col, -k)).over(along), F.col(edge_hi if k > 0 else edge_lo))
 
-    whole_x = ALONG_X.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    whole_y = ALONG_Y.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole_x = along_x().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    whole_y = along_y().rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     for c in RGB:
         d = d.withColumns({f"{c}_lo": F.first(c).over(whole_x), f"{c}_hi": F.last(c).over(whole_x)})
-        rows = {f"{c}_{j}": sum((shifted(c, i - half, ALONG_X, f"{c}_lo", f"{c}_hi") * float(kernel[j][i]) for i in range(len(kernel))), F.lit(0.0)) for j in range(len(kernel))}
+        rows = {f"{c}_{j}": sum((shifted(c, i - half, along_x(), f"{c}_lo", f"{c}_hi") * float(kernel[j][i]) for i in range(len(kernel))), F.lit(0.0)) for j in range(len(kernel))}
         d = d.withColumns(rows)
         d = d.withColumns({f"{c}_{j}_{e}": f(f"{c}_{j}").over(whole_y) for j in range(len(kernel)) for e, f in (("lo", F.first), ("hi", F.last))})
-        d = d.withColumn(f"{c}_out", C.store(sum((shifted(f"{c}_{j}", j - half, ALONG_Y, f"{c}_{j}_lo", f"{c}_{j}_hi") for j in range(len(kernel))), F.lit(0.0))))
+        d = d.withColumn(f"{c}_out", C.store(sum((shifted(f"{c}_{j}", j - half, along_y(), f"{c}_{j}_lo", f"{c}_{j}_hi") for j in range(len(kernel))), F.lit(0.0))))
     return d.select(*[F.col(f"{c}_out").alias(c) if c in RGB else F.col(c) for c in df.columns])
 
 
@@ -154,7 +158,7 @@ def edge_aware_sharpen(df: DataFrame, amount: float = 0.5, radius: float = 1.2,
     d = blur(d, {f"{c}_f": f"{c}_h" for c in RGB}, "x")
     d = blur(d, {f"{c}_h": f"{c}_v" for c in RGB}, "y")
     boost = C.smoothstep(threshold, threshold + 0.08, F.col("e")) * amount
-    return d.withColumns({c: C.store(F.col(c) + boost * (F.col(c) - F.col(f"{c}_v"))) for c in RGB}).select(df.columns)
+    return d.withColumns({c: C.store(F.round(F.col(c) + boost * (F.col(c) - F.col(f"{c}_v")), 6)) for c in RGB}).select(df.columns)
 
 
 _AROUND = [(dx, dy) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dx or dy]
@@ -187,7 +191,7 @@ def decontaminate_edges(df: DataFrame, color: str, drop: float = 0.35, iteration
         fg = {c: F.col(f"s{c}") / F.when(F.col("n") > 0, F.col("n")) for c in RGB}
         span = sum(((fg[c] - bg[c]) * (fg[c] - bg[c]) for c in RGB), F.lit(0.0))
         along = sum(((F.col(c) - bg[c]) * (fg[c] - bg[c]) for c in RGB), F.lit(0.0))
-        d = d.withColumns({f"f{c}": v for c, v in fg.items()} | {"span": span}).withColumn("t", C.clamp(along / F.col("span"), 0.0, 1.0))
+        d = d.withColumns({f"f{c}": v for c, v in fg.items()} | {"span": span}).withColumn("t", F.when(F.col("span") > 0, C.clamp(along / F.col("span"), 0.0, 1.0)))
         acts = F.col("fringe") & (F.col("n") > 0) & (F.col("span") >= 8)
         lost, kept = acts & (F.col("t") < drop), acts & (F.col("t") >= drop)
         df = d.withColumns({c: F.when(kept, C.half_up(F.col(f"f{c}")).cast("int")).otherwise(F.col(c)) for c in RGB} | {"a": F.when(lost, 0).otherwise(F.col("a"))}).select(df.columns)
