@@ -12,6 +12,7 @@ that are not in one class yet. So no link between items of a bucket is lost, wha
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import settled, small_side
 
 BLOCK = 200
+#: Edges that one task's union-find takes at most (about 100 MB).
+LOCAL_EDGES = 500_000
 SKETCH = "bands array<long>, links array<struct<bh:long,lead:long>>"
 
 
@@ -64,6 +67,12 @@ def _stream_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(bh[keep]), pa.array(leads[keep]), pa.array(ids[keep])], names=["bh", "lead", "id"])
 
 
+def keys_of(sketches: DataFrame) -> DataFrame:
+    """id, keys: all bucket keys of each item."""
+    own = sketches.where(F.size("bands") + F.size("links") > 0)
+    return own.select("id", F.concat("bands", F.transform("links", lambda x: x["bh"])).alias("keys")).dropDuplicates(["id"])
+
+
 def members(sketches: DataFrame) -> DataFrame:
     """bh, lead, id: every item of every bucket of two or more, but the leads, linked to a lead."""
     reps = sketches.select(F.explode("bands").alias("bh"), "id")
@@ -72,40 +81,95 @@ def members(sketches: DataFrame) -> DataFrame:
     return far.unionByName(near)
 
 
-def verified(pairs: DataFrame, payload: DataFrame, similar: Callable[[str, str], bool]) -> DataFrame:
+@dataclass(frozen=True)
+class Likeness:
+    """How two items compare: ``prepare`` once an item, then ``alike`` for each pair.
+
+    prepare takes the text and a dictionary that names its parts by small numbers; items to be compared share it.
+    """
+
+    prepare: Callable[[str, dict], object]
+    alike: Callable[[object, object], bool]
+
+
+def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
     """a, b, ok for the pairs (a, b); payload has id and text."""
     a = payload.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     b = payload.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, lead, names = None, None, {}  # pairs of one lead mostly follow each other
         for batch in batches:
-            ok = [similar(x.as_py(), y.as_py()) for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True)]
+            ok = []
+            for i, x, y in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
+                if i != at:
+                    at, names = i, {}
+                    lead = like.prepare(x.as_py(), names)
+                ok.append(like.alike(lead, like.prepare(y.as_py(), names)))
+                if len(names) > 2_000_000:
+                    at = None
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ok boolean")
 
 
+def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a partition to stars of its own components; flushed at a bound, which only costs rounds."""
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        root = x
+        while up.get(root, root) != root:
+            root = up[root]
+        while up.get(x, x) != root:
+            up[x], x = root, up[x]
+        return root
+
+    def flush() -> pa.RecordBatch:
+        rows = [(x, find(x)) for x in list(up)]
+        out = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows if r[0] != r[1]], pa.int64()) for i in (0, 1)], names=["u", "v"])
+        up.clear()
+        return out
+
+    for batch in batches:
+        for u, v in zip(batch.column("u").to_pylist(), batch.column("v").to_pylist(), strict=True):
+            a, b = find(u), find(v)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+        if len(up) > 2 * LOCAL_EDGES:
+            yield flush()
+    yield flush()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """id, root: connected components by alternating large and small stars; only nodes that have an edge."""
-
-    def star(e: DataFrame, large: bool) -> DataFrame:
-        if large:
-            e = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = e.join(small_side(least), "u")
-        if large:
-            out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        else:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").dropDuplicates(["u", "v"])
+    """id, root: connected components by union-find in tasks, then alternating large and small stars; only nodes
+    that have an edge.
+
+    Tasks of at most LOCAL_EDGES edges first shrink them to stars of their own; if there is one such task, these are
+    the components. Else rounds of one job each follow: a node's least neighbour is a partial minimum, joined back
+    to its edges, so a node with very many edges is no task's alone.
+    """
+
+    def least(e: DataFrame) -> DataFrame:
+        return e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+
+    def round_(e: DataFrame) -> DataFrame:
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = both.join(least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = large.dropDuplicates(["u", "v"])
+        low = least(large)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        return small.where("u <> v").dropDuplicates(["u", "v"])
 
     def mark(e: DataFrame):
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    e = settled(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").dropDuplicates(["u", "v"]), "edges")
-    seen = mark(e)
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v")
+    tasks = max(1, -(-e.count() // LOCAL_EDGES))
+    e = settled(e.coalesce(tasks).mapInArrow(_local_stars, "u long, v long"), "edges")
+    seen = mark(e) if tasks > 1 else (0,)
     while seen[0]:
-        e = settled(star(settled(star(e, True), "large"), False), "small")
+        e = settled(round_(e), "round")
         now = mark(e)
         if now == seen:
             break
@@ -113,16 +177,23 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _tiles(rest: DataFrame, payload: DataFrame, similar: Callable[[str, str], bool]) -> DataFrame:
-    """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, n."""
+def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
+    """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, n.
+
+    Two items that share several buckets are compared in that of the smallest key alone: either it is open too,
+    or they are in one class.
+    """
     cut = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root"
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iat[0], pdf["y"].iat[0]
-        own, ids, roots, texts = (pdf[c].tolist() for c in ("own", "id", "root", "text"))
+        bh, x, y = int(pdf["bh"].iat[0]), pdf["x"].iat[0], pdf["y"].iat[0]
+        own, ids, roots = (pdf[c].tolist() for c in ("own", "id", "root"))
+        keys = [frozenset(k.tolist()) for k in pdf["keys"]]
+        names: dict = {}
+        items = [like.prepare(t, names) for t in pdf["text"]]
         left = [i for i in range(len(ids)) if own[i] == x]
         right = [i for i in range(len(ids)) if own[i] == y]
         up: dict[int, int] = {}
@@ -135,7 +206,7 @@ def _tiles(rest: DataFrame, payload: DataFrame, similar: Callable[[str, str], bo
         out = []
         for i in left:
             for j in right:
-                if (x != y or i < j) and find(roots[i]) != find(roots[j]) and similar(texts[i], texts[j]):
+                if (x != y or i < j) and roots[i] != roots[j] and min(keys[i] & keys[j]) == bh and find(roots[i]) != find(roots[j]) and like.alike(items[i], items[j]):
                     out.append((ids[i], ids[j]))
                     up[find(roots[i])] = find(roots[j])
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
@@ -143,21 +214,26 @@ def _tiles(rest: DataFrame, payload: DataFrame, similar: Callable[[str, str], bo
     return dealt.join(payload, "id").groupBy("bh", "x", "y").applyInPandas(run, "a long, b long")
 
 
-def classes(found: DataFrame, payload: DataFrame, similar: Callable[[str, str], bool]) -> DataFrame:
-    """id, root of all items in a class of two or more; found is settled members, payload covers their ids."""
+def classes(found: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
+    """id, root of all items in a class of two or more.
+
+    found is settled members; payload has id, text and keys (all bucket keys of the item) for their ids.
+    """
     pairs = found.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).dropDuplicates(["a", "b"])
-    judged = settled(verified(pairs, payload, similar), "verified")
+    judged = settled(verified(pairs, payload, like), "verified")
     links = judged.where("ok").select("a", "b")
     roots = settled(components(links), "roots")
     failed = judged.where("not ok").select("a", "b")
     star = found.withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id"))
-    open_ = star.join(failed, ["a", "b"], "left_semi").select("bh").distinct()
-    inside = star.join(open_, "bh", "left_semi")
+    # buckets of three or more with a link that did not hold
+    open_ = star.join(small_side(failed.withColumn("bad", F.lit(1))), ["a", "b"], "left").groupBy("bh").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).where("n > 1 and bad > 0")
+    open_ = settled(open_.select("bh"), "open")
+    inside = star.join(small_side(open_), "bh", "left_semi")
     inside = inside.select("bh", "id").unionByName(inside.select("bh", F.col("lead").alias("id"))).dropDuplicates(["bh", "id"])
-    inside = settled(inside.join(roots, "id", "left").select("bh", "id", F.coalesce("root", "id").alias("root")), "open")
+    inside = settled(inside.join(small_side(roots, 500_000), "id", "left").select("bh", "id", F.coalesce("root", "id").alias("root")), "inside")
     size = inside.groupBy("bh").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     rest = settled(inside.join(size.where("n > 2 and lo <> hi").select("bh", "n"), "bh"), "rest")
     if rest.isEmpty():
         return roots
-    more = settled(_tiles(rest, payload, similar), "more")
+    more = settled(_tiles(rest, payload, like), "more")
     return settled(components(links.unionByName(more)), "roots2") if not more.isEmpty() else roots

@@ -49,17 +49,25 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def similar(a: str, b: str) -> bool:
-    """Exact Jaccard similarity of at least 0.8 of two normalised lines' shingle sets."""
-    if a == b:
-        return True
-    x, y = shingles(a), shingles(b)
+def alike(x: set, y: set) -> bool:
+    """Exact Jaccard similarity of at least 0.8 of two shingle sets."""
     if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
         return False
     both = len(x & y)
     return both >= THRESHOLD * (len(x) + len(y) - both)
 
 
+def similar(a: str, b: str) -> bool:
+    return alike(shingles(a), shingles(b))
+
+
+def prepare(line: str, names: dict) -> frozenset[int]:
+    return frozenset(names.setdefault(g, len(names)) for g in shingles(line))
+
+
+LIKENESS = buckets.Likeness(prepare, alike)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint32(16)
     h *= np.uint32(0x7FEB352D)
@@ -182,8 +190,8 @@ def lost_lines(docs: DataFrame) -> DataFrame:
     firsts = rows.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     near = found.select("id").unionByName(found.select(F.col("lead").alias("id"))).distinct()
     firsts = settled(firsts.join(near.withColumn("near", F.lit(True)), "id", "left").where("near or first <> last"), "op4-firsts")
-    payload = settled(_fetch(docs, firsts.where("near").select("first.doc_id", "first.th", "first.line", "id")), "op4-payload")
-    roots = buckets.classes(found, payload, similar)
+    payload = settled(_fetch(docs, firsts.where("near").select("first.doc_id", "first.th", "first.line", "id")).join(buckets.keys_of(rows), "id"), "op4-payload")
+    roots = buckets.classes(found, payload, LIKENESS)
     named = firsts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first")
     stays = named.groupBy("root").agg(F.min("first").alias("stays"))
     verdict = settled(named.join(stays, "root").select("id", "stays"), "op4-verdict")

@@ -34,7 +34,7 @@ from . import buckets
 from .common import settled, text_or_empty
 
 K = 5
-ELEMENTS, PICK = 12, 3
+ELEMENTS, PICK = 14, 4
 THRESHOLD = 0.8
 CHUNK = 1 << 21
 SMALL = 500_000
@@ -66,8 +66,8 @@ def kmers(words: list[bytes]) -> list[tuple]:
     return labelled(list(zip(*(words[j:] for j in range(K)), strict=False)) if len(words) >= K else [tuple(words)])
 
 
-def aligned(a: list[tuple], b: list[tuple], band: int) -> int:
-    """Labelled k-mers of a and b in one order, at most ``band`` places apart."""
+def aligned(a: list[int], b: list[int], band: int) -> int:
+    """Labelled k-mers of a and b in one order, at most ``band`` places apart; no number stands twice in a text."""
     at = {g: i for i, g in enumerate(b)}
     tails: list[int] = []
     for i, g in enumerate(a):
@@ -81,20 +81,35 @@ def aligned(a: list[tuple], b: list[tuple], band: int) -> int:
     return len(tails)
 
 
-def similar(x: str, y: str) -> bool:
+def prepare(text: str, names: dict) -> tuple[list[int], frozenset[int]]:
+    """The labelled k-mers as numbers by ``names``, in order and as a set."""
+    grams = [names.setdefault(g, len(names)) for g in kmers(words_of(text))]
+    return grams, frozenset(grams)
+
+
+def alike(x: tuple[list[int], frozenset[int]], y: tuple[list[int], frozenset[int]]) -> bool:
     """Ordered similarity of at least 0.8, by the banded alignment of labelled k-mers."""
-    a, b = kmers(words_of(x)), kmers(words_of(y))
-    n, m = len(a), len(b)
+    n, m = len(x[0]), len(y[0])
     if not n or not m:
         return n == m
     if min(n, m) < THRESHOLD * max(n, m):
         return False
     least = ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9)
+    if len(x[1] & y[1]) < least:  # no alignment holds more than the k-mers in common
+        return False
     # an alignment of `least` leaves so many unaligned on either side, which bounds its shift
-    got = aligned(a, b, max(n, m) - least)
+    got = aligned(x[0], y[0], max(n, m) - least)
     return got >= THRESHOLD * (n + m - got)
 
 
+def similar(x: str, y: str) -> bool:
+    names: dict = {}
+    return alike(prepare(x, names), prepare(y, names))
+
+
+LIKENESS = buckets.Likeness(prepare, alike)
+
+
 def element_keys(words: list[bytes]) -> np.ndarray:
     """The sketch of a text with words: ELEMENTS bucket keys."""
     w = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
@@ -187,8 +202,8 @@ def near_classes(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     wanted = settled(texts.join(near, "id").select("id", F.col("first.row").alias("row")), "op5-wanted")
     side = F.broadcast(wanted) if wanted.limit(SMALL + 1).count() <= SMALL else wanted
-    payload = settled(docs.select("row", text_or_empty().alias("text")).join(side, "row").select("id", "text"), "op5-payload")
-    roots = buckets.classes(found, payload, similar)
+    payload = settled(docs.select("row", text_or_empty().alias("text")).join(side, "row").select("id", "text").join(buckets.keys_of(rows), "id"), "op5-payload")
+    roots = buckets.classes(found, payload, LIKENESS)
     named = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lead = named.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n_rows"))
     verdict = settled(named.select("id", "root").join(lead, "root").where("n_rows > 1").select("id", "first", "n_rows"), "op5-verdict")
