@@ -3,7 +3,7 @@
 Items have 64-bit ids (hashes of their content, so equal items are one). Each item has bucket keys; similar items
 share one with high probability. A bucket is never expanded into its pairs: its items are linked to its smallest
 id, first inside the chunk that made the sketches (so a hot bucket reaches the shuffle as one row a
-chunk), then over the whole table on sorted streams. Links are verified on the items themselves. If all links of
+chunk), then over the whole table, part by part of the keys. Links are verified on the items themselves. If all links of
 a bucket hold, its items are one class and no other pair of it can matter. Otherwise the bucket is settled
 exactly: its items are cut into blocks and every two blocks meet in one task, which compares only items
 that are not in one class yet. So no link between items of a bucket is lost, whatever the bucket's size.
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import settled, small_side
 
 BLOCK = 200
+#: Pairs (key, id) of a part, 16 bytes each: what one task holds.
+PART_PAIRS = 2_000_000
 #: Edges that one task's union-find takes at most (about 100 MB).
 LOCAL_EDGES = 500_000
 SKETCH = "bands array<long>, links array<struct<bh:long,lead:long>>"
@@ -47,24 +49,53 @@ def chunk_stars(ids: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> tuple[
     return bands, pa.ListArray.from_arrays(offsets(~own), pairs)
 
 
-def _stream_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bh, id) to rows (bh, lead, id), id not the lead."""
-    key = lead = last = None
-    for batch in batches:
-        bh, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bh", "id"))
-        if not len(bh):
-            continue
+def _packed(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (id, bands) to one row a part and batch: the batch's (key, id) pairs of that part, as bytes.
+
+    Narrow rows by the ten million cost the shuffle far more than their bytes do; a block of them is one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bands = batch.column("bands")
+            keys = bands.flatten().to_numpy(zero_copy_only=False)
+            offsets = bands.offsets.to_numpy()
+            ids = np.repeat(batch.column("id").to_numpy(zero_copy_only=False), np.diff(offsets))
+            part = (keys.view(np.uint64) >> np.uint64(17)) % np.uint64(parts)
+            order = np.argsort(part, kind="stable")
+            pairs = np.stack([keys[order], ids[order]], axis=1)
+            own, at = np.unique(part[order], return_index=True)
+            edges = [*at.tolist(), len(pairs)]
+            blocks = [pairs[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int64)), pa.array(blocks, pa.binary())], names=["part", "pairs"])
+
+    return run
+
+
+def _part_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by part to rows (bh, lead, id), id not the lead; one part's pairs at a time are in memory."""
+    part, blocks = None, []
+
+    def flush() -> pa.RecordBatch:
+        pairs = np.concatenate(blocks) if blocks else np.zeros((0, 2), np.int64)
+        bh, ids = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))].T
         head = np.ones(len(bh), dtype=bool)
         head[1:] = bh[1:] != bh[:-1]
-        head[0] = key is None or bh[0] != key
-        before = np.array([lead if lead is not None else 0], dtype=np.int64)
-        leads = np.concatenate([before, ids[head]])[np.cumsum(head)]
+        leads = ids[head][np.cumsum(head) - 1] if len(bh) else ids
         again = np.zeros(len(bh), dtype=bool)
         again[1:] = (ids[1:] == ids[:-1]) & ~head[1:]
-        again[0] = not head[0] and ids[0] == last
         keep = (ids != leads) & ~again
-        key, lead, last = bh[-1], leads[-1], ids[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(bh[keep]), pa.array(leads[keep]), pa.array(ids[keep])], names=["bh", "lead", "id"])
+        return pa.RecordBatch.from_arrays([pa.array(bh[keep]), pa.array(leads[keep]), pa.array(ids[keep])], names=["bh", "lead", "id"])
+
+    for batch in batches:
+        for p, block in zip(batch.column("part").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
+            if p != part:
+                if blocks:
+                    yield flush()
+                part, blocks = p, []
+            blocks.append(np.frombuffer(block, dtype=np.int64).reshape(-1, 2))
+    if blocks:
+        yield flush()
 
 
 def keys_of(sketches: DataFrame) -> DataFrame:
@@ -74,9 +105,16 @@ def keys_of(sketches: DataFrame) -> DataFrame:
 
 
 def members(sketches: DataFrame) -> DataFrame:
-    """bh, lead, id: every item of every bucket of two or more, but the leads, linked to a lead."""
-    reps = sketches.select(F.explode("bands").alias("bh"), "id")
-    far = reps.repartition("bh").sortWithinPartitions("bh", "id").mapInArrow(_stream_stars, "bh long, lead long, id long")
+    """bh, lead, id: every item of every bucket of two or more, but the leads, linked to a lead.
+
+    Keys are dealt by hash to as many parts as keep a part's pairs under PART_PAIRS, so memory does not grow with
+    the table.
+    """
+    reps = sketches.select("id", "bands").where(F.size("bands") > 0)
+    pairs = reps.agg(F.sum(F.size("bands"))).first()[0] or 0
+    parts = max(64, -(-pairs // PART_PAIRS))
+    packed = reps.mapInArrow(_packed(parts), "part long, pairs binary")
+    far = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_part_stars, "bh long, lead long, id long")
     near = sketches.select(F.explode("links").alias("l"), "id").select("l.bh", "l.lead", "id")
     return far.unionByName(near)
 

@@ -202,11 +202,11 @@ def lost_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with deduplicated text, and the columns n_lines and n_lost (int)."""
-    lost = settled(lost_lines(docs), "op4-lost").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "lost")
+    lost = settled(lost_lines(docs), "op4-lost").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("lost").alias("__lost"))
     rows = _with_hash(docs).join(_by_document(lost), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("lost").isNull(), F.col("text")).otherwise(
-        F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("lost", i), x)), lambda x: x.isNotNull()))
+    kept = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(
+        F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__lost", i), x)), lambda x: x.isNotNull()))
     )
     out = [kept.alias("text") if c == "text" else F.length(kept).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(*out, F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.coalesce(F.size("lost"), F.lit(0)).alias("n_lost"))
+    return rows.select(*out, F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size("__lost"), F.lit(0)).alias("n_lost"))
