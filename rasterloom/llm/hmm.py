@@ -155,7 +155,7 @@ def code(docs: DataFrame, lex: Lexicon) -> DataFrame:
                         s[classed] = lex.symbols + k
                         rest = float(log_c[i[classed][i[classed] >= 0]].sum() - log_class[k].sum())
                     unseen = Counter(words[j] for j in np.flatnonzero(i < 0))
-                    out.append((len(words), len(known), float(log_c[known].sum()), rest, s, list(unseen), list(unseen.values())))
+                    out.append((len(words), int((lex.counts[known] > 0).sum()), float(log_c[known].sum()), rest, s, list(unseen), list(unseen.values())))
                 n, known, known_log, rest_log, syms, unseen, times = zip(*out, strict=True)
                 sizes = np.cumsum([0, *map(len, syms)])
                 kept = np.cumsum([0, *map(len, unseen)])
