@@ -36,6 +36,12 @@ def separable(df: DataFrame, col: str, radius: int, how, into: str | None = None
     return df.withColumn(into, how(into).over(along_y().rowsBetween(-radius, radius)))
 
 
+def separable_all(df: DataFrame, cols: list[str], radius: int, how) -> DataFrame:
+    """``separable`` for several columns in the same two sorts."""
+    df = df.withColumns({c: how(c).over(along_x().rowsBetween(-radius, radius)) for c in cols})
+    return df.withColumns({c: how(c).over(along_y().rowsBetween(-radius, radius)) for c in cols})
+
+
 def erode_alpha(df: DataFrame, radius: int) -> DataFrame:
     return separable(dealt(df), "a", radius, F.min)
 
@@ -186,8 +192,7 @@ def decontaminate_edges(df: DataFrame, color: str, drop: float = 0.35, iteration
         beside = F.least(*[F.coalesce(_at("o", dx, dy), F.lit(1)) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
         d = d.withColumn("fringe", (F.col("o") == 1) & (beside == 0)).withColumn("in", ((F.col("o") == 1) & ~F.col("fringe")).cast("int"))
         d = d.withColumns({f"s{c}": F.col(c) * F.col("in") for c in RGB} | {"n": F.col("in")})
-        for c in (*[f"s{c}" for c in RGB], "n"):
-            d = separable(d, c, inner, F.sum)
+        d = separable_all(d, [*[f"s{c}" for c in RGB], "n"], inner, F.sum)
         fg = {c: F.col(f"s{c}") / F.when(F.col("n") > 0, F.col("n")) for c in RGB}
         span = sum(((fg[c] - bg[c]) * (fg[c] - bg[c]) for c in RGB), F.lit(0.0))
         along = sum(((F.col(c) - bg[c]) * (fg[c] - bg[c]) for c in RGB), F.lit(0.0))
