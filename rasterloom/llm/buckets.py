@@ -98,12 +98,6 @@ def _part_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def keys_of(sketches: DataFrame) -> DataFrame:
-    """id, keys: all bucket keys of each item."""
-    own = sketches.where(F.size("bands") + F.size("links") > 0)
-    return own.select("id", F.concat("bands", F.transform("links", lambda x: x["bh"])).alias("keys")).dropDuplicates(["id"])
-
-
 def members(sketches: DataFrame) -> DataFrame:
     """bh, lead, id: every item of every bucket of two or more, but the leads, linked to a lead.
 
@@ -121,13 +115,16 @@ def members(sketches: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Likeness:
-    """How two items compare: ``prepare`` once an item, then ``alike`` for each pair.
+    """How two items compare.
 
-    prepare takes the text and a dictionary that names its parts by small numbers; items to be compared share it.
+    prepare(text, names) gives (what alike needs, the set of the item's parts), parts being numbered by the shared
+    dictionary names; alike(x, y) judges two prepared items; least(n, m) is the overlap of part sets of those sizes
+    below which no two items are alike (arrays in, array out).
     """
 
-    prepare: Callable[[str, dict], object]
-    alike: Callable[[object, object], bool]
+    prepare: Callable[[str, dict], tuple]
+    alike: Callable[[tuple, tuple], bool]
+    least: Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
@@ -215,25 +212,32 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
-    """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, n.
+def overlaps(items: list[frozenset[int]], left: list[int], right: list[int], width: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each of left, the sizes of its intersections with all of right, by counting bits."""
+    words = -(-max(width, 1) // 64)
+    bits = np.zeros((len(items), words), dtype=np.uint64)
+    for i, parts in enumerate(items):
+        at = np.fromiter(parts, dtype=np.int64, count=len(parts))
+        np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    other = bits[right]
+    for i in left:
+        yield i, np.bitwise_count(other & bits[i]).sum(axis=1, dtype=np.int64)
 
-    Two items that share several buckets are compared in that of the smallest key alone: either it is open too,
-    or they are in one class.
-    """
+
+def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
+    """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, n."""
     cut = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root"
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        bh, x, y = int(pdf["bh"].iat[0]), pdf["x"].iat[0], pdf["y"].iat[0]
-        own, ids, roots = (pdf[c].tolist() for c in ("own", "id", "root"))
-        keys = [frozenset(k.tolist()) for k in pdf["keys"]]
+        x, y = pdf["x"].iat[0], pdf["y"].iat[0]
+        own, ids, roots = (pdf[c].to_numpy() for c in ("own", "id", "root"))
         names: dict = {}
         items = [like.prepare(t, names) for t in pdf["text"]]
-        left = [i for i in range(len(ids)) if own[i] == x]
-        right = [i for i in range(len(ids)) if own[i] == y]
+        size = np.array([len(s) for _, s in items])
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
         up: dict[int, int] = {}
 
         def find(r):
@@ -242,11 +246,12 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
             return r
 
         out = []
-        for i in left:
-            for j in right:
-                if (x != y or i < j) and roots[i] != roots[j] and min(keys[i] & keys[j]) == bh and find(roots[i]) != find(roots[j]) and like.alike(items[i], items[j]):
+        for i, both in overlaps([s for _, s in items], left, right, len(names)):
+            may = (both >= like.least(size[i], size[right])) & (roots[right] != roots[i])
+            for j in right[may]:
+                if (x != y or i < j) and (a := find(int(roots[i]))) != (b := find(int(roots[j]))) and like.alike(items[i], items[j]):
                     out.append((ids[i], ids[j]))
-                    up[find(roots[i])] = find(roots[j])
+                    up[a] = b
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return dealt.join(payload, "id").groupBy("bh", "x", "y").applyInPandas(run, "a long, b long")
@@ -255,7 +260,7 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
 def classes(found: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
     """id, root of all items in a class of two or more.
 
-    found is settled members; payload has id, text and keys (all bucket keys of the item) for their ids.
+    found is settled members; payload has id and text for their ids.
     """
     pairs = found.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).dropDuplicates(["a", "b"])
     judged = settled(verified(pairs, payload, like), "verified")

@@ -32,11 +32,10 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 CHUNK = 1 << 21
-SMALL = 200_000
+SMALL = 400_000
 
 _RNG = np.random.default_rng(4)
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
-_ADD = _RNG.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 _ROLL = (_RNG.integers(0, 2**31, SHINGLE, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _FOLD = (_RNG.integers(0, 2**62, (BANDS, ROWS), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 
@@ -49,8 +48,8 @@ def shingles(line: str) -> set[str]:
     return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
-def alike(x: set, y: set) -> bool:
-    """Exact Jaccard similarity of at least 0.8 of two shingle sets."""
+def jaccard(x: set, y: set) -> bool:
+    """Exact Jaccard similarity of at least 0.8."""
     if min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
         return False
     both = len(x & y)
@@ -58,14 +57,14 @@ def alike(x: set, y: set) -> bool:
 
 
 def similar(a: str, b: str) -> bool:
-    return alike(shingles(a), shingles(b))
+    return jaccard(shingles(a), shingles(b))
 
 
-def prepare(line: str, names: dict) -> frozenset[int]:
-    return frozenset(names.setdefault(g, len(names)) for g in shingles(line))
-
-
-LIKENESS = buckets.Likeness(prepare, alike)
+LIKENESS = buckets.Likeness(
+    lambda line, names: (None, frozenset(names.setdefault(g, len(names)) for g in shingles(line))),
+    lambda x, y: jaccard(x[1], y[1]),
+    lambda n, m: np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9),
+)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -93,9 +92,7 @@ def band_keys(lines: list[str]) -> np.ndarray:
     block = np.empty(n, dtype=np.uint32)
     over = np.flatnonzero(~inner)
     for i in range(BANDS * ROWS):
-        np.multiply(h, _MUL[i], out=block)
-        block += _ADD[i]
-        block ^= block >> np.uint32(15)
+        np.multiply(h, _MUL[i], out=block)  # h is mixed: products by odd numbers order it anew
         block[over] = 0xFFFFFFFF
         out[:, i // ROWS] += np.minimum.reduceat(block, first).astype(np.uint64) * _FOLD[i // ROWS, i % ROWS]
         out[:, i // ROWS] ^= out[:, i // ROWS] >> np.uint64(31)
@@ -187,10 +184,14 @@ def lost_lines(docs: DataFrame) -> DataFrame:
     rows = settled(sketch_lines(docs), "op4-lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
     found = settled(buckets.members(rows.select("id", "bands", "links")), "op4-members")
-    firsts = rows.groupBy("id").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    near = found.select("id").unionByName(found.select(F.col("lead").alias("id"))).distinct()
-    firsts = settled(firsts.join(near.withColumn("near", F.lit(True)), "id", "left").where("near or first <> last"), "op4-firsts")
-    payload = settled(_fetch(docs, firsts.where("near").select("first.doc_id", "first.th", "first.line", "id")).join(buckets.keys_of(rows), "id"), "op4-payload")
+    near = settled(found.select("id").unionByName(found.select(F.col("lead").alias("id"))).distinct().withColumn("near", F.lit(True)), "op4-near")
+    # only lines that stand twice or have a neighbour matter from here on
+    often = rows.groupBy("id").count().where("count > 1").select("id")
+    wanted = settled(often.join(near, "id", "full"), "op4-wanted")
+    side = F.broadcast(wanted) if wanted.limit(SMALL + 1).count() <= SMALL else wanted
+    rows = settled(rows.select("id", "doc_id", "th", "line").join(side, "id"), "op4-places")
+    firsts = settled(rows.groupBy("id").agg(F.min(place).alias("first"), F.max("near").alias("near")), "op4-firsts")
+    payload = settled(_fetch(docs, firsts.where("near").select("first.doc_id", "first.th", "first.line", "id")), "op4-payload")
     roots = buckets.classes(found, payload, LIKENESS)
     named = firsts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first")
     stays = named.groupBy("root").agg(F.min("first").alias("stays"))

@@ -22,7 +22,6 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
-from math import ceil
 from zlib import crc32
 
 import numpy as np
@@ -81,6 +80,11 @@ def aligned(a: list[int], b: list[int], band: int) -> int:
     return len(tails)
 
 
+def least_overlap(n, m):
+    """The k-mers that two texts of n and m share at least, if their similarity is 0.8."""
+    return np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9)
+
+
 def prepare(text: str, names: dict) -> tuple[list[int], frozenset[int]]:
     """The labelled k-mers as numbers by ``names``, in order and as a set."""
     grams = [names.setdefault(g, len(names)) for g in kmers(words_of(text))]
@@ -94,7 +98,7 @@ def alike(x: tuple[list[int], frozenset[int]], y: tuple[list[int], frozenset[int
         return n == m
     if min(n, m) < THRESHOLD * max(n, m):
         return False
-    least = ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9)
+    least = int(least_overlap(n, m))
     if len(x[1] & y[1]) < least:  # no alignment holds more than the k-mers in common
         return False
     # an alignment of `least` leaves so many unaligned on either side, which bounds its shift
@@ -107,7 +111,7 @@ def similar(x: str, y: str) -> bool:
     return alike(prepare(x, names), prepare(y, names))
 
 
-LIKENESS = buckets.Likeness(prepare, alike)
+LIKENESS = buckets.Likeness(prepare, alike, least_overlap)
 
 
 def element_keys(words: list[bytes]) -> np.ndarray:
@@ -202,7 +206,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     wanted = settled(texts.join(near, "id").select("id", F.col("first.row").alias("row")), "op5-wanted")
     side = F.broadcast(wanted) if wanted.limit(SMALL + 1).count() <= SMALL else wanted
-    payload = settled(docs.select("row", text_or_empty().alias("text")).join(side, "row").select("id", "text").join(buckets.keys_of(rows), "id"), "op5-payload")
+    payload = settled(docs.select("row", text_or_empty().alias("text")).join(side, "row").select("id", "text"), "op5-payload")
     roots = buckets.classes(found, payload, LIKENESS)
     named = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     lead = named.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n_rows"))
