@@ -130,18 +130,18 @@ def convolve(df: DataFrame, kernel: list[list[float]]) -> DataFrame:
 
 
 def _sobel(df: DataFrame, value: Column) -> DataFrame:
-    """Adds g: the gradient's length, 0 on the border."""
+    """Adds grad: the gradient's length, 0 on the border."""
     d = dealt(with_size(df)).withColumn("lum", value)
     d = d.withColumns({"row_diff": _at("lum", 1) - _at("lum", -1), "row_sum": _at("lum", -1) + 2 * F.col("lum") + _at("lum", 1)})
     gx = _at("row_diff", 0, -1) + 2 * F.col("row_diff") + _at("row_diff", 0, 1)
     gy = _at("row_sum", 0, 1) - _at("row_sum", 0, -1)
-    return d.withColumn("g", F.coalesce(F.sqrt(gx * gx + gy * gy), F.lit(0.0)))
+    return d.withColumn("grad", F.coalesce(F.sqrt(gx * gx + gy * gy), F.lit(0.0)))
 
 
 def edge_map(df: DataFrame) -> DataFrame:
     """image_id, x, y, cost: low on edges; 1 everywhere in a flat image."""
-    d = _sobel(df, C.luma601()).withColumn("top", F.max("g").over(W.partitionBy("image_id")))
-    cost = F.when(F.col("top") == 0, 1.0).otherwise(F.greatest(F.lit(0.05), 1 - F.sqrt(F.col("g") / F.col("top"))))
+    d = _sobel(df, C.luma601()).withColumn("top", F.max("grad").over(W.partitionBy("image_id")))
+    cost = F.when(F.col("top") == 0, 1.0).otherwise(F.greatest(F.lit(0.05), 1 - F.sqrt(F.col("grad") / F.col("top"))))
     return d.select("image_id", "x", "y", cost.alias("cost"))
 
 
@@ -149,8 +149,8 @@ def edge_aware_sharpen(df: DataFrame, amount: float = 0.5, radius: float = 1.2,
     """Unsharp mask weighted by edge strength; the blur drops what lies outside and divides by the weights within."""
     if amount <= 0:
         return df
-    d = _sobel(df, C.luma601()).withColumn("top", F.max("g").over(W.partitionBy("image_id")))
-    d = d.withColumn("e", F.when(F.col("top") > 0, F.col("g") / F.col("top")).otherwise(0.0))
+    d = _sobel(df, C.luma601()).withColumn("top", F.max("grad").over(W.partitionBy("image_id")))
+    d = d.withColumn("e", F.when(F.col("top") > 0, F.col("grad") / F.col("top")).otherwise(0.0))
     half = max(1, math.ceil(radius * 2))
     taps = {k: math.exp(-(k * k) / (2 * radius * radius)) for k in range(-half, half + 1)}
 

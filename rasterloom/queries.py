@@ -159,7 +159,7 @@ def _filters(spark: SparkSession, sf: str) -> DataFrame:
 add("filter_fn", _filters, "SELECT x, " + ", ".join(f"round(CAST({filter_sql('x', n)} AS DOUBLE), 9)+0.0 AS {n}" for n in C.FILTER_RADIUS) + " FROM (SELECT i/20 AS x FROM range(-70, 71) t(i))")
 add("filter_radius", lambda s, d: s.createDataFrame(list(C.FILTER_RADIUS.items()), "filter string, radius int"), "SELECT * FROM (VALUES ('lanczos3', CAST(3 AS INTEGER)), ('lanczos2', 2), ('bicubic', 2), ('bilinear', 1)) t(filter, radius)")
 add("gaussian_kernel", lambda s, d: s.range(1).select(F.posexplode(C.gaussian_kernel(1.2, 3)).alias("i", "wt")).select("i", F.round("wt", 9).alias("wt")), "SELECT CAST(i+3 AS INTEGER) AS i, round(exp(-(i*i)/(2*1.2*1.2)), 9) AS wt FROM range(-3, 4) t(i)")
-add("crc32_documents", lambda s, d: s.read.parquet(f"{d}/documents.parquet").where("doc_id = 0").select("doc_id", F.crc32(F.lit("IEND").cast("binary")).alias("crc")), "SELECT doc_id, CAST(2923585666 AS BIGINT) AS crc FROM documents WHERE doc_id = 0")
+add("crc32", lambda s, d: s.createDataFrame([("IEND",), ("123456789",), ("",)], "text string").select("text", F.crc32(F.col("text").cast("binary")).alias("crc")), "SELECT * FROM (VALUES ('IEND', CAST(2923585666 AS BIGINT)), ('123456789', 3421780262), ('', 0)) t(text, crc)")
 
 
 # -- point operators ---------------------------------------------------------------------------------------------------
@@ -399,20 +399,20 @@ SELECT image_id, label, CAST(CASE WHEN wi=0 THEN w WHEN w/h>=wi/hi THEN floor(wi
 
 
 def _polygons(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 200")
+    p = spark.read.parquet(f"{sf}/part.parquet")
     pts = F.array(*[F.struct(((F.col("p_partkey") * a + b) % 64).cast("int").alias("x"), ((F.col("p_partkey") * c + d) % 64).cast("int").alias("y")) for a, b, c, d in _VERTICES])
     return p.select(F.col("p_partkey").alias("poly_id"), F.when(F.col("p_partkey") % 7 == 0, F.slice(pts, 1, 2)).when(F.col("p_partkey") % 2 == 0, F.slice(pts, 1, 3)).otherwise(pts).alias("points"))
 
 
 _VERTICES = [(37, 3, 53, 11), (29, 40, 17, 5), (11, 60, 43, 50), (53, 9, 31, 33), (23, 25, 61, 2)]
-_POLY = f"""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey%7=0 THEN 2 WHEN p_partkey%2=0 THEN 3 ELSE 5 END AS n FROM part WHERE p_partkey<200),
+_POLY = f"""WITH p AS (SELECT p_partkey AS id, CASE WHEN p_partkey%7=0 THEN 2 WHEN p_partkey%2=0 THEN 3 ELSE 5 END AS n FROM part),
  v AS (SELECT * FROM (VALUES {', '.join(f'({i},{a},{b},{c},{d})' for i, (a, b, c, d) in enumerate(_VERTICES))}) t(i,a,b,c,d)),
  pt AS (SELECT id, n, i, CAST((id*a+b)%64 AS DOUBLE) AS x, CAST((id*c+d)%64 AS DOUBLE) AS y FROM p JOIN v ON i<n WHERE n>=3),
  e AS (SELECT s.id, s.x AS x1, s.y AS y1, t.x AS x2, t.y AS y2 FROM pt s JOIN pt t ON t.id=s.id AND t.i=(s.i+1)%s.n),
  c AS (SELECT id, y, x1+(y-y1)/(y2-y1)*(x2-x1) AS cx FROM e JOIN range(64) r(y) ON (y1<=y AND y2>y) OR (y2<=y AND y1>y)),
  k AS (SELECT *, row_number() OVER w AS n, lead(cx) OVER w AS cy FROM c WINDOW w AS (PARTITION BY id, y ORDER BY cx))
 SELECT DISTINCT id AS poly_id, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM k JOIN range(64) q(x) ON x>=ceil(cx) AND x<=floor(cy) WHERE n%2=1"""
-add("polygon_mask_part", lambda s, d: G.polygon_mask(_polygons(s, d), 64, 64), _POLY)
+add("polygon_mask_part", lambda s, d: G.polygon_mask(_polygons(s, d), 64, 64).groupBy("poly_id").agg(F.count("*").alias("n"), F.sum((F.col("y") * 64 + F.col("x")).cast("long")).alias("places")), _POLY.replace("SELECT DISTINCT id AS poly_id", ", m AS (SELECT DISTINCT id AS poly_id") + ") SELECT poly_id, count(*) AS n, CAST(sum(y*64+x) AS BIGINT) AS places FROM m GROUP BY poly_id")
 
 # -- masks -------------------------------------------------------------------------------------------------------------------
 
@@ -582,8 +582,8 @@ add("compose_overlays_event", _overlays, src("event", "bs AS (SELECT image_id, x
 
 
 def _letters(spark: SparkSession, sf: str) -> DataFrame:
-    """A sheet of 200 x 200 for each of four parts: three rows of small bars on transparent ground, a disc, dots beside a row."""
-    ids = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 4").select(F.col("p_partkey").cast("int").alias("image_id"))
+    """A sheet of 200 x 200 for each region: three rows of small bars on transparent ground, a disc, dots beside a row."""
+    ids = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").cast("int").alias("image_id"))
     d = ids.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("x")).select("image_id", "x", F.explode(F.sequence(F.lit(0), F.lit(199))).alias("y"))
     row = F.col("y").between(60, 68) | F.col("y").between(90, 98) | F.col("y").between(120, 128)
     bar = row & F.col("x").between(40, 150) & ((F.col("x") - 40) % 12 < 7)
@@ -722,7 +722,7 @@ add("preset_parse", lambda s, d: L.parse_presets(s.createDataFrame(_RAW, "key st
 
 
 def _layers(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 100").crossJoin(F.broadcast(L.fonts(spark).select(F.col("id").alias("fid"), F.monotonically_increasing_id().alias("fn")).where("fid in ('lato', 'cinzel')")))
+    p = spark.read.parquet(f"{sf}/part.parquet").crossJoin(F.broadcast(L.fonts(spark).select(F.col("id").alias("fid"), F.monotonically_increasing_id().alias("fn")).where("fid in ('lato', 'cinzel')")))
     k = F.col("p_partkey")
     return p.where(((k % 2 == 0) & (F.col("fid") == "lato")) | ((k % 2 == 1) & (F.col("fid") == "cinzel"))).select(
         F.concat(F.lit("t"), k.cast("string")).alias("id"), F.when(k % 10 == 0, "").otherwise(F.col("p_name")).alias("text"), F.when(k % 7 == 0, "lost-font").otherwise(F.col("fid")).alias("font_id"), F.lit(400).alias("weight"), (k % 3 == 0).alias("italic"),
@@ -730,7 +730,7 @@ def _layers(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_LAY = "ly AS (SELECT p_partkey AS k, 't' || CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey%10=0 THEN '' ELSE p_name END AS text, CASE WHEN p_partkey%7=0 THEN 'lost-font' WHEN p_partkey%2=0 THEN 'lato' ELSE 'cinzel' END AS font_id, CAST(10+p_partkey%20 AS DOUBLE) AS size, CAST(p_partkey*3%200 AS DOUBLE) AS x, CAST(p_partkey*5%300 AS DOUBLE) AS y FROM part WHERE p_partkey<100)"
+_LAY = "ly AS (SELECT p_partkey AS k, 't' || CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey%10=0 THEN '' ELSE p_name END AS text, CASE WHEN p_partkey%7=0 THEN 'lost-font' WHEN p_partkey%2=0 THEN 'lato' ELSE 'cinzel' END AS font_id, CAST(10+p_partkey%20 AS DOUBLE) AS size, CAST(p_partkey*3%200 AS DOUBLE) AS x, CAST(p_partkey*5%300 AS DOUBLE) AS y FROM part)"
 add("place_text_layers", lambda s, d: L.place_layers(_layers(s, d), L.fonts(s), (200, 300), (500, 600)).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), F.round("font_px", 6).alias("font_px"), F.round("spacing_px", 6).alias("spacing_px")), f"WITH {_LAY} SELECT id, round(x*2.5,6) AS x, round(y*2.0,6) AS y, round(size*2.25,6) AS font_px, round(CASE WHEN k%4=0 THEN 2.0 ELSE 0.0 END*2.25,6) AS spacing_px FROM ly WHERE text<>'' AND font_id<>'lost-font'")
 add("font_shorthand", lambda s, d: L.place_layers(_layers(s, d), L.fonts(s), (200, 300), (500, 600)).select("id", "font"), f"WITH {_LAY} SELECT id, CASE WHEN k%3=0 THEN 'italic' ELSE 'normal' END || ' 400 ' || regexp_replace(printf('%.4f', size*2.25), '\\.?0+$', '') || 'px ' || CASE font_id WHEN 'lato' THEN 'Lato' ELSE 'Cinzel' END AS font FROM ly WHERE text<>'' AND font_id<>'lost-font'")
 add("unknown_fonts", lambda s, d: L.unknown_fonts(_layers(s, d), L.fonts(s)), f"WITH {_LAY} SELECT id, font_id FROM ly WHERE font_id='lost-font'")
@@ -780,12 +780,21 @@ _APPLIED = """SELECT o_orderkey, CASE WHEN c=0 THEN least(50.0, t+CASE WHEN t<15
 _PCOLS = ["n.tolerance", "n.strategy", "n.edge_feather", "n.finish.solid_edges", "n.finish.alpha_threshold", "n.finish.choke", "n.finish.despill"]
 add("critique_apply_orders", lambda s, d: _params(s, d).select("o_orderkey", Q.apply_critique(F.col("p"), F.col("c")).alias("n")).select("o_orderkey", *_PCOLS), f"WITH {_PAR} {_APPLIED}")
 add("critique_fold_orders", lambda s, d: _params(s, d).select("o_orderkey", Q.apply_critiques(F.col("p"), F.array("c")).alias("n")).select("o_orderkey", *_PCOLS), f"WITH {_PAR} {_APPLIED}")
-add("critique_explain_orders", lambda s, d: _params(s, d).where(F.col("c").isin("edge-jaggy", "color-tint", "edge-shrunk")).select("o_orderkey", Q.explain_critique(F.col("p"), F.col("c")).alias("explanation")), f"""WITH {_PAR} SELECT o_orderkey, CASE c WHEN 4 THEN 'feather +1 → ' || CAST(CAST(least(5, f+1) AS INTEGER) AS VARCHAR) || 'px'
- WHEN 7 THEN CASE WHEN ds THEN 'despill already on (no further action)' ELSE 'auto-despill enabled' END ELSE 'choke −1 → ' || CAST(greatest(0, ck-1) AS VARCHAR) || 'px, threshold −16 → ' || CAST(greatest(1, th-16) AS VARCHAR) END AS explanation FROM pr WHERE c IN (4,5,7)""")
+_N = "CAST(CAST({} AS INTEGER) AS VARCHAR)"
+_CHOKE, _THR = _N.format("greatest(0, ck-1)"), _N.format("greatest(1, th-16)")
+add("critique_explain_orders", lambda s, d: _params(s, d).select("o_orderkey", Q.explain_critique(F.col("p"), F.col("c")).alias("explanation")), f"""WITH {_PAR} SELECT o_orderkey, CASE c
+ WHEN 0 THEN 'tolerance +' || CASE WHEN t<15 THEN '4' ELSE '3' END || ' → ' || {_N.format("least(50, t+CASE WHEN t<15 THEN 4 ELSE 3 END)")} || '%' || CASE WHEN t>=25 AND s='flood' THEN ', (tip: at high tolerance, consider trying "Everywhere" strategy if bg is enclosed)' ELSE '' END
+ WHEN 1 THEN 'tolerance −3 → ' || {_N.format("greatest(0, t-3)")} || '%' || CASE WHEN ck>0 THEN ', choke −1 → ' || {_CHOKE} || 'px' ELSE '' END
+ WHEN 2 THEN CASE WHEN s<>'flood' THEN 'strategy → flood (preserves enclosed pixels)' ELSE 'tolerance −2 → ' || {_N.format("greatest(0, t-2)")} || '% (already flood)' END
+ WHEN 3 THEN 'choke +1 → ' || {_N.format("least(5, ck+1)")} || 'px, threshold +16 → ' || {_N.format("least(254, th+16)")}
+ WHEN 4 THEN 'feather +1 → ' || {_N.format("least(5, f+1)")} || 'px' WHEN 5 THEN 'choke −1 → ' || {_CHOKE} || 'px, threshold −16 → ' || {_THR}
+ WHEN 6 THEN 'feather −1 → ' || {_N.format("greatest(0, f-1)")} || 'px, solid-edges enforced'
+ WHEN 7 THEN CASE WHEN ds THEN 'despill already on (no further action)' ELSE 'auto-despill enabled' END
+ ELSE CASE WHEN ds THEN 'auto-despill disabled (skipping extra step)' ELSE 'despill already off' END END AS explanation FROM pr""")
 
 
 def _samples(spark: SparkSession, sf: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").where("l_suppkey < 60")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
     from pyspark.sql import Window as W
 
     seq = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax"))
@@ -795,7 +804,7 @@ def _samples(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.col("l_suppkey").alias("group_id"), seq.alias("seq"), F.when(F.col("l_linenumber") != 1, p).alias("accepted"))
 
 
-add("consensus_preset_lineitem", lambda s, d: Q.aggregate_samples(_samples(s, d), "group_id"), """WITH q AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS seq FROM lineitem WHERE l_suppkey<60),
+add("consensus_preset_lineitem", lambda s, d: Q.aggregate_samples(_samples(s, d), "group_id"), """WITH q AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_shipdate, l_discount, l_tax) AS seq FROM lineitem),
  a AS (SELECT * FROM q WHERE l_linenumber<>1), cc AS (SELECT l_suppkey, l_partkey%3 AS c, count(*) AS n, min(seq) AS f FROM a GROUP BY ALL), ct AS (SELECT l_suppkey, c FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY n DESC, f) AS k FROM cc) WHERE k=1)
 SELECT l_suppkey AS group_id, count(*) AS n_accepted, CASE WHEN count(*)=1 THEN max(l_quantity%51) ELSE floor(avg(l_quantity%51)+0.5) END AS tolerance, CASE WHEN count(*) FILTER (l_partkey%2=0)*2>=count(*) THEN 'flood' ELSE 'global' END AS strategy,
  CAST(CASE WHEN count(*)=1 THEN max(l_partkey%6) ELSE floor(avg(l_partkey%6)+0.5) END AS DOUBLE) AS edge_feather, count(*) FILTER (l_returnflag<>'N')*2>=count(*) AS solid_edges, CAST(floor(avg(CAST(l_quantity*5 AS INTEGER))+0.5) AS INTEGER) AS alpha_threshold,
