@@ -25,12 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty
+from .common import text_or_empty, trim
 from .token_counts import PIECE, pieces
 
-BLOCK_BYTES = 1 << 19
-KNOWN = 700_000
-DECODE_TOKENS = 500_000
+BLOCK_BYTES = 1 << 18
+KNOWN = 400_000
+GROUP_CHARS = 500_000
 
 #: Pieces of more bytes are contracted by the second query, many occurrences in a round.
 LONG = 256
@@ -90,16 +90,17 @@ class Vocabulary:
         lowest = [1 << 30] * (max(ranks.values()) + 1)  # of the merges that a token takes part in
         for left, right, m in merges:
             lowest[left], lowest[right] = min(lowest[left], m), min(lowest[right], m)
-        self.token = [b""] * (max(ranks.values()) + 1)
+        token = [b""] * (max(ranks.values()) + 1)
         for t, m in ranks.items():
-            self.token[m] = t
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
+            token[m] = t
+        self.decimal = list(map(str, range(len(token))))
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self._load("merges", pa.table({
             "pair": pa.array([left << 20 | right for left, right, _ in merges], pa.int64()),
             "m": pa.array([m for _, _, m in merges], pa.int64()),
             "safe": pa.array([lowest[m] > m for _, _, m in merges]),
         }))
-        self._load("vocab", pa.table({"id": pa.array(range(len(self.token)), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in self.token])}))
+        self._load("vocab", pa.table({"id": pa.array(range(len(token)), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in token])}))
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.known: dict[str, int] = {}
         self._reset()
@@ -111,7 +112,6 @@ class Vocabulary:
 
     def _reset(self) -> None:
         self.known.clear()
-        self.shown: list[str] = []
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -144,9 +144,8 @@ class Vocabulary:
             self.db.unregister("start")
             for i, ids in zip(out.column("w").to_pylist(), out.column("ids").to_pylist(), strict=True):
                 found[i] = ids
-        base = len(self.shown)
+        base = len(self.size)
         self.known.update(zip(block, range(base, base + len(block)), strict=True))
-        self.shown += [" ".join(map(str, ids)) for ids in found]
         size = np.array([len(ids) for ids in found], dtype=np.int64)
         self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
         self.size = np.concatenate([self.size, size])
@@ -166,7 +165,7 @@ class Vocabulary:
             i = np.array(at, dtype=np.int64)
             size = self.size[i]
             ids = self.flat[np.repeat(self.start[i] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            out.append((" ".join(map(self.shown.__getitem__, at)), ids))
+            out.append((" ".join(map(self.decimal.__getitem__, ids.tolist())), ids))
         return out
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
@@ -189,16 +188,17 @@ _vocabularies: dict[tuple[str, str], Vocabulary] = {}
 def vocabulary(path: str, pattern: str) -> Vocabulary:
     if (path, pattern) not in _vocabularies:
         _vocabularies[path, pattern] = Vocabulary(path, pattern)
+        trim()
     return _vocabularies[path, pattern]
 
 
-def _groups(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts of about DECODE_TOKENS characters at least, so that one query serves many."""
+def _groups(texts: pa.Array) -> Iterator[list[str]]:
+    """Consecutive texts of GROUP_CHARS characters or the first beyond, so that one query serves many."""
     block, size = [], 0
     for t in texts:
-        block.append(t)
-        size += len(t)
-        if size >= 4 * DECODE_TOKENS:
+        block.append(t.as_py())
+        size += len(block[-1])
+        if size >= GROUP_CHARS:
             yield block
             block, size = [], 0
     if block:
@@ -217,10 +217,11 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, digests: bool
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + (", n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else ", ids array<int>, decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         v = vocabulary(path, pattern)
         for batch in batches:
             at = 0
-            for texts in _groups(batch.column("__text").to_pylist()):
+            for texts in _groups(batch.column("__text")):
                 coded = v.encode(texts)
                 raw = v.decode([ids for _, ids in coded])
                 kept = [batch.column(c).slice(at, len(texts)) for c in keep]

@@ -7,6 +7,7 @@ share, so a lost executor costs only its running tasks.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -108,3 +109,16 @@ def hashed_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     else:
         order = h
     return df.orderBy(order, *keys).limit(rows)
+
+
+def trim() -> None:
+    """Give memory that earlier tasks of a reused worker have freed back to the system."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
