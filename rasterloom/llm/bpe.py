@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty, trim
+from .common import text_or_empty, tidy, trim
 from .token_counts import PIECE, pieces
 
 BLOCK_BYTES = 1 << 18
@@ -103,14 +103,14 @@ class Vocabulary:
         self._load("vocab", pa.table({"id": pa.array(range(len(token)), pa.int32()), "bytes": pa.array([t.decode("latin-1") for t in token])}))
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.known: dict[str, int] = {}
-        self._reset()
+        self.reset()
 
     def _load(self, name: str, rows: pa.Table) -> None:
         self.db.register("given", rows)
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given")
         self.db.unregister("given")
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
         self.known.clear()
         self.flat = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
@@ -156,7 +156,7 @@ class Vocabulary:
         split = [[p for part in pieces(t) for p in self.find(part)] if len(t) > PIECE else self.find(t) for t in texts]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > KNOWN:
-            self._reset()
+            self.reset()
             new = set().union(*split)
         self._learn(list(new))
         out = []
@@ -217,7 +217,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, digests: bool
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + (", n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else ", ids array<int>, decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trim()
         v = vocabulary(path, pattern)
         for batch in batches:
             at = 0
@@ -235,5 +234,6 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, digests: bool
                 else:
                     made_cols = [pa.array([ids for _, ids in coded], pa.list_(pa.int32())), pa.array(raw, pa.binary())]
                 yield pa.RecordBatch.from_arrays(kept + made_cols, names=[*keep, *made])
+        v.reset()  # an idle worker holds no pieces
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

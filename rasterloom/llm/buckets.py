@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, small_side
+from .common import settled, small_side, tidy
 
 BLOCK = 200
 #: Pairs (key, id) of a part, 16 bytes each: what one task holds.
@@ -108,7 +108,7 @@ def members(sketches: DataFrame) -> DataFrame:
     pairs = reps.agg(F.sum(F.size("bands"))).first()[0] or 0
     parts = max(64, -(-pairs // PART_PAIRS))
     packed = reps.mapInArrow(_packed(parts), "part long, pairs binary")
-    far = packed.repartition("part").sortWithinPartitions("part").mapInArrow(_part_stars, "bh long, lead long, id long")
+    far = packed.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(_part_stars), "bh long, lead long, id long")
     near = sketches.select(F.explode("links").alias("l"), "id").select("l.bh", "l.lead", "id")
     return far.unionByName(near)
 
@@ -145,7 +145,7 @@ def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                     at = None
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, ok boolean")
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long, ok boolean")
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

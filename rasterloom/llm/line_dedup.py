@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import settled
+from .common import settled, tidy
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
@@ -151,7 +151,7 @@ def sketch_lines(docs: DataFrame) -> DataFrame:
             yield flush()
 
     rows = _with_hash(docs.where(F.col("text").isNotNull()).select("doc_id", "text")).select("doc_id", "__th", "text")
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, line int, id long, {buckets.SKETCH}")
+    return rows.mapInArrow(tidy(run), f"doc_id {kind}, th long, line int, id long, {buckets.SKETCH}")
 
 
 def _by_document(numbers: DataFrame):
@@ -176,7 +176,7 @@ def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
                     out.append(normal(lines[w["line"]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
 
-    return rows.select("text", "want").mapInArrow(run, "id long, text string").dropDuplicates(["id"])
+    return rows.select("text", "want").mapInArrow(tidy(run), "id long, text string").dropDuplicates(["id"])
 
 
 def lost_lines(docs: DataFrame) -> DataFrame:
