@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -231,30 +230,59 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
         "bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root"
     )
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].iat[0], pdf["y"].iat[0]
-        own, ids, roots = (pdf[c].to_numpy() for c in ("own", "id", "root"))
+    def settle(rows: list[tuple], same: bool) -> list[tuple[int, int]]:
+        """The links of one pair of blocks; rows are (own, id, root, text), same if the two blocks are one."""
+        own, ids, roots, texts = zip(*rows, strict=True)
         names: dict = {}
-        items = [like.prepare(t, names) for t in pdf["text"]]
-        size = np.array([len(s) for _, s in items])
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        items = [like.prepare(t, names) for t in texts]
+        first = min(own)
+        left = [i for i, o in enumerate(own) if o == first]
+        right = left if same else [i for i, o in enumerate(own) if o != first]
         up: dict[int, int] = {}
+        out = []
 
         def find(r):
             while r in up:
                 r = up[r]
             return r
 
-        out = []
+        def compare(i: int, j: int) -> None:
+            if (not same or i < j) and (a := find(roots[i])) != (b := find(roots[j])) and like.alike(items[i], items[j]):
+                out.append((ids[i], ids[j]))
+                up[a] = b
+
+        if len(left) * len(right) <= 400:
+            for i in left:
+                for j in right:
+                    compare(i, j)
+            return out
+        size, root, other = np.array([len(s) for _, s in items]), np.array(roots), np.array(right)
         for i, both in overlaps([s for _, s in items], left, right, len(names)):
-            may = (both >= like.least(size[i], size[right])) & (roots[right] != roots[i])
-            for j in right[may]:
-                if (x != y or i < j) and (a := find(int(roots[i]))) != (b := find(int(roots[j]))) and like.alike(items[i], items[j]):
-                    out.append((ids[i], ids[j]))
-                    up[a] = b
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    return dealt.join(payload, "id").groupBy("bh", "x", "y").applyInPandas(run, "a long, b long")
+            for j in other[(both >= like.least(size[i], size[other])) & (root[other] != root[i])]:
+                compare(i, int(j))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by (bh, x, y): one such group at a time is in memory, at most two blocks."""
+        key, rows = None, []
+
+        def flush() -> pa.RecordBatch:
+            links = settle(rows, key[1] == key[2]) if len({r[0] for r in rows}) == 1 + (key[1] != key[2]) else []
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("bh", "x", "y", "own", "id", "root")]
+            for bh, x, y, own, i, root, text in zip(*cols, batch.column("text"), strict=True):
+                if (bh, x, y) != key:
+                    if rows:
+                        yield flush()
+                    key, rows = (bh, x, y), []
+                rows.append((own, i, root, text.as_py()))
+        if rows:
+            yield flush()
+
+    grouped = dealt.join(payload, "id").repartition("bh", "x", "y").sortWithinPartitions("bh", "x", "y")
+    return grouped.select("bh", "x", "y", "own", "id", "root", "text").mapInArrow(tidy(run), "a long, b long")
 
 
 def classes(found: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
