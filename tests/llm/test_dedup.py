@@ -60,6 +60,34 @@ def test_near_classes_against_brute_force(spark, texts):
     assert any(a != b for a, b in links)
 
 
+def test_short_near_copies_share_a_bucket():
+    """Texts of 8 to 20 words and the same with words added at either end, at a similarity of 0.8 or more."""
+    rng = random.Random(6)
+    pairs, met = 0, 0
+    for _ in range(3000):
+        base = [rng.choice(WORDS) for _ in range(rng.randrange(5, 21))]
+        more = [rng.choice(WORDS) for _ in range(rng.randrange(1, 4))]
+        other = base + more if rng.random() < 0.5 else more + base
+        if near_dedup.similar(" ".join(base), " ".join(other)):
+            a, b = (near_dedup.element_keys(near_dedup.words_of(" ".join(w))) for w in (base, other))
+            pairs += 1
+            met += bool(set(a.tolist()) & set(b.tolist()))
+    assert pairs > 500 and met >= 0.998 * pairs
+
+
+def test_short_near_classes_against_brute_force(spark):
+    """Eight words and the same with one more: 4 against 5 k-mers, a similarity of 0.8 exactly."""
+    rng = random.Random(7)
+    texts = []
+    for _ in range(300):
+        base = [rng.choice(WORDS) for _ in range(8)]
+        texts += [" ".join(base), " ".join([*base, rng.choice(WORDS)])]
+    docs = near_dedup.numbered(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_classes(docs).collect()}
+    assert all(near_dedup.similar(texts[i], texts[i + 1]) for i in range(0, 600, 2))
+    assert got == {i: i - i % 2 for i in range(600)}
+
+
 def test_alignment_is_exact():
     rng = random.Random(2)
     for _ in range(300):
