@@ -270,6 +270,18 @@ def test_models_tell_held_out_urls(spark):
     assert ((d["ratio"] >= t) == (d["kind"] == "allow")).mean() > 0.95
 
 
+def test_no_context_is_dropped(spark, monkeypatch):
+    """Ratios with 40 contexts at hand are those with all; one kind is rare, so its contexts are not the heaviest."""
+    monkeypatch.setattr(url_filter, "CHUNK", 500)
+    rng = np.random.default_rng(12)
+    urls = [("block" if i % 20 == 0 else "allow", f"{'bad' if i % 20 == 0 else 'fine'}{rng.integers(9)}.org/{rng.integers(100_000)}") for i in range(400)]
+    df = spark.createDataFrame(urls, "kind string, s string").repartition(3)
+    probe = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(urls)] + [(1000, ""), (1001, "zz.net/9"), (1001, "zz.net/9")], "page_id long, s string").repartition(4)
+    few, every = ({(r["page_id"], r["s"], round(r["ratio"], 9)) for r in url_filter.ratio(probe, url_filter.train(df, n)).collect()} for n in (40, 150_000))
+    assert few == every and len(every) == 402
+    assert url_filter.ratio(probe, url_filter.train(df, 40)).count() == 403
+
+
 # -- mixing ---------------------------------------------------------------------------------------------------------------
 
 
