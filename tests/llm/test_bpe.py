@@ -17,7 +17,7 @@ def reference():
 
 @pytest.mark.parametrize("text", ODD)
 def test_ids_equal_the_library_and_decode_back(reference, text):
-    v = bpe.vocabulary(PATH, P.PATTERN)
+    v = bpe.Vocabulary(PATH, P.PATTERN)
     (shown, ids), = v.encode([text])
     assert list(ids) == reference.encode_ordinary(text) and shown == " ".join(map(str, ids))
     assert v.decode([ids]) == [text.encode()]
