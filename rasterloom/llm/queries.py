@@ -79,27 +79,31 @@ OP10_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
     CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+    (CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
   FROM documents
-), by_source AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY key),
+), by_source AS (SELECT key, CAST(sum(size) AS BIGINT) AS source_size, count(*) FILTER (WHERE size > 0) AS n FROM sized GROUP BY key),
 ranked AS (SELECT *, ([5, 2, 1])[CAST((row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS BIGINT)] AS w FROM by_source),
 level AS (
   SELECT *, sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER before, 0) AS left_words, sum(w) OVER () - coalesce(sum(w) OVER before, 0) AS left_w
   FROM ranked WINDOW before AS (ORDER BY source_size / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), water AS (SELECT source_size / w AS r, key AS k, left_words, left_w FROM level WHERE w * left_words <= 3 * source_size * left_w ORDER BY r, k LIMIT 1),
 plan AS (
-  SELECT key, source_size, CASE WHEN k IS NULL OR (source_size / w, key) < (r, k) THEN CAST(3 * source_size AS DOUBLE)
+  SELECT key, source_size, n, CASE WHEN k IS NULL OR (source_size / w, key) < (r, k) THEN CAST(3 * source_size AS DOUBLE)
     ELSE CAST(w * water.left_words AS DOUBLE) / CAST(water.left_w AS DOUBLE) END AS target
   FROM level LEFT JOIN water ON true
 ), goal AS (
   SELECT *, CAST(least(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END + 1e-9), 3) AS BIGINT) AS whole FROM plan
+), odds AS (
+  SELECT *, greatest(target - whole * source_size, 0.0) AS rest,
+    rest / greatest(source_size - rest, 1e-9) * n / greatest(source_size, 1) AS odds  -- of inclusion, for each word
+  FROM goal
+), ranked_docs AS (
+  SELECT doc_id, key, size, source_size, target, whole, rest, (u / (1 - u)) / greatest(odds * size, 1e-300) AS q FROM sized JOIN odds USING (key)
 ), drawn AS (
-  SELECT doc_id, size, source_size, target, whole, greatest(target - whole * source_size, 0.0) AS rest,
-    sum(size) OVER (PARTITION BY key ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto
-  FROM sized JOIN goal USING (key)
+  SELECT *, sum(size) OVER (PARTITION BY key ORDER BY q, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM ranked_docs
 )
 SELECT doc_id, size, source_size, target,
-  CAST(least(whole + CASE WHEN coalesce(upto, 0) + size / 2 <= rest THEN 1 ELSE 0 END, 3) * size AS BIGINT) AS taken
+  CAST(least(whole + CASE WHEN size > 0 AND rest > 0 AND coalesce(upto, 0) + size / 2 <= rest THEN 1 ELSE 0 END, 3) * size AS BIGINT) AS taken
 FROM drawn
 """
 

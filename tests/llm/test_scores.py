@@ -1,5 +1,6 @@
 """Language model, classifier and rules, token counts, URL filter, mixing, top-k: brute force and defined cases."""
 
+import hashlib
 import itertools
 import math
 import re
@@ -312,6 +313,55 @@ def test_mixing_targets_and_fixed_size(spark):
     assert math.isclose(sum(want.values()), total)
 
 
+def brute_mix(rows, rest_of):
+    """(doc_id, size, drawn) of one source without whole copies, by sorting it as a whole; also the order by U alone."""
+    sized = [(d, len((t or "").split()), (int(hashlib.md5(f"mix:{'' if d is None else d}:{t or ''}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12) for d, t in rows]
+    words, n = sum(s for _, s, _ in sized), sum(s > 0 for _, s, _ in sized)
+    rest = rest_of(words)
+    odds = rest / (words - rest) / (words / n)
+
+    def draw(order):
+        out, before = [], 0
+        for d, s, _ in sorted((x for x in sized if x[1]), key=order):
+            out.append((d, s, before + s / 2 <= rest))
+            before += s
+        return Counter(out)
+
+    return draw(lambda x: (x[2] / (1 - x[2])) / (odds * x[1])), draw(lambda x: x[2])
+
+
+def test_mixing_ranks_by_random_odds_over_inclusion_odds(spark):
+    rng = np.random.default_rng(4)
+    size = rng.integers(1, 400, 500)
+    small = [(i, " ".join(["a"] * int(n)), None, "a", 0) for i, n in enumerate(size)]
+    # b holds far more words than its weight gives it, so a is held to its cap and b is sampled
+    big = [(1000 + i, " ".join(["b"] * int(n)), None, "b", 0) for i, n in enumerate(rng.integers(1, 400, 4000))]
+    out = mixing.taken_words(spark.createDataFrame(small + big, DOCS)).toPandas()
+    assert (out[out["source"] == "a"]["copies"] == 3).all()
+    b = out[out["source"] == "b"]
+    pareto, plain = brute_mix([(r[0], r[1]) for r in big], lambda words: b["target"].iloc[0])
+    assert Counter((d, s, c == 1) for d, s, c in zip(b["doc_id"], b["size"], b["copies"])) == pareto != plain
+    assert abs(b["taken"].sum() - b["target"].iloc[0]) <= 200
+    drawn = b[b["copies"] == 1]["size"]
+    assert drawn.mean() > b["size"].mean() * 1.02  # longer documents are likelier
+
+
+def test_mixing_takes_some_of_many_repeated_rows(spark):
+    rows = [(None, "a b c", None, "hot", 0)] * 3000 + [(i, "w " * (1 + i % 5), None, "cold", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(7)
+    out = mixing.taken_words(docs).toPandas()
+    hot = out[out["source"] == "hot"]
+    assert abs(hot["taken"].sum() - hot["target"].iloc[0]) <= 3 and 0 < (hot["copies"] == 1).sum() < 3000
+    one = mixing.taken_words(docs.where("source = 'hot'")).toPandas()  # a single source: its target is its size
+    assert (one["taken"] == one["size"]).all()
+
+
+def test_mixing_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "w " * 300_000, None, "a", 0)] + [(i, "w w", None, "b", 0) for i in range(2, 40)], DOCS)
+    out = mixing.taken_words(docs).toPandas().set_index("doc_id")
+    assert out.loc[1, "size"] == 300_000 and (out["taken"] <= 3 * out["size"]).all()
+
+
 def test_mixing_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, "en", None, 0), (2, "a b", "en", "x", 3), (2, "a b", "en", "x", 3)], DOCS).withColumn("size", F.lit("mine"))
     out = mixing.mixed(docs)
