@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, small_side, tidy
+from .common import dealt_join, settled, small_side, tidy
 
 BLOCK = 200
 #: Pairs (key, id) of a part, 16 bytes each: what one task holds.
@@ -116,7 +116,7 @@ def members(sketches: DataFrame) -> DataFrame:
 class Likeness:
     """How two items compare.
 
-    prepare(text, names) gives (what alike needs, the set of the item's parts), parts being numbered by the shared
+    prepare(text, names) gives (what alike needs, the set of the item's parts, ...), parts being numbered by the shared
     dictionary names; alike(x, y) judges two prepared items; least(n, m) is the overlap of part sets of those sizes
     below which no two items are alike (arrays in, array out).
     """
@@ -127,8 +127,8 @@ class Likeness:
 
 
 def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
-    """a, b, ok for the pairs (a, b); payload has id and text."""
-    a = payload.select(F.col("id").alias("a"), F.col("text").alias("ta"))
+    """a, b, ok for the pairs (a, b); payload has id and text. A lead with very many pairs is dealt to several tasks."""
+    a = payload.select(F.col("id").alias("a"), F.col("text").alias("ta")).join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a")
     b = payload.select(F.col("id").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +144,7 @@ def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                     at = None
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long, ok boolean")
+    return dealt_join(pairs.join(b, "b"), a, "a", "b").select("a", "b", "ta", "tb").mapInArrow(tidy(run), "a long, b long, ok boolean")
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,18 +181,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Tasks of at most LOCAL_EDGES edges first shrink them to stars of their own; if there is one such task, these are
     the components. Else rounds of one job each follow: a node's least neighbour is a partial minimum, joined back
-    to its edges, so a node with very many edges is no task's alone.
+    to its edges by a join that deals the edges of such a node to several tasks.
     """
 
     def least(e: DataFrame) -> DataFrame:
-        return e.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        return e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
 
     def round_(e: DataFrame) -> DataFrame:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(least(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.dropDuplicates(["u", "v"])
-        low = least(large)
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        large = dealt_join(both, settled(least(both), "least"), "u", "v").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = settled(large.dropDuplicates(["u", "v"]), "large")
+        low = settled(least(large), "least")
+        small = dealt_join(large, low, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         return small.where("u <> v").dropDuplicates(["u", "v"])
 
     def mark(e: DataFrame):
@@ -224,8 +224,8 @@ def overlaps(items: list[frozenset[int]], left: list[int], right: list[int], wid
 
 
 def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
-    """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, n."""
-    cut = rest.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, members (of the bucket)."""
+    cut = rest.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root"
     )
@@ -256,8 +256,8 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                 for j in right:
                     compare(i, j)
             return out
-        size, root, other = np.array([len(s) for _, s in items]), np.array(roots), np.array(right)
-        for i, both in overlaps([s for _, s in items], left, right, len(names)):
+        size, root, other = np.array([len(x[1]) for x in items]), np.array(roots), np.array(right)
+        for i, both in overlaps([x[1] for x in items], left, right, len(names)):
             for j in other[(both >= like.least(size[i], size[other])) & (root[other] != root[i])]:
                 compare(i, int(j))
         return out
@@ -290,7 +290,7 @@ def classes(found: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
 
     found is settled members; payload has id and text for their ids.
     """
-    pairs = found.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).dropDuplicates(["a", "b"])
+    pairs = settled(found.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).dropDuplicates(["a", "b"]), "pairs")
     judged = settled(verified(pairs, payload, like), "verified")
     links = judged.where("ok").select("a", "b")
     roots = settled(components(links), "roots")
@@ -298,12 +298,12 @@ def classes(found: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
     star = found.withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id"))
     # buckets of three or more with a link that did not hold
     open_ = star.join(small_side(failed.withColumn("bad", F.lit(1))), ["a", "b"], "left").groupBy("bh").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).where("n > 1 and bad > 0")
-    open_ = settled(open_.select("bh"), "open")
-    inside = star.join(small_side(open_), "bh", "left_semi")
+    inside = dealt_join(star, settled(open_.select("bh", "n"), "open"), "bh", "id", "left_semi")
     inside = inside.select("bh", "id").unionByName(inside.select("bh", F.col("lead").alias("id"))).dropDuplicates(["bh", "id"])
-    inside = settled(inside.join(small_side(roots, 500_000), "id", "left").select("bh", "id", F.coalesce("root", "id").alias("root")), "inside")
+    inside = settled(inside.join(small_side(roots), "id", "left").select("bh", "id", F.coalesce("root", "id").alias("root")), "inside")
     size = inside.groupBy("bh").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-    rest = settled(inside.join(size.where("n > 2 and lo <> hi").select("bh", "n"), "bh"), "rest")
+    size = settled(size.where("n > 2 and lo <> hi").select("bh", "n", F.col("n").alias("members")), "sizes")
+    rest = settled(dealt_join(inside, size, "bh", "id"), "rest")
     if rest.isEmpty():
         return roots
     more = settled(_tiles(rest, payload, like), "more")

@@ -28,11 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session; a temporary one only where the session names none."""
+    """The shared folder of the session; a temporary one only in local mode without such a setting, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
+    if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="rasterloom-")
         spark.sparkContext.setCheckpointDir(root)
@@ -77,11 +79,41 @@ def fold_of(id_col: str, n: int) -> Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
+#: A key of more rows than this is dealt to several tasks.
+HOT = 256
+
+
+def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``side`` (one row a key; its column n says how many rows of ``rows`` have the key).
+
+    Keys of more than HOT rows are dealt to tasks by ``by``, a column of ``rows``, and their side row goes to each of
+    those. At most rows / HOT keys can be so hot, and the bound rises with the table, so that the hot keys' own
+    list, which is broadcast, never has more than 100,000 rows.
+    """
+    total = side.agg(F.sum("n")).first()[0] or 0
+    bound = max(HOT, total // 100_000)
+    hot = settled(side.where(F.col("n") > bound).select(key, F.ceil(F.col("n") / bound).cast("int").alias("__parts")), "hot")
+    if hot.isEmpty():
+        return rows.join(side.drop("n"), key, how)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = rows.join(F.broadcast(hot), key, "left").withColumn("__deal", F.pmod(F.xxhash64(by), parts).cast("int"))
+    right = side.drop("n").join(F.broadcast(hot), key, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.drop("__parts").join(right.drop("__parts"), [key, "__deal"], how).drop("__deal")
+
+
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df`` marked for broadcast if it has at most ``rows`` rows (narrow ones), else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it (names are compared without case)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = "_" + name
+    return name
+
+
 def heaviest(df: DataFrame, weight: str, rows: int) -> DataFrame:
     """The rows of greatest ``weight`` (1 or more), at most ``rows``: all above a cut between bins of 1/16 octave.
 

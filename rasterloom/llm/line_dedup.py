@@ -4,15 +4,15 @@ Lines are normalised (case folded, white space runs to one space). Every distinc
 character gets MinHash values over its shingles of ``SHINGLE`` characters; ``BANDS`` bands of ``ROWS`` values
 bring pairs of similarity 0.8 together with probability 0.995 (0.9999 at 0.87). Candidates are verified by the
 exact Jaccard similarity of their shingle sets, and classes come from the distributed union-find. A class keeps
-its first line by (doc_id, text hash, line number), nulls last. Lines shorter than a shingle match when equal.
+its first line by (doc_id, text hash, line number, row), nulls last. Lines shorter than a shingle match when equal.
 
-Texts are read twice and never shuffled: the first pass turns them into hashes, the second one takes the lost
-line numbers of a document and drops them. Those numbers are broadcast only if at most ``SMALL`` documents
-lose lines, and joined by document otherwise.
+Rows are numbered in a copy on the shared folder. The first pass over it turns texts into hashes, the second one takes the lost
+line numbers of a row and drops them. Those numbers are broadcast only if they are ``BYTES`` at most,
+and joined by row otherwise.
 
 Lines are told apart by 64-bit hashes (BLAKE2b). Defined cases: a null text stays null; blank lines stay as they
-are; rows equal in doc_id and text are one document, so all keep the same lines; a text whose lines all go becomes
-empty and its row stays; n_chars, if there, is set to the new length; other columns are kept.
+are; of rows equal in doc_id and text, or in text without a doc_id, one keeps the lines; a text whose lines all go becomes
+empty and its row stays; n_chars, if there, is set to the new length; n_lines and n_lost, if there, are replaced; other columns are kept.
 """
 
 from __future__ import annotations
@@ -26,13 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import settled, tidy
+from .common import dealt_join, fresh, settled, tidy
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 CHUNK = 1 << 21
-SMALL = 400_000
+#: Of a broadcast side, as Spark estimates a row: 24 bytes and its arrays.
+BYTES = 4 << 20
 
 _RNG = np.random.default_rng(4)
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -107,7 +108,7 @@ def line_id(line: str) -> int:
 
 def _chunk(where: list[tuple], lines: list[str], ids: np.ndarray) -> pa.RecordBatch:
     """One row for each line of each document; sketches stand with the first row of each distinct line."""
-    doc, key, no = zip(*where, strict=True)
+    row, doc, key, no = zip(*where, strict=True)
     _, at = np.unique(ids, return_index=True)
     at.sort()
     firsts = [i for i in at.tolist() if len(lines[i]) >= SHINGLE]
@@ -115,33 +116,30 @@ def _chunk(where: list[tuple], lines: list[str], ids: np.ndarray) -> pa.RecordBa
     counts = np.zeros(len(lines), np.int64)
     counts[firsts] = BANDS
     bands, links = buckets.chunk_stars(ids, keys.reshape(-1), counts)
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(key, pa.int64()), pa.array(no, pa.int32()), pa.array(ids), bands, links], names=["doc_id", "th", "line", "id", "bands", "links"])
-
-
-def _with_hash(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("__th", F.xxhash64("text"))
+    return pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(doc), pa.array(key, pa.int64()), pa.array(no, pa.int32()), pa.array(ids), bands, links], names=["row", "doc_id", "th", "line", "id", "bands", "links"])
 
 
 def sketch_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, line, id, bands, links for every line that is not blank."""
+    """row, doc_id, th (hash of the text), line, id, bands, links for every line that is not blank; ``docs`` has row, doc_id, text."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where: list[tuple] = []
         lines: list[str] = []
-        size = 0
+        size, kept = 0, None
 
         def flush():
             out = _chunk(where, lines, np.array([line_id(x) for x in lines], dtype=np.int64))
             where.clear()
             lines.clear()
-            return out
+            return out.set_column(1, "doc_id", out.column("doc_id").cast(kept))
 
         for batch in batches:
-            for doc, th, text in zip(batch.column("doc_id").to_pylist(), batch.column("__th").to_pylist(), batch.column("text"), strict=True):
+            kept = batch.column("doc_id").type
+            for row, doc, th, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "th")), batch.column("text"), strict=True):
                 for no, line in enumerate(text.as_py().split("\n")):
                     if line := normal(line):
-                        where.append((doc, th, no))
+                        where.append((row, doc, th, no))
                         lines.append(line)
                         size += len(line)
                 if size >= CHUNK:
@@ -150,21 +148,20 @@ def sketch_lines(docs: DataFrame) -> DataFrame:
         if lines:
             yield flush()
 
-    rows = _with_hash(docs.where(F.col("text").isNotNull()).select("doc_id", "text")).select("doc_id", "__th", "text")
-    return rows.mapInArrow(tidy(run), f"doc_id {kind}, th long, line int, id long, {buckets.SKETCH}")
+    rows = docs.where(F.col("text").isNotNull()).select("row", "doc_id", F.xxhash64("text").alias("th"), "text")
+    return rows.mapInArrow(tidy(run), f"row long, doc_id {kind}, th long, line int, id long, {buckets.SKETCH}")
 
 
-def _by_document(numbers: DataFrame):
-    """Broadcast if few documents are concerned."""
-    return F.broadcast(numbers) if numbers.limit(SMALL + 1).count() <= SMALL else numbers
+def _by_row(numbers: DataFrame, values: str, width: int) -> DataFrame:
+    """``numbers`` (a row number and an array of values of that width), for broadcast if they are few."""
+    found = numbers.agg(F.sum(F.size(values) * width + 24)).first()[0] or 0
+    return F.broadcast(numbers) if found <= BYTES else numbers
 
 
 def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """id, text: the normalised lines at the places (doc_id, th, line, id)."""
-    wanted = settled(places.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "id")).alias("want")), "op4-want")
-    named = wanted.select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), "want")
-    rows = _with_hash(docs.where(F.col("text").isNotNull()).select("doc_id", "text"))
-    rows = rows.join(_by_document(named), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")))
+    """id, text: the normalised lines at the places (row, line, id)."""
+    wanted = settled(places.groupBy("row").agg(F.collect_list(F.struct("line", "id")).alias("want")), "op4-want")
+    rows = docs.select("row", "text").join(_by_row(wanted, "want", 32), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,38 +173,41 @@ def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
                     out.append(normal(lines[w["line"]]))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.string())], names=["id", "text"])
 
-    return rows.select("text", "want").mapInArrow(tidy(run), "id long, text string").dropDuplicates(["id"])
+    return rows.select("text", "want").mapInArrow(tidy(run), "id long, text string")
 
 
 def lost_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, th, lost: sorted numbers of the lines that go, for each document that loses any."""
+    """row, lost: sorted numbers of the lines that go, for each row that loses any; ``docs`` has row, doc_id, text."""
     rows = settled(sketch_lines(docs), "op4-lines")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line", "row")
     found = settled(buckets.members(rows.select("id", "bands", "links")), "op4-members")
     near = settled(found.select("id").unionByName(found.select(F.col("lead").alias("id"))).distinct().withColumn("near", F.lit(True)), "op4-near")
     # only lines that stand twice or have a neighbour matter from here on
-    often = rows.groupBy("id").count().where("count > 1").select("id")
-    wanted = settled(often.join(near, "id", "full"), "op4-wanted")
-    side = F.broadcast(wanted) if wanted.limit(SMALL + 1).count() <= SMALL else wanted
-    rows = settled(rows.select("id", "doc_id", "th", "line").join(side, "id"), "op4-places")
-    firsts = settled(rows.groupBy("id").agg(F.min(place).alias("first"), F.max("near").alias("near")), "op4-firsts")
-    payload = settled(_fetch(docs, firsts.where("near").select("first.doc_id", "first.th", "first.line", "id")), "op4-payload")
+    times = rows.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("first"))
+    firsts = settled(times.join(near, "id", "left").where("n > 1 or near"), "op4-firsts")
+    payload = settled(_fetch(docs, firsts.where("near").select("first.row", "first.line", "id")), "op4-payload")
     roots = buckets.classes(found, payload, LIKENESS)
-    named = firsts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first")
-    stays = named.groupBy("root").agg(F.min("first").alias("stays"))
-    verdict = settled(named.join(stays, "root").select("id", "stays"), "op4-verdict")
-    side = F.broadcast(verdict) if verdict.limit(SMALL + 1).count() <= SMALL else verdict
-    gone = rows.select("id", "doc_id", "th", "line", place.alias("place")).join(side, "id").where("place <> stays")
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("line")).alias("lost"))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with deduplicated text, and the columns n_lines and n_lost (int)."""
-    lost = settled(lost_lines(docs), "op4-lost").select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("lost").alias("__lost"))
-    rows = _with_hash(docs).join(_by_document(lost), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")), "left")
+    named = settled(firsts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first", F.col("n").alias("times")), "op4-named")
+    stays = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("times").alias("lines"), F.count("*").alias("n")).where("lines > 1")
+    verdict = dealt_join(named.select("id", "root", "times"), settled(stays.select("root", "n", "stays.row", "stays.line"), "op4-stays"), "root", "id")
+    verdict = settled(verdict.select("id", F.col("times").alias("n"), F.col("row").alias("at_row"), F.col("line").alias("at_line")), "op4-verdict")
+    gone = dealt_join(rows.select("id", "row", "line"), verdict, "id", "row").where("row <> at_row or line <> at_line")
+    return gone.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("lost"))
+
+
+def dedup_lines(docs: DataFrame, *, counts: bool = True) -> DataFrame:
+    """``docs`` with deduplicated text, and with ``counts`` the columns n_lines and n_lost (int)."""
+    row, lost, made = fresh("row", docs.columns), fresh("lost", docs.columns), ("n_lines", "n_lost") if counts else ()
+    plain = settled(docs.withColumn(row, F.monotonically_increasing_id()), "op4-docs")
+    gone = settled(lost_lines(plain.select(F.col(row).alias("row"), "doc_id", "text")), "op4-lost").select(F.col("row").alias(row), F.col("lost").alias(lost))
+    rows = plain.join(_by_row(gone, lost, 4), row, "left")
     lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(
-        F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__lost", i), x)), lambda x: x.isNotNull()))
+    kept = F.when(F.col(lost).isNull(), F.col("text")).otherwise(
+        F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(lost, i), x)), lambda x: x.isNotNull()))
     )
-    out = [kept.alias("text") if c == "text" else F.length(kept).cast(dict(docs.dtypes)[c]).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return rows.select(*out, F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).alias("n_lines"), F.coalesce(F.size("__lost"), F.lit(0)).alias("n_lost"))
+    types = dict(docs.dtypes)
+    out = [kept.alias("text") if c == "text" else F.length(kept).cast(types[c]).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns if c not in made]
+    if counts:
+        n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
+        out += [n_lines.alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).alias("n_lost")]
+    return rows.select(*out)

@@ -1,19 +1,26 @@
-"""MinHash near-dedup: Order MinHash sketches, verified by a banded alignment of shingles.
+"""MinHash near-dedup: Order MinHash sketches, verified by a banded alignment of the words.
 
 A document is its lower-cased words; its k-mers are its runs of ``K`` = 5 words, each labelled with its
 occurrence number, so that repeats count. A sketch element takes, under one hash function, the ``PICK`` smallest
 labelled k-mers and keeps them in text order: two documents share it only if the same k-mers are minimal and stand
-in the same order, which makes it sensitive to edit similarity. ``ELEMENTS`` such elements, each a bucket key,
-bring documents of similarity 0.8 together with probability over 0.999: the least is that of 4 against 5 k-mers
-(8 words and one more), which share an element with odds 2/5, so 1 - 0.6 ** 14 = 0.9992.
+in the same order, which makes it sensitive to edit similarity. ``ELEMENTS`` such elements are the bucket keys.
 
-Candidates are verified exactly: labelled k-mers of both texts are aligned in order (longest common subsequence,
-found as a longest increasing subsequence, since labels make k-mers unique), within the band of diagonals that a
-similarity of 0.8 allows. aligned / (n + m - aligned) >= 0.8 is a link; classes come from the distributed
+Candidates are verified by an alignment of their words in order. The chain of k-mers in common (longest common subsequence, found as
+a longest increasing subsequence, since labels make k-mers unique), within the band of diagonals that the similarity
+allows, anchors it; the words between two anchors are aligned by the longest common subsequence (bit-parallel; in gaps of more
+than ``GAP`` words on either side, by their labelled words). Two documents are linked if
+
+- aligned words / (n + m - aligned words) >= 0.8, n and m being the words of the two, and
+- the chain has two k-mers or more, and aligned k-mers / (k-mers of both - aligned k-mers) > 0.4.
+
+The second condition is what candidates are found by. If s of u k-mers are common and in order, an element is shared with odds
+s (s - 1) / (u (u - 1)); the least over all links is 1/7 (3 of 7; 0.16 for long texts), so every link's pair
+meets with probability 1 - (6/7) ** ELEMENTS = 0.915 or more, 0.938 for long texts, and over 0.9996 where one word in 20 was replaced at random. Words
+replaced at random keep the link up to about one in ten. Classes come from the distributed
 union-find and keep the row with the smallest doc_id (nulls last, then any one of equal rows).
 
 Defined cases: a null text is empty; texts equal in lower-cased words, those without words among them,
-are copies; texts of fewer than 5 words have one k-mer, all their words; repeated rows are copies, of which one
+are copies; texts of fewer than 5 words have one k-mer, all their words, so they have equal copies alone; repeated rows are copies, of which one
 row stays; an empty table gives no rows. Texts are told apart by 64-bit hashes (BLAKE2b).
 """
 
@@ -31,13 +38,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import settled, text_or_empty, tidy
+from .common import dealt_join, fresh, settled, text_or_empty, tidy
 
 K = 5
-ELEMENTS, PICK = 14, 3
-THRESHOLD = 0.8
+ELEMENTS, PICK = 16, 2
+#: Least similarity in words, and what the similarity in k-mers is to pass.
+THRESHOLD, CHAIN = 0.8, 0.4
+GAP = 4096
 CHUNK = 1 << 21
-SMALL = 500_000
+#: Rows of a broadcast side, of two integers: 4 MB.
+SMALL = 100_000
 
 _RNG = np.random.default_rng(5)
 _WORD = (_RNG.integers(0, 2**62, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -66,45 +76,92 @@ def kmers(words: list[bytes]) -> list[tuple]:
     return labelled(list(zip(*(words[j:] for j in range(K)), strict=False)) if len(words) >= K else [tuple(words)])
 
 
-def aligned(a: list[int], b: list[int], band: int) -> int:
-    """Labelled k-mers of a and b in one order, at most ``band`` places apart; no number stands twice in a text."""
-    at = {g: i for i, g in enumerate(b)}
-    tails: list[int] = []
+def chain(a: list[int], b: list[int], band: int) -> list[tuple[int, int]]:
+    """Places (i, j) of the labelled k-mers of a and b in one order, at most ``band`` places apart; no number stands twice in a text."""
+    at = {g: j for j, g in enumerate(b)}
+    tails: list[int] = []  # the least last j of a chain of each length, and which pair that is
+    ends: list[int] = []
+    pairs: list[tuple[int, int]] = []
+    before: list[int] = []
     for i, g in enumerate(a):
         j = at.get(g)
         if j is None or abs(i - j) > band:
             continue
-        if not tails or j > tails[-1]:
+        n = len(tails) if not tails or j > tails[-1] else bisect_left(tails, j)
+        before.append(ends[n - 1] if n else -1)
+        pairs.append((i, j))
+        if n == len(tails):
             tails.append(j)
+            ends.append(len(pairs) - 1)
         else:
-            tails[bisect_left(tails, j)] = j
-    return len(tails)
+            tails[n], ends[n] = j, len(pairs) - 1
+    out = []
+    p = ends[-1] if ends else -1
+    while p >= 0:
+        out.append(pairs[p])
+        p = before[p]
+    return out[::-1]
+
+
+def common_words(a: list[bytes], b: list[bytes]) -> int:
+    """Words of a and b in one order: the longest common subsequence, by Hyyrö's bit vectors; of labelled words in long gaps."""
+    if not a or not b:
+        return 0
+    if max(len(a), len(b)) > GAP:
+        return len(chain(labelled(a), labelled(b), len(a) + len(b)))
+    at: dict[bytes, int] = {}
+    for j, w in enumerate(b):
+        at[w] = at.get(w, 0) | 1 << j
+    full = (1 << len(b)) - 1
+    v = full
+    for w in a:
+        if u := v & at.get(w, 0):
+            v = (v + u | v - u) & full
+    return len(b) - v.bit_count()
+
+
+def aligned_words(a: list[bytes], b: list[bytes], anchors: list[tuple[int, int]]) -> int:
+    """Words of a and b aligned through the anchors, places of common k-mers in order."""
+    k = min(K, len(a), len(b))
+    i = j = total = 0
+    for x, y in anchors:
+        s = max(i - x, j - y, 0)  # words of this k-mer that the one before has taken
+        if x + s > i and y + s > j:
+            total += common_words(a[i : x + s], b[j : y + s])
+        total += k - s
+        i, j = x + k, y + k
+    return total + common_words(a[i:], b[j:])
 
 
 def least_overlap(n, m):
-    """The k-mers that two texts of n and m share at least, if their similarity is 0.8."""
-    return np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9)
+    """The k-mers that two linked texts of n and m k-mers share at least."""
+    return np.maximum(np.floor((n + m) * CHAIN / (1 + CHAIN) + 1e-9) + 1, 2)
 
 
-def prepare(text: str, names: dict) -> tuple[list[int], frozenset[int]]:
-    """The labelled k-mers as numbers by ``names``, in order and as a set."""
-    grams = [names.setdefault(g, len(names)) for g in kmers(words_of(text))]
-    return grams, frozenset(grams)
+def prepare(text: str, names: dict) -> tuple[list[int], frozenset[int], list[bytes]]:
+    """The labelled k-mers as numbers by ``names``, in order and as a set, and the words."""
+    words = words_of(text)
+    grams = [names.setdefault(g, len(names)) for g in kmers(words)]
+    return grams, frozenset(grams), words
 
 
-def alike(x: tuple[list[int], frozenset[int]], y: tuple[list[int], frozenset[int]]) -> bool:
-    """Ordered similarity of at least 0.8, by the banded alignment of labelled k-mers."""
-    n, m = len(x[0]), len(y[0])
-    if not n or not m:
-        return n == m
-    if min(n, m) < THRESHOLD * max(n, m):
+def alike(x: tuple, y: tuple) -> bool:
+    """Whether two prepared texts are linked."""
+    if (len(x[2]), x[2]) > (len(y[2]), y[2]):
+        x, y = y, x  # the same anchors whichever comes first
+    words = len(x[2]) + len(y[2])
+    if x[2] == y[2]:
+        return True
+    if len(x[2]) < THRESHOLD * len(y[2]):
         return False
-    least = int(least_overlap(n, m))
+    least = int(least_overlap(len(x[0]), len(y[0])))
     if len(x[1] & y[1]) < least:  # no alignment holds more than the k-mers in common
         return False
     # an alignment of `least` leaves so many unaligned on either side, which bounds its shift
-    got = aligned(x[0], y[0], max(n, m) - least)
-    return got >= THRESHOLD * (n + m - got)
+    anchors = chain(x[0], y[0], len(y[0]) - least)
+    if len(anchors) < least:
+        return False
+    return (1 + THRESHOLD) * aligned_words(x[2], y[2], anchors) >= THRESHOLD * words - 1e-9
 
 
 def similar(x: str, y: str) -> bool:
@@ -195,42 +252,45 @@ def _typed(batch: pa.RecordBatch, kind: pa.DataType) -> pa.RecordBatch:
     return batch.set_column(1, "doc_id", batch.column(1).cast(kind))
 
 
-def near_classes(docs: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, row: str = "row") -> DataFrame:
     """row, doc_id, class_id, kept, n_rows of the class: one row for each row of ``docs``.
 
-    ``docs`` has a column row, unique to the row and the same whenever the table is read.
+    ``docs`` has a column ``row``, unique to the row and the same whenever the table is read.
     """
+    docs = docs.select(F.col(row).alias("row"), "doc_id", "text")
     rows = settled(sketch(docs), "op5-rows")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     found = settled(buckets.members(rows.select("id", "bands", "links")), "op5-members")
     near = found.select("id").unionByName(found.select(F.col("lead").alias("id"))).distinct()
-    texts = rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    texts = settled(rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "op5-texts")
     wanted = settled(texts.join(near, "id").select("id", F.col("first.row").alias("row")), "op5-wanted")
-    side = F.broadcast(wanted) if wanted.limit(SMALL + 1).count() <= SMALL else wanted
-    payload = settled(docs.select("row", text_or_empty().alias("text")).join(side, "row").select("id", "text"), "op5-payload")
+    payload = settled(docs.select("row", text_or_empty().alias("text")).join(few(wanted), "row").select("id", "text"), "op5-payload")
     roots = buckets.classes(found, payload, LIKENESS)
-    named = texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    lead = named.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n_rows"))
-    verdict = settled(named.select("id", "root").join(lead, "root").where("n_rows > 1").select("id", "first", "n_rows"), "op5-verdict")
-    side = F.broadcast(verdict) if verdict.limit(SMALL + 1).count() <= SMALL else verdict
-    out = rows.select("row", "doc_id", "id").join(side, "id", "left")
-    alone = F.col("first").isNull()
+    named = settled(texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "op5-named")
+    lead = named.groupBy("root").agg(F.min("first").alias("lead"), F.sum("n").alias("n_rows"), F.count("*").alias("n")).where("n_rows > 1")
+    verdict = dealt_join(named.select("id", "root", F.col("n").alias("copies")), settled(lead, "op5-lead"), "root", "id")
+    verdict = settled(verdict.select("id", "lead", "n_rows", F.col("copies").alias("n")), "op5-verdict")
+    out = dealt_join(rows.select("row", "doc_id", "id"), verdict, "id", "row", "left")
+    alone = F.col("lead").isNull()
     return out.select(
-        "row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("class_id"),
-        F.when(alone, True).otherwise(F.col("row") == F.col("first.row")).alias("kept"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows"),
+        "row", "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("lead.doc_id")).alias("class_id"),
+        F.when(alone, True).otherwise(F.col("row") == F.col("lead.row")).alias("kept"), F.coalesce("n_rows", F.lit(1)).cast("long").alias("n_rows"),
     )
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """A copy on the shared folder with the column row, so that a reread gives the same numbers."""
-    return settled(docs.withColumn("row", F.monotonically_increasing_id()), "op5-docs")
+def few(rows: DataFrame) -> DataFrame:
+    """``rows`` (two integers each) marked for broadcast if they are few."""
+    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
+
+
+def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
+    """A copy on the shared folder with the column ``row``, so that a reread gives the same numbers."""
+    return settled(docs.withColumn(row, F.monotonically_increasing_id()), "op5-docs")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of each class, with the columns of ``docs``."""
-    given = docs.columns
-    plain = numbered(docs.withColumnRenamed("row", "__row") if "row" in given else docs)
-    lost = settled(near_classes(plain).where(~F.col("kept")).select("row"), "op5-lost")
-    side = F.broadcast(lost) if lost.limit(SMALL + 1).count() <= SMALL else lost
-    left = plain.join(side, "row", "left_anti")
-    return left.select(*[F.col("__row").alias("row") if c == "row" else F.col(c) for c in given])
+    row = fresh("row", docs.columns)
+    plain = numbered(docs, row)
+    lost = settled(near_classes(plain, row).where(~F.col("kept")).select(F.col("row").alias(row)), "op5-lost")
+    return plain.join(few(lost), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

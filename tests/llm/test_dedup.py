@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from rasterloom.llm import buckets, line_dedup, near_dedup
+from rasterloom.llm.common import dealt_join
 
 WORDS = [f"w{i}" for i in range(900)]
 
@@ -97,7 +98,88 @@ def test_alignment_is_exact():
         for i in range(25):
             for j in range(25):
                 table[i + 1, j + 1] = max(table[i, j + 1], table[i + 1, j], table[i, j] + (a[i] == b[j]))
-        assert near_dedup.aligned(a, b, 99) == table[25, 25]
+        found = near_dedup.chain(a, b, 99)
+        assert len(found) == near_dedup.common_words(a, b) == table[25, 25]
+        assert all(a[i] == b[j] for i, j in found) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(found, found[1:], strict=False))
+        assert all(abs(i - j) <= 3 for i, j in near_dedup.chain(a, b, 3))
+
+
+def alignment(a, b):
+    """The longest common subsequence by the full table."""
+    table = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1, j + 1] = table[i, j] + 1 if x == y else max(table[i, j + 1], table[i + 1, j])
+    return int(table[-1, -1])
+
+
+def changed(rng, words, share):
+    """Words replaced, dropped or added at random places."""
+    out = []
+    for w in words:
+        if rng.random() >= share:
+            out.append(w)
+        elif (kind := rng.randrange(3)) != 1:
+            out += [rng.choice(WORDS)] if kind == 0 else [w, rng.choice(WORDS)]
+    return out
+
+
+def test_verification_follows_the_full_alignment():
+    """What is linked aligns at 0.8 by the full table; of what aligns there and shares its k-mers, nearly all is linked."""
+    rng = random.Random(8)
+    missed = linked = 0
+    for _ in range(300):
+        a = [rng.choice(WORDS) for _ in range(rng.randrange(20, 120))]
+        b = changed(rng, a, rng.choice([0.02, 0.05, 0.1, 0.2]))
+        both = alignment([w.encode() for w in a], [w.encode() for w in b])
+        near = both >= 0.8 * (len(a) + len(b) - both)
+        x, y = near_dedup.kmers(a), near_dedup.kmers(b)
+        common = alignment(x, y)
+        near = near and common >= 2 and common > 0.4 * (len(x) + len(y) - common)
+        got = near_dedup.similar(" ".join(a), " ".join(b))
+        assert near or not got
+        assert got == near_dedup.similar(" ".join(b), " ".join(a))
+        linked += near
+        missed += near and not got
+    assert linked > 100 and missed <= 0.02 * linked
+
+
+@pytest.mark.parametrize("share, least", [(0.01, 0.99), (0.02, 0.99), (0.03, 0.98), (0.05, 0.93)])
+def test_recall_of_planted_near_copies(share, least):
+    """Texts of 60 to 600 words and copies with that share of their words changed: candidates and links alike."""
+    rng = random.Random(9)
+    met = 0
+    for _ in range(200):
+        a = [rng.choice(WORDS) for _ in range(rng.randrange(60, 600))]
+        b = changed(rng, a, share)
+        x, y = (set(near_dedup.element_keys(near_dedup.words_of(" ".join(w))).tolist()) for w in (a, b))
+        met += bool(x & y) and near_dedup.similar(" ".join(a), " ".join(b))
+    assert met >= least * 200
+
+
+def test_half_rewritten_texts_are_left_alone():
+    rng = random.Random(10)
+    for _ in range(50):
+        a = [rng.choice(WORDS) for _ in range(200)]
+        b = a[:140] + [rng.choice(WORDS) for _ in range(60)]
+        assert not near_dedup.similar(" ".join(a), " ".join(b))
+
+
+def test_very_long_near_copies():
+    rng = random.Random(11)
+    a = [rng.choice(WORDS) for _ in range(60_000)]
+    assert near_dedup.similar(" ".join(a), " ".join(changed(rng, a, 0.02)))
+    assert near_dedup.similar(" ".join(a), " ".join(a[:30_000] + [rng.choice(WORDS) for _ in range(5000)] + a[30_000:]))
+    assert not near_dedup.similar(" ".join(a), " ".join(a[:45_000] + [rng.choice(WORDS) for _ in range(15_000)]))
+
+
+def test_keys_of_very_many_rows_are_dealt(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(2000)] + [(k, k) for k in range(2, 50)], "key long, i long")
+    side = spark.createDataFrame([(1, "hot", 2000)] + [(k, f"c{k}", 1) for k in range(2, 49)], "key long, name string, n long")
+    assert dealt_join(rows, side, "key", "i").count() == 2047
+    left = dealt_join(rows, side, "key", "i", "left")
+    assert left.columns == ["key", "i", "name"] and left.count() == 2048 and left.where("name is null").count() == 1
+    assert dealt_join(rows, side, "key", "i", "left_semi").count() == 2047
 
 
 def test_near_dedup_defined_cases(spark):
@@ -204,10 +286,20 @@ def test_line_dedup_defined_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lost string, n_chars long")
     out = line_dedup.dedup_lines(docs.withColumnRenamed("lost", "tag"))
     got = sorted(((r["doc_id"], r["text"], r["tag"], r["n_chars"], r["n_lines"], r["n_lost"]) for r in out.collect()), key=lambda r: r[2])
-    assert got == [(4, "\n \n", "u", 3, 3, 0), (3, None, "v", None, 0, 0), (None, "", "w", 0, 1, 1), (1, "Same line here", "x", 14, 1, 0), (2, "other", "y", 5, 2, 1), (2, "other", "z", 5, 2, 1)]
+    assert got == [(4, "\n \n", "u", 3, 3, 0), (3, None, "v", None, 0, 0), (None, "", "w", 0, 1, 1), (1, "Same line here", "x", 14, 1, 0), (2, "other", "y", 5, 2, 1), (2, "", "z", 0, 2, 2)]
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
-    # a column of the name that the operator uses inside
+    # columns of the names that the operator uses inside or makes
     assert line_dedup.dedup_lines(docs).select("lost").count() == 6
+    clash = docs.withColumnRenamed("lost", "ROW").withColumnRenamed("n_chars", "n_lost")
+    assert line_dedup.dedup_lines(clash).columns == ["doc_id", "text", "ROW", "n_lines", "n_lost"]
+    assert line_dedup.dedup_lines(clash, counts=False).select(*clash.columns).count() == 6
+
+
+def test_copies_without_ids_keep_one(spark):
+    docs = spark.createDataFrame([(None, "one line\nanother line")] * 40 + [(7, "one line")], "doc_id long, text string").repartition(3)
+    out = line_dedup.dedup_lines(docs).collect()
+    assert sum(r["n_lines"] - r["n_lost"] for r in out) == 2
+    assert [r["n_lost"] for r in out if r["doc_id"] == 7] == [0]
 
 
 def test_minhash_of_long_lines_is_whole(spark):
