@@ -44,7 +44,7 @@ def clamp(v: Column, lo: float, hi: float) -> Column:
 
 def store(v: Column) -> Column:
     """A value as a clamped byte: held to 0..255, rounded half to even."""
-    return F.bround(clamp(v.cast("double"), 0.0, 255.0)).cast("int")
+    return F.rint(clamp(v.cast("double"), 0.0, 255.0)).cast("int")
 
 
 def half_up(v: Column) -> Column:

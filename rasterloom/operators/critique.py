@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +39,24 @@ KEYWORD_RULES = [
     (r"\b(not enough|didn'?t remove|need.*more|missed (some|spots))", "amount-not-enough"),
 ]
 
+_KEPT = ("inside", "interior", "inner", "within")
+_LOST = ("gone", "removed", "missing", "lost", "eaten", "disappear")
+#: For each rule, literals of which a matching text holds one of every group, whatever the case.
+KEYWORD_GATES = [
+    [(*_KEPT, "center", "middle"), ("white", "light", *_LOST)],
+    [("white", "light"), _KEPT, _LOST],
+    [("flower", "dress", "butterfl", "letter", "crown", "hair"), ("white", *_LOST)],
+    [("halo", "fringe", "fuzz", "glow", "aura", "outline", "ghost")],
+    [("jagg", "stair", "aliased", "pixelated", "stepped")],
+    [("nibbled", "chewed", "eaten", "bitten", "too small", "shr", "outline lost", "too thin", "chopped")],
+    [("blur", "smudge", "soft")],
+    [("tint", "spill", "edge")],
+    [("removed", "deleted", "gone", "missing"), ("too m", "much of", "subject", "design", "all")],
+    [("too aggressive", "over", "ate the ")],
+    [("background", "bg"), ("still", "left", "visible", "show", "remain", "there")],
+    [("not enough", "t remove", "need", "missed ")],
+]
+
 #: A word border between ASCII letters, digits and underscore and anything else, as a Java pattern.
 BORDER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
@@ -51,10 +72,18 @@ def keyword_rules(spark: SparkSession) -> DataFrame:
 def parse_critique(text: Column) -> Column:
     """array<string>: the critiques whose rules match, each once, by the priority of its first rule; blank gives none.
 
-    Twelve fixed patterns become one expression: no join, and each row is read once.
+    Twelve fixed patterns become one expression: no join, and each row is read once. A pattern is tried only on texts that
+    hold its literals.
     """
-    hits = [F.when(text.rlike("(?i)" + p.replace(r"\b", BORDER)), F.lit(c)) for p, c in KEYWORD_RULES]
-    found = F.array_distinct(F.array_compact(F.array(*hits)))
+
+    def hits(low: Column) -> Column:
+        out = []
+        for (pattern, critique), groups in zip(KEYWORD_RULES, KEYWORD_GATES, strict=True):
+            gate = reduce(and_, [reduce(or_, [low.contains(w) for w in words]) for words in groups])
+            out.append(F.when(gate & text.rlike("(?i)" + pattern.replace(r"\b", BORDER)), F.lit(critique)))
+        return F.array(*out)
+
+    found = F.array_distinct(F.array_compact(F.transform(F.array(F.lower(text)), hits)[0]))
     return F.when(text.isNull() | (F.trim(text) == ""), F.array().cast("array<string>")).otherwise(found)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import color as C
 from .aggregate import sized, with_size
 from .kernels import chamfer, dense, flood_depth, grow_from, label_components, per_image, rows_of
+from .tiles import label_tiled
 from .window import dealt, decontaminate_edges, edge_map, separable
 
 import numpy as np  # noqa: E402
@@ -23,9 +24,10 @@ def _erase(df: DataFrame, gone: DataFrame) -> DataFrame:
     return df.join(gone.select(*KEY).withColumn("gone", F.lit(True)), KEY, "left").withColumn("a", F.when(F.col("gone"), 0).otherwise(F.col("a"))).drop("gone")
 
 
-def flood_fill(df: DataFrame, color: str, tolerance: float) -> DataFrame:
-    """Erases matching visible pixels that are 4-connected to the border."""
-    labels = label_components(df, (F.col("a") != 0) & (C.dist_sq(color) <= C.max_dist_sq(tolerance)))
+def flood_fill(df: DataFrame, color: str, tolerance: float, *, tile: int | None = None) -> DataFrame:
+    """Erases matching visible pixels that are 4-connected to the border; by tiles of that side, for images too large for a task."""
+    member = (F.col("a") != 0) & (C.dist_sq(color) <= C.max_dist_sq(tolerance))
+    labels = label_components(df, member) if tile is None else label_tiled(df, member, tile)
     d = labels.join(sized(df), "image_id")
     border = (F.col("x") == 0) | (F.col("y") == 0) | (F.col("x") == F.col("w") - 1) | (F.col("y") == F.col("h") - 1)
     touching = d.where(border).select("image_id", "label").distinct()

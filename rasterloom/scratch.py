@@ -12,11 +12,13 @@ _paths: dict[str, SparkSession] = {}
 
 
 def root(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a temporary folder only where the session names none."""
+    """spark.checkpoint.dir of the session; a temporary folder only in local mode without such a setting, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = known.get() if known.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not found:
         found = tempfile.mkdtemp(prefix="rasterloom-")
         spark.sparkContext.setCheckpointDir(found)

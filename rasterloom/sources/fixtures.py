@@ -23,12 +23,15 @@ FROM (
 GROUP BY px.image_id, px.x, px.y
 """
 
+# Every vector and event is a part of an image; what the last image lacks is black (embed) or transparent (event).
 EMBED = """
 SELECT image_id, x, y, v AS r, v AS g, v AS b, 255 AS a FROM (
   SELECT CAST(floor(vec_id/64) AS INT) AS image_id, x, CAST(vec_id%64 AS INT) AS y,
-    CAST(least(255, greatest(0, floor((CAST({elem} AS DOUBLE)+0.5)*255))) AS INT) AS v
-  FROM {embeddings} CROSS JOIN (SELECT a.d*8+b.d AS x FROM {digits} a CROSS JOIN {digits} b)
-    CROSS JOIN (SELECT CAST(floor(count(*)/64) AS BIGINT)*64 AS m FROM {embeddings}) WHERE vec_id < m
+    CAST(coalesce(least(255, greatest(0, floor((CAST({elem} AS DOUBLE)+0.5)*255))), 0) AS INT) AS v
+  FROM (
+    SELECT vec_id, embedding FROM {embeddings} UNION ALL
+    SELECT m+i, NULL FROM (SELECT max(vec_id)+1 AS m FROM {embeddings}) CROSS JOIN (SELECT a.d*8+b.d AS i FROM {digits} a CROSS JOIN {digits} b) WHERE m+i < ceil(m/64)*64
+  ) CROSS JOIN (SELECT a.d*8+b.d AS x FROM {digits} a CROSS JOIN {digits} b)
 )
 """
 
@@ -36,7 +39,9 @@ EVENT = """
 SELECT CAST(floor(event_id/256) AS INT) AS image_id, CAST(event_id%16 AS INT) AS x, CAST(floor((event_id%256)/16) AS INT) AS y,
  CAST((user_id*17)%256 AS INT) AS r, CAST(least(255, floor(value)) AS INT) AS g, CAST(length(event_type)*30 AS INT) AS b,
  CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN 128 ELSE 255 END AS a
-FROM {events} CROSS JOIN (SELECT CAST(floor(count(*)/256) AS BIGINT)*256 AS m FROM {events}) WHERE event_id < m
+FROM {events}
+UNION ALL SELECT CAST(floor(m/256) AS INT), CAST((m+i)%16 AS INT), CAST(floor(((m+i)%256)/16) AS INT), 0, 0, 0, 0
+FROM (SELECT max(event_id)+1 AS m FROM {events}) CROSS JOIN (SELECT a.d*64+b.d*8+c.d AS i FROM {digits} a CROSS JOIN {digits} b CROSS JOIN {digits} c) WHERE m+i < ceil(m/256)*256
 """
 
 #: A checkerboard screenshot of 120 x 120 for each of three cell sizes: black bars, checker, a disc in the middle.
@@ -68,7 +73,7 @@ _WALLS = "(SELECT * FROM (VALUES (6),(14),(40)) AS t(c))"
 SQL = {
     "scene": SCENE.format(part="part", digits=DIGITS),
     "embed": EMBED.format(embeddings="embeddings", digits=DIGITS, elem="embedding[x+1]"),
-    "event": EVENT.format(events="events"),
+    "event": EVENT.format(events="events", digits=DIGITS),
     "checker": CHECKER.format(sizes=_SIZES, line=_LINE),
     "rings": RINGS.format(walls=_WALLS, line=_LINE),
 }
@@ -81,7 +86,7 @@ def _spark_sql(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = {
         "scene": lambda: SCENE.format(part=read("part"), digits=DIGITS),
         "embed": lambda: EMBED.format(embeddings=read("embeddings"), digits=DIGITS, elem="embedding[x]"),
-        "event": lambda: EVENT.format(events=read("events")),
+        "event": lambda: EVENT.format(events=read("events"), digits=DIGITS),
         "checker": lambda: SQL["checker"],
         "rings": lambda: SQL["rings"],
     }[name]()
