@@ -29,11 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import text_or_empty, tidy
+from .common import small_batches, text_or_empty, tidy
 from .token_counts import PIECE, pieces
 
 BLOCK_BYTES = 1 << 17
-KNOWN = 400_000
+KNOWN = 250_000
 GROUP_CHARS = 500_000
 
 #: Pieces of more bytes are contracted by the second query, many occurrences in a round.
@@ -228,7 +228,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, *, digests: bool
     made = ("n_tokens", "ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")
     keep = [c for c in docs.columns if c not in made]
     types = dict(docs.dtypes)
-    rows = docs.select(*keep, text_or_empty().alias("__text"))
+    rows = small_batches(docs).select(*keep, text_or_empty().alias("__text"))
     schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + (", n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else ", ids array<int>, decoded binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,14 @@ def _drop_all() -> None:
             _scratch.pop(path, None)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand rows to Python in Arrow batches of 4 MB instead of Spark's 64, unless it has its own setting."""
+    key, conf = "spark.sql.execution.arrow.maxBytesPerBatch", df.sparkSession.conf
+    if conf.get(key, None) in (None, "67108864b"):
+        conf.set(key, "4m")
+    return df
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: no lineage, one evaluation."""
     spark = df.sparkSession

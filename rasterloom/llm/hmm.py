@@ -9,8 +9,10 @@ words in training, as in the base score; so every text, with unknown words, has
 
 Each Baum-Welch pass runs over all training tokens: every task sums expected counts by numpy over segments of
 ``SEGMENT`` tokens, Spark adds the tasks' sums by symbol, and the driver normalises a table of fixed size
-(symbols x states). Segments after a text's first begin from the states' overall shares. The starting point comes from a
-mixture of unigrams fitted to a bounded sample (``SEED_TEXTS`` texts), which only breaks the symmetry. Scoring
+(symbols x states). A segment's recursions also run over the ``OVERLAP`` tokens before and after it, whose counts belong to its neighbours,
+so every token and every step of a text is counted once, with its context. Passes end when the training likelihood gains less than ``GAIN`` a
+token, after ``max_passes`` at the latest. The starting point comes from a
+mixture of unigrams fitted to a bounded sample (``SEED_SEGMENTS`` segments from anywhere in the training texts), which only breaks the symmetry. Scoring
 runs the scaled forward recursion over whole texts, many side by side, each step for all texts still going.
 
 Defined cases: a null text is empty: its only token is the end; with no training texts, N and V are 0, base
@@ -30,13 +32,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, hashed_sample, heaviest, settled, text_or_empty
+from .common import fold_of, hashed_sample, heaviest, settled, small_batches, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text; no word holds a space.
 END = b" "
-SEGMENT = 128
-SEED_TEXTS = 2000
+SEGMENT, OVERLAP = 256, 16
+#: Segments of SEED_TOKENS tokens that the first model is fitted to.
+SEED_SEGMENTS, SEED_TOKENS = 8000, 128
+#: Nats a token: passes that gain less are the last.
+GAIN = 0.002
 #: Tokens in memory at once in a task.
 TOKENS = 600_000
 #: Weight of the overall distribution in a state's emissions, in tokens.
@@ -167,7 +172,7 @@ def code(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "held_out")] + cols, names=CODED_NAMES)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), text_or_empty().alias("text"))
+    rows = small_batches(docs).select(F.monotonically_increasing_id().alias("key"), "doc_id", (fold_of("doc_id", FOLDS) == HELD_OUT).alias("held_out"), text_or_empty().alias("text"))
     return rows.mapInArrow(run, CODED.format(dict(docs.dtypes)["doc_id"]))
 
 
@@ -197,12 +202,17 @@ def forward(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -
     return out
 
 
-def expected(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Expected counts (emissions (S, K), steps (K, K), starts (K,)) of segments."""
+def expected(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple:
+    """Expected counts (emissions (S, K), steps (K, K), starts (K,)) and the log-likelihood of segments.
+
+    Only places lo..hi of a segment count, and the steps into them; the others are context.
+    """
+    lo = np.zeros_like(size) if lo is None else lo
+    hi = size if hi is None else hi
     order = np.argsort(-size, kind="stable")
-    begin, size, first = start[order], size[order], first[order]
+    begin, size, first, lo, hi = start[order], size[order], first[order], lo[order], hi[order]
     k = len(model.start)
-    steps, starts = np.zeros((k, k)), np.zeros(k)
+    steps, starts, fit = np.zeros((k, k)), np.zeros(k), 0.0
     top = int(size[0]) if len(size) else 0
     live = [int(np.searchsorted(-size, -t, side="left")) for t in range(top)]
     alphas, scales, syms = [], [], []
@@ -214,15 +224,17 @@ def expected(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray,
         scale = alpha.sum(axis=1)
         alpha = alpha / scale[:, None]
         alphas.append(alpha), scales.append(scale), syms.append(s)
+        fit += float(np.log(scale[(lo[:m] <= t) & (t < hi[:m])]).sum())
     beta = np.ones((live[-1] if top else 0, k))
     gammas: list[np.ndarray] = [None] * top
     for t in range(top - 1, -1, -1):
         if live[t] > len(beta):
             beta = np.vstack([beta, np.ones((live[t] - len(beta), k))])
-        gammas[t] = alphas[t] * beta
+        own = ((lo[: live[t]] <= t) & (t < hi[: live[t]]))[:, None]
+        gammas[t] = alphas[t] * beta * own
         if t:
             onward = beta * model.emit[syms[t]] / scales[t][:, None]
-            steps += alphas[t - 1][: live[t]].T @ onward
+            steps += alphas[t - 1][: live[t]].T @ (onward * own)
             beta = onward @ model.step.T
     if top:
         starts += gammas[0][first[: live[0]]].sum(axis=0)
@@ -230,14 +242,17 @@ def expected(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray,
         emits = np.stack([np.bincount(s, g[:, j], minlength=len(model.emit)) for j in range(k)], axis=1)
     else:
         emits = np.zeros_like(model.emit)
-    return emits, steps * model.step, starts
+    return emits, steps * model.step, starts, fit
 
 
-def segments(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """start, size, first, lo, hi of the segments of sequences, with their overlaps."""
     parts = -(-size // SEGMENT)
     owner = np.repeat(np.arange(len(size)), parts)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
-    return start[owner] + nth * SEGMENT, np.minimum(SEGMENT, size[owner] - nth * SEGMENT), nth == 0
+    a, b = nth * SEGMENT, np.minimum((nth + 1) * SEGMENT, size[owner])
+    left, right = np.maximum(a - OVERLAP, 0), np.minimum(b + OVERLAP, size[owner])
+    return start[owner] + left, right - left, nth == 0, a - left, b - left
 
 
 def lists(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,36 +302,38 @@ def seeded(sample: list[np.ndarray], share: np.ndarray, states: int, rounds=25)
     return Hmm(mix.copy(), step, emit, mix)
 
 
-def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray) -> Hmm:
-    """One pass over all training texts."""
+def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
+    """One pass over all training texts: the next model, and the log-likelihood a token under the one given."""
     k = len(model.start)
     shared = coded.sparkSession.sparkContext.broadcast(model)
     names = ["row", *[f"e{j}" for j in range(k)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        emits, steps, starts = np.zeros_like(model.emit), np.zeros((k, k)), np.zeros(k)
+        emits, steps, starts, fit = np.zeros_like(model.emit), np.zeros((k, k)), np.zeros(k), 0.0
         for batch in batches:
             flat, at, size = lists(batch.column("symbols"))
-            at, size, first = segments(at, size)
-            edge = np.cumsum(size)
-            for lo in range(0, int(edge[-1]) if len(edge) else 0, TOKENS):
-                own = slice(*np.searchsorted(edge, [lo, lo + TOKENS], side="right"))
-                if lo == 0:
+            parts = segments(at, size)
+            edge = np.cumsum(parts[1])
+            for at_token in range(0, int(edge[-1]) if len(edge) else 0, TOKENS):
+                own = slice(*np.searchsorted(edge, [at_token, at_token + TOKENS], side="right"))
+                if at_token == 0:
                     own = slice(0, own.stop)
-                e, s, p = expected(model, flat, at[own], size[own], first[own])
+                e, s, p, f = expected(model, flat, *(x[own] for x in parts))
                 emits += e
                 steps += s
                 starts += p
-        rows = np.vstack([emits, steps, starts[None]])
+                fit += f
+        rows = np.vstack([emits, steps, starts[None], np.full((1, k), fit)])
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(rows[used, j]) for j in range(k)]], names=names)
 
     sums = coded.where(~F.col("held_out")).select("symbols").mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names[1:])).groupBy("row").agg(*[F.sum(n).alias(n) for n in names[1:]])
-    found = sums.toPandas()  # at most symbols + classes + states + 1 rows
-    table = np.zeros((len(share) + k + 1, k))
+    found = sums.toPandas()  # at most symbols + classes + states + 2 rows
+    table = np.zeros((len(share) + k + 2, k))
     table[found["row"]] = found[names[1:]].to_numpy()
-    return normalised(table[: len(share)], table[len(share) : -1], table[-1], share)
+    emits = table[: len(share)]
+    return normalised(emits, table[len(share) : -2], table[-2], share), table[-1, 0] / max(emits.sum(), 1.0)
 
 
 def score(coded: DataFrame, model: Hmm) -> DataFrame:
@@ -334,23 +351,29 @@ def score(coded: DataFrame, model: Hmm) -> DataFrame:
     return coded.select(*keep, "symbols").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", path_log double")
 
 
-def train(coded: DataFrame, lex: Lexicon, *, states: int, passes: int) -> Hmm:
+def train(coded: DataFrame, lex: Lexicon, *, states: int, max_passes: int) -> Hmm:
     share = lex.symbol_share()
-    rows = hashed_sample(coded.where(~F.col("held_out")).select("key", F.slice("symbols", 1, 2048).alias("s")), SEED_TEXTS, "key")
-    sample = [np.array(r, dtype=np.int32) for r in rows.toPandas()["s"]]
-    model = seeded(sample, share, states)
-    for _ in range(passes):
-        model = baum_welch(coded, model, share)
+    places = F.explode(F.sequence(F.lit(0), F.floor((F.size("symbols") - 1) / SEED_TOKENS).cast("int")))
+    parts = coded.where(~F.col("held_out")).select("key", "symbols", places.alias("part"))
+    parts = parts.select("key", "part", F.slice("symbols", F.col("part") * SEED_TOKENS + 1, SEED_TOKENS).alias("s"))
+    rows = hashed_sample(parts, SEED_SEGMENTS, "key", "part")
+    model = seeded([np.array(r, dtype=np.int32) for r in rows.toPandas()["s"]], share, states)
+    seen = -np.inf
+    for _ in range(max_passes):
+        model, fit = baum_welch(coded, model, share)
+        if fit - seen < GAIN:
+            break
+        seen = fit
     return model
 
 
-def lm_scores(docs: DataFrame, *, states=8, passes=2, head=250_000, symbols=16_384, classes=2048) -> DataFrame:
+def lm_scores(docs: DataFrame, *, states=8, max_passes=4, head=250_000, symbols=16_384, classes=2048) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     training = docs.where(fold_of("doc_id", FOLDS) != HELD_OUT)
     counts = settled(count_words(training), "op1-counts")
     lex = lexicon(counts, head=head, symbols=symbols, classes=classes)
     coded = settled(code(docs, lex), "op1-coded")
-    model = train(coded, lex, states=states, passes=passes)
+    model = train(coded, lex, states=states, max_passes=max_passes)
     pairs = coded.select("key", F.explode(F.arrays_zip("unseen", "times")).alias("w")).select("key", F.col("w.unseen").alias("word"), F.col("w.times").alias("n"))
     c = F.coalesce("c", F.lit(0))
     joined = pairs.join(counts, "word", "left").groupBy("key").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))

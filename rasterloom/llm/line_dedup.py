@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import dealt_join, fresh, settled, tidy
+from .common import dealt_join, fresh, settled, small_batches, tidy
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
@@ -148,7 +148,7 @@ def sketch_lines(docs: DataFrame) -> DataFrame:
         if lines:
             yield flush()
 
-    rows = docs.where(F.col("text").isNotNull()).select("row", "doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = small_batches(docs).where(F.col("text").isNotNull()).select("row", "doc_id", F.xxhash64("text").alias("th"), "text")
     return rows.mapInArrow(tidy(run), f"row long, doc_id {kind}, th long, line int, id long, {buckets.SKETCH}")
 
 

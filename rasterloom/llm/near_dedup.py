@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import dealt_join, fresh, settled, text_or_empty, tidy
+from .common import dealt_join, fresh, settled, small_batches, text_or_empty, tidy
 
 K = 5
 ELEMENTS, PICK = 16, 2
@@ -245,7 +245,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         if rows:
             yield _typed(flush(), kind_of)
 
-    return docs.select("row", "doc_id", text_or_empty().alias("text")).mapInArrow(tidy(run), f"row long, doc_id {kind}, id long, {buckets.SKETCH}")
+    return small_batches(docs).select("row", "doc_id", text_or_empty().alias("text")).mapInArrow(tidy(run), f"row long, doc_id {kind}, id long, {buckets.SKETCH}")
 
 
 def _typed(batch: pa.RecordBatch, kind: pa.DataType) -> pa.RecordBatch:

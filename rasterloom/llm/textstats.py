@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, tidy
+from .common import small_batches, text_or_empty, tidy
 
 #: The symbols counted by ``n_symbols``.
 SYMBOLS = "#*$%&|<>"
@@ -94,7 +94,7 @@ def text_stats(docs: DataFrame, *keep: str) -> DataFrame:
     """The columns ``keep`` and the COUNTS (long) of every row's text."""
     types = dict(docs.dtypes)
     schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + [f"{c} long" for c in COUNTS])
-    return docs.select(*keep, text_or_empty().alias("__text")).mapInArrow(tidy(_batches), schema)
+    return small_batches(docs).select(*keep, text_or_empty().alias("__text")).mapInArrow(tidy(_batches), schema)
 
 
 #: Features by name, as SQL over COUNTS; all are ratios, so that a text's length alone says little.

@@ -55,10 +55,44 @@ def test_forward_and_expected_counts_against_all_paths():
     got = hmm.forward(model, flat, start, size)
     want = [paths(model, s) for s in seqs]
     assert np.allclose(got, [math.log10(w[0]) for w in want])
-    e, s, p = hmm.expected(model, flat, start, size, np.ones(4, bool))
+    e, s, p, fit = hmm.expected(model, flat, start, size, np.ones(4, bool))
+    assert math.isclose(fit, sum(math.log(w[0]) for w in want))
     assert np.allclose(e, sum(w[1] for w in want)) and np.allclose(s, sum(w[2] for w in want)) and np.allclose(p, sum(w[3] for w in want))
 
 
+def test_segments_count_every_token_and_step_once():
+    """Counts by overlapping segments come near those of the whole sequence, and their totals are exact."""
+    rng = np.random.default_rng(2)
+    model = small_model()
+    size = np.array([3000, 1, 256, 257, 700])
+    flat = rng.integers(0, 5, size.sum()).astype(np.int32)
+    start = np.cumsum(size) - size
+    whole = hmm.expected(model, flat, start, size, np.ones(5, bool))
+    parts = hmm.expected(model, flat, *hmm.segments(start, size))
+    assert math.isclose(parts[0].sum(), size.sum()) and math.isclose(parts[1].sum(), size.sum() - 5) and math.isclose(parts[2].sum(), 5)
+    assert all(np.allclose(a, b, rtol=1e-3) for a, b in zip(parts, whole, strict=True))
+
+
+def test_score_is_the_sum_over_all_paths(spark):
+    """Scores of tiny texts by enumerating the state paths, times each classed word's share of its class."""
+    texts = [(i, t) for i, t in enumerate(["the cat sat", "The cat", "a dog sat on the cat", "", "zebra the", "on on on"] * 4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    training = docs.where(common.fold_of("doc_id", hmm.FOLDS) != hmm.HELD_OUT)
+    counts = common.settled(hmm.count_words(training), "t")
+    lex = hmm.lexicon(counts, head=4, symbols=3, classes=2)
+    coded = common.settled(hmm.code(docs, lex), "t")
+    model = hmm.train(coded, lex, states=3, max_passes=2)
+    c = {r["word"].encode(): r["c"] for r in counts.collect()}
+    want = {}
+    for i, t in texts:
+        words = [*hmm.words_of(t), hmm.END]
+        symbols = [at if (at := lex.at.get(w, 99)) < 3 else 3 + hmm.tail_class(w, 2) for w in words]
+        inside = sum(math.log10((c.get(w, 0) + 0.5) / (lex.class_words[s - 3] + 0.5 * (lex.class_kinds[s - 3] + 1))) for w, s in zip(words, symbols, strict=True) if s >= 3)
+        want[i] = math.log10(paths(model, symbols)[0]) + inside
+    got = {r["doc_id"]: r["score"] for r in hmm.lm_scores(docs, states=3, max_passes=2, head=4, symbols=3, classes=2).collect()}
+    assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+
+
 def test_long_texts_do_not_underflow():
     model = small_model()
     flat = np.tile(np.arange(5, dtype=np.int32), 20_000)
