@@ -306,11 +306,21 @@ def sobel_ctes(table: str) -> str:
 for _f in ("embed", "event"):
     add(f"edge_map_{_f}", on(_f, lambda d: N.edge_map(d).withColumn("cost", F.round("cost", 6))), src(_f, sobel_ctes("src")) + "SELECT image_id, x, y, round(CASE WHEN top=0 THEN 1.0 ELSE greatest(0.05, 1-sqrt(g/top)) END, 6) AS cost FROM gm")
 _TAP = "exp(-(k*k)/(2*1.2*1.2))"
-add("edge_aware_sharpen_event", on("event", lambda d: N.edge_aware_sharpen(d)), src("event", sobel_ctes("src") + f""", taps AS (SELECT k-3 AS k FROM range(7) t(k)),
- bh AS (SELECT s.image_id, s.x, s.y, {', '.join(f'sum(n.{c}*{_TAP})/sum({_TAP}) AS {c}' for c in 'rgb')} FROM src s CROSS JOIN taps JOIN src n ON n.image_id=s.image_id AND n.y=s.y AND n.x=s.x+k GROUP BY s.image_id, s.x, s.y),
- bv AS (SELECT s.image_id, s.x, s.y, {', '.join(f'sum(n.{c}*{_TAP})/sum({_TAP}) AS {c}' for c in 'rgb')} FROM bh s CROSS JOIN taps JOIN bh n ON n.image_id=s.image_id AND n.x=s.x AND n.y=s.y+k GROUP BY s.image_id, s.x, s.y),
- bo AS (SELECT *, CASE WHEN e<=0.08 THEN 0.0 WHEN e>=0.16 THEN 1.0 ELSE ((e-0.08)/0.08)*((e-0.08)/0.08)*(3-2*((e-0.08)/0.08)) END*0.5 AS k FROM (SELECT image_id, x, y, CASE WHEN top>0 THEN g/top ELSE 0 END AS e FROM gm))""")
-    + f"SELECT s.image_id, s.x, s.y, {', '.join(st(f'round(s.{c}+bo.k*(s.{c}-bv.{c}),6)') + f' AS {c}' for c in 'rgb')}, s.a FROM src s JOIN bv USING (image_id, x, y) JOIN bo USING (image_id, x, y)")
+
+
+def edge_sharpen_ctes(table: str, out: str, amount: float) -> str:
+    def blur(prev: str, at: str) -> str:
+        other = "n.y=s.y" if at == "x" else "n.x=s.x"
+        cols = ", ".join(f"sum(n.{c}*{_TAP})/sum({_TAP}) AS {c}" for c in "rgb")
+        return f"SELECT s.image_id, s.x, s.y, {cols} FROM {prev} s CROSS JOIN taps JOIN {prev} n ON n.image_id=s.image_id AND {other} AND n.{at}=s.{at}+k GROUP BY s.image_id, s.x, s.y"
+
+    new = ", ".join(st(f"round(s.{c}+bo.k*(s.{c}-bv.{c}),6)") + f" AS {c}" for c in "rgb")
+    return f"""{sobel_ctes(table)}, taps AS (SELECT k-3 AS k FROM range(7) t(k)), bh AS ({blur(table, 'x')}), bv AS ({blur('bh', 'y')}),
+ bo AS (SELECT *, CASE WHEN e<=0.08 THEN 0.0 WHEN e>=0.16 THEN 1.0 ELSE ((e-0.08)/0.08)*((e-0.08)/0.08)*(3-2*((e-0.08)/0.08)) END*{amount} AS k FROM (SELECT image_id, x, y, CASE WHEN top>0 THEN g/top ELSE 0 END AS e FROM gm)),
+ {out} AS (SELECT s.image_id, s.x, s.y, {new}, s.a FROM {table} s JOIN bv USING (image_id, x, y) JOIN bo USING (image_id, x, y))"""
+
+
+add("edge_aware_sharpen_event", on("event", lambda d: N.edge_aware_sharpen(d)), src("event", edge_sharpen_ctes("src", "es", 0.5)) + f"SELECT {PIX} FROM es")
 _BGT = f"{_WHITE}<=pow(0.05,2)*195075"
 add("thicken_scene", on("scene", lambda d: N.thicken_lines(d, "#ffffff", 5), digested=True), src("scene", f"""k AS (SELECT *, a<>0 AND {_BGT} AS bg, {_WHITE} AS d FROM src),
  o AS (SELECT * FROM (VALUES (0,-1,-1),(1,0,-1),(2,1,-1),(3,-1,0),(4,1,0),(5,-1,1),(6,0,1),(7,1,1)) t(i,dx,dy)),
@@ -371,14 +381,20 @@ add("auto_crop_event", on("event", lambda d: G.auto_crop(d.withColumn("a", F.whe
  UNION ALL SELECT image_id, 0, 0, 0, 0, 0, 0 FROM (SELECT DISTINCT image_id FROM e WHERE image_id NOT IN (SELECT image_id FROM b))""")
 
 
-def resample_sql(fixture: str, n: int, m: int, name: str) -> str:
+def resample_ctes(table: str, n: int, m: int, name: str, out: str = "rs") -> str:
+    """``out``: the square raster ``table`` of side n at side m, as bytes."""
     spread = max(1.0, n / m)
     radius = C.FILTER_RADIUS[name] * spread
     w = f"""wt0 AS (SELECT j, k, CAST({filter_sql(f'((k-c)/{spread})', name)} AS DOUBLE) AS w FROM (SELECT CAST(j AS INTEGER) AS j, (j+0.5)*{n / m}-0.5 AS c, unnest(range(CAST(greatest(0, floor((j+0.5)*{n / m}-0.5-{radius})) AS BIGINT), CAST(least({n - 1}, ceil((j+0.5)*{n / m}-0.5+{radius})) AS BIGINT)+1)) AS k FROM range({m}) t(j))),
  wt AS (SELECT j, k, w/sum(w) OVER (PARTITION BY j) AS w FROM wt0)"""
-    h = f"h AS (SELECT image_id, j AS x, y, {', '.join(f'sum({c}*(a/255)*w) AS {c}' for c in 'rgb')}, sum(a*w) AS a FROM src JOIN wt ON k=x GROUP BY image_id, j, y)"
+    h = f"h AS (SELECT image_id, j AS x, y, {', '.join(f'sum({c}*(a/255)*w) AS {c}' for c in 'rgb')}, sum(a*w) AS a FROM {table} JOIN wt ON k=x GROUP BY image_id, j, y)"
     v = f"v AS (SELECT image_id, x, j AS y, {', '.join(f'sum({c}*w) AS {c}' for c in 'rgba')} FROM h JOIN wt ON k=y GROUP BY image_id, x, j)"
-    return src(fixture, f"{w}, {h}, {v}") + f"SELECT image_id, x, y, {', '.join(f'CASE WHEN a<=0 THEN 0 ELSE ' + st(f'round({c}*(255/a),6)') + f' END AS {c}' for c in 'rgb')}, CASE WHEN a<=0 THEN 0 ELSE {st('round(a,6)')} END AS a FROM v"
+    stored = ", ".join("CASE WHEN a<=0 THEN 0 ELSE " + st(f"round({c}*(255/a),6)") + f" END AS {c}" for c in "rgb")
+    return f"{w}, {h}, {v}, {out} AS (SELECT image_id, x, y, {stored}, CASE WHEN a<=0 THEN 0 ELSE {st('round(a,6)')} END AS a FROM v)"
+
+
+def resample_sql(fixture: str, n: int, m: int, name: str) -> str:
+    return src(fixture, resample_ctes("src", n, m, name)) + f"SELECT {PIX} FROM rs"
 
 
 for _f, _n, _m, _k in (("embed", 64, 96, "lanczos3"), ("event", 16, 10, "lanczos3"), ("event", 16, 40, "bicubic"), ("event", 16, 7, "bilinear"), ("event", 16, 24, "lanczos2")):
@@ -521,7 +537,12 @@ def _live_wire(spark: SparkSession, sf: str) -> DataFrame:
     return steps.withColumn("c", (F.col("cost") + F.lag("cost").over(w)) / 2 * length).groupBy("image_id").agg(F.round(F.sum("c"), 6).alias("cost"))
 
 
-add("live_wire_event", _live_wire)
+#: Least costs by rounds: a path in a 16 x 16 image has fewer than 256 steps; after 64 rounds none of them changes.
+_WIRE = sobel_ctes("src") + """, cost AS MATERIALIZED (SELECT image_id, x, y, CASE WHEN top=0 THEN 1.0 ELSE greatest(0.05, 1-sqrt(g/top)) END AS c FROM gm),
+ st AS MATERIALIZED (SELECT a.image_id, a.x AS ax, a.y AS ay, b.x AS tx, b.y AS ty, (a.c+b.c)/2*sqrt((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)) AS c FROM cost a JOIN cost b ON a.image_id=b.image_id AND greatest(abs(a.x-b.x), abs(a.y-b.y))=1),
+ bf AS (SELECT 0 AS it, image_id, x, y, 0.0 AS d FROM cost WHERE x=1 AND y=2
+  UNION ALL SELECT it, image_id, x, y, min(d) FROM (SELECT it+1 AS it, image_id, x, y, d FROM bf WHERE it<64 UNION ALL SELECT it+1, st.image_id, tx, ty, bf.d+st.c FROM bf JOIN st ON st.image_id=bf.image_id AND ax=bf.x AND ay=bf.y WHERE it<64) GROUP BY it, image_id, x, y)"""
+add("live_wire_event", _live_wire, src("event", _WIRE, True) + "SELECT image_id, round(d, 6) AS cost FROM bf WHERE it=64 AND x=13 AND y=11")
 
 # -- detectors -----------------------------------------------------------------------------------------------------------------
 
@@ -551,14 +572,42 @@ add("remove_checker", lambda s, d: digest(D.remove_checkerboard(raster(s, d, "ch
 add("extract_from_screenshot_checker", lambda s, d: digest(PL.extract_from_screenshot(raster(s, d, "checker"), lambda x: settled(x, "spec"))), src("checker", "cr AS (SELECT image_id, x, y-10 AS y, r, g, b, a FROM src WHERE y BETWEEN 10 AND 109), " + checker_ctes("cr", 120, 100)) + digest_sql("res"))
 add("detect_source_type_scene", on("scene", D.detect_source_type), src("scene") + "SELECT DISTINCT image_id, 'graphic' AS source_type FROM src")
 add("detect_source_type_checker", on("checker", D.detect_source_type), f"WITH {_C3} SELECT c AS image_id, 'screenshot' AS source_type FROM c3")
-add("checker_overlay", lambda s, d: digest(D.checker_overlay(raster(s, d, "checker"), _spec(s, d), D.design_box(raster(s, d, "checker"), _spec(s, d)))))
+add("checker_overlay", lambda s, d: digest(D.checker_overlay(raster(s, d, "checker"), _spec(s, d), D.design_box(raster(s, d, "checker"), _spec(s, d)))),
+    src("checker", checker_ctes("src", 120, 120) + """, fr AS (SELECT s.*, res.a=0 AS hit, (s.x IN (0,119) AND s.y BETWEEN 10 AND 109) OR s.y IN (10,109) AS frame FROM src s JOIN res USING (image_id, x, y)),
+ ov AS (SELECT image_id, x, y, CASE WHEN frame THEN 0 WHEN hit THEN 255 ELSE r END AS r, CASE WHEN frame THEN 200 WHEN hit THEN CAST(g AS INTEGER)//2 ELSE g END AS g, CASE WHEN frame THEN 0 WHEN hit THEN 255 ELSE b END AS b, a FROM fr)""") + digest_sql("ov"))
 _CAND = f"""sn AS (SELECT image_id, CAST(r AS INTEGER)//8*1024+CAST(g AS INTEGER)//8*32+CAST(b AS INTEGER)//8 AS bin FROM src WHERE a>=128 AND NOT ((greatest(r,g,b)>230 AND greatest(r,g,b)-least(r,g,b)<20 AND {_SAT}<0.08) OR (greatest(r,g,b)>180 AND greatest(r,g,b)<230 AND greatest(r,g,b)-least(r,g,b)<12 AND {_SAT}<0.06))),
  op AS (SELECT image_id, count(*) AS opaque FROM sn GROUP BY image_id), bn AS (SELECT image_id, bin, count(*) AS n, any_value(opaque) AS opaque FROM sn JOIN op USING (image_id) GROUP BY image_id, bin HAVING count(*)>=greatest(80, floor(any_value(opaque)*0.003))),
  rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY n DESC, bin) AS k, count(*) OVER (PARTITION BY image_id) AS m FROM bn),
  fin AS (SELECT image_id, bin, n, opaque, k FROM rk WHERE NOT (k=1 AND m>1 AND n>opaque*0.4))"""
 add("text_colour_candidates_scene", on("scene", D.colour_candidates), src("scene", _CAND) + "SELECT image_id, CAST(bin//1024 AS INTEGER) AS rb, CAST(bin//32%32 AS INTEGER) AS gb, CAST(bin%32 AS INTEGER) AS bb, n, CAST(row_number() OVER (PARTITION BY image_id ORDER BY k) AS INTEGER) AS rank, opaque FROM fin")
 add("detect_text_colours_scene", on("scene", D.detect_text_colours))
-add("suppress_close_scene", on("scene", lambda d: D.suppress_close(D.colour_candidates(d), 18).select("image_id", "rank", "rb", "gb", "bb")))
+add("suppress_close_scene", on("scene", lambda d: D.suppress_close(D.colour_candidates(d), 18).select("image_id", "rank", "rb", "gb", "bb")),
+    src("scene", _CAND + """, cd AS MATERIALIZED (SELECT image_id, CAST(bin//1024 AS INTEGER) AS rb, CAST(bin//32%32 AS INTEGER) AS gb, CAST(bin%32 AS INTEGER) AS bb, CAST(row_number() OVER (PARTITION BY image_id ORDER BY k) AS INTEGER) AS rank FROM fin),
+ gr AS (SELECT image_id, 0 AS k, CAST([] AS STRUCT(rank INTEGER, rb INTEGER, gb INTEGER, bb INTEGER)[]) AS picked FROM (SELECT DISTINCT image_id FROM cd)
+  UNION ALL SELECT gr.image_id, cd.rank, CASE WHEN len(picked)<18 AND len(list_filter(picked, lambda p: 64*((p.rb-cd.rb)*(p.rb-cd.rb)+(p.gb-cd.gb)*(p.gb-cd.gb)+(p.bb-cd.bb)*(p.bb-cd.bb))<28*28))=0
+   THEN list_append(picked, {'rank': cd.rank, 'rb': cd.rb, 'gb': cd.gb, 'bb': cd.bb}) ELSE picked END FROM gr JOIN cd ON cd.image_id=gr.image_id AND cd.rank=gr.k+1 WHERE cd.rank<=60),
+ ls AS (SELECT image_id, arg_max(picked, k) AS picked FROM gr GROUP BY image_id)""", True) + "SELECT image_id, p.rank AS rank, p.rb AS rb, p.gb AS gb, p.bb AS bb FROM (SELECT image_id, unnest(picked) AS p FROM ls)")
+
+
+def _ink(spark: SparkSession, sf: str) -> DataFrame:
+    """A sheet of 128 x 48 for each supplier: two rows of bars in two inks that depend on its key, on coloured ground."""
+    key = F.col("s_suppkey")
+    d = spark.read.parquet(f"{sf}/supplier.parquet").select(key.cast("int").alias("image_id"), "s_suppkey").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(127)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(47))))
+    bar = lambda n: (F.col("x") >= 4) & (F.col("x") < 4 + 12 * n) & ((F.col("x") - 4) % 12 < 4)
+    one, two = bar(10) & F.col("y").between(10, 17), bar(9) & F.col("y").between(30, 37)
+    return d.select("image_id", "x", "y", *[F.when(one, i).when(two, j).otherwise(k).cast("int").alias(c) for c, i, j, k in zip("rgb", *[[F.lit(v) if isinstance(v, int) else v for v in t] for t in _inks(key)], strict=True)], F.lit(255).alias("a"))
+
+
+def _inks(key) -> list[tuple]:
+    """First ink, second ink and ground."""
+    return [(200 + key % 50, 30, 20), (20, 150 + key % 60, 60), (40, 90, 200)]
+
+
+_INKED = """WITH k AS (SELECT CAST(s_suppkey AS INTEGER) AS image_id, s_suppkey AS s FROM supplier), i AS (
+ SELECT image_id, 10 AS n, CAST(200+s%50 AS INTEGER) AS r, 30 AS g, 20 AS b FROM k UNION ALL SELECT image_id, 9, 20, CAST(150+s%60 AS INTEGER), 60 FROM k),
+ sc AS (SELECT *, n*(1+(greatest(r,g,b)-least(r,g,b))/greatest(r,g,b)*1.5+greatest(0.0, 1-(r+g+b)/765-0.3)*1.2) AS score FROM i)
+SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC) AS INTEGER) AS rank, printf('#%02x%02x%02x', r, g, b) AS hex, CAST(n*32 AS BIGINT) AS pixels, CAST(n AS BIGINT) AS components, CAST(8 AS INTEGER) AS median_height, 32.0 AS mean_pixels FROM sc"""
+add("detect_text_colours_ink", lambda s, d: D.detect_text_colours(_ink(s, d)), _INKED)
 add("colour_mask_scene", on("scene", lambda d: D.colour_mask(d, "#8040c0").groupBy("image_id").agg(F.sum("m").cast("long").alias("m"))), src("scene") + "SELECT image_id, count(*) FILTER (a>=128 AND (r-128)*(r-128)+(g-64)*(g-64)+(b-192)*(b-192)<=18*18) AS m FROM src GROUP BY image_id")
 
 
@@ -593,16 +642,50 @@ def _letters(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("image_id", "x", "y", F.when(disc, F.col("x")).otherwise(20 + F.col("image_id") * 5).alias("r"), F.when(disc, 255 - F.col("y")).otherwise(30).alias("g"), F.when(disc, 128).otherwise(40).alias("b"), F.when(on_, 255).otherwise(0).alias("a"))
 
 
-add("text_scoring_letters", lambda s, d: (lambda x: (lambda lf: lf[1].where(T.text_score(lf[1])).select("image_id", "label", "count", "min_x", "min_y", "max_x", "max_y"))(T._labelled(x, T._mask(x, F.col("a") >= 32))))(_letters(s, d)))
-add("row_clusters_letters", lambda s, d: (lambda x: T.row_clusters(T._labelled(x, T._mask(x, F.col("a") >= 32))[1]).groupBy("image_id", "row").agg(F.count("*").alias("n")))(_letters(s, d)))
-add("remove_text_letters", lambda s, d: (lambda x: T.remove_text(x, lambda y: settled(y, "pass")).groupBy("image_id").agg(F.count_if(F.col("a") > 0).alias("left"), F.max(F.when(F.col("a") > 0, F.col("y"))).alias("low")))(settled(_letters(s, d), "letters")))
+#: What is text on a sheet, box by box: ten bars in each row, the last one cut at 150, and the dot. The disc is not.
+_LETTERS = """WITH ids AS (SELECT CAST(r_regionkey AS INTEGER) AS image_id FROM region), boxes AS (
+ SELECT 40+12*i AS x0, y AS y0, least(46+12*i, 150) AS x1, y+8 AS y1 FROM range(10) p(i) CROSS JOIN (VALUES (60),(90),(120)) q(y) UNION ALL SELECT 60, 131, 61, 132) """
+add("text_scoring_letters", lambda s, d: (lambda x: (lambda lf: lf[1].where(T.text_score(lf[1])).select("image_id", "label", "count", "min_x", "min_y", "max_x", "max_y"))(T._labelled(x, T._mask(x, F.col("a") >= 32))))(_letters(s, d)), _LETTERS + "SELECT image_id, CAST(y0*200+x0 AS BIGINT) AS label, CAST((x1-x0+1)*(y1-y0+1) AS BIGINT) AS count, CAST(x0 AS INTEGER) AS min_x, CAST(y0 AS INTEGER) AS min_y, CAST(x1 AS INTEGER) AS max_x, CAST(y1 AS INTEGER) AS max_y FROM ids CROSS JOIN boxes")
+add("row_clusters_letters", lambda s, d: (lambda x: T.row_clusters(T._labelled(x, T._mask(x, F.col("a") >= 32))[1]).groupBy("image_id", "row").agg(F.count("*").alias("n")))(_letters(s, d)), _LETTERS + "SELECT image_id, CAST(row AS INTEGER) AS row, CAST(n AS BIGINT) AS n FROM ids CROSS JOIN (VALUES (1,10),(2,10),(3,10),(4,1),(5,1)) t(row,n)")
+add("remove_text_letters", lambda s, d: (lambda x: T.remove_text(x, lambda y: settled(y, "pass")).groupBy("image_id").agg(F.count_if(F.col("a") > 0).alias("still_visible"), F.max(F.when(F.col("a") > 0, F.col("y"))).alias("lowest")))(settled(_letters(s, d), "letters")), _LETTERS + "SELECT image_id, count(*) AS still_visible, CAST(max(y) AS INTEGER) AS lowest FROM ids CROSS JOIN range(200) p(x) CROSS JOIN range(200) q(y) WHERE (x-100)*(x-100)+(y-165)*(y-165)<=144 GROUP BY image_id")
+
+# -- kernels -----------------------------------------------------------------------------------------------------------------
+
+
+def unpremultiplied(alpha: str) -> str:
+    """r, g, b, a of premultiplied channels, as bytes."""
+    return ", ".join(f"CASE WHEN {alpha}>0 THEN {st(f'{c}*(255/{alpha})')} ELSE 0 END AS {c}" for c in "rgb") + f", {st(alpha)} AS a"
+
+
+def _places(w: int, h: int) -> str:
+    return f"(SELECT DISTINCT image_id FROM src) i CROSS JOIN range({w}) p(x) CROSS JOIN range({h}) q(y)"
+
+
+# places of the turned box, mapped back into the tile; outside it is clear
+_TURN = f"""pm AS (SELECT image_id, x, y, {', '.join(f'{c}*(a/255) AS {c}' for c in 'rgb')}, CAST(a AS DOUBLE) AS a FROM src),
+ bx AS (SELECT i.image_id, p.x, q.y, (p.x+0.5-11)*cos(radians(30.0))+(q.y+0.5-11)*sin(radians(30.0))+7.5 AS sx, -(p.x+0.5-11)*sin(radians(30.0))+(q.y+0.5-11)*cos(radians(30.0))+7.5 AS sy FROM {_places(22, 22)}),
+ cn AS (SELECT image_id, x, y, CAST(floor(sx) AS INTEGER)+dx AS kx, CAST(floor(sy) AS INTEGER)+dy AS ky, CASE WHEN dx=1 THEN sx-floor(sx) ELSE 1-(sx-floor(sx)) END*CASE WHEN dy=1 THEN sy-floor(sy) ELSE 1-(sy-floor(sy)) END AS w FROM bx CROSS JOIN range(2) u(dx) CROSS JOIN range(2) v(dy)),
+ sm AS (SELECT cn.image_id, cn.x, cn.y, {', '.join(f'coalesce(sum(pm.{c}*w),0) AS {c}' for c in 'rgba')} FROM cn LEFT JOIN pm ON pm.image_id=cn.image_id AND pm.x=cn.kx AND pm.y=cn.ky GROUP BY ALL),
+ tn AS (SELECT image_id, x, y, {unpremultiplied('a')} FROM sm)"""
+_BELL = "exp(-(i*i)/2.0)/(SELECT sum(exp(-(k*k)/2.0)) FROM (SELECT k-3 AS k FROM range(7) t(k)))"
+_SHADOW = f"""tp AS (SELECT i, {_BELL} AS w FROM (SELECT i-3 AS i FROM range(7) t(i))),
+ sd AS (SELECT s.image_id, s.x+10+u.i AS x, s.y+12+v.i AS y, sum(a*u.w*v.w)*0.5 AS sh FROM src s CROSS JOIN tp u CROSS JOIN tp v GROUP BY ALL),
+ cv AS (SELECT i.image_id, p.x, q.y, {', '.join(f'coalesce(s.{c}*(s.a/255),0) AS {c}' for c in 'rgb')}, coalesce(s.a,0)+coalesce(sh,0)*(1-coalesce(s.a,0)/255) AS a FROM {_places(30, 32)} LEFT JOIN src s ON s.image_id=i.image_id AND s.x=p.x-7 AND s.y=q.y-8 LEFT JOIN sd ON sd.image_id=i.image_id AND sd.x=p.x AND sd.y=q.y),
+ dsh AS (SELECT image_id, x, y, {unpremultiplied('a')} FROM cv)"""
+
+
+def resize_sql(side: int, x0: int, y0: int, w: int, h: int) -> str:
+    """A tile halved once to 8 x 8, brought to ``side`` and laid at (x0, y0) of a canvas of w x h."""
+    half = f"hp AS (SELECT image_id, CAST(x AS INTEGER)//2 AS x, CAST(y AS INTEGER)//2 AS y, {', '.join(f'avg({c}*(a/255)) AS {c}' for c in 'rgb')}, avg(a) AS a FROM src GROUP BY ALL), hf AS (SELECT image_id, x, y, {unpremultiplied('a')} FROM hp)"
+    laid = f"ld AS (SELECT i.image_id, p.x, q.y, {', '.join(f'coalesce(rs.{c},0) AS {c}' for c in 'rgba')} FROM {_places(w, h)} LEFT JOIN rs ON rs.image_id=i.image_id AND rs.x=p.x-({x0}) AND rs.y=q.y-({y0}))"
+    return src("event", f"{half}, {resample_ctes('hf', 8, side, 'bilinear')}, {laid}") + digest_sql("ld")
+
 
-# -- kernels: rows only, checked by tests --------------------------------------------------------------------------------------
 
-add("rotate_degrees_event", on("event", lambda d: digest(K.rotate_degrees(d, 30))))
-add("drop_shadow_event", on("event", lambda d: digest(K.drop_shadow(d, 3, 4, 2, "#000000", 0.5))))
-add("resize_contain_event", on("event", lambda d: digest(K.resize_images(d, 10, 6, "contain"))))
-add("resize_cover_event", on("event", lambda d: digest(K.resize_images(d, 7, 5, "cover"))))
+add("rotate_degrees_event", on("event", lambda d: digest(K.rotate_degrees(d, 30))), src("event", _TURN) + digest_sql("tn"))
+add("drop_shadow_event", on("event", lambda d: digest(K.drop_shadow(d, 3, 4, 2, "#000000", 0.5))), src("event", _SHADOW) + digest_sql("dsh"))
+add("resize_contain_event", on("event", lambda d: digest(K.resize_images(d, 10, 6, "contain"))), resize_sql(6, 2, 0, 10, 6))
+add("resize_cover_event", on("event", lambda d: digest(K.resize_images(d, 7, 5, "cover"))), resize_sql(7, 0, -1, 7, 5))
 add("resample_kernel_embed", on("embed", lambda d: K.resample_images(d, 96, 96).select(*PIX.split(", "))), resample_sql("embed", 64, 96, "lanczos3"))
 add("acrylic_preview_event", on("event", lambda d: digest(K.acrylic_preview(d, 240, 12))))
 add("png_round_trip_event", on("event", lambda d: digest(I.to_pixels(_through_png(d)))), src("event") + digest_sql("src"))
@@ -652,9 +735,12 @@ add("trainer_pipeline_scene", on("scene", lambda d: PL.trainer_pipeline(d, _TP),
 add("remove_all_background_rings", on("rings", lambda d: PL.remove_all_background(d, "#ffffff").groupBy("image_id").agg(F.count_if((F.col("a") == 0) & (F.col("r") == 255)).alias("white_gone"))), src("rings") + "SELECT image_id, count(*) FILTER (r=255 AND a=255 AND image_id<=14) AS white_gone FROM src GROUP BY image_id")
 add("run_smart_erase_scene", on("scene", lambda d: digest(PL.smart_erase_auto(d, lambda x: settled(x, "bg")))))
 add("handle_tap_scene", on("scene", lambda d: digest(PL.tap(d, d, "erase", "#ffffff", _seeds(d)))), src("scene", _SEED.split(",\n go AS")[0].replace("pow(0.12,2)", "pow(0.06,2)") + ", f AS (SELECT * FROM sf), " + _FLOODED, True) + digest_sql("res"))
-add("render_for_print_event", on("event", lambda d: digest(PL.render_for_print(d, (16, 16), (24, 24)))))
-add("vectorize_fallback_event", on("event", lambda d: digest(PL.vectorize_colour(d, "#8050c0", (16, 16), (32, 32), tolerance=90))))
-add("background_noise_event", on("event", lambda d: digest(P.noise_near_white(d))))
+add("render_for_print_event", on("event", lambda d: digest(PL.render_for_print(d, (16, 16), (24, 24)))), src("event", resample_ctes("src", 16, 24, "lanczos3") + ", " + edge_sharpen_ctes("rs", "es", 0.4)) + digest_sql("es"))
+add("vectorize_fallback_event", on("event", lambda d: digest(PL.vectorize_colour(d, "#8050c0", (16, 16), (32, 32), tolerance=90))),
+    src("event", "ms AS (SELECT image_id, x, y, 128 AS r, 80 AS g, 192 AS b, CASE WHEN a>=128 AND (r-128)*(r-128)+(g-80)*(g-80)+(b-192)*(b-192)<=90*90 THEN 255 ELSE 0 END AS a FROM src), " + resample_ctes("ms", 16, 32, "bilinear")) + digest_sql("rs"))
+_NOISE = ", ".join(f"CASE WHEN {_WHITE}<200 THEN CAST(least(255, greatest(0, {c}+((CAST(image_id AS BIGINT)*7919+x*104729+y*1299709+{k}*15485863)%65521*40503%65521)%13-6)) AS INTEGER) ELSE {c} END AS {c}" for k, c in enumerate("rgb"))
+add("background_noise_event", on("event", lambda d: digest(P.noise_near_white(d))), src("event", f"ns AS (SELECT image_id, x, y, {_NOISE}, a FROM src)") + digest_sql("ns"))
+add("background_noise_scene", on("scene", P.noise_near_white, digested=True), src("scene", f"ns AS (SELECT image_id, x, y, {_NOISE}, a FROM src)") + digest_sql("ns"))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
