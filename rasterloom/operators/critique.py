@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 # -- fixed values ------------------------------------------------------------------------------------------------
 
-#: id, label, group.
+#: id, label, description, group.
 CRITIQUES = [
-    ("amount-not-enough", "Background still showing", "amount"),
-    ("amount-too-much", "Removed too much of the design", "amount"),
-    ("interior-lost", "White inside the design got eaten", "interior"),
-    ("edge-halo", "Fuzzy halo / fringe on edges", "edges"),
-    ("edge-jaggy", "Jagged stair-step edges", "edges"),
-    ("edge-shrunk", "Edges nibbled too thin", "edges"),
-    ("edge-soft", "Edges look too soft / blurry", "edges"),
-    ("color-tint", "Color tint on edges", "color"),
-    ("color-tint-clean", "Edges look clean (no tint)", "color"),
+    ("amount-not-enough", "Background still showing", "Not enough was removed — increase tolerance.", "amount"),
+    ("amount-too-much", "Removed too much of the design", "The subject lost pixels — decrease tolerance / unchoke.", "amount"),
+    ("interior-lost", "White inside the design got eaten", "Switch to flood-fill so only edge-connected background is removed; preserves white inside flowers/dress/letters.", "interior"),
+    ("edge-halo", "Fuzzy halo / fringe on edges", "Increase edge choke and threshold to harden cutout edges.", "edges"),
+    ("edge-jaggy", "Jagged stair-step edges", "Increase feather to soften before thresholding.", "edges"),
+    ("edge-shrunk", "Edges nibbled too thin", "Reduce choke and lower threshold so more edge pixels stay.", "edges"),
+    ("edge-soft", "Edges look too soft / blurry", "Reduce feather and ensure solid-edge thresholding is on.", "edges"),
+    ("color-tint", "Color tint on edges", "Enable auto-despill — neutralizes leftover green/blue/red on edge pixels.", "color"),
+    ("color-tint-clean", "Edges look clean (no tint)", "Despill not needed — disable to skip extra processing.", "color"),
 ]
 
 #: The rules in order of priority: pattern (ASCII word borders, any case), critique.
@@ -62,7 +62,7 @@ BORDER = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]
 
 
 def critiques(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CRITIQUES, "id string, label string, grp string")
+    return spark.createDataFrame(CRITIQUES, "id string, label string, description string, grp string")
 
 
 def keyword_rules(spark: SparkSession) -> DataFrame:
@@ -125,7 +125,7 @@ def _shown(v: Column) -> Column:
 
 
 def explain_critique(p: Column, critique: Column) -> Column:
-    """What a critique changed, as one line of text."""
+    """What a critique changed, as one line of text; the wording is fixed."""
     n = apply_critique(p, critique)
     fin, nfin = p["finish"], n["finish"]
     step = F.when(p["tolerance"] < 15, "4").otherwise("3")

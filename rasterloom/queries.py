@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import expected as X
 from .functions import color as C
 from .operators import aggregate as A
 from .operators import catalog as L
@@ -766,16 +767,15 @@ def values(rows: list[tuple], names: str) -> str:
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") t({names})"
 
 
-add("repair_profiles", lambda s, d: L.repair_profiles(s), values(L.REPAIR_PROFILES, "id, name, tolerance, padding, search_radius, mode"))
-add("print_presets", lambda s, d: L.print_presets(s), values(L.PRINT_PRESETS, "name, width_in, height_in, fit, description"))
-add("common_print_sizes", lambda s, d: L.print_sizes(s), values(L.COMMON_PRINT_SIZES, "label, width_in, height_in"))
-add("text_swatches", lambda s, d: L.swatches(s), values(L.COMMON_TEXT_SWATCHES, "label, hex"))
-add("critique_catalog", lambda s, d: Q.critiques(s), values(Q.CRITIQUES, "id, label, grp"))
-add("keyword_rules", lambda s, d: Q.keyword_rules(s), values([(i, *r) for i, r in enumerate(Q.KEYWORD_RULES)], "priority, pattern, critique"))
-_FONTS = [(a, b, c, len(w), i, f) for a, b, c, w, i, f in L.FONT_REGISTRY]
-add("font_registry", lambda s, d: L.fonts(s).withColumn("weights", F.size("weights")), values(_FONTS, "id, label, category, weights, has_italic, size_factor"))
+add("repair_profiles", lambda s, d: L.repair_profiles(s), X.table(X.REPAIR_PROFILES, "id, name, tolerance, padding, search_radius, mode"))
+add("print_presets", lambda s, d: L.print_presets(s), X.table(X.PRINT_PRESETS, "name, width_in, height_in, fit, description"))
+add("common_print_sizes", lambda s, d: L.print_sizes(s), X.table(X.COMMON_PRINT_SIZES, "label, width_in, height_in"))
+add("text_swatches", lambda s, d: L.swatches(s), X.table(X.TEXT_SWATCHES, "label, hex"))
+add("critique_catalog", lambda s, d: Q.critiques(s), X.table(X.CRITIQUES, "id, label, description, grp"))
+add("keyword_rules", lambda s, d: Q.keyword_rules(s), X.table(X.KEYWORD_RULES, "priority, pattern, critique"))
+add("font_registry", lambda s, d: L.fonts(s), X.table(X.FONTS, "id, label, category, weights, has_italic, size_factor"))
 add("fonts_by_category", lambda s, d: L.fonts_by_category(s, "display").select("id"), "SELECT * FROM (VALUES ('cinzel'), ('cinzel-decorative'), ('playfair-display')) t(id)")
-add("adjustment_presets", lambda s, d: L.adjustment_presets(s), values([(k, n, *[v.get(c) for c in ("brightness", "contrast", "saturation", "vibrance", "sharpen", "shadows", "highlights", "warmth", "edge_cleanup", "auto_levels")]) for k, n, v in (("photo", "auto", L.PHOTO_AUTO), ("photo", "neutral", L.PHOTO_NEUTRAL), ("graphic", "auto", L.GRAPHIC_AUTO), ("graphic", "neutral", L.GRAPHIC_NEUTRAL))], "kind, name, brightness, contrast, saturation, vibrance, sharpen, shadows, highlights, warmth, edge_cleanup, auto_levels"))
+add("adjustment_presets", lambda s, d: L.adjustment_presets(s), X.table(X.ADJUSTMENTS, "kind, name, brightness, contrast, saturation, vibrance, sharpen, shadows, highlights, warmth, edge_cleanup, auto_levels"))
 
 
 def _flat(p: DataFrame) -> DataFrame:
@@ -784,8 +784,8 @@ def _flat(p: DataFrame) -> DataFrame:
 
 _PRE = [(p[0], p[1], p[4], p[5], p[6], p[7], True, 128, p[8], True) for p in L.BG_REMOVAL_PRESETS]
 _PN = "id, name, color, tolerance, strategy, edge_feather, solid_edges, alpha_threshold, choke, despill"
-add("bg_removal_presets", lambda s, d: _flat(L.bg_removal_presets(s)), values(_PRE, _PN))
-add("preset_by_id", lambda s, d: _flat(L.preset_by_id(L.bg_removal_presets(s), "green-screen")), values([p for p in _PRE if p[0] == "green-screen"], _PN))
+add("bg_removal_presets", lambda s, d: _flat(L.bg_removal_presets(s)), X.table(X.BG_REMOVAL_PRESETS, _PN))
+add("preset_by_id", lambda s, d: _flat(L.preset_by_id(L.bg_removal_presets(s), "green-screen")), X.table(X.BG_REMOVAL_PRESETS, _PN) + " WHERE id='green-screen'")
 
 
 def _stored(spark: SparkSession) -> DataFrame:
@@ -840,7 +840,7 @@ add("critique_parse_orders", lambda s, d: _texts(s, d).select("o_orderkey", F.co
 
 def critique_sql(text: str) -> str:
     """The rules by DuckDB's own regular expressions, whose word border is ASCII."""
-    rules = ", ".join(f"({i}, '{p.replace(chr(39), chr(39) * 2)}', '{c}')" for i, (p, c) in enumerate(Q.KEYWORD_RULES))
+    rules = X.KEYWORD_RULES
     return f"(SELECT k, string_agg(c, ',' ORDER BY i) AS critiques FROM (SELECT k, c, min(i) AS i FROM ({text}) t JOIN (VALUES {rules}) r(i, p, c) ON regexp_matches(txt, '(?i)' || p) WHERE trim(txt)<>'' GROUP BY k, c) GROUP BY k)"
 
 
