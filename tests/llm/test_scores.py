@@ -4,7 +4,7 @@ import hashlib
 import itertools
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -293,6 +293,64 @@ def test_url_verdicts(spark, sf):
     assert url_filter.url_verdicts(net).first()["verdict"] == "allow"
 
 
+def brute_verdicts(pages):
+    """(page_id, host, path, rule, verdict) of every page by plain loops over the definitions."""
+    rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+    lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t)
+    parts = []
+    for i, url in pages:
+        rest = url.split("://", 1)[1] if url and "://" in url else None
+        host = "" if rest is None else re.split("[/?#]", rest)[0]
+        path = "" if rest is None else re.split("[?#]", rest[len(host) :])[0]
+        host = lower(host)
+        fit = [(len(h + p), h + p, k) for k, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        parts.append((i, host, path, *(max(fit)[1:] if fit else (None, None))))
+    held = lambda i: crc32(("" if i is None else str(i)).encode()) % 5 == 0
+    counts = {"allow": defaultdict(Counter), "block": defaultdict(Counter)}
+    for i, host, path, _, kind in parts:
+        if kind and not held(i):
+            s = "\x02" + host + path
+            for j in range(1, len(s)):
+                for k in range(min(5, j) + 1):
+                    counts[kind][s[j - k : j]][s[j]] += 1
+
+    def p(kind, context, char):
+        shorter = p(kind, context[1:], char) if context else 1 / 256
+        own = counts[kind].get(context)
+        return shorter if not own else (own[char] + len(own) * shorter) / (sum(own.values()) + len(own))
+
+    def ratio(t):
+        s = "\x02" + t
+        return sum(math.log(p("allow", s[max(0, j - 5) : j], s[j])) - math.log(p("block", s[max(0, j - 5) : j], s[j])) for j in range(1, len(s))) / max(len(t), 1)
+
+    good, bad = [[0] * 400 for _ in range(2)]
+    for i, host, path, _, kind in parts:
+        if kind and held(i):
+            (good if kind == "allow" else bad)[min(399, max(0, math.floor((ratio(host + path) + 8) * 25)))] += 1
+    errors = [sum(good[:c]) / sum(good) + 1 - sum(bad[:c]) / sum(bad) for c in range(401)]
+    best = [c for c in range(401) if errors[c] <= min(errors) + 1e-12]
+    threshold = best[len(best) // 2] / 25 - 8
+    return [(i, h, q, r, k or ("allow" if h + q and ratio(h + q) >= threshold else "block")) for i, h, q, r, k in parts]
+
+
+def test_url_verdicts_against_brute_force(spark):
+    """Ruled and other URLs, repeated rows, clashing columns, a very long URL, nulls; every context has its count."""
+    rng = np.random.default_rng(12)
+    words = ["news", "shop", "blog", "win", "cheap", "wiki", "page", "item", "a", "zz"]
+    urls = []
+    for i in range(260):
+        path = "/" + "/".join(rng.choice(words, rng.integers(0, 4)))
+        host = f"{rng.choice(words)}.{rng.choice(['org', 'com', 'net', 'example.org', 'de'])}"
+        urls.append((i, f"http://{host}/{rng.choice(['fr', 'de', 'es', 'en'])}{path}"))
+    urls += [(7, urls[7][1]), (500, None), (501, "nothing"), (502, "http://long.net/" + "shop/" * 2000), (None, "ftp://blog.net/page")]
+    pages = spark.createDataFrame(urls, "page_id long, url string").withColumns({"kind": F.lit(3), "host": F.lit("x"), "ratio": F.lit(1.0)})
+    want = Counter(brute_verdicts(urls))
+    for most in (150_000, 60):
+        got = Counter(tuple(r) for r in url_filter.url_verdicts(pages, max_contexts=most).select("page_id", "host", "path", "rule", "verdict").collect())
+        assert got == want
+    assert {v for _, _, _, r, v in want if r is None} == {"allow", "block"}
+
+
 def test_models_tell_held_out_urls(spark):
     """On labelled URLs of the calibration fold, the ratio agrees with the rules nearly always."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
