@@ -22,19 +22,24 @@ def hex_ints(color: str) -> tuple[int, int, int]:
     return n >> 16, n >> 8 & 255, n & 255
 
 
+def channels(color) -> tuple:
+    """r, g, b of '#rrggbb', or of a colour that every row has of its own: three columns."""
+    return hex_ints(color) if isinstance(color, str) else color
+
+
 def rgb_hex(r: Column, g: Column, b: Column) -> Column:
     return F.concat(F.lit("#"), *[F.lpad(F.lower(F.hex(c)), 2, "0") for c in (r, g, b)])
 
 
-def dist_sq(color: str, r="r", g="g", b="b") -> Column:
-    """Squared RGB distance from a hex colour; alpha is ignored."""
-    cr, cg, cb = hex_ints(color)
+def dist_sq(color, r="r", g="g", b="b") -> Column:
+    """Squared RGB distance from a colour (see ``channels``); alpha is ignored."""
+    cr, cg, cb = channels(color)
     dr, dg, db = F.col(r) - cr, F.col(g) - cg, F.col(b) - cb
     return dr * dr + dg * dg + db * db
 
 
-def max_dist_sq(percent: float) -> float:
-    """Tolerance in percent to a squared distance."""
+def max_dist_sq(percent):
+    """Tolerance in percent, a number or a column, to a squared distance."""
     return (percent / 100) ** 2 * FULL
 
 

@@ -34,7 +34,7 @@ def flood_fill(df: DataFrame, color: str, tolerance: float, *, tile: int | None
     return _erase(df, labels.join(touching, ["image_id", "label"], "left_semi"))
 
 
-def depth_flood(df: DataFrame, color: str, tight: float, fringe: float, steps: int) -> DataFrame:
+def depth_flood(df: DataFrame, color, tight, fringe, steps: int) -> DataFrame:
     """image_id, x, y, depth of the places that the flood reaches: 0 on tight pixels, parent + 1 on fringe ones."""
     d = df.select(*KEY, (C.dist_sq(color) <= C.max_dist_sq(tight)).cast("int").alias("t"), (C.dist_sq(color) <= C.max_dist_sq(fringe)).cast("int").alias("f"), (F.col("a") != 0).cast("int").alias("v"))
 
@@ -47,7 +47,7 @@ def depth_flood(df: DataFrame, color: str, tight: float, fringe: float, steps: i
     return per_image(d, run, "image_id long, x int, y int, depth int")
 
 
-def smart_erase(df: DataFrame, color: str, tight: float = 3, fringe: float = 10, steps: int = 3, feather: float = 0) -> DataFrame:
+def smart_erase(df: DataFrame, color, tight=3, fringe=10, steps: int = 3, feather: float = 0) -> DataFrame:
     from .window import feather_alpha
 
     out = _erase(df, depth_flood(df, color, tight, fringe, steps))

@@ -184,9 +184,9 @@ def thicken_lines(df: DataFrame, color: str, tolerance: float = 5, passes: int =
     return df
 
 
-def decontaminate_edges(df: DataFrame, color: str, drop: float = 0.35, iterations: int = 2, inner: int = 3) -> DataFrame:
+def decontaminate_edges(df: DataFrame, color, drop: float = 0.35, iterations: int = 2, inner: int = 3) -> DataFrame:
     """Opaque pixels beside others are unmixed from the background by the mean of inner pixels around them."""
-    bg = dict(zip(RGB, C.hex_ints(color), strict=True))
+    bg = dict(zip(RGB, C.channels(color), strict=True))
     for _ in range(iterations):
         d = dealt(df).withColumn("o", (F.col("a") == 255).cast("int"))
         beside = F.least(*[F.coalesce(_at("o", dx, dy), F.lit(1)) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])

@@ -53,18 +53,13 @@ def trainer_pipeline(df: DataFrame, params: dict) -> DataFrame:
 
 
 def smart_erase_auto(df: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
-    """Background and noise are measured for each image; images that share both are erased together.
-
-    The parameters of an image decide its plan, so the distinct (colour, tolerance) pairs are read first: they are
-    a small relation, at most four tolerances for each colour bin in use.
-    """
-    bg = settle(A.analyze_background(df).select("image_id", "color", C.clamp(C.half_up(F.col("noise") + 2), 3, 6).cast("int").alias("tight")))
-    out = None
-    for row in bg.select("color", "tight").distinct().orderBy("color", "tight").toLocalIterator():
-        own = df.join(bg.where((F.col("color") == row["color"]) & (F.col("tight") == row["tight"])).select("image_id"), "image_id", "left_semi")
-        done = N.decontaminate_edges(R.smart_erase(own, row["color"], row["tight"], row["tight"] + 3, 1), row["color"], 0.4, 1, 3)
-        out = done if out is None else out.unionByName(done)
-    return df if out is None else out
+    """Background and noise are measured for each image and go with its pixels, so all images are erased by one plan."""
+    tight = C.clamp(C.half_up(F.col("noise") + 2), 3, 6).cast("int").alias("tight")
+    own = [c.alias(n) for c, n in zip(C.hex_channels(F.col("color")), ("ground_r", "ground_g", "ground_b"), strict=True)]
+    d = df.join(settle(A.analyze_background(df).select("image_id", *own, tight)), "image_id")
+    ground = tuple(F.col(f"ground_{c}") for c in "rgb")
+    out = R.smart_erase(d, ground, F.col("tight"), F.col("tight") + 3, 1)
+    return N.decontaminate_edges(out, ground, 0.4, 1, 3).select(df.columns)
 
 
 def remove_all_background(df: DataFrame, color: str) -> DataFrame:

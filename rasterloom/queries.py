@@ -329,13 +329,14 @@ add("thicken_scene", on("scene", lambda d: N.thicken_lines(d, "#ffffff", 5), dig
  res AS (SELECT image_id, x, y, coalesce(v.r, k.r) AS r, coalesce(v.g, k.g) AS g, coalesce(v.b, k.b) AS b, CASE WHEN v IS NULL THEN a ELSE 255 END AS a FROM k LEFT JOIN best USING (image_id, x, y))""") + digest_sql("res"))
 
 
-def decon_ctes(table: str, out: str, drop: float) -> str:
-    """One round of edge decontamination against white, inner radius 3."""
+def decon_ctes(table: str, out: str, drop: float, ground: tuple[str, str, str] = ("255", "255", "255")) -> str:
+    """One round of edge decontamination against a ground colour, inner radius 3."""
+    kr, kg, kb = ground
     return f"""{out}_f AS (SELECT *, a=255 AS o, a=255 AND least(coalesce(lag(a) OVER wx,255), coalesce(lead(a) OVER wx,255), coalesce(lag(a) OVER wy,255), coalesce(lead(a) OVER wy,255))<>255 AS fr FROM {table} WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y)),
  {out}_o AS (SELECT i-3 AS dx, j-3 AS dy FROM range(7) p(i), range(7) q(j)),
  {out}_m AS (SELECT s.image_id, s.x, s.y, sum(n.r)/count(*) AS fr_, sum(n.g)/count(*) AS fg_, sum(n.b)/count(*) AS fb_ FROM {out}_f s CROSS JOIN {out}_o JOIN {out}_f n ON n.image_id=s.image_id AND n.x=s.x+dx AND n.y=s.y+dy WHERE s.fr AND n.o AND NOT n.fr GROUP BY s.image_id, s.x, s.y),
- {out}_t AS (SELECT *, pow(fr_-255,2)+pow(fg_-255,2)+pow(fb_-255,2) AS den FROM {out}_f LEFT JOIN {out}_m USING (image_id, x, y)),
- {out}_u AS (SELECT *, CASE WHEN den>=8 THEN least(1.0, greatest(0.0, ((r-255)*(fr_-255)+(g-255)*(fg_-255)+(b-255)*(fb_-255))/den)) END AS t FROM {out}_t),
+ {out}_t AS (SELECT *, pow(fr_-{kr},2)+pow(fg_-{kg},2)+pow(fb_-{kb},2) AS den FROM {out}_f LEFT JOIN {out}_m USING (image_id, x, y)),
+ {out}_u AS (SELECT *, CASE WHEN den>=8 THEN least(1.0, greatest(0.0, ((r-{kr})*(fr_-{kr})+(g-{kg})*(fg_-{kg})+(b-{kb})*(fb_-{kb}))/den)) END AS t FROM {out}_t),
  {out} AS (SELECT image_id, x, y, CASE WHEN t>={drop} THEN CAST(floor(fr_+0.5) AS INTEGER) ELSE r END AS r, CASE WHEN t>={drop} THEN CAST(floor(fg_+0.5) AS INTEGER) ELSE g END AS g, CASE WHEN t>={drop} THEN CAST(floor(fb_+0.5) AS INTEGER) ELSE b END AS b, CASE WHEN t<{drop} THEN 0 ELSE a END AS a FROM {out}_u)"""
 
 
@@ -734,7 +735,13 @@ add("trainer_pipeline_scene", on("scene", lambda d: PL.trainer_pipeline(d, _TP),
     + """, o9 AS (SELECT i-1 AS dx, j-1 AS dy FROM range(3) p(i), range(3) q(j)), fe AS (SELECT s.image_id, s.x, s.y, any_value(s.r) AS r, any_value(s.g) AS g, any_value(s.b) AS b, CAST(floor(avg(t.a)+0.5) AS INTEGER) AS a FROM res s CROSS JOIN o9 JOIN res t ON t.image_id=s.image_id AND t.x=least(63,greatest(0,s.x+dx)) AND t.y=least(63,greatest(0,s.y+dy)) GROUP BY s.image_id, s.x, s.y),
  ds AS (SELECT image_id, x, y, r, CASE WHEN a>0 AND a<255 AND g>greatest(r,b) THEN greatest(r,b) ELSE g END AS g, b, a FROM fe), """ + sep_sql("ds", "a", 1, "min", "mm", ", r, g, b") + ", fin AS (SELECT image_id, x, y, r, g, b, CASE WHEN v>=128 THEN 255 ELSE 0 END AS a FROM mm)", True) + digest_sql("fin"))
 add("remove_all_background_rings", on("rings", lambda d: PL.remove_all_background(d, "#ffffff").groupBy("image_id").agg(F.count_if((F.col("a") == 0) & (F.col("r") == 255)).alias("white_gone"))), src("rings") + "SELECT image_id, count(*) FILTER (r=255 AND a=255 AND image_id<=14) AS white_gone FROM src GROUP BY image_id")
-add("run_smart_erase_scene", on("scene", lambda d: digest(PL.smart_erase_auto(d, lambda x: settled(x, "bg")))))
+_OWN = "(r-br)*(r-br)+(g-bg)*(g-bg)+(b-bb)*(b-bb)"
+_AUTO = _BG + f""", pk AS (SELECT image_id, br, bg, bb, least(6, greatest(3, floor(coalesce(noise,0)+2.5))) AS tight FROM col JOIN bgc USING (image_id)), sk AS MATERIALIZED (SELECT src.*, br, bg, bb, tight FROM src JOIN pk USING (image_id)),
+ k AS MATERIALIZED (SELECT image_id, x, y, {_OWN}<=pow(tight/100,2)*195075 AS t FROM sk WHERE a<>0 AND {_OWN}<=pow((tight+3)/100,2)*195075),
+ d AS (SELECT image_id, x, y, CASE WHEN t THEN 0 ELSE 1 END AS depth FROM k WHERE x IN (0,63) OR y IN (0,63)
+  UNION SELECT k.image_id, k.x, k.y, CASE WHEN k.t THEN 0 ELSE d.depth+1 END FROM d {_STEP} JOIN k ON k.image_id=d.image_id AND k.x=d.x+o.dx AND k.y=d.y+o.dy WHERE k.t OR d.depth<1),
+ f AS (SELECT DISTINCT image_id, x, y FROM d), er AS (SELECT s.image_id, s.x, s.y, r, g, b, CASE WHEN f.x IS NULL THEN a ELSE 0 END AS a, br, bg, bb FROM sk s LEFT JOIN f ON f.image_id=s.image_id AND f.x=s.x AND f.y=s.y), """
+add("run_smart_erase_scene", on("scene", lambda d: digest(PL.smart_erase_auto(d, lambda x: settled(x, "bg")))), src("scene", _AUTO + decon_ctes("er", "dc", 0.4, ("br", "bg", "bb")), True) + digest_sql("dc"))
 add("handle_tap_scene", on("scene", lambda d: digest(PL.tap(d, d, "erase", "#ffffff", _seeds(d)))), src("scene", _SEED.split(",\n go AS")[0].replace("pow(0.12,2)", "pow(0.06,2)") + ", f AS (SELECT * FROM sf), " + _FLOODED, True) + digest_sql("res"))
 add("render_for_print_event", on("event", lambda d: digest(PL.render_for_print(d, (16, 16), (24, 24)))), src("event", resample_ctes("src", 16, 24, "lanczos3") + ", " + edge_sharpen_ctes("rs", "es", 0.4)) + digest_sql("es"))
 add("vectorize_fallback_event", on("event", lambda d: digest(PL.vectorize_colour(d, "#8050c0", (16, 16), (32, 32), tolerance=90))),
