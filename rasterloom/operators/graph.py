@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import color as C
 from .aggregate import sized, with_size
-from .kernels import chamfer, dense, flood_depth, grow_from, label_components, per_image, rows_of
+from .kernels import chamfer, dense, flood_depth, grow_from, label_components, per_image, rows_of, walled_blobs
 from .tiles import label_tiled
 from .window import dealt, decontaminate_edges, edge_map, separable
 
@@ -78,19 +78,14 @@ def wall_distance(df: DataFrame, cap: int) -> DataFrame:
 def enclosed_blobs(df: DataFrame, color: str, tolerance: float = 3, max_wall: int = 12) -> tuple[DataFrame, DataFrame]:
     """(labels of matching pixels, image_id, label, size, wall, erased): a blob goes if its wall is 1..max_wall thick."""
     kind = F.when(F.col("a") < 128, 0).when(C.dist_sq(color) <= C.max_dist_sq(tolerance), 2).otherwise(1)
-    d = wall_distance(df, max_wall + 2).withColumn("kind", kind)
-    labels = label_components(d, F.col("kind") == 2)
-    sides = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-    around = labels.select("image_id", "label", "x", "y", F.explode(sides).alias("o")).select("image_id", "label", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
-    wall = F.when(F.col("kind") == 0, 0).when(F.col("kind") == 1, F.coalesce("dist", F.lit(65535)))
-    walls = around.join(d.select(*KEY, "kind", "dist"), KEY).groupBy("image_id", "label").agg(F.min(wall).alias("wall"))
-    blobs = labels.groupBy("image_id", "label").agg(F.count("*").alias("size")).join(walls, ["image_id", "label"], "left").withColumn("wall", F.coalesce("wall", F.lit(65535)))
+    labels = walled_blobs(df.select(*KEY, kind.alias("kind")), max_wall + 2)
+    blobs = labels.groupBy("image_id", "label").agg(F.count("*").alias("size"), F.min("wall").alias("wall"))
     return labels, blobs.withColumn("erased", (F.col("wall") > 0) & (F.col("wall") <= max_wall))
 
 
 def remove_enclosed_holes(df: DataFrame, color: str, tolerance: float = 3, max_wall: int = 12, decontaminate: bool = True) -> DataFrame:
-    labels, blobs = enclosed_blobs(df, color, tolerance, max_wall)
-    out = _erase(df, labels.join(blobs.where("erased").select("image_id", "label"), ["image_id", "label"], "left_semi"))
+    labels, _ = enclosed_blobs(df, color, tolerance, max_wall)
+    out = _erase(df, labels.where((F.col("wall") > 0) & (F.col("wall") <= max_wall)))
     return decontaminate_edges(out, color, 0.4, 1, 3) if decontaminate else out
 
 

@@ -91,6 +91,40 @@ def label_components(df: DataFrame, member, by: tuple[str, ...] = ()) -> DataFra
     return per_image(only, run, ", ".join(f"{k} {types[k]}" for k in keys) + ", x int, y int, label long", keys)
 
 
+def steps_to(member: np.ndarray) -> np.ndarray:
+    """Steps along rows and columns from each place to the nearest member; very many if there is none."""
+    d = np.where(member, 0, 1 << 30)
+    for axis in (1, 0):
+        ramp = np.arange(member.shape[axis]).reshape((1, -1) if axis else (-1, 1))
+        ahead = np.minimum.accumulate(d - ramp, axis=axis) + ramp
+        back = np.flip(np.minimum.accumulate(np.flip(d + ramp, axis), axis=axis), axis) - ramp
+        d = np.minimum(ahead, back)
+    return d
+
+
+def walled_blobs(df: DataFrame, cap: int) -> DataFrame:
+    """image_id, x, y, label, wall of the places of ``kind`` 2; ``kind`` is 0 on clear places and 1 on others.
+
+    wall is the least thickness of what surrounds a component: steps from a neighbour of kind 1 to a clear place, 0 beside
+    one, 65535 beyond ``cap``.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        kind = dense(pdf, ("kind",))[..., 0].astype(np.int8)
+        label = label_array(kind == 2)
+        steps = steps_to(kind == 0)
+        thick = np.where(steps <= cap, steps, 65535)
+        least = np.full(kind.size, 65535)
+        for own, beside in (((slice(1, None), slice(None)), (slice(None, -1), slice(None))), ((slice(None), slice(1, None)), (slice(None), slice(None, -1)))):
+            for a, b in ((own, beside), (beside, own)):
+                rim = (kind[a] == 2) & (kind[b] != 2)
+                np.minimum.at(least, label[a][rim], thick[b][rim])
+        y, x = np.nonzero(kind == 2)
+        return pd.DataFrame({"image_id": pdf["image_id"].iat[0], "x": x, "y": y, "label": label[y, x], "wall": least[label[y, x]]})
+
+    return per_image(df, run, "image_id long, x int, y int, label long, wall int")
+
+
 def flood_depth(tight: np.ndarray, fringe: np.ndarray, most: int) -> np.ndarray:
     """Least depth of each place reached from the border, -1 elsewhere: 0 on tight places, one more on each fringe step."""
     h, w = tight.shape
