@@ -101,11 +101,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, sample_rows=20_000) ->
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, sample_rows=20_000) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns; texts pass through once more unshuffled."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns; all of them if no label is there to learn from.
+
+    Texts pass through once more unshuffled.
+    """
     ids = labels.where(F.col("quality").isNotNull() & ~_held_out()).select("doc_id").distinct()
     ids = hashed_sample(ids, sample_rows, "doc_id")
     stats = text_stats(docs.where(~_held_out()).join(F.broadcast(ids), "doc_id", "left_semi"), "doc_id")
     x, y = labelled_sample(stats, labels, "quality", sample_rows)
+    if not len(y):
+        return docs
     # the statistics stand beside the columns of the caller, under names that cannot clash
     given = docs.select(F.struct("*").alias("__row"), text_or_empty().alias("text"))
     scored = with_features(text_stats(given, "__row")).withColumn("__score", fit_ensemble(x, y).column())

@@ -66,3 +66,39 @@ def test_encoding_of_the_mix(results):
 
 def test_run_equals_the_stages(spark, sf, results):
     assert corpus_pipeline.run(spark, sf).count() == results[4][2].count()
+
+
+def odd_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns whose names the operators use themselves."""
+    long = " ".join(f"word{i % 997}" for i in range(40_000))
+    rows = [
+        (1, "a clean line of plain words here\nanother one", "en", "s1", 44), (1, "a clean line of plain words here\nanother one", "en", "s1", 44), (None, "no id at all in this row", None, None, None),
+        (None, None, None, None, None), (2, "", "fr", "s2", 0), (3, " \n\t", "fr", None, 3), (4, long, "en", "s1", len(long)), (5, long + " end", "en", "s2", len(long) + 4),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit(i) for i, c in enumerate(["row", "ROW_", "size", "n_lost", "n_lines", "lost", "key", "u", "q", "cell", "copies", "taken", "score", "n_words", "id", "root"])}
+    return docs.withColumns(clash)
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_on_odd_documents(spark, sf, empty):
+    docs = odd_documents(spark)
+    docs = docs.limit(0) if empty else docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = common.settled(stage(spark, docs, sf), "odd")
+        if name != "bpe":
+            assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        rows = out.collect()
+        assert not empty or not rows
+        if name == "line dedup" and not empty:
+            assert len(rows) == 8 and sum("another one" in (r["text"] or "") for r in rows) == 1
+        if name == "near-dedup" and not empty:
+            assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == [(False, 1), (False, 2), (False, 4), (True, 0)]
+        if name == "bpe" and not empty:
+            assert len(rows) == 8 and sum(r["n_tokens"] == 0 for r in rows) == 2
+
+
+def test_quality_without_labels_keeps_all(spark, sf):
+    docs = odd_documents(spark)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").limit(0)
+    assert quality_classifier.keep_quality(docs, labels).count() == docs.count()
