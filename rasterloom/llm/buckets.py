@@ -211,16 +211,13 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def overlaps(items: list[frozenset[int]], left: list[int], right: list[int], width: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each of left, the sizes of its intersections with all of right, by counting bits."""
-    words = -(-max(width, 1) // 64)
-    bits = np.zeros((len(items), words), dtype=np.uint64)
+def bit_sets(items: list[frozenset[int]], width: int) -> np.ndarray:
+    """Sets of numbers below ``width`` as rows of bits, 64 to a word."""
+    bits = np.zeros((len(items), -(-max(width, 1) // 64)), dtype=np.uint64)
     for i, parts in enumerate(items):
         at = np.fromiter(parts, dtype=np.int64, count=len(parts))
         np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-    other = bits[right]
-    for i in left:
-        yield i, np.bitwise_count(other & bits[i]).sum(axis=1, dtype=np.int64)
+    return bits
 
 
 def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
@@ -233,6 +230,8 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
     def settle(rows: list[tuple], same: bool) -> list[tuple[int, int]]:
         """The links of one pair of blocks; rows are (own, id, root, text), same if the two blocks are one."""
         own, ids, roots, texts = zip(*rows, strict=True)
+        if len(set(roots)) == 1:  # one class already
+            return []
         names: dict = {}
         items = [like.prepare(t, names) for t in texts]
         first = min(own)
@@ -257,8 +256,14 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                     compare(i, j)
             return out
         size, root, other = np.array([len(x[1]) for x in items]), np.array(roots), np.array(right)
-        for i, both in overlaps([x[1] for x in items], left, right, len(names)):
-            for j in other[(both >= like.least(size[i], size[other])) & (root[other] != root[i])]:
+        bits = bit_sets([x[1] for x in items], len(names))
+        for i in left:
+            apart = other[root[other] != root[i]]  # of a large class only the few others are looked at
+            if same:
+                apart = apart[apart > i]
+            apart = apart[np.minimum(size[apart], size[i]) >= like.least(size[i], size[apart])]
+            both = np.bitwise_count(bits[apart] & bits[i]).sum(axis=1, dtype=np.int64)
+            for j in apart[both >= like.least(size[i], size[apart])]:
                 compare(i, int(j))
         return out
 
