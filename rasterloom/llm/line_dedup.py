@@ -33,7 +33,7 @@ BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 CHUNK = 1 << 21
 #: Of a broadcast side, as Spark estimates a row: 24 bytes and its arrays.
-BYTES = 4 << 20
+BYTES = 64 << 20
 
 _RNG = np.random.default_rng(4)
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
