@@ -127,4 +127,4 @@ def test_letters_go_and_the_disc_stays(spark, sf):
     from rasterloom import queries as q
 
     out = q.queries()["remove_text_letters"](spark, sf).collect()
-    assert len(out) == 5 and all(300 < r["left"] < 600 and r["low"] == 177 for r in out)
+    assert len(out) == 5 and all(300 < r["still_visible"] < 600 and r["lowest"] == 177 for r in out)
