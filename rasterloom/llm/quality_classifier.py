@@ -93,15 +93,15 @@ def _held_out():
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, *, sample_rows=20_000) -> DataFrame:
-    """doc_id, held_out, score, predicted: one row for each row of ``docs``."""
+    """doc_id, held_out, score, predicted: one row for each row of ``docs``; without labels nothing speaks against a document, and its score is 1."""
     stats = settled(text_stats(docs, "doc_id"), "op6-stats")
     x, y = labelled_sample(stats.where(~_held_out()), labels, "quality", sample_rows)
-    scored = with_features(stats).withColumn("score", fit_ensemble(x, y).column())
+    scored = with_features(stats).withColumn("score", fit_ensemble(x, y).column() if len(y) else F.lit(1.0))
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, sample_rows=20_000) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns; all of them if no label is there to learn from.
+    """The rows of ``docs`` that the classifier accepts, with all their columns; all of them if no label is there to learn from, as ``quality_scores`` has it.
 
     Texts pass through once more unshuffled.
     """

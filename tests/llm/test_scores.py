@@ -200,8 +200,8 @@ def test_quality_defined_cases(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "y"), (None, "some text", "z"), (2, "", "y")], "doc_id long, text string, score string")
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
     out = quality_classifier.quality_scores(docs, labels).collect()
-    assert len(out) == 4 and {r["score"] for r in out} == {0.5}
-    assert quality_classifier.keep_quality(docs, labels).count() == 0
+    assert len(out) == 4 and {(r["score"], r["predicted"]) for r in out} == {(1.0, 1)}
+    assert quality_classifier.keep_quality(docs, labels).count() == 4
     good = quality_classifier.keep_quality(docs, spark.createDataFrame([(1, 1), (3, 1), (2, 1)], "doc_id long, quality int"))
     assert good.columns == docs.columns
     rules = quality_rules.quality_rules(docs, labels).collect()
