@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, hmm, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, token_counts, topk, url_filter
+from . import bpe, hmm, line_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, source_audit, spelling, token_counts, topk, url_filter
 from .common import table
 
 BPE_RANKS = "byte_bpe_50k.tiktoken"
+BPE_JSON = "byte_bpe_50k.json"
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,8 +59,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.source_divergence(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(BPE_JSON))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_exact_topk, op4_line_dedup, op5_near_dedup, op6_quality_classifier, op7_quality_rules, op8_token_counts, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_byte_bpe, op3_exact_topk, op4_line_dedup, op5_near_dedup, op6_quality_classifier, op7_quality_rules, op8_token_counts, op9_url_filter, op10_mixing, op11_source_divergence, op12_packing, op13_spelling_variants)}
 
 
 OP3_SQL = """
@@ -108,5 +122,60 @@ FROM drawn
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), t AS (SELECT doc, lang, source, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM t GROUP BY ALL HAVING count(DISTINCT doc) >= 3),
+grp AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, count(*) AS n FROM t JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(own.n, 0) AS n FROM grp g JOIN kept k USING (lang) LEFT JOIN own USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS p FROM cells WINDOW w AS (PARTITION BY lang, source)),
+q AS (SELECT lang, term, 1 + (CAST(1000000000 AS HUGEINT) * (n + 1)) // (sum(n) OVER w + count(*) OVER w) AS q FROM kept WINDOW w AS (PARTITION BY lang)),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(k AS INTEGER) AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS k FROM rows) WHERE part = 'pair' OR k <= 200
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(x ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS x FROM range(256) r(i))
+), runs AS (
+  SELECT doc_id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents
+  ) GROUP BY ALL
+), bytes AS (
+  SELECT run, n, list_transform(string_split(regexp_replace(hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)), '(..)', '\1 ', 'g'), ' '), lambda x: TRY_CAST('0x' || x AS BIGINT)) AS b
+  FROM runs WHERE length(run) >= 6
+), hashed AS (
+  SELECT run, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b[:-2]), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+), words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed
+  ) WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+), gone AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM words, range(1, length(word) + 1) r(i)),
+near AS (
+  SELECT a.word, b.word AS v, b.n AS vn FROM gone a JOIN gone b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM gone a JOIN words b ON a.less = b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN gone b ON b.less = a.word
+), forms AS (
+  SELECT word, any_value(words.n) AS n, count(v) AS n_near, CASE WHEN max(vn) >= 5 * any_value(words.n) THEN max(vn) END AS form_n,
+    CASE WHEN max(vn) >= 5 * any_value(words.n) THEN (list(v ORDER BY vn DESC, v))[1] END AS form
+  FROM words LEFT JOIN near USING (word) GROUP BY word
+), paths AS (
+  SELECT word, word AS z FROM forms
+  UNION ALL SELECT paths.word, f.form FROM paths JOIN forms f ON f.word = paths.z WHERE f.form IS NOT NULL
+)
+SELECT forms.word, form, z AS root, n, n_near, form_n FROM forms JOIN paths USING (word) JOIN (SELECT word AS last FROM forms WHERE form IS NULL) ON last = z
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_topk": OP3_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_exact_topk": OP3_SQL, "op10_mixing": OP10_SQL, "op11_source_divergence": OP11_SQL, "op13_spelling_variants": OP13_SQL}
