@@ -270,9 +270,13 @@ def _premultiplied(rgba: np.ndarray) -> np.ndarray:
     return out
 
 
-def _plain(rgba: np.ndarray) -> dict[str, np.ndarray]:
+def _plain(rgba: np.ndarray, places: int | None = None) -> dict[str, np.ndarray]:
+    """Bytes of premultiplied planes; ``places`` rounds the plain values before the store, as sums in another order need."""
     a = rgba[..., 3]
-    rgb = np.where(a[..., None] > 0, rgba[..., :3] * (255 / np.maximum(a, 1e-9))[..., None], 0)
+    with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
+        rgb = np.where(a[..., None] > 0, rgba[..., :3] * (255 / a)[..., None], 0)
+    if places is not None:
+        rgb, a = np.round(rgb, places), np.round(a, places)
     planes = {c: byte(rgb[..., i]) for i, c in enumerate("rgb")}
     planes["a"] = byte(a)
     return planes
@@ -362,7 +366,7 @@ def resample_array(rgba: np.ndarray, width: int, height: int, name: str = "lancz
     h, w, _ = rgba.shape
     p = _premultiplied(rgba)
     out = np.einsum("jk,kxc->jxc", weights(h, height, name), np.einsum("jk,ykc->yjc", weights(w, width, name), p))
-    planes = _plain(np.round(out, 6))
+    planes = _plain(out, 6)
     return np.stack([planes[c] for c in "rgba"], axis=2)
 
 
