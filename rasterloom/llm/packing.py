@@ -7,7 +7,9 @@ of k different documents. Each task fills its own bins and needs no other; when
 sequences of 2^j pieces, whose lengths are powers of two and need no padding either.
 
 A task holds at most one capacity of tokens for each class, whatever its input. There is no shuffle; pieces come out sequence by
-sequence, in order, and ``sequences`` joins them. Sequence numbers are (partition, count), so a task that runs again gives the same ones.
+sequence, in order, and ``sequences`` joins them. Texts are split by the public pattern, and the tokenizer encodes each piece once while a task
+remembers it (two generations of ``KNOWN`` pieces, so that common ones stay); a text with characters that Python's Unicode tables lack, over whose
+class the splitters may disagree, goes to the tokenizer whole. Sequence numbers are (partition, count), so a task that runs again gives the same ones.
 
 Defined cases: a null text is empty; an empty text is its end token alone; each row is a document, equal rows and null ids too; no documents
 give no rows; very long texts are encoded in parts, cut where the tokenizer splits anyway; other columns are not looked at.
@@ -16,11 +18,14 @@ give no rows; very long texts are encoded in parts, cut where the tokenizer spli
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +36,8 @@ PART = 1 << 20
 #: A single space between word characters: the tokenizer's own pattern splits before it.
 GAP = re.compile(r"(?<=\w) (?=\w)")
 ROWS = 1 << 14
+KNOWN = 200_000
+LONG = 100
 
 
 @cache
@@ -45,6 +52,37 @@ def _tokenizer(path: str):
     return out
 
 
+class Pieces(dict):
+    """The ids of pieces, as bytes; the last KNOWN pieces met, and of those before them the ones met again."""
+
+    def __init__(self, encode) -> None:
+        self.encode, self.before = encode, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = np.array(self.encode([piece], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        if len(piece) <= LONG:
+            if len(self) >= KNOWN:
+                self.before = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
+def encoder(path: str, pattern: str = public_tokenizers.PATTERN):
+    """A function from a text to its ids as unsigned 32-bit little-endian bytes, equal to the tokenizer's own."""
+    whole = _tokenizer(path).encode_batch_fast
+    split, known = regex.compile(pattern).findall, Pieces(whole)
+
+    def one(text: str) -> bytes:
+        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return np.array(whole([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return b"".join(map(known.__getitem__, split(text)))
+
+    return lambda text: b"".join(map(one, parts(text)))
+
+
 def parts(text: str) -> list[str]:
     """``text`` in parts of about PART characters whose ids are those of the whole."""
     out, at = [], 0
@@ -90,16 +128,15 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
-        encode = _tokenizer(tokenizer)
+        encode = encoder(tokenizer)
+        end = np.array([end_id], "<u4").tobytes()
         types: list[pa.DataType] = []
 
         def encoded() -> Iterator[tuple[object, np.ndarray]]:
             for batch in batches:
                 types[:] = [batch.schema.field(0).type]
-                texts = [parts(t.as_py()) for t in batch.column(1)]
-                for name, ps in zip(batch.column(0), texts, strict=True):
-                    ids = [e.ids for e in encode.encode_batch_fast(ps, add_special_tokens=False)]
-                    yield name.as_py(), np.array([*(i for x in ids for i in x), end_id], "<u4")
+                for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                    yield name.as_py(), np.frombuffer(encode(text.as_py()) + end, "<u4")
 
         def flush(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))

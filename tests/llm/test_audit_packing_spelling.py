@@ -121,10 +121,12 @@ def test_streamed_runs_meet_across_batches():
 # -- 12 ---------------------------------------------------------------------------------------------------------------
 
 
+TOKENIZER = Tokenizer.from_file(JSON)
+TOKENIZER.encode_special_tokens = True
+
+
 def ids_of(text):
-    t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
-    return [*t.encode(text, add_special_tokens=False).ids, 0]
+    return [*TOKENIZER.encode(text, add_special_tokens=False).ids, 0]
 
 
 def check_packing(pieces, docs, capacity=1024):
@@ -185,6 +187,15 @@ def test_parts_have_the_ids_of_the_whole(monkeypatch):
     assert [i for p in cut for i in ids_of(p)[:-1]] == ids_of(text)[:-1]
 
 
+def test_pieces_have_the_tokenizers_ids(monkeypatch):
+    monkeypatch.setattr(packing, "KNOWN", 3)
+    encode = packing.encoder(JSON)
+    # a character of each class and plane, unassigned ones too, in places where the pattern could split
+    every = [chr(c) for c in range(0, 0x33500, 61) if not 0xD800 <= c < 0xE000] + ["\u0558", "\U00018d10", "\x1c", "\x85", "\u200b", "\u00a0"]
+    for text in ["", " ", "it's  a\n\n test ", "z" * 500, *(f"a{c}b 1{c}2 {c}{c} !{c}?{c}" for c in every)]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(text)[:-1], ascii(text)
+
+
 @given(st.integers(0, 10_000), st.sampled_from([2, 8, 1024]))
 def test_cuts_fill(n, capacity):
     got = packing.cuts(n, capacity)
