@@ -282,24 +282,39 @@ def _plain(rgba: np.ndarray, places: int | None = None) -> dict[str, np.ndarray]
     return planes
 
 
-def rotate_array(rgba: np.ndarray, degrees: float) -> dict[str, np.ndarray]:
-    """Clockwise by any angle: the box grows, places are mapped back and interpolated bilinearly."""
-    h, w, _ = rgba.shape
+def rotated_size(w: int, h: int, degrees: float) -> tuple[int, int]:
     rad = math.radians(degrees % 360)
-    nw, nh = (math.ceil(w * abs(math.cos(rad)) + h * abs(math.sin(rad)) - 1e-9), math.ceil(w * abs(math.sin(rad)) + h * abs(math.cos(rad)) - 1e-9))
-    y, x = np.indices((nh, nw)).astype(float)
+    return math.ceil(w * abs(math.cos(rad)) + h * abs(math.sin(rad)) - 1e-9), math.ceil(w * abs(math.sin(rad)) + h * abs(math.cos(rad)) - 1e-9)
+
+
+def rotated_from(x: np.ndarray, y: np.ndarray, w: int, h: int, degrees: float) -> tuple[np.ndarray, np.ndarray]:
+    """Where in the source the places (x, y) of the turned image come from."""
+    rad = math.radians(degrees % 360)
+    nw, nh = rotated_size(w, h, degrees)
     dx, dy = x + 0.5 - nw / 2, y + 0.5 - nh / 2
-    sx = dx * math.cos(rad) + dy * math.sin(rad) + w / 2 - 0.5
-    sy = -dx * math.sin(rad) + dy * math.cos(rad) + h / 2 - 0.5
+    return dx * math.cos(rad) + dy * math.sin(rad) + w / 2 - 0.5, -dx * math.sin(rad) + dy * math.cos(rad) + h / 2 - 0.5
+
+
+def rotate_region(region: np.ndarray, at: tuple[int, int, int, int], size: tuple[int, int], out: tuple[int, int, int, int], degrees: float) -> dict[str, np.ndarray]:
+    """The box ``out`` of the turned image, from the box ``at`` of the source; beyond the source all is transparent."""
+    y, x = np.indices((out[3] - out[1], out[2] - out[0])).astype(float)
+    sx, sy = rotated_from(x + out[0], y + out[1], *size, degrees)
+    h, w, _ = region.shape
     p = np.zeros((h + 2, w + 2, 4))
-    p[1:-1, 1:-1] = _premultiplied(rgba)
+    p[1:-1, 1:-1] = _premultiplied(region)
     x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
     fx, fy = (sx - x0)[..., None], (sy - y0)[..., None]
 
-    def at(yy, xx):
-        return p[np.clip(yy + 1, 0, h + 1), np.clip(xx + 1, 0, w + 1)]
+    def of(yy, xx):
+        return p[np.clip(yy - at[1] + 1, 0, h + 1), np.clip(xx - at[0] + 1, 0, w + 1)]
 
-    return _plain((at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy)
+    return _plain((of(y0, x0) * (1 - fx) + of(y0, x0 + 1) * fx) * (1 - fy) + (of(y0 + 1, x0) * (1 - fx) + of(y0 + 1, x0 + 1) * fx) * fy)
+
+
+def rotate_array(rgba: np.ndarray, degrees: float) -> dict[str, np.ndarray]:
+    """Clockwise by any angle: the box grows, places are mapped back and interpolated bilinearly."""
+    h, w, _ = rgba.shape
+    return rotate_region(rgba, (0, 0, w, h), (w, h), (0, 0, *rotated_size(w, h, degrees)), degrees)
 
 
 RGBA = "image_id long, x int, y int, r int, g int, b int, a int"
@@ -331,7 +346,13 @@ def shadow_array(rgba: np.ndarray, dx: float, dy: float, blur: float, color: tup
     px, py = math.ceil(abs(dx) + blur * 2), math.ceil(abs(dy) + blur * 2)
     h, w, _ = rgba.shape
     big = np.zeros((h + 2 * py, w + 2 * px, 4))
-    big[py : py + h, px : px + w] = _premultiplied(rgba)
+    big[py : py + h, px : px + w] = rgba
+    return shadow_over(big, dx, dy, blur, color, opacity)
+
+
+def shadow_over(rgba: np.ndarray, dx: float, dy: float, blur: float, color: tuple[int, int, int], opacity: float) -> dict[str, np.ndarray]:
+    """The shadow on a canvas that has room for it."""
+    big = _premultiplied(rgba)
     cast = np.roll(big[..., 3], (round(dy), round(dx)), axis=(0, 1))
     alpha = blur_plane(cast, blur / 2) * opacity
     under = np.concatenate([np.array(color)[None, None] * (alpha / 255)[..., None], alpha[..., None]], axis=2)
@@ -345,46 +366,69 @@ def drop_shadow(df: DataFrame, dx: float, dy: float, blur: float, color: str, op
     return per_image(df, lambda pdf: rows_of(pdf["image_id"].iat[0], shadow_array(dense(pdf, tuple("rgba")), dx, dy, blur, rgb, opacity)), RGBA)
 
 
-def weights(source: int, target: int, name: str) -> np.ndarray:
-    """(target, source) resampling matrix."""
+RADIUS = {"lanczos3": 3, "lanczos2": 2, "bicubic": 2, "bilinear": 1}
+
+
+def weights(source: int, target: int, name: str, k: tuple[int, int] | None = None, j: tuple[int, int] | None = None) -> np.ndarray:
+    """(target, source) resampling matrix, or its rows j and columns k, which must hold all that these rows draw on."""
     scale = source / target
     spread = max(1.0, scale)
-    x = (np.arange(source)[None, :] - ((np.arange(target) + 0.5) * scale - 0.5)[:, None]) / spread
+    x = (np.arange(*(k or (0, source)))[None, :] - ((np.arange(*(j or (0, target))) + 0.5) * scale - 0.5)[:, None]) / spread
     ax = np.abs(x)
     if name == "bilinear":
         wt = np.where(ax < 1, 1 - ax, 0)
     elif name == "bicubic":
         wt = np.where(ax < 1, 1.5 * ax**3 - 2.5 * ax**2 + 1, np.where(ax < 2, -0.5 * ax**3 + 2.5 * ax**2 - 4 * ax + 2, 0))
     else:
-        n = {"lanczos3": 3, "lanczos2": 2}[name]
+        n = RADIUS[name]
         wt = np.where(ax < n, np.sinc(x) * np.sinc(x / n), 0)
     return wt / wt.sum(axis=1, keepdims=True)
 
 
-def resample_array(rgba: np.ndarray, width: int, height: int, name: str = "lanczos3") -> np.ndarray:
-    """The resampling of ``geometry.resample`` as two matrix products; (height, width, 4) of bytes."""
-    h, w, _ = rgba.shape
+def resample_region(rgba: np.ndarray, source: tuple[int, int], target: tuple[int, int], name: str, at: tuple[int, int, int, int], out: tuple[int, int, int, int]) -> np.ndarray:
+    """The box ``out`` of the resampling from size ``source`` to ``target``, from the source's box ``at``; (height, width, 4) of bytes."""
+    wx = weights(source[0], target[0], name, (at[0], at[2]), (out[0], out[2]))
+    wy = weights(source[1], target[1], name, (at[1], at[3]), (out[1], out[3]))
     p = _premultiplied(rgba)
-    out = np.einsum("jk,kxc->jxc", weights(h, height, name), np.einsum("jk,ykc->yjc", weights(w, width, name), p))
-    planes = _plain(out, 6)
+    rows = np.stack([p[..., c] @ wx.T for c in range(4)], axis=2)
+    planes = _plain(np.stack([wy @ rows[..., c] for c in range(4)], axis=2), 6)
     return np.stack([planes[c] for c in "rgba"], axis=2)
 
 
-def resize_array(rgba: np.ndarray, width: int, height: int, fit: str = "stretch") -> np.ndarray:
-    """stretch, contain or cover; halves while both sides are over twice the target, then resamples and centres."""
+def resample_array(rgba: np.ndarray, width: int, height: int, name: str = "lanczos3") -> np.ndarray:
+    """The resampling of ``geometry.resample`` as two matrix products; (height, width, 4) of bytes."""
     h, w, _ = rgba.shape
+    return resample_region(rgba, (w, h), (width, height), name, (0, 0, w, h), (0, 0, width, height))
+
+
+def fitted(w: int, h: int, width: int, height: int, fit: str) -> tuple[int, int, int, int]:
+    """The drawn width and height of stretch, contain or cover, and where they begin on the canvas."""
     scale = {"stretch": None, "contain": min(width / w, height / h), "cover": max(width / w, height / h)}[fit]
     dw, dh = (width, height) if scale is None else (max(1, int(w * scale + 0.5)), max(1, int(h * scale + 0.5)))
+    return dw, dh, int((width - dw) / 2 + 0.5) if dw <= width else -int((dw - width) / 2), int((height - dh) / 2 + 0.5) if dh <= height else -int((dh - height) / 2)
+
+
+def halved(rgba: np.ndarray, times: int) -> np.ndarray:
+    """Means of 2 x 2 premultiplied places, ``times`` over, as bytes again; a last odd row or column is dropped."""
     p = _premultiplied(rgba.astype(float))
-    while p.shape[1] > 2 * dw and p.shape[0] > 2 * dh:
+    for _ in range(times):
         hh, ww = max(1, p.shape[0] // 2), max(1, p.shape[1] // 2)
         p = p[: 2 * hh, : 2 * ww].reshape(hh, 2, ww, 2, 4).mean(axis=(1, 3))
     planes = _plain(p)
-    small = resample_array(np.stack([planes[c] for c in "rgba"], axis=2).astype(float), dw, dh, "bilinear")
+    return np.stack([planes[c] for c in "rgba"], axis=2).astype(float)
+
+
+def resize_array(rgba: np.ndarray, width: int, height: int, fit: str = "stretch") -> np.ndarray:
+    """stretch, contain or cover; halves while both sides are over twice the target, then resamples and centres."""
+    h, w, _ = rgba.shape
+    dw, dh, ox, oy = fitted(w, h, width, height, fit)
+    times = 0
+    while w >> times > 2 * dw and h >> times > 2 * dh:
+        times += 1
+    small = resample_array(halved(rgba, times), dw, dh, "bilinear")
     if (dw, dh) == (width, height):
         return small
     out = np.zeros((height, width, 4), dtype=small.dtype)
-    ox, oy = int((width - dw) / 2 + 0.5) if dw <= width else -int((dw - width) / 2), int((height - dh) / 2 + 0.5) if dh <= height else -int((dh - height) / 2)
     src = small[max(0, -oy) : max(0, -oy) + height, max(0, -ox) : max(0, -ox) + width]
     out[max(0, oy) : max(0, oy) + src.shape[0], max(0, ox) : max(0, ox) + src.shape[1]] = src[: height - max(0, oy), : width - max(0, ox)]
     return out
