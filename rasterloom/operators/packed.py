@@ -223,22 +223,6 @@ def per_tile(tiles: DataFrame, fn: Callable[[np.ndarray, Box], float], *, halo:
 # -- filters -----------------------------------------------------------------------------------------------------------
 
 
-def running(a: np.ndarray, radius: int, axis: int, how: np.ufunc) -> np.ndarray:
-    """Minimum or maximum over ``radius`` places to both sides, cut at the ends: forward and backward runs within blocks of the
-    window's length, so the cost does not depend on the radius."""
-    if radius <= 0:
-        return a
-    a = np.moveaxis(a, axis, -1)
-    n, k = a.shape[-1], 2 * radius + 1
-    info = np.iinfo(a.dtype)
-    rest = -(n + 2 * radius) % k
-    p = np.pad(a, [(0, 0)] * (a.ndim - 1) + [(radius, radius + rest)], constant_values=info.max if how is np.minimum else info.min)
-    blocks = p.reshape(*p.shape[:-1], -1, k)
-    ahead = how.accumulate(blocks, axis=-1).reshape(p.shape)
-    back = how.accumulate(blocks[..., ::-1], axis=-1)[..., ::-1].reshape(p.shape)
-    return np.moveaxis(how(back[..., :n], ahead[..., 2 * radius : 2 * radius + n]), -1, axis)
-
-
 def box_sum(a: np.ndarray, radius: int, axis: int, mode: str) -> np.ndarray:
     """Sums over ``radius`` places to both sides by differences of running sums; ``mode`` edge repeats the border, constant drops it."""
     a = np.moveaxis(a.astype(np.int64), axis, -1)
@@ -255,7 +239,7 @@ def with_alpha(px: np.ndarray, a: np.ndarray) -> np.ndarray:
 
 
 def erode_alpha(tiles: DataFrame, radius: int, how: np.ufunc = np.minimum) -> DataFrame:
-    return gather(tiles, Warp(radius), lambda px: with_alpha(px, running(running(px[..., 3], radius, 1, how), radius, 0, how)))
+    return gather(tiles, Warp(radius), lambda px: with_alpha(px, K.running(K.running(px[..., 3], radius, 1, how), radius, 0, how)))
 
 
 def dilate_alpha(tiles: DataFrame, radius: int) -> DataFrame:

@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,24 @@ def tiled(df: DataFrame, op: Callable[[DataFrame], DataFrame], halo: int, tile:
     return out.where(own).withColumn("image_id", F.col("image_id.image_id"))
 
 
+def column_by_tiles(df: DataFrame, col: str, into: str, kernel: Callable[[np.ndarray], np.ndarray], halo: int, tile: int = TILE) -> DataFrame:
+    """``df`` with the column ``into`` (int): ``kernel`` of the plane of ``col``, tile by tile; it looks at most ``halo`` places away."""
+    kinds = dict(df.dtypes) | {into: "int"}
+    d = df.withColumn("__tx", F.explode(_span("x", halo, tile))).withColumn("__ty", F.explode(_span("y", halo, tile)))
+
+    def run(t: pa.Table) -> pa.Table:
+        x, y = t["x"].to_numpy(), t["y"].to_numpy()
+        x0, y0 = x.min(), y.min()
+        plane = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1), np.int32)
+        plane[y - y0, x - x0] = t[col].to_numpy()
+        new = pa.array(kernel(plane)[y - y0, x - x0].astype(np.int32))
+        own = (x // tile == t["__tx"][0].as_py()) & (y // tile == t["__ty"][0].as_py())
+        cols = {c: new if c == into else t[c] for c in kinds}
+        return pa.table(cols).filter(pa.array(own))
+
+    return d.groupBy("image_id", "__tx", "__ty").applyInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds.items()))
+
+
 def merged(edges: DataFrame) -> DataFrame:
     """image_id, label, root (least label): the connected components of edges (image_id, u, v) between labels."""
     ends = ["image_id", "u", "v"]

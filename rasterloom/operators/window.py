@@ -8,13 +8,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import color as C
 from .aggregate import with_size
+from .kernels import running
 from .point import RGB, hard_alpha
+from .tiles import column_by_tiles
 
 def along_x():
     return W.partitionBy("image_id", "y").orderBy("x")
@@ -29,15 +32,36 @@ def dealt(df: DataFrame) -> DataFrame:
     return df.repartition("image_id")
 
 
+#: Up to this radius Spark's sliding frames are used, whose cost grows with it; beyond it running sums and minima, whose cost does not.
+SLIDE = 6
+
+
+def running_sums(df: DataFrame, cols: dict[str, str], radius: int, along) -> DataFrame:
+    """New columns (name: column) with sums over ``radius`` places to both sides, cut at the ends, by differences of running sums."""
+    so_far, whole = along.rowsBetween(W.unboundedPreceding, W.currentRow), along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    df = df.withColumns({f"__{n}": F.sum(c).over(so_far) for n, c in cols.items()})
+    ahead = {n: F.coalesce(F.lead(f"__{n}", radius).over(along), F.last(f"__{n}").over(whole)) for n in cols}
+    df = df.withColumns({n: ahead[n] - F.coalesce(F.lag(f"__{n}", radius + 1).over(along), F.lit(0)) for n in cols})
+    return df.drop(*[f"__{n}" for n in cols])
+
+
 def separable(df: DataFrame, col: str, radius: int, how, into: str | None = None) -> DataFrame:
-    """``how`` (F.min, F.max, F.sum) over the square of ``radius``, cut at the border."""
+    """``how`` (F.min, F.max, F.sum) over the square of ``radius``, cut at the border; ``df`` is to be dealt by image."""
     into = into or col
-    df = df.withColumn(into, how(col).over(along_x().rowsBetween(-radius, radius)))
-    return df.withColumn(into, how(into).over(along_y().rowsBetween(-radius, radius)))
+    if radius <= SLIDE:
+        df = df.withColumn(into, how(col).over(along_x().rowsBetween(-radius, radius)))
+        return df.withColumn(into, how(into).over(along_y().rowsBetween(-radius, radius)))
+    if how is F.sum:
+        return running_sums(running_sums(df, {into: col}, radius, along_x()), {into: into}, radius, along_y())
+    extreme = np.minimum if how is F.min else np.maximum
+    return column_by_tiles(df, col, into, lambda a: running(running(a, radius, 1, extreme), radius, 0, extreme), radius)
 
 
 def separable_all(df: DataFrame, cols: list[str], radius: int, how) -> DataFrame:
     """``separable`` for several columns in the same two sorts."""
+    if radius > SLIDE and how is F.sum:
+        same = {c: c for c in cols}
+        return running_sums(running_sums(df, same, radius, along_x()), same, radius, along_y())
     df = df.withColumns({c: how(c).over(along_x().rowsBetween(-radius, radius)) for c in cols})
     return df.withColumns({c: how(c).over(along_y().rowsBetween(-radius, radius)) for c in cols})
 
@@ -89,7 +113,10 @@ def feather_alpha(df: DataFrame, radius: float) -> DataFrame:
         return df
     def pass_(d: DataFrame, along, pos: str, last: str) -> DataFrame:
         whole = along.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        inner = F.sum("s").over(along.rowsBetween(-r, r))
+        if r > SLIDE:
+            d, inner = running_sums(d, {"s_in": "s"}, r, along), F.col("s_in")
+        else:
+            inner = F.sum("s").over(along.rowsBetween(-r, r))
         low = F.greatest(F.lit(0), r - F.col(pos)) * F.first("s").over(whole)
         high = F.greatest(F.lit(0), F.col(pos) + r - (F.col(last) - 1)) * F.last("s").over(whole)
         return d.withColumn("s", inner + low + high)

@@ -21,6 +21,7 @@ from .operators import detect as D
 from .operators import geometry as G
 from .operators import graph as R
 from .operators import kernels as K
+from .operators import packed as TP
 from .operators import point as P
 from .operators import text as T
 from .operators import window as N
@@ -28,7 +29,7 @@ from .plans import history as H
 from .plans import pipelines as PL
 from .scratch import settled
 from .sources import images as I
-from .sources.fixtures import SQL, raster
+from .sources.fixtures import SQL, raster, tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -705,6 +706,91 @@ def _dpi(d: DataFrame) -> DataFrame:
     return files.select("image_id", F.conv(F.hex(F.substring("content", 42, 4)), 16, 10).cast("long").alias("ppm"))
 
 
+# -- packed tiles ----------------------------------------------------------------------------------------------------------------
+# on tiles of 7 places the small images of event meet every seam; mosaic is one image, larger with the table
+
+
+def by_tiles(fixture: str, op: Callable[[DataFrame], DataFrame], tile: int = 7) -> Query:
+    return lambda spark, sf: op(tiles(spark, sf, fixture, tile))
+
+
+def same_sql(name: str, op: Callable[[DataFrame], DataFrame], as_query: str) -> None:
+    """The tiled form of a registered query, beside that query's SQL."""
+    add(name, by_tiles("event", op))
+    _SQL[name] = _SQL[as_query]
+
+
+same_sql("erode_tiles_event", lambda t: TP.unpack(TP.erode_alpha(t, 2)), "erode_alpha_event")
+same_sql("dilate_tiles_event", lambda t: TP.unpack(TP.dilate_alpha(t, 2)), "dilate_alpha_event")
+same_sql("feather_tiles_event", lambda t: TP.unpack(TP.feather_alpha(t, 2)).select("image_id", "x", "y", "a"), "feather_alpha_event")
+same_sql("edge_map_tiles_event", lambda t: TP.unpack(TP.edge_map(t), ("cost",), "f8", "double").withColumn("cost", F.round("cost", 6)), "edge_map_event")
+same_sql("edge_aware_sharpen_tiles_event", lambda t: TP.unpack(TP.edge_aware_sharpen(t)), "edge_aware_sharpen_event")
+same_sql("chamfer_tiles_event", lambda t: TP.unpack(TP.chamfer(t, lambda px: px[..., 3] == 0, 100), ("dist",), "<i4"), "chamfer_event")
+same_sql("rotate_tiles_event", lambda t: digest(TP.unpack(TP.rotate_degrees(t, 30))), "rotate_degrees_event")
+same_sql("resize_contain_tiles_event", lambda t: digest(TP.unpack(TP.resize(t, 10, 6, "contain"))), "resize_contain_event")
+same_sql("resize_cover_tiles_event", lambda t: digest(TP.unpack(TP.resize(t, 7, 5, "cover"))), "resize_cover_event")
+same_sql("drop_shadow_tiles_event", lambda t: digest(TP.unpack(TP.drop_shadow(t, 3, 4, 2, "#000000", 0.5))), "drop_shadow_event")
+
+
+def banded(df: DataFrame) -> DataFrame:
+    """One checksum for 64 rows of places."""
+    return df.groupBy(F.floor(F.col("y") / 64).alias("band")).agg(F.count("*").alias("n"), F.sum(F.expr(KEY).cast("long")).alias("checksum"))
+
+
+def banded_sql(table: str) -> str:
+    return f"SELECT CAST(floor(y/64.0) AS BIGINT) AS band, count(*) AS n, CAST(sum({KEY}) AS BIGINT) AS checksum FROM {table} GROUP BY ALL"
+
+
+def mosaic(name: str, ctes: str, table: str, *, pixels: Callable[[DataFrame], DataFrame] | None = None, tiled: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    if pixels:
+        add(f"{name}_mosaic", lambda s, d: banded(pixels(raster(s, d, "mosaic"))), src("mosaic", ctes) + banded_sql(table))
+    if tiled:
+        add(f"{name}_tiles_mosaic", lambda s, d: banded(TP.unpack(tiled(tiles(s, d, "mosaic")))), src("mosaic", ctes) + banded_sql(table))
+
+
+mosaic("erode_wide", sep_sql("src", "a", 40, "min", "m", ", r, g, b") + ", o AS (SELECT image_id, x, y, r, g, b, v AS a FROM m)", "o", pixels=lambda d: N.erode_alpha(d, 40), tiled=lambda t: TP.erode_alpha(t, 40))
+
+
+def box_mean_ctes(r: int) -> str:
+    """Alpha's box mean with the border repeated, as running window sums and border values."""
+    def one(at: str, other: str, v: str, table: str, out: str) -> str:
+        w = f"PARTITION BY image_id, {other} ORDER BY {at}"
+        whole = f"({w} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        return f"{out} AS (SELECT image_id, x, y, r, g, b, sum({v}) OVER ({w} ROWS BETWEEN {r} PRECEDING AND {r} FOLLOWING)+greatest(0,{r}-{at})*first({v}) OVER {whole}+greatest(0,{at}+{r}-max({at}) OVER {whole})*last({v}) OVER {whole} AS s FROM {table})"
+
+    return one("x", "y", "a", "src", "fx") + ", " + one("y", "x", "s", "fx", "fy") + f", o AS (SELECT image_id, x, y, r, g, b, CAST(floor(s/{(2 * r + 1) ** 2}+0.5) AS INTEGER) AS a FROM fy)"
+
+
+mosaic("feather_wide", box_mean_ctes(20), "o", pixels=lambda d: N.feather_alpha(d, 20), tiled=lambda t: TP.feather_alpha(t, 20))
+mosaic("sharpen", sharpen_ctes("src", "o", 0.25), "o", tiled=lambda t: TP.sharpen(t, 0.25))
+#: The gradient by windows: joins on one image's id would pair all its places.
+_SOBEL_WINDOWS = f"""lum AS (SELECT x, y, {_LUMA6} AS l FROM src), rd AS (SELECT x, y, lead(l) OVER w-lag(l) OVER w AS d, lag(l) OVER w+2*l+lead(l) OVER w AS s FROM lum WINDOW w AS (PARTITION BY y ORDER BY x)),
+ gr AS (SELECT x, y, coalesce(sqrt(pow(lag(d) OVER w+2*d+lead(d) OVER w,2)+pow(lead(s) OVER w-lag(s) OVER w,2)),0) AS g FROM rd WINDOW w AS (PARTITION BY x ORDER BY y)), gm AS (SELECT *, max(g) OVER () AS top FROM gr)"""
+add("edge_map_tiles_mosaic", lambda s, d: (lambda e: e.groupBy(F.floor(F.col("y") / 64).alias("band")).agg(F.count("*").alias("n"), F.sum((F.round(F.col("cost") * 10000) * (F.col("x") % 7 + 1)).cast("long")).alias("checksum")))(TP.unpack(TP.edge_map(tiles(s, d, "mosaic")), ("cost",), "f8", "double")),
+    src("mosaic", _SOBEL_WINDOWS) + "SELECT CAST(floor(y/64.0) AS BIGINT) AS band, count(*) AS n, CAST(sum(round(CASE WHEN top=0 THEN 1.0 ELSE greatest(0.05, 1-sqrt(g/top)) END*10000)*(x%7+1)) AS BIGINT) AS checksum FROM gm GROUP BY ALL")
+_SIZE = "sz AS (SELECT CAST(max(x)+1 AS DOUBLE) AS w, CAST(max(y)+1 AS DOUBLE) AS h FROM src)"
+
+
+def mosaic_taps(side: str, target: int, name: str, out: str) -> str:
+    """Resampling weights of one axis whose length is a column of sz."""
+    return f"""{out}0 AS (SELECT j, k, CAST({filter_sql('((k-c)/spread)', name)} AS DOUBLE) AS w FROM (SELECT *, unnest(range(CAST(greatest(0, floor(c-{C.FILTER_RADIUS[name]}*spread)) AS BIGINT), CAST(least(n-1, ceil(c+{C.FILTER_RADIUS[name]}*spread)) AS BIGINT)+1)) AS k
+  FROM (SELECT CAST(j AS INTEGER) AS j, (j+0.5)*({side}/{target})-0.5 AS c, greatest(1.0, {side}/{target}) AS spread, {side} AS n FROM sz CROSS JOIN range({target}) t(j)))), {out} AS (SELECT j, k, w/sum(w) OVER (PARTITION BY j) AS w FROM {out}0)"""
+
+
+_RS = f"""{_SIZE}, {mosaic_taps('w', 700, 'lanczos3', 'wx')}, {mosaic_taps('h', 300, 'lanczos3', 'wy')},
+ h1 AS (SELECT image_id, j AS x, y, {', '.join(f'sum({c}*(a/255)*w) AS {c}' for c in 'rgb')}, sum(a*w) AS a FROM src JOIN wx ON k=x GROUP BY image_id, j, y),
+ v1 AS (SELECT image_id, x, j AS y, {', '.join(f'sum({c}*w) AS {c}' for c in 'rgba')} FROM h1 JOIN wy ON k=y GROUP BY image_id, x, j),
+ o AS (SELECT image_id, x, y, {', '.join('CASE WHEN a<=0 THEN 0 ELSE ' + st(f'round({c}*(255/a),6)') + f' END AS {c}' for c in 'rgb')}, CASE WHEN a<=0 THEN 0 ELSE {st('round(a,6)')} END AS a FROM v1)"""
+mosaic("resample", _RS, "o", tiled=lambda t: TP.resample(t, 700, 300))
+_SPIN = f"""{_SIZE}, pm AS (SELECT x, y, {', '.join(f'{c}*(a/255) AS {c}' for c in 'rgb')}, CAST(a AS DOUBLE) AS a FROM src),
+ bb AS (SELECT w, h, ceil(w*cos(radians(30.0))+h*sin(radians(30.0))-0.000000001) AS nw, ceil(w*sin(radians(30.0))+h*cos(radians(30.0))-0.000000001) AS nh FROM sz),
+ pl AS (SELECT *, unnest(range(CAST(nh AS BIGINT))) AS y FROM (SELECT *, unnest(range(CAST(nw AS BIGINT))) AS x FROM bb)),
+ bx AS (SELECT x, y, (x+0.5-nw/2)*cos(radians(30.0))+(y+0.5-nh/2)*sin(radians(30.0))+w/2-0.5 AS sx, -(x+0.5-nw/2)*sin(radians(30.0))+(y+0.5-nh/2)*cos(radians(30.0))+h/2-0.5 AS sy FROM pl),
+ cn AS (SELECT x, y, CAST(floor(sx) AS BIGINT)+dx AS kx, CAST(floor(sy) AS BIGINT)+dy AS ky, CASE WHEN dx=1 THEN sx-floor(sx) ELSE 1-(sx-floor(sx)) END*CASE WHEN dy=1 THEN sy-floor(sy) ELSE 1-(sy-floor(sy)) END AS wt FROM bx CROSS JOIN range(2) u(dx) CROSS JOIN range(2) v(dy)),
+ sm AS (SELECT cn.x, cn.y, {', '.join(f'coalesce(sum(pm.{c}*wt),0) AS {c}' for c in 'rgba')} FROM cn LEFT JOIN pm ON pm.x=cn.kx AND pm.y=cn.ky GROUP BY ALL),
+ o AS (SELECT x, y, {', '.join('CASE WHEN a>0 THEN ' + st(f'{c}*(255/a)') + f' ELSE 0 END AS {c}' for c in 'rgb')}, {st('a')} AS a FROM sm)"""
+mosaic("rotate", _SPIN, "o", tiled=lambda t: TP.rotate_degrees(t, 30))
+
 # -- composites ------------------------------------------------------------------------------------------------------------------
 
 _PH = L.PHOTO_AUTO

@@ -44,6 +44,16 @@ UNION ALL SELECT CAST(floor(m/256) AS INT), CAST((m+i)%16 AS INT), CAST(floor(((
 FROM (SELECT max(event_id)+1 AS m FROM {events}) CROSS JOIN (SELECT a.d*64+b.d*8+c.d AS i FROM {digits} a CROSS JOIN {digits} b CROSS JOIN {digits} c) WHERE m+i < ceil(m/256)*256
 """
 
+#: One image 1,024 places wide: a patch of 8 x 8 for each event, in rows of 128 patches; missing patches are transparent.
+MOSAIC = """
+SELECT 0 AS image_id, CAST((e.id%128)*8+dx.d AS INT) AS x, CAST(floor(e.id/128)*8+dy.d AS INT) AS y, CAST(CASE WHEN e.kind IS NULL THEN 0 ELSE (e.u*17+dx.d*9+dy.d*5)%256 END AS INT) AS r,
+ CAST(CASE WHEN e.kind IS NULL THEN 0 ELSE least(255, floor(e.v)+dx.d*dy.d) END AS INT) AS g, CAST(CASE WHEN e.kind IS NULL THEN 0 ELSE (length(e.kind)*30+dy.d*4)%256 END AS INT) AS b,
+ CASE WHEN e.kind IS NULL OR e.kind='error' THEN 0 WHEN e.kind='view' AND (dx.d+dy.d)%3=0 THEN 128 ELSE 255 END AS a
+FROM (SELECT event_id AS id, user_id AS u, value AS v, event_type AS kind FROM {events}
+ UNION ALL SELECT m+i, 0, 0, NULL FROM (SELECT max(event_id)+1 AS m FROM {events}) CROSS JOIN (SELECT a.d*64+b.d*8+c.d AS i FROM {digits} a CROSS JOIN {digits} b CROSS JOIN {digits} c) WHERE m+i < ceil(m/128)*128) e
+CROSS JOIN {digits} dx CROSS JOIN {digits} dy
+"""
+
 #: A checkerboard screenshot of 120 x 120 for each of three cell sizes: black bars, checker, a disc in the middle.
 CHECKER = """
 SELECT i.c AS image_id, xs.v AS x, ys.v AS y, p.r, p.g, p.b, 255 AS a FROM {sizes} i CROSS JOIN {line} xs CROSS JOIN {line} ys
@@ -74,6 +84,7 @@ SQL = {
     "scene": SCENE.format(part="part", digits=DIGITS),
     "embed": EMBED.format(embeddings="embeddings", digits=DIGITS, elem="embedding[x+1]"),
     "event": EVENT.format(events="events", digits=DIGITS),
+    "mosaic": MOSAIC.format(events="events", digits=DIGITS),
     "checker": CHECKER.format(sizes=_SIZES, line=_LINE),
     "rings": RINGS.format(walls=_WALLS, line=_LINE),
 }
@@ -87,6 +98,7 @@ def _spark_sql(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         "scene": lambda: SCENE.format(part=read("part"), digits=DIGITS),
         "embed": lambda: EMBED.format(embeddings=read("embeddings"), digits=DIGITS, elem="embedding[x]"),
         "event": lambda: EVENT.format(events=read("events"), digits=DIGITS),
+        "mosaic": lambda: MOSAIC.format(events=read("events"), digits=DIGITS),
         "checker": lambda: SQL["checker"],
         "rings": lambda: SQL["rings"],
     }[name]()
@@ -98,6 +110,18 @@ def _stored(app: str, sf_dir: str, name: str, spark: SparkSession) -> DataFrame:
     return settled(_spark_sql(spark, sf_dir, name), f"raster-{name}")
 
 
+@cache
+def _tiled(app: str, sf_dir: str, name: str, tile: int, spark: SparkSession) -> DataFrame:
+    from ..operators.packed import pack
+
+    return settled(pack(raster(spark, sf_dir, name), tile=tile), f"tiles-{name}")
+
+
+def tiles(spark: SparkSession, sf_dir: str, name: str, tile: int = 256) -> DataFrame:
+    """The raster as packed tiles (``operators.packed``), made once a session."""
+    return _tiled(spark.sparkContext.applicationId, sf_dir, name, tile, spark)
+
+
 def raster(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """image_id, x, y, r, g, b, a: derived once a session and kept as Parquet."""
     return _stored(spark.sparkContext.applicationId, sf_dir, name, spark)

@@ -105,8 +105,8 @@ def test_shadow(image, tiles, dx, dy, blur):
 def test_running_minimum(values, r):
     a = np.array(values, dtype=np.uint8)
     cut = [a[max(0, i - r) : i + r + 1] for i in range(len(a))]
-    assert packed.running(a, r, 0, np.minimum).tolist() == [int(c.min()) for c in cut]
-    assert packed.running(a, r, 0, np.maximum).tolist() == [int(c.max()) for c in cut]
+    assert kernels.running(a, r, 0, np.minimum).tolist() == [int(c.min()) for c in cut]
+    assert kernels.running(a, r, 0, np.maximum).tolist() == [int(c.max()) for c in cut]
     assert packed.box_sum(a, r, 0, "constant").tolist() == [int(c.sum()) for c in cut]
     p = np.pad(a, r, mode="edge").astype(int)
     assert packed.box_sum(a, r, 0, "edge").tolist() == [int(p[i : i + 2 * r + 1].sum()) for i in range(len(a))]
