@@ -141,26 +141,30 @@ def walled_blobs(df: DataFrame, cap: int) -> DataFrame:
     return per_image(df, run, "image_id long, x int, y int, label long, wall int")
 
 
-def flood_depth(tight: np.ndarray, fringe: np.ndarray, most: int) -> np.ndarray:
-    """Least depth of each place reached from the border, -1 elsewhere: 0 on tight places, one more on each fringe step."""
+def flood_depth(tight: np.ndarray, fringe: np.ndarray, most: int, rim: dict[tuple[int, int], np.ndarray] | None = None) -> np.ndarray:
+    """Least depth of each place reached from the border, -1 elsewhere: 0 on tight places, one more on each fringe step.
+
+    ``rim`` has the depths just outside by side, (-1, 0) left to (0, 1) below, beyond ``most`` where the flood is not; they are 0 if none is given.
+    """
     h, w = tight.shape
     best = np.full((h, w), most + 1, dtype=np.int64)
     todo: list[tuple[int, int, int]] = []
 
     def offer(y: int, x: int, parent: int) -> None:
-        if not fringe[y, x]:
+        if not fringe[y, x] or parent > most:
             return
         d = 0 if tight[y, x] else parent + 1
         if d <= most and d < best[y, x]:
             best[y, x] = d
             todo.append((d, y, x))
 
+    rim = rim or {s: np.zeros(h if s[0] else w, np.int64) for s in ((-1, 0), (1, 0), (0, -1), (0, 1))}
     for x in range(w):
-        offer(0, x, 0)
-        offer(h - 1, x, 0)
+        offer(0, x, int(rim[0, -1][x]))
+        offer(h - 1, x, int(rim[0, 1][x]))
     for y in range(h):
-        offer(y, 0, 0)
-        offer(y, w - 1, 0)
+        offer(y, 0, int(rim[-1, 0][y]))
+        offer(y, w - 1, int(rim[1, 0][y]))
     while todo:
         d, y, x = todo.pop()
         if d > best[y, x]:

@@ -23,6 +23,7 @@ from .operators import graph as R
 from .operators import kernels as K
 from .operators import packed as TP
 from .operators import point as P
+from .operators import relax as RX
 from .operators import text as T
 from .operators import window as N
 from .plans import history as H
@@ -791,6 +792,32 @@ _SPIN = f"""{_SIZE}, pm AS (SELECT x, y, {', '.join(f'{c}*(a/255) AS {c}' for c
  o AS (SELECT x, y, {', '.join('CASE WHEN a>0 THEN ' + st(f'{c}*(255/a)') + f' ELSE 0 END AS {c}' for c in 'rgb')}, {st('a')} AS a FROM sm)"""
 mosaic("rotate", _SPIN, "o", tiled=lambda t: TP.rotate_degrees(t, 30))
 
+
+# -- values that spread over tiles --------------------------------------------------------------------------------------------------
+
+add("depth_flood_tiles_scene", lambda s, d: TP.unpack(RX.depth_flood(tiles(s, d, "scene", 32), "#ffffff", 12, 40, 3), ("depth",), "<i4").where("depth >= 0").groupBy("image_id", "depth").agg(F.count("*").alias("n")), _SQL["depth_flood_scene"])
+
+
+def _wire_path(spark: SparkSession, sf: str) -> DataFrame:
+    cost = N.edge_map(raster(spark, sf, "event"))
+    req = cost.select("image_id").distinct().select("image_id", F.lit(1).alias("seed_x"), F.lit(2).alias("seed_y"), F.lit(13).alias("x"), F.lit(11).alias("y"))
+    p = K.live_wire_paths(cost, req).select("image_id", F.posexplode(F.reverse("path")).alias("step", "p"))
+    return p.select("image_id", "step", "p.x", "p.y")
+
+
+def _wire_tiles(spark: SparkSession, sf: str) -> DataFrame:
+    cost = settled(TP.edge_map(tiles(spark, sf, "event", 8)), "wire-cost")
+    req = cost.select("image_id").distinct().select("image_id", F.lit(1).alias("sx"), F.lit(2).alias("sy"), F.lit(13).alias("x"), F.lit(11).alias("y"))
+    return RX.cheapest_paths(cost, req).select("image_id", "step", "x", "y")
+
+
+#: Back from the target to the neighbour that gives its cost: of several the cheaper one, then the first row by row.
+_WIRE_PATH = src("event", _WIRE + """, ds AS MATERIALIZED (SELECT image_id, x, y, d FROM bf WHERE it=64),
+ pr AS MATERIALIZED (SELECT st.image_id, tx AS x, ty AS y, (list({'px': ax, 'py': ay} ORDER BY p.d, ay, ax))[1] AS w FROM st JOIN ds p ON p.image_id=st.image_id AND p.x=ax AND p.y=ay JOIN ds q ON q.image_id=st.image_id AND q.x=tx AND q.y=ty WHERE p.d+st.c=q.d GROUP BY ALL),
+ pt AS (SELECT DISTINCT image_id, 0 AS step, 13 AS x, 11 AS y FROM ds UNION ALL SELECT pt.image_id, step+1, w.px, w.py FROM pt JOIN pr ON pr.image_id=pt.image_id AND pr.x=pt.x AND pr.y=pt.y WHERE NOT (pt.x=1 AND pt.y=2))""", True) + "SELECT image_id, CAST(step AS INTEGER) AS step, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y FROM pt"
+add("live_wire_path_event", _wire_path, _WIRE_PATH)
+add("live_wire_tiles_event", _wire_tiles, _WIRE_PATH)
+
 # -- composites ------------------------------------------------------------------------------------------------------------------
 
 _PH = L.PHOTO_AUTO
