@@ -25,6 +25,7 @@ from .operators import packed as TP
 from .operators import point as P
 from .operators import relax as RX
 from .operators import text as T
+from .operators import trace as TR
 from .operators import window as N
 from .plans import history as H
 from .plans import pipelines as PL
@@ -818,6 +819,24 @@ _WIRE_PATH = src("event", _WIRE + """, ds AS MATERIALIZED (SELECT image_id, x, y
 add("live_wire_path_event", _wire_path, _WIRE_PATH)
 add("live_wire_tiles_event", _wire_tiles, _WIRE_PATH)
 
+# -- outlines --------------------------------------------------------------------------------------------------------------------------
+
+
+def _trace(spark: SparkSession, sf: str) -> DataFrame:
+    """Each dark component: its area and perimeter by its rings, outer ones and holes."""
+    d = raster(spark, sf, "scene")
+    rings = TR.rings(d.where(C.luma709() < 90))
+    start = rings.select("image_id", F.shiftright(F.shiftleft(F.col("ring"), 31), 33).cast("int").alias("x"), F.shiftright("ring", 33).cast("int").alias("y"), "area", "length")
+    return start.join(K.label_components(d, C.luma709() < 90), ["image_id", "x", "y"]).groupBy("image_id", "label").agg(F.sum("area").alias("area"), F.sum("length").alias("perimeter"), F.count_if(F.col("area") > 0).alias("around"), F.count_if(F.col("area") < 0).alias("holes"))
+
+
+#: Sides that are not shared make the perimeter; outward less inward corners are four for each ring around, less four for each hole.
+_OUTLINE = labels_ctes(_DARK, "lb") + """, nb AS (SELECT a.image_id, a.x, a.y, any_value(a.label) AS label, """ + ", ".join(f"count(*) FILTER (b.x=a.x+({dx}) AND b.y=a.y+({dy})) AS n{i}" for i, (dx, dy) in enumerate([(0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1)])) + """
+  FROM lb a LEFT JOIN lb b ON b.image_id=a.image_id AND b.x BETWEEN a.x-1 AND a.x+1 AND b.y BETWEEN a.y-1 AND a.y+1 GROUP BY a.image_id, a.x, a.y),
+ tot AS (SELECT image_id, label, count(*) AS area, sum(4-n0-n2-n4-n6) AS perimeter, sum(""" + "+".join(f"CAST(n{a}+n{b}=0 AS INTEGER)-CAST(n{a}+n{b}=2 AND n{c}=0 AS INTEGER)" for a, c, b in ((0, 1, 2), (2, 3, 4), (4, 5, 6), (6, 7, 0))) + ") AS turns FROM nb GROUP BY image_id, label)"
+add("trace_rings_scene", _trace, src("scene", _OUTLINE, True) + "SELECT image_id, label, CAST(area AS BIGINT) AS area, CAST(perimeter AS BIGINT) AS perimeter, CAST(1 AS BIGINT) AS around, CAST(1-turns//4 AS BIGINT) AS holes FROM tot")
+add("trace_refill_scene", lambda s, d: TR.filled(TR.rings(raster(s, d, "scene").where(C.luma709() < 90))).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long") * 64 + F.col("x")).alias("places")), src("scene") + f"SELECT image_id, count(*) AS n, CAST(sum(y*64+x) AS BIGINT) AS places FROM src WHERE {_DARK} GROUP BY image_id")
+
 # -- composites ------------------------------------------------------------------------------------------------------------------
 
 _PH = L.PHOTO_AUTO
