@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import IMAGES
+from .sink import save_images
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 CHANNELS = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
@@ -194,21 +195,13 @@ def encode(images: DataFrame, kind: str = "png", dpi: float | None = None) -> Da
 
 
 def write_files(encoded: DataFrame, folder: str) -> DataFrame:
-    """Writes <folder>/<name>.png from the executors (a folder all of them can reach) and returns name and bytes written."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pathlib import Path
-
-        for b in batches:
-            names, sizes = [], []
-            for name, content in zip(b.column("name").to_pylist(), b.column("content").to_pylist(), strict=True):
-                target = Path(folder) / (name if name.endswith(".png") else f"{name}.png")
-                target.parent.mkdir(parents=True, exist_ok=True)
-                target.write_bytes(content)
-                names.append(str(target))
-                sizes.append(len(content))
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(sizes, pa.int64())], names=["path", "bytes"])
-
-    return encoded.select("name", "content").mapInArrow(run, "path string, bytes long")
+    """Writes <folder>/<name>.png for every row or, if anything fails, for none (``sources.sink``); returns path and bytes of the names written."""
+    save_images(encoded, folder)
+    spark = encoded.sparkSession
+    names = encoded.select(F.concat(F.lit("/"), "name", F.when(F.lower("name").endswith(".png"), "").otherwise(".png")).alias("end")).distinct()
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", F.col("length").alias("bytes"))
+    inside = F.concat(F.lit("/"), F.substring_index("path", folder.rstrip("/").rpartition("/")[-1] + "/", -1))
+    return there.withColumn("end", inside).join(names, "end", "left_semi").drop("end")
 
 
 PROCESSED = " - text removed.png"
