@@ -1,7 +1,7 @@
 """Image files: PNG in and out, packing between images and pixels, folder scans and sinks.
 
-PNG is decoded and encoded here (8-bit grey, RGB, palette, with or without alpha, not interlaced). JPEG can be
-read by Spark's own ``image`` source; other formats raise.
+PNG is decoded here in all its colour types and depths and encoded as 8-bit RGBA. JPEG is read by Spark's own ``image`` source; other
+formats raise, or give a status row where the caller asks for it.
 """
 
 from __future__ import annotations
@@ -68,11 +68,58 @@ def encode_png(rgba: bytes, width: int, height: int) -> bytes:
     return SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def unfiltered(raw: np.ndarray, step: int) -> np.ndarray:
+    """Rows of bytes without their filters; ``raw`` has each row's filter type first, ``step`` is a pixel's bytes.
+
+    Rows that look to the left or up alone are rebuilt whole. If any takes means or Paeth's predictor, all rows go by diagonals: what
+    a byte needs lies on the two diagonals before its own.
+    """
+    h, stride = raw.shape[0], raw.shape[1] - 1
+    kinds, rows = raw[:, 0], raw[:, 1:]
+    if kinds.max(initial=0) > 4:
+        raise ValueError(f"unknown filter {kinds.max()}")
+    n = stride // step
+    out = np.zeros((h + 1, n + 1, step), np.uint8)
+    px = rows.reshape(h, n, step)
+    if not (kinds > 2).any():
+        for y in range(h):
+            out[y + 1, 1:] = px[y] if kinds[y] == 0 else np.cumsum(px[y], axis=0, dtype=np.uint8) if kinds[y] == 1 else px[y] + out[y, 1:]
+        return out[1:, 1:].reshape(h, stride)
+    for t in range(h + n - 1):
+        y = np.arange(max(0, t - n + 1), min(h, t + 1))
+        x = t - y
+        left, up, corner = (v.astype(np.int16) for v in (out[y + 1, x], out[y, x + 1], out[y, x]))
+        pa_, pb, pc = np.abs(up - corner), np.abs(left - corner), np.abs(left + up - 2 * corner)
+        paeth = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, up, corner))
+        guess = np.choose(kinds[y][:, None], [np.zeros_like(left), left, up, (left + up) // 2, paeth])
+        out[y + 1, x + 1] = px[y, x] + guess.astype(np.uint8)
+    return out[1:, 1:].reshape(h, stride)
+
+
+#: The seven passes of an interlaced file: first column and row, steps between them. Fixed values.
+PASSES = [(0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2)]
+
+
+def _samples(data: bytes, w: int, h: int, depth: int, n: int) -> tuple[np.ndarray, int]:
+    """(h, w, n) samples at their own depth from filtered rows, and the bytes that these took."""
+    stride = (w * n * depth + 7) // 8
+    size = h * (1 + stride)
+    if len(data) < size:
+        raise ValueError("image data end early")
+    rows = unfiltered(np.frombuffer(data[:size], np.uint8).reshape(h, 1 + stride), max(1, n * depth // 8))
+    if depth == 16:
+        return np.ascontiguousarray(rows).view(">u2").reshape(h, w, n).astype(np.uint16), size
+    if depth < 8:
+        bits = np.unpackbits(rows, axis=1).reshape(h, -1, depth)
+        rows = (bits * (1 << np.arange(depth - 1, -1, -1))).sum(axis=2)[:, : w * n]
+    return rows.reshape(h, w, n).astype(np.uint16), size
+
+
 def decode_png(png: bytes) -> tuple[int, int, bytes]:
-    """(width, height, RGBA bytes)."""
+    """(width, height, RGBA bytes) of any colour type and depth, interlaced or not; of 16-bit samples the upper byte."""
     if not png.startswith(SIGNATURE):
         raise ValueError("not a PNG")
-    data, palette, alpha, head = b"", b"", b"", None
+    parts, palette, alpha, head = [], b"", b"", None
     for _, kind, payload in chunks(png):
         if kind == b"IHDR":
             head = struct.unpack(">IIBBBBB", payload)
@@ -81,51 +128,44 @@ def decode_png(png: bytes) -> tuple[int, int, bytes]:
         elif kind == b"tRNS":
             alpha = payload
         elif kind == b"IDAT":
-            data += payload
+            parts.append(payload)
     if head is None:
         raise ValueError("no header")
     w, h, depth, kind, _, _, interlaced = head
-    if depth != 8 or interlaced or kind not in CHANNELS:
+    if kind not in CHANNELS or depth not in {0: (1, 2, 4, 8, 16), 3: (1, 2, 4, 8)}.get(kind, (8, 16)) or interlaced > 1 or not w or not h:
         raise ValueError(f"unsupported PNG: depth {depth}, colour type {kind}, interlace {interlaced}")
     n = CHANNELS[kind]
-    raw = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h, w * n), dtype=np.uint8)
-    prior = np.zeros(w * n, dtype=np.uint8)
-    for y in range(h):
-        mode, row = raw[y, 0], raw[y, 1:].copy()
-        if mode == 1 or mode == 3 or mode == 4:
-            line = row.astype(np.int64)
-            for i in range(w * n):
-                left = int(line[i - n]) if i >= n else 0
-                up, corner = int(prior[i]), int(prior[i - n]) if i >= n else 0
-                if mode == 1:
-                    guess = left
-                elif mode == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
-                    guess = left if a <= b and a <= c else up if b <= c else corner
-                line[i] = (int(line[i]) + guess) & 255
-            row = line.astype(np.uint8)
-        elif mode == 2:
-            row = row + prior
-        out[y] = prior = row
-    px = out.reshape(h, w, n)
+    try:
+        raw = zlib.decompress(b"".join(parts))
+    except zlib.error as e:
+        raise ValueError(f"image data: {e}") from e
+    if interlaced:
+        px, at = np.zeros((h, w, n), np.uint16), 0
+        for x0, y0, dx, dy in PASSES:
+            pw, ph = -(-(w - x0) // dx), -(-(h - y0) // dy)
+            if pw > 0 and ph > 0:
+                px[y0::dy, x0::dx], size = _samples(raw[at:], pw, ph, depth, n)
+                at += size
+    else:
+        px, _ = _samples(raw, w, h, depth, n)
     full = np.full((h, w, 4), 255, dtype=np.uint8)
     if kind == 3:
         table = np.frombuffer(palette, dtype=np.uint8).reshape(-1, 3)
+        if px.max(initial=0) >= len(table):
+            raise ValueError("a colour beyond the palette")
         full[..., :3] = table[px[..., 0]]
-        if alpha:
-            a = np.full(len(table), 255, dtype=np.uint8)
-            a[: len(alpha)] = np.frombuffer(alpha, dtype=np.uint8)
-            full[..., 3] = a[px[..., 0]]
-    elif kind in (0, 4):
-        full[..., :3] = px[..., :1]
-        if kind == 4:
-            full[..., 3] = px[..., 1]
-    else:
-        full[..., :n] = px
+        a = np.full(len(table), 255, dtype=np.uint8)
+        a[: len(alpha)] = np.frombuffer(alpha, dtype=np.uint8)[: len(table)]
+        full[..., 3] = a[px[..., 0]]
+        return w, h, full.tobytes()
+    byte = (px >> 8 if depth == 16 else px * (255 // ((1 << depth) - 1))).astype(np.uint8)
+    colours = 1 if kind in (0, 4) else 3
+    full[..., :3] = byte[..., :colours]
+    if kind in (4, 6):
+        full[..., 3] = byte[..., colours]
+    elif len(alpha) >= 2 * colours:  # one colour that is clear
+        clear = np.frombuffer(alpha[: 2 * colours], ">u2")
+        full[..., 3] = np.where((px == clear).all(axis=2), 0, 255)
     return w, h, full.tobytes()
 
 
@@ -138,14 +178,54 @@ def scan(spark: SparkSession, path: str, pattern: str = "*.png", most_bytes: int
     return files.where(F.col("length") <= most_bytes) if most_bytes else files
 
 
-def decode(files: DataFrame) -> DataFrame:
-    """images from rows with path and content; image_id is the hash of the path. A file that cannot be decoded raises."""
+def decode(files: DataFrame, errors: str = "raise") -> DataFrame:
+    """images from rows with path and content; image_id is the hash of the path.
+
+    A file that cannot be decoded raises; with ``errors`` "rows" it gives a row without pixels whose status says why (others say ok), with "skip" none.
+    """
+    names = ["image_id", "name", "width", "height", "data", "status"]
+
+    def one(content: bytes | None) -> tuple:
+        try:
+            return (*decode_png(content or b""), "ok")
+        except (ValueError, struct.error) as e:
+            if errors == "raise":
+                raise
+            return None, None, None, str(e)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            done = [decode_png(c.as_py()) for c in b.column("content")]
-            yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("name"), *[pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]], names=["image_id", "name", "width", "height", "data"])
+            done = [one(c.as_py()) for c in b.column("content")]
+            yield pa.RecordBatch.from_arrays([b.column("image_id"), b.column("name"), *[pa.array([d[i] for d in done], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]], names=names)
+
+    given = files.select(F.xxhash64("path").alias("image_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content")
+    out = given.mapInArrow(run, IMAGES + ", status string")
+    return out if errors == "rows" else (out.where("status = 'ok'") if errors == "skip" else out).drop("status")
+
 
-    return files.select(F.xxhash64("path").alias("image_id"), F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, IMAGES)
+def load_jpegs(spark: SparkSession, path: str) -> DataFrame:
+    """images of a folder's JPEG files, decoded on the JVM by Spark's image source; a file that it cannot read has no pixels and a status."""
+    d = spark.read.format("image").option("pathGlobFilter", "*.{jpg,jpeg,JPG,JPEG}").option("recursiveFileLookup", "true").load(path).select("image.*")
+    names = ["image_id", "name", "width", "height", "data", "status"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i, name, w, h, n, data in zip(*[b.column(c) for c in ("image_id", "name", "width", "height", "nChannels", "data")], strict=True):
+                w, h, n = w.as_py(), h.as_py(), n.as_py()
+                if w <= 0 or n not in (1, 3, 4):
+                    rows.append((i.as_py(), name.as_py(), None, None, None, "not an image"))
+                    continue
+                px = np.frombuffer(data.as_py(), np.uint8).reshape(h, w, n)
+                full = np.full((h, w, 4), 255, np.uint8)
+                full[..., :3] = px[..., :3][..., ::-1] if n > 1 else px
+                if n == 4:
+                    full[..., 3] = px[..., 3]
+                rows.append((i.as_py(), name.as_py(), w, h, full.tobytes(), "ok"))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)], names=names)
+
+    given = d.select(F.xxhash64("origin").alias("image_id"), F.element_at(F.split("origin", "/"), -1).alias("name"), "width", "height", "nChannels", "data")
+    return given.mapInArrow(run, IMAGES + ", status string")
 
 
 def load_images(spark: SparkSession, path: str, pattern: str = "*.png") -> DataFrame:
