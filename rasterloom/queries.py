@@ -29,8 +29,10 @@ from .operators import trace as TR
 from .operators import window as N
 from .plans import history as H
 from .plans import pipelines as PL
-from .scratch import settled
+from .scratch import folder, settled
+from .sources import audit as AU
 from .sources import images as I
+from .sources import sink as SK
 from .sources.fixtures import SQL, raster, tiles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -837,6 +839,25 @@ _OUTLINE = labels_ctes(_DARK, "lb") + """, nb AS (SELECT a.image_id, a.x, a.y, a
 add("trace_rings_scene", _trace, src("scene", _OUTLINE, True) + "SELECT image_id, label, CAST(area AS BIGINT) AS area, CAST(perimeter AS BIGINT) AS perimeter, CAST(1 AS BIGINT) AS around, CAST(1-turns//4 AS BIGINT) AS holes FROM tot")
 add("trace_refill_scene", lambda s, d: TR.filled(TR.rings(raster(s, d, "scene").where(C.luma709() < 90))).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y").cast("long") * 64 + F.col("x")).alias("places")), src("scene") + f"SELECT image_id, count(*) AS n, CAST(sum(y*64+x) AS BIGINT) AS places FROM src WHERE {_DARK} GROUP BY image_id")
 
+# -- audit of a folder ----------------------------------------------------------------------------------------------------------------
+
+
+def _audited(spark: SparkSession, sf: str) -> DataFrame:
+    """Tiles of event as files beside processed ones: erased where x + y divides by 5, without an original, or cut to another size."""
+    d = raster(spark, sf, "event")
+    i = F.col("image_id")
+    done = d.where((i % 7 != 3) | (F.col("y") < 9)).withColumn("a", F.when((F.col("x") + F.col("y") + i) % 5 == 0, 0).otherwise(F.col("a")))
+    first = I.from_pixels(d.where(i % 6 != 1)).withColumn("name", F.concat(F.lit("i"), "image_id"))
+    second = I.from_pixels(done).withColumn("name", F.concat(F.lit("i"), "image_id", F.lit(I.PROCESSED)))
+    at = folder(spark, "audit")
+    SK.save_images(I.encode(first.unionByName(second)), at)
+    return AU.audit_report(spark, at)
+
+
+add("audit_report", _audited, src("event", """e AS (SELECT image_id, a>=32 AND (x+y+image_id)%5=0 AS gone, x<16*0.05 OR x>=16*(1-0.05) OR y<16*0.10 OR y>=16*(1-0.10) AS band FROM src),
+ s AS (SELECT image_id, CASE WHEN image_id%6=1 THEN 'no original' WHEN image_id%7=3 THEN 'size differs' ELSE 'ok' END AS status, count(*) AS n, count(*) FILTER (gone) AS t, count(*) FILTER (gone AND band) AS b FROM e GROUP BY image_id)""")
+    + f"SELECT 'i' || image_id || '{I.PROCESSED}' AS name, status, CASE WHEN status='ok' THEN t END AS total_erased, CASE WHEN status='ok' THEN b END AS edge_erased, CASE WHEN status='ok' THEN b/n END AS edge_frac, CASE WHEN status='ok' THEN t/n END AS total_frac FROM s")
+
 # -- composites ------------------------------------------------------------------------------------------------------------------
 
 _PH = L.PHOTO_AUTO

@@ -25,10 +25,16 @@ def root(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """A new folder's place, cleared at the end of the session."""
+    path = f"{root(spark)}/rasterloom-{label}-{uuid.uuid4().hex}"
+    _paths[path] = spark
+    return path
+
+
 def settled(df: DataFrame, label: str) -> DataFrame:
     """Write and read back: cuts lineage, and a lost executor costs only its running tasks."""
-    path = f"{root(df.sparkSession)}/rasterloom-{label}-{uuid.uuid4().hex}"
-    _paths[path] = df.sparkSession
+    path = folder(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
