@@ -184,6 +184,15 @@ def patch_layers(layers: DataFrame, patches: DataFrame) -> DataFrame:
     return layers.join(p, "id", "left").select(*[F.coalesce(f"p_{c}", c).alias(c) if c in have and c != "id" else F.col(c) for c in layers.columns])
 
 
+def add_layers(layers: DataFrame, new: DataFrame) -> DataFrame:
+    """``layers`` and the new ones; a new one whose id is there already is left out (ids are the caller's)."""
+    return layers.unionByName(new.join(layers.select("id"), "id", "left_anti").select(layers.columns))
+
+
+def delete_layers(layers: DataFrame, ids: DataFrame) -> DataFrame:
+    return layers.join(ids.select("id"), "id", "left_anti").select(layers.columns)
+
+
 def place_layers(layers: DataFrame, font_table: DataFrame, source: tuple[int, int], target: tuple[int, int]) -> DataFrame:
     """Where each drawable layer stands on a target: empty texts and unknown fonts are skipped."""
     sx, sy = target[0] / source[0], target[1] / source[1]

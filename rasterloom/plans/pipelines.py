@@ -74,6 +74,11 @@ def tap(df: DataFrame, original: DataFrame, action: str, color: str, seeds: Data
     return N.restore_color(df, original, color, 26 if mode == "solid" else 22, 1, 50, mode).drop("restored")
 
 
+def restore_scaled(df: DataFrame, original: DataFrame, size: tuple[int, int], color: str, tolerance: float, padding: int, search_radius: int, mode: str) -> DataFrame:
+    """Restoring from an original of another size: it is brought to ``size``, that of ``df``, first."""
+    return N.restore_color(df, K.resize_images(original, *size, "stretch"), color, tolerance, padding, search_radius, mode).drop("restored")
+
+
 def extract_from_screenshot(df: DataFrame, settle: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Design pixels of the images that show a checkerboard, cropped, checker erased; other images give no rows."""
     spec = settle(D.detect_checkerboard(df))

@@ -361,13 +361,17 @@ def _restore(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     return out.groupBy("image_id").agg(F.count_if("restored").alias("restored"), F.sum(F.expr(KEY).cast("long")).alias("checksum"))
 
 
-def restore_sql(colour: tuple[int, int, int], tol: float, mode: str) -> str:
+def restore_ctes(colour: tuple[int, int, int], tol: float, mode: str, original: str = "src", search: int = 5) -> str:
+    """``res``: cur with what is near of the original's places of a colour, grown by one, brought back."""
     d = "+".join(f"(s.{c}-{v})*(s.{c}-{v})" for c, v in zip("rgb", colour, strict=True))
     new = ", ".join(f"CASE WHEN f.v=1 AND c.a<>255 THEN {v if mode == 'solid' else f's.{c}'} ELSE c.{c} END AS {c}" for c, v in zip("rgb", colour, strict=True))
-    return src("scene", _CUR + ", vis AS (SELECT image_id, x, y, CAST(a>0 AS INTEGER) AS m FROM cur), " + sep_sql("vis", "m", 5, "max", "al")
-        + f", hit AS (SELECT s.image_id, s.x, s.y, CAST(al.v=1 AND c.a<>255 AND {d}<=pow({tol},2)*195075 AS INTEGER) AS m FROM src s JOIN cur c USING (image_id, x, y) JOIN al USING (image_id, x, y)), " + sep_sql("hit", "m", 1, "max", "f")
-        + f", res AS (SELECT s.image_id, s.x, s.y, f.v=1 AND c.a<>255 AS back, {new}, CASE WHEN f.v=1 AND c.a<>255 THEN 255 ELSE c.a END AS a FROM src s JOIN cur c USING (image_id, x, y) JOIN f USING (image_id, x, y))"
-        ) + f"SELECT image_id, count(*) FILTER (back) AS restored, CAST(sum({KEY}) AS BIGINT) AS checksum FROM res GROUP BY image_id"
+    return ("vis AS (SELECT image_id, x, y, CAST(a>0 AS INTEGER) AS m FROM cur), " + sep_sql("vis", "m", search, "max", "al")
+        + f", hit AS (SELECT s.image_id, s.x, s.y, CAST(al.v=1 AND c.a<>255 AND {d}<=pow({tol},2)*195075 AS INTEGER) AS m FROM {original} s JOIN cur c USING (image_id, x, y) JOIN al USING (image_id, x, y)), " + sep_sql("hit", "m", 1, "max", "f")
+        + f", res AS (SELECT s.image_id, s.x, s.y, f.v=1 AND c.a<>255 AS back, {new}, CASE WHEN f.v=1 AND c.a<>255 THEN 255 ELSE c.a END AS a FROM {original} s JOIN cur c USING (image_id, x, y) JOIN f USING (image_id, x, y))")
+
+
+def restore_sql(colour: tuple[int, int, int], tol: float, mode: str) -> str:
+    return src("scene", _CUR + ", " + restore_ctes(colour, tol, mode)) + f"SELECT image_id, count(*) FILTER (back) AS restored, CAST(sum({KEY}) AS BIGINT) AS checksum FROM res GROUP BY image_id"
 
 
 add("restore_color_scene", lambda s, d: _restore(s, d, "solid"), restore_sql((255, 255, 255), 0.26, "solid"))
@@ -896,6 +900,18 @@ _AUTO = _BG + f""", pk AS (SELECT image_id, br, bg, bb, least(6, greatest(3, flo
  f AS (SELECT DISTINCT image_id, x, y FROM d), er AS (SELECT s.image_id, s.x, s.y, r, g, b, CASE WHEN f.x IS NULL THEN a ELSE 0 END AS a, br, bg, bb FROM sk s LEFT JOIN f ON f.image_id=s.image_id AND f.x=s.x AND f.y=s.y), """
 add("run_smart_erase_scene", on("scene", lambda d: digest(PL.smart_erase_auto(d, lambda x: settled(x, "bg")))), src("scene", _AUTO + decon_ctes("er", "dc", 0.4, ("br", "bg", "bb")), True) + digest_sql("dc"))
 add("handle_tap_scene", on("scene", lambda d: digest(PL.tap(d, d, "erase", "#ffffff", _seeds(d)))), src("scene", _SEED.split(",\n go AS")[0].replace("pow(0.12,2)", "pow(0.06,2)") + ", f AS (SELECT * FROM sf), " + _FLOODED, True) + digest_sql("res"))
+add("handle_tap_restore_scene", on("scene", lambda d: digest(PL.tap(_white_strip(d), d, "restore", "#ffffff", _seeds(d)))), src("scene", _CUR + ", " + restore_ctes((255, 255, 255), 0.26, "solid", search=50)) + digest_sql("res"))
+
+
+def _scaled(spark: SparkSession, sf: str) -> DataFrame:
+    """event, partly erased, restored from an original of a quarter of its places."""
+    d = raster(spark, sf, "event")
+    cur = d.withColumn("a", F.when((F.col("x") + F.col("y")) % 3 == 0, 0).otherwise(F.col("a")))
+    return digest(PL.restore_scaled(cur, d.where("x < 8 and y < 8"), (16, 16), "#8080c0", 40, 1, 2, "original"))
+
+
+add("restore_color_scaled_event", _scaled, src("event", "cur AS (SELECT image_id, x, y, r, g, b, CASE WHEN (x+y)%3=0 THEN 0 ELSE a END AS a FROM src), og AS (SELECT * FROM src WHERE x<8 AND y<8), "
+    + resample_ctes("og", 8, 16, "bilinear", "o2") + ", " + restore_ctes((128, 128, 192), 0.40, "original", "o2", 2)) + digest_sql("res"))
 add("render_for_print_event", on("event", lambda d: digest(PL.render_for_print(d, (16, 16), (24, 24)))), src("event", resample_ctes("src", 16, 24, "lanczos3") + ", " + edge_sharpen_ctes("rs", "es", 0.4)) + digest_sql("es"))
 add("vectorize_fallback_event", on("event", lambda d: digest(PL.vectorize_colour(d, "#8050c0", (16, 16), (32, 32), tolerance=90))),
     src("event", "ms AS (SELECT image_id, x, y, 128 AS r, 80 AS g, 192 AS b, CASE WHEN a>=128 AND (r-128)*(r-128)+(g-80)*(g-80)+(b-192)*(b-192)<=90*90 THEN 255 ELSE 0 END AS a FROM src), " + resample_ctes("ms", 16, 32, "bilinear")) + digest_sql("rs"))
@@ -982,6 +998,20 @@ add("font_shorthand", lambda s, d: L.place_layers(_layers(s, d), L.fonts(s), (20
 add("unknown_fonts", lambda s, d: L.unknown_fonts(_layers(s, d), L.fonts(s)), f"WITH {_LAY} SELECT id, font_id FROM ly WHERE font_id='lost-font'")
 add("patch_text_layers", lambda s, d: L.patch_layers(_layers(s, d), s.createDataFrame([("t1", "new", None), ("t2", None, 99.0)], "id string, text string, size double")).select("id", "text", "size"), f"WITH {_LAY} SELECT id, CASE id WHEN 't1' THEN 'new' ELSE text END AS text, CASE id WHEN 't2' THEN 99.0 ELSE size END AS size FROM ly")
 
+
+
+def _edited(spark: SparkSession, sf: str) -> DataFrame:
+    """Layers of part after additions, moves and deletions that are also rows of a table."""
+    old = _layers(spark, sf).where(~F.col("id").endswith("3"))
+    n = F.substring("id", 2, 9).cast("int")
+    new = _layers(spark, sf).where(F.col("id").endswith("3"))
+    moves = old.where(n % 4 == 0).select("id", (F.col("x") + 7.5).alias("x"), (F.col("y") - 2).alias("y"))
+    gone = old.where(n % 5 == 1).select("id")
+    return L.delete_layers(L.patch_layers(L.add_layers(old, new), moves), gone).select("id", "text", "x", "y")
+
+
+add("edit_text_layers", _edited, f"WITH {_LAY} SELECT id, text, CASE WHEN k%10<>3 AND k%4=0 THEN x+7.5 ELSE x END AS x, CASE WHEN k%10<>3 AND k%4=0 THEN y-2 ELSE y END AS y FROM ly WHERE k%10=3 OR k%5<>1")
+
 # -- critiques ---------------------------------------------------------------------------------------------------------------------
 
 _PHRASES = [
@@ -1026,6 +1056,25 @@ _APPLIED = """SELECT o_orderkey, CASE WHEN c=0 THEN least(50.0, t+CASE WHEN t<15
 _PCOLS = ["n.tolerance", "n.strategy", "n.edge_feather", "n.finish.solid_edges", "n.finish.alpha_threshold", "n.finish.choke", "n.finish.despill"]
 add("critique_apply_orders", lambda s, d: _params(s, d).select("o_orderkey", Q.apply_critique(F.col("p"), F.col("c")).alias("n")).select("o_orderkey", *_PCOLS), f"WITH {_PAR} {_APPLIED}")
 add("critique_fold_orders", lambda s, d: _params(s, d).select("o_orderkey", Q.apply_critiques(F.col("p"), F.array("c")).alias("n")).select("o_orderkey", *_PCOLS), f"WITH {_PAR} {_APPLIED}")
+
+
+def _fold_sql(most: int = 4) -> str:
+    """Two to four critiques in turn; -1 changes nothing."""
+    out, at = _PAR, "pr"
+    for i in range(most):
+        nxt = f"(SELECT o_orderkey, CASE WHEN {i + 1}<2+o_orderkey%3 THEN (o_orderkey+4*{i + 1})%9 ELSE -1 END AS c, tolerance AS t, strategy AS s, edge_feather AS f, solid_edges AS so, alpha_threshold AS th, choke AS ck, despill AS ds FROM ({_APPLIED.replace('FROM pr', 'FROM ' + at)}))"
+        out, at = f"{out}, p{i} AS {nxt}", f"p{i}"
+    return f"WITH {out} SELECT o_orderkey, t AS tolerance, s AS strategy, f AS edge_feather, so AS solid_edges, th AS alpha_threshold, ck AS choke, ds AS despill FROM {at}"
+
+
+def _folded(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    names = F.array(*[F.lit(x[0]) for x in Q.CRITIQUES])
+    ids = F.transform(F.sequence(F.lit(0), (k % 3 + 1).cast("int")), lambda i: F.element_at(names, ((k + 4 * i) % 9 + 1).cast("int")))
+    return _params(spark, sf).select("o_orderkey", Q.apply_critiques(F.col("p"), ids).alias("n")).select("o_orderkey", *_PCOLS)
+
+
+add("critique_fold_several_orders", _folded, _fold_sql())
 _N = "CAST(CAST({} AS INTEGER) AS VARCHAR)"
 _CHOKE, _THR = _N.format("greatest(0, ck-1)"), _N.format("greatest(1, th-16)")
 add("critique_explain_orders", lambda s, d: _params(s, d).select("o_orderkey", Q.explain_critique(F.col("p"), F.col("c")).alias("explanation")), f"""WITH {_PAR} SELECT o_orderkey, CASE c
