@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import dealt_join, settled, small_side, tidy
 
-BLOCK = 200
+#: Items of a block of an open bucket, and bytes of their texts; an item beyond them is a block of its own.
+BLOCK, BLOCK_BYTES = 200, 8 << 20
+#: Parts compared as bits at a time: 400 items take 50 MB.
+BITS = 1 << 20
 #: Pairs (key, id) of a part, 16 bytes each: what one task holds.
 PART_PAIRS = 2_000_000
 #: Edges that one task's union-find takes at most (about 100 MB).
@@ -116,7 +119,7 @@ def members(sketches: DataFrame) -> DataFrame:
 class Likeness:
     """How two items compare.
 
-    prepare(text, names) gives (what alike needs, the set of the item's parts, ...), parts being numbered by the shared
+    prepare(text, names) gives (what alike needs, the item's distinct parts as numbers, ...), numbered by means of the shared
     dictionary names; alike(x, y) judges two prepared items; least(n, m) is the overlap of part sets of those sizes
     below which no two items are alike (arrays in, array out).
     """
@@ -211,18 +214,40 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct())
 
 
-def bit_sets(items: list[frozenset[int]], width: int) -> np.ndarray:
+def bit_sets(items: list[np.ndarray], width: int) -> np.ndarray:
     """Sets of numbers below ``width`` as rows of bits, 64 to a word."""
     bits = np.zeros((len(items), -(-max(width, 1) // 64)), dtype=np.uint64)
-    for i, parts in enumerate(items):
-        at = np.fromiter(parts, dtype=np.int64, count=len(parts))
+    for i, at in enumerate(items):
         np.bitwise_or.at(bits[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
     return bits
 
 
+def shared_parts(parts: list[np.ndarray], pairs: list[tuple[int, np.ndarray]]) -> list[np.ndarray]:
+    """For each (i, others) the number of parts that item i shares with each of the others; BITS parts at a time are bits."""
+    flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    _, number, times = np.unique(flat, return_inverse=True, return_counts=True)
+    width = int((times > 1).sum())
+    dense = np.where(times > 1, np.cumsum(times > 1) - 1, -1)[number]  # a part of one item is shared by none
+    cut = np.split(dense, np.cumsum([len(p) for p in parts])[:-1])
+    cut = [np.sort(c[c >= 0]) for c in cut]
+    out = [np.zeros(len(others), np.int64) for _, others in pairs]
+    for start in range(0, width, BITS):
+        bits = bit_sets([c[np.searchsorted(c, start) : np.searchsorted(c, start + BITS)] - start for c in cut], min(BITS, width - start))
+        for (i, others), n in zip(pairs, out, strict=True):
+            n += np.bitwise_count(bits[others] & bits[i]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
-    """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, members (of the bucket)."""
-    cut = rest.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, members (of the bucket).
+
+    A bucket is cut into blocks by its items and by the bytes of their texts, whichever asks for more.
+    """
+    sizes = payload.select("id", F.octet_length("text").alias("bytes"))
+    heavy = rest.join(sizes, "id").groupBy("bh").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).where(F.col("bytes") > BLOCK_BYTES)
+    rest = dealt_join(rest, settled(heavy, "heavy"), "bh", "id", "left")
+    need = F.greatest(F.col("members") / BLOCK, F.coalesce("bytes", F.lit(0)) / BLOCK_BYTES)
+    cut = rest.withColumn("blocks", F.ceil(need).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root"
     )
@@ -255,14 +280,15 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                 for j in right:
                     compare(i, j)
             return out
-        size, root, other = np.array([len(x[1]) for x in items]), np.array(roots), np.array(right)
-        bits = bit_sets([x[1] for x in items], len(names))
+        parts = [np.fromiter(x[1], dtype=np.int64, count=len(x[1])) for x in items]
+        size, root, other = np.array([len(x) for x in parts]), np.array(roots), np.array(right)
+        pairs = []
         for i in left:
             apart = other[root[other] != root[i]]  # of a large class only the few others are looked at
             if same:
                 apart = apart[apart > i]
-            apart = apart[np.minimum(size[apart], size[i]) >= like.least(size[i], size[apart])]
-            both = np.bitwise_count(bits[apart] & bits[i]).sum(axis=1, dtype=np.int64)
+            pairs.append((i, apart[np.minimum(size[apart], size[i]) >= like.least(size[i], size[apart])]))
+        for (i, apart), both in zip(pairs, shared_parts(parts, pairs), strict=True):
             for j in apart[both >= like.least(size[i], size[apart])]:
                 compare(i, int(j))
         return out

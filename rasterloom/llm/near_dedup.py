@@ -5,29 +5,23 @@ occurrence number, so that repeats count. A sketch element takes, under one hash
 labelled k-mers and keeps them in text order: two documents share it only if the same k-mers are minimal and stand
 in the same order, which makes it sensitive to edit similarity. ``ELEMENTS`` such elements are the bucket keys.
 
-Candidates are verified by an alignment of their words in order. The chain of k-mers in common (longest common subsequence, found as
-a longest increasing subsequence, since labels make k-mers unique), within the band of diagonals that the similarity
-allows, anchors it; the words between two anchors are aligned by the longest common subsequence (bit-parallel; in gaps of more
-than ``GAP`` words on either side, by their labelled words). Two documents are linked if
-
-- aligned words / (n + m - aligned words) >= 0.8, n and m being the words of the two, and
-- the chain has two k-mers or more, and aligned k-mers / (k-mers of both - aligned k-mers) > 0.4.
-
-The second condition is what candidates are found by. If s of u k-mers are common and in order, an element is shared with odds
-s (s - 1) / (u (u - 1)); the least over all links is 1/7 (3 of 7; 0.16 for long texts), so every link's pair
-meets with probability 1 - (6/7) ** ELEMENTS = 0.915 or more, 0.938 for long texts, and over 0.9996 where one word in 20 was replaced at random. Words
-replaced at random keep the link up to about one in ten. Classes come from the distributed
+Candidates are verified by an alignment of their words in order, the longest common subsequence: two documents of n and m words are linked if
+aligned / (n + m - aligned) >= 0.8. The alignment is exact whatever the length: bit vectors run over blocks of ``WIDTH`` words, within the band of
+diagonals that an alignment of that similarity can reach. Its upper bound, the words in common with their occurrence numbers, is looked at first.
+
+If s of u k-mers are common and in order, an element is shared with odds s (s - 1) / (u (u - 1)), so pairs meet with probability
+1 - (1 - those odds) ** ELEMENTS: of pairs that align at 0.8 with one word in ten replaced, dropped or added at random, more than 0.93 from 20 words on, and
+0.98 and more with one in 20. A pair without two k-mers in common never meets by itself: edits spread evenly over a text of ten words leave none.
+Inside a bucket that is settled, every two items are compared. Classes come from the distributed
 union-find and keep the row with the smallest doc_id (nulls last, then any one of equal rows).
 
 Defined cases: a null text is empty; texts equal in lower-cased words, those without words among them,
-are copies; texts of fewer than 5 words have one k-mer, all their words, so they have equal copies alone; repeated rows are copies, of which one
+are copies; texts of fewer than 6 words have one k-mer, all their words or those five, so they meet equal copies alone; repeated rows are copies, of which one
 row stays; an empty table gives no rows. Texts are told apart by 64-bit hashes (BLAKE2b).
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
 from zlib import crc32
@@ -41,10 +35,11 @@ from . import buckets
 from .common import dealt_join, fresh, settled, small_batches, text_or_empty, tidy
 
 K = 5
-ELEMENTS, PICK = 16, 2
-#: Least similarity in words, and what the similarity in k-mers is to pass.
-THRESHOLD, CHAIN = 0.8, 0.4
-GAP = 4096
+ELEMENTS, PICK = 32, 2
+#: Least similarity of the words in order.
+THRESHOLD = 0.8
+#: Words in a block of the alignment: bits of a vector.
+WIDTH = 16_384
 CHUNK = 1 << 21
 #: Rows of a broadcast side, of two integers: 4 MB.
 SMALL = 100_000
@@ -60,108 +55,64 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def labelled(grams: list) -> list[tuple]:
-    """Each k-mer with the number of equal ones before it."""
-    seen: dict = defaultdict(int)
-    out = []
-    for g in grams:
-        out.append((g, seen[g]))
-        seen[g] += 1
-    return out
-
-
-def kmers(words: list[bytes]) -> list[tuple]:
-    if not words:
-        return []
-    return labelled(list(zip(*(words[j:] for j in range(K)), strict=False)) if len(words) >= K else [tuple(words)])
-
-
-def chain(a: list[int], b: list[int], band: int) -> list[tuple[int, int]]:
-    """Places (i, j) of the labelled k-mers of a and b in one order, at most ``band`` places apart; no number stands twice in a text."""
-    at = {g: j for j, g in enumerate(b)}
-    tails: list[int] = []  # the least last j of a chain of each length, and which pair that is
-    ends: list[int] = []
-    pairs: list[tuple[int, int]] = []
-    before: list[int] = []
-    for i, g in enumerate(a):
-        j = at.get(g)
-        if j is None or abs(i - j) > band:
-            continue
-        n = len(tails) if not tails or j > tails[-1] else bisect_left(tails, j)
-        before.append(ends[n - 1] if n else -1)
-        pairs.append((i, j))
-        if n == len(tails):
-            tails.append(j)
-            ends.append(len(pairs) - 1)
-        else:
-            tails[n], ends[n] = j, len(pairs) - 1
-    out = []
-    p = ends[-1] if ends else -1
-    while p >= 0:
-        out.append(pairs[p])
-        p = before[p]
-    return out[::-1]
-
-
-def common_words(a: list[bytes], b: list[bytes]) -> int:
-    """Words of a and b in one order: the longest common subsequence, by Hyyrö's bit vectors; of labelled words in long gaps."""
-    if not a or not b:
-        return 0
-    if max(len(a), len(b)) > GAP:
-        return len(chain(labelled(a), labelled(b), len(a) + len(b)))
-    at: dict[bytes, int] = {}
-    for j, w in enumerate(b):
-        at[w] = at.get(w, 0) | 1 << j
-    full = (1 << len(b)) - 1
-    v = full
-    for w in a:
-        if u := v & at.get(w, 0):
-            v = (v + u | v - u) & full
-    return len(b) - v.bit_count()
-
-
-def aligned_words(a: list[bytes], b: list[bytes], anchors: list[tuple[int, int]]) -> int:
-    """Words of a and b aligned through the anchors, places of common k-mers in order."""
-    k = min(K, len(a), len(b))
-    i = j = total = 0
-    for x, y in anchors:
-        s = max(i - x, j - y, 0)  # words of this k-mer that the one before has taken
-        if x + s > i and y + s > j:
-            total += common_words(a[i : x + s], b[j : y + s])
-        total += k - s
-        i, j = x + k, y + k
-    return total + common_words(a[i:], b[j:])
+def common_words(a: list[int], b: list[int], ahead: int | None = None, behind: int | None = None) -> int:
+    """Words of a and b in one order, the longest common subsequence, by Hyyrö's bit vectors.
+
+    An alignment that pairs a[i] with b[j] only for -behind <= i - j <= ahead is found whole; without bounds every one is.
+    b is cut into blocks, from each to the next of which a row hands one bit.
+    """
+    ahead, behind = len(a) if ahead is None else ahead, len(b) if behind is None else behind
+    carry = bytearray(len(a))
+    total = 0
+    for start in range(0, len(b), WIDTH):
+        block = b[start : start + WIDTH]
+        at: dict[int, int] = {}
+        for j, w in enumerate(block):
+            at[w] = at.get(w, 0) | 1 << j
+        full = (1 << len(block)) - 1
+        v = full
+        # before the band nothing of this block is aligned yet: a row's bit passes through; behind it no bits come
+        for i in range(max(0, start - behind), min(len(a), start + len(block) + ahead)):
+            u = v & at.get(a[i], 0)
+            if u or carry[i]:
+                s = v + u + carry[i]
+                carry[i] = s > full
+                v = (s | v - u) & full
+        total += len(block) - v.bit_count()
+    return total
 
 
 def least_overlap(n, m):
-    """The k-mers that two linked texts of n and m k-mers share at least."""
-    return np.maximum(np.floor((n + m) * CHAIN / (1 + CHAIN) + 1e-9) + 1, 2)
+    """The words that two linked texts of n and m words align at least."""
+    return np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9)
 
 
-def prepare(text: str, names: dict) -> tuple[list[int], frozenset[int], list[bytes]]:
-    """The labelled k-mers as numbers by ``names``, in order and as a set, and the words."""
+def prepare(text: str, names: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The words as numbers by ``names``, in order, and sorted with each one's occurrence number."""
     words = words_of(text)
-    grams = [names.setdefault(g, len(names)) for g in kmers(words)]
-    return grams, frozenset(grams), words
+    w = np.fromiter((names.setdefault(x, len(names)) for x in words), dtype=np.int64, count=len(words))
+    ranked = np.sort(w)
+    return w.astype(np.int32), (ranked << 32) + np.arange(len(w)) - np.searchsorted(ranked, ranked)
 
 
 def alike(x: tuple, y: tuple) -> bool:
     """Whether two prepared texts are linked."""
-    if (len(x[2]), x[2]) > (len(y[2]), y[2]):
-        x, y = y, x  # the same anchors whichever comes first
-    words = len(x[2]) + len(y[2])
-    if x[2] == y[2]:
+    if len(x[0]) > len(y[0]):
+        x, y = y, x
+    a, b = x[0], y[0]
+    n, m = len(a), len(b)
+    if n == m and np.array_equal(a, b):
         return True
-    if len(x[2]) < THRESHOLD * len(y[2]):
-        return False
-    least = int(least_overlap(len(x[0]), len(y[0])))
-    if len(x[1] & y[1]) < least:  # no alignment holds more than the k-mers in common
-        return False
-    # an alignment of `least` leaves so many unaligned on either side, which bounds its shift
-    anchors = chain(x[0], y[0], len(y[0]) - least)
-    if len(anchors) < least:
+    least = int(least_overlap(n, m))
+    if n < least or len(np.intersect1d(x[1], y[1], assume_unique=True)) < least:
         return False
-    return (1 + THRESHOLD) * aligned_words(x[2], y[2], anchors) >= THRESHOLD * words - 1e-9
+    # equal ends are aligned in some longest alignment
+    differ = np.flatnonzero(a != b[:n])
+    head = int(differ[0]) if len(differ) else n
+    differ = np.flatnonzero(a[head:][::-1] != b[m - n + head :][::-1])
+    tail = int(differ[0]) if len(differ) else n - head
+    # an alignment of `least` words leaves n - least and m - least alone, which bounds its shift
+    return head + tail + common_words(a[head : n - tail].tolist(), b[head : m - tail].tolist(), n - least, m - least) >= least
 
 
 def similar(x: str, y: str) -> bool:
@@ -191,15 +142,22 @@ def element_keys(words: list[bytes]) -> np.ndarray:
         label = np.empty(n, dtype=np.uint64)
         label[order] = nth
         g = g + label * np.uint64(0xD6E8FEB86659FD93)
-    out = np.empty(ELEMENTS, dtype=np.uint64)
-    pick = min(PICK, n)
-    for e in range(ELEMENTS):
-        h = g * _MUL[e] + _ADD[e]
+    out = np.zeros(ELEMENTS, dtype=np.uint64)
+    slab = max(1, CHUNK // 8 // n)  # elements at a time
+    for e in range(0, ELEMENTS, slab):
+        h = g[None, :] * _MUL[e : e + slab, None] + _ADD[e : e + slab, None]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
-        at = np.sort(np.argpartition(h, pick - 1)[:pick]) if n > pick else np.arange(n)
-        s = (h[at] * _PLACE[: len(at)]).sum(dtype=np.uint64) ^ np.uint64(e)
-        out[e] = s
+        rows = np.arange(len(h))
+        at = np.empty((len(h), min(PICK, n)), dtype=np.int64)
+        kept = np.empty(at.shape, dtype=np.uint64)
+        for p in range(at.shape[1]):
+            at[:, p] = h.argmin(axis=1)
+            kept[:, p] = h[rows, at[:, p]]
+            h[rows, at[:, p]] = np.uint64(2**64 - 1)
+        kept = np.take_along_axis(kept, np.argsort(at, axis=1), axis=1)
+        out[e : e + slab] = (kept * _PLACE[: at.shape[1]]).sum(axis=1, dtype=np.uint64)
+    out ^= np.arange(ELEMENTS, dtype=np.uint64)
     out ^= out >> np.uint64(33)
     return (out * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
