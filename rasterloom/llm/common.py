@@ -21,6 +21,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 _scratch: dict[str, SparkSession] = {}
+_tables: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,9 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _drop_all() -> None:
+    for name, spark in _tables.items():
+        with contextlib.suppress(Exception):  # the session has ended, its catalog with it
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
     for path, spark in list(_scratch.items()):
         try:
             drop_path(spark, path)
@@ -78,6 +82,28 @@ def settled(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of Parquet in a bucket, and the most buckets (of 100 TB, 5 GB each, read as a stream).
+BUCKET_BYTES, BUCKETS = 32 << 20, 20_000
+
+
+def bucketed(df: DataFrame, key: str, label: str) -> DataFrame:
+    """``df`` as a table on the shared folder, dealt by ``key`` into buckets: joins by ``key`` move their other side alone, whatever the size.
+
+    The rows are written once before they are dealt, so that a repeated task cannot number them anew.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    length = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+    n = min(BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-length // BUCKET_BYTES)))
+    name, rows = f"rasterloom_{uuid.uuid4().hex}", spark.read.schema(df.schema).parquet(path)
+    rows.repartition(n, F.col(key)).write.bucketBy(n, key).option("path", scratch_path(spark, label + "-dealt")).format("parquet").saveAsTable(name)
+    _tables[name] = spark
+    drop_path(spark, path)
+    return spark.table(name)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

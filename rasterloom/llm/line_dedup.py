@@ -6,9 +6,9 @@ bring pairs of similarity 0.8 together with probability 0.995 (0.9999 at 0.87).
 exact Jaccard similarity of their shingle sets, and classes come from the distributed union-find. A class keeps
 its first line by (doc_id, text hash, line number, row), nulls last. Lines shorter than a shingle match when equal.
 
-Rows are numbered in a copy on the shared folder. The first pass over it turns texts into hashes, the second one takes the lost
-line numbers of a row and drops them. Those numbers are broadcast only if they are ``BYTES`` at most,
-and joined by row otherwise.
+Rows are numbered and dealt by their number into buckets of a table on the shared folder: texts are shuffled there, once. A pass over it turns texts
+into hashes, a second one takes the lines to compare, a third one drops the lost lines; of the last two, only line numbers
+are shuffled to the buckets. Nothing depends on a size.
 
 Lines are told apart by 64-bit hashes (BLAKE2b). Defined cases: a null text stays null; blank lines stay as they
 are; of rows equal in doc_id and text, or in text without a doc_id, one keeps the lines; a text whose lines all go becomes
@@ -26,14 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import dealt_join, fresh, settled, small_batches, tidy
+from .common import bucketed, dealt_join, fresh, settled, small_batches, tidy
 
 SHINGLE = 8
 BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 CHUNK = 1 << 21
-#: Of a broadcast side, as Spark estimates a row: 24 bytes and its arrays.
-BYTES = 64 << 20
 
 _RNG = np.random.default_rng(4)
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -152,16 +150,10 @@ def sketch_lines(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), f"row long, doc_id {kind}, th long, line int, id long, {buckets.SKETCH}")
 
 
-def _by_row(numbers: DataFrame, values: str, width: int) -> DataFrame:
-    """``numbers`` (a row number and an array of values of that width), for broadcast if they are few."""
-    found = numbers.agg(F.sum(F.size(values) * width + 24)).first()[0] or 0
-    return F.broadcast(numbers) if found <= BYTES else numbers
-
-
 def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """id, text: the normalised lines at the places (row, line, id)."""
-    wanted = settled(places.groupBy("row").agg(F.collect_list(F.struct("line", "id")).alias("want")), "op4-want")
-    rows = docs.select("row", "text").join(_by_row(wanted, "want", 32), "row")
+    """id, text: the normalised lines at the places (row, line, id); a bucket's places are the side held, its texts pass."""
+    wanted = places.groupBy("row").agg(F.collect_list(F.struct("line", "id")).alias("want"))
+    rows = docs.select("row", "text").join(wanted.hint("shuffle_hash"), "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +169,7 @@ def _fetch(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 def lost_lines(docs: DataFrame) -> DataFrame:
-    """row, lost: sorted numbers of the lines that go, for each row that loses any; ``docs`` has row, doc_id, text."""
+    """row, lost: sorted numbers of the lines that go, for each row that loses any; ``docs`` has row, doc_id, text and is bucketed by row."""
     rows = settled(sketch_lines(docs), "op4-lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th", "line", "row")
     found = settled(buckets.members(rows.select("id", "bands", "links")), "op4-members")
@@ -198,9 +190,9 @@ def lost_lines(docs: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, *, counts: bool = True) -> DataFrame:
     """``docs`` with deduplicated text, and with ``counts`` the columns n_lines and n_lost (int)."""
     row, lost, made = fresh("row", docs.columns), fresh("lost", docs.columns), ("n_lines", "n_lost") if counts else ()
-    plain = settled(docs.withColumn(row, F.monotonically_increasing_id()), "op4-docs")
+    plain = bucketed(docs.withColumn(row, F.monotonically_increasing_id()), row, "op4-docs")
     gone = settled(lost_lines(plain.select(F.col(row).alias("row"), "doc_id", "text")), "op4-lost").select(F.col("row").alias(row), F.col("lost").alias(lost))
-    rows = plain.join(_by_row(gone, lost, 4), row, "left")
+    rows = plain.join(gone.hint("shuffle_hash"), row, "left")
     lines = F.split("text", "\n", -1)
     kept = F.when(F.col(lost).isNull(), F.col("text")).otherwise(
         F.concat_ws("\n", F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(lost, i), x)), lambda x: x.isNotNull()))

@@ -332,6 +332,20 @@ def test_line_dedup_defined_cases(spark):
     assert line_dedup.dedup_lines(clash, counts=False).select(*clash.columns).count() == 6
 
 
+def test_texts_are_not_shuffled_to_line_numbers(spark, paged):
+    """Above the table that deals the texts, exchanges carry numbers alone, with broadcasts off as well."""
+    docs = spark.createDataFrame(paged, "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = line_dedup.dedup_lines(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        rows = sorted(map(tuple, out.collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Exchange") == 1 and "Bucketed: true" in plan and "ShuffledHashJoin" in plan
+    assert rows == sorted(map(tuple, line_dedup.dedup_lines(docs).collect()))
+
+
 def test_copies_without_ids_keep_one(spark):
     docs = spark.createDataFrame([(None, "one line\nanother line")] * 40 + [(7, "one line")], "doc_id long, text string").repartition(3)
     out = line_dedup.dedup_lines(docs).collect()
