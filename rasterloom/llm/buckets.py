@@ -241,16 +241,32 @@ def shared_parts(parts: list[np.ndarray], pairs: list[tuple[int, np.ndarray]]) -
 def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
     """a, b: links between items of one bucket that are not in one class yet; rest has bh, id, root, members (of the bucket).
 
-    A bucket is cut into blocks by its items and by the bytes of their texts, whichever asks for more.
+    A bucket is cut into blocks by its items and by the bytes of their texts, whichever asks for more. A class that fills more than one
+    block has blocks of its own, no two of which meet, so that the items of a large class go to the blocks of the others alone.
     """
+    need = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int")
+    place = F.xxhash64("bh", "root")
     sizes = payload.select("id", F.octet_length("text").alias("bytes"))
-    heavy = rest.join(sizes, "id").groupBy("bh").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).where(F.col("bytes") > BLOCK_BYTES)
-    rest = dealt_join(rest, settled(heavy, "heavy"), "bh", "id", "left")
-    need = F.greatest(F.col("members") / BLOCK, F.coalesce("bytes", F.lit(0)) / BLOCK_BYTES)
-    cut = rest.withColumn("blocks", F.ceil(need).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root"
-    )
+    parts = rest.join(sizes, "id").groupBy("bh", "root").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"), F.max("members").alias("members"))
+    parts = settled(parts.select(place.alias("part"), "bh", "root", "n", "bytes", "members", need.alias("own")), "parts")
+    mixed = parts.where("own = 1").groupBy("bh").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.count("*").alias("rows"), F.max("members").alias("members"))
+    mixed = settled(mixed.select("bh", F.col("rows").alias("n"), "members", need.alias("mixed")), "mixed")
+    parts = settled(dealt_join(parts, mixed.select("bh", "n", "mixed"), "bh", "part", "left"), "parts")
+    alone, blocks = F.col("own") > 1, F.when(F.col("own") > 1, F.col("own")).otherwise(F.col("mixed"))
+
+    def block(i):
+        return F.when(alone, F.xxhash64("root", i)).otherwise(i.cast("long"))
+
+    listed = parts.where(alone).select("bh", "members", "root", "own", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"))
+    listed = listed.select("bh", "members", F.struct(block(F.col("i")).alias("block"), F.col("root").alias("of")).alias("b"))
+    shared = mixed.select("bh", "members", F.explode(F.sequence(F.lit(0), F.col("mixed") - 1)).alias("i"))
+    listed = listed.unionByName(shared.select("bh", "members", F.struct(F.col("i").cast("long").alias("block"), F.lit(None).cast("long").alias("of")).alias("b")))
+    listed = settled(listed.groupBy("bh").agg(F.max("members").alias("n"), F.collect_list("b").alias("all")), "blocks")
+    cut = dealt_join(rest.withColumn("part", place).select("part", "bh", "id", "root"), parts.select("part", "n", "own", "mixed"), "part", "id")
+    cut = cut.select("bh", "id", "root", block(F.pmod(F.xxhash64("id"), blocks).cast("int")).alias("own"), F.when(alone, F.col("root")).alias("of"))
+    met = F.filter("all", lambda b: F.col("of").isNull() | b["of"].isNull() | (b["of"] != F.col("of")))["block"]
+    dealt = dealt_join(cut, listed, "bh", "id").select("bh", "own", "id", "root", F.explode(met).alias("other"))
+    dealt = dealt.select("bh", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "root")
 
     def settle(rows: list[tuple], same: bool) -> list[tuple[int, int]]:
         """The links of one pair of blocks; rows are (own, id, root, text), same if the two blocks are one."""

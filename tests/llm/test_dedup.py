@@ -226,6 +226,24 @@ def test_large_bucket_of_unlike_items_is_settled(spark):
     assert set(roots) == set(range(n)) and len(set(roots.values())) == 1
 
 
+def test_large_class_meets_only_the_others(spark, monkeypatch):
+    """Hundreds of items of one class and some others in two open buckets, in small blocks: the classes are those of all links."""
+    monkeypatch.setattr(buckets, "BLOCK", 7)
+    n = 260
+    rows = [(h, 0, i) for h in (1, 2) for i in range(1, n)]
+    found = spark.createDataFrame(rows, "bh long, lead long, id long")
+    payload = spark.createDataFrame([(i, str(i)) for i in range(n)], "id long, text string")
+
+    def alike(a, b):  # most are like 0; 200 to 229 form a class of their own, 230 and 231 belong to 5, the others to none
+        a, b = sorted((a[0], b[0]))
+        return b < 200 or (200 <= a and b < 230) or (a, b) in ((5, 230), (229, 240), (230, 231))
+
+    like = buckets.Likeness(lambda t, names: (int(t), frozenset()), alike, lambda n, m: 0 * m)
+    roots = {r["id"]: r["root"] for r in buckets.classes(found, payload, like).collect()}
+    want = {i: 0 for i in (*range(200), 230, 231)} | {i: 200 for i in (*range(200, 230), 240)}
+    assert roots == want
+
+
 def test_long_texts_of_one_bucket_are_cut_by_bytes(spark, monkeypatch):
     """Long unlike texts with one passage in common, and near copies among them, in blocks of few bytes."""
     monkeypatch.setattr(buckets, "BLOCK_BYTES", 200_000)
