@@ -1,17 +1,23 @@
 """LM scoring: a hidden Markov language model trained by Baum-Welch, with exact forward likelihoods.
 
 Tokens are ASCII-lower-cased words and one end for each text. Words are counted over all training texts. The
-``head`` most frequent words are known to every task as one bounded dictionary; all other words are looked up
-by a distributed join with the full counts. The model emits symbols: the ``symbols`` most frequent words (the end
-among them), and classes of all other words by their last three bytes. A word of a class then
-has probability (c + 0.5) / (n + 0.5 * (v + 1)) in it, c being its count, n and v the class's words and distinct
-words in training, as in the base score; so every text, with unknown words, has an exact probability.
+``head`` most frequent words (the end among them) are known to every task as one bounded dictionary, with a
+row of the emission table each. Every other word of the training texts has its emissions too, as a row of a
+distributed table of (word, state) that grows with the corpus and is joined with the texts; tasks and driver
+hold sums of such words by class alone, a class being the words with equal hash of the last three bytes. A
+word that the training texts lack has the emission of its class's one unknown word.
+
+With E(w, j) the expected count of word w in state j, c its count, g the shares of its class's expected counts
+by state: w's profile is p(j) = (E(w, j) + TAU g(j)) / (c + TAU), and a state that emits the class emits w in
+it with (c + 0.5) p(j) / Z(j), the unknown word with 0.5 g(j) / Z(j), where Z sums these over the class. So all words and,
+for each class, one unknown one make a distribution in each state, and every text has an exact probability.
 
 Each Baum-Welch pass runs over all training tokens: every task sums expected counts by numpy over segments of
 ``SEGMENT`` tokens, Spark adds the tasks' sums by symbol, and the driver normalises a table of fixed size
 (symbols x states). A segment's recursions also run over the ``OVERLAP`` tokens before and after it, whose counts belong to its neighbours,
 so every token and every step of a text is counted once, with its context. Passes end when the training likelihood gains less than ``GAIN`` a
-token, after ``max_passes`` at the latest. The starting point comes from a
+token, after ``max_passes`` at the latest. A class's words share one profile until the last pass, when posteriors need the class
+alone; that pass sums expected counts by word as well. The starting point comes from a
 mixture of unigrams fitted to a bounded sample (``SEED_SEGMENTS`` segments from anywhere in the training texts), which only breaks the symmetry. Scoring
 runs the scaled forward recursion over whole texts, many side by side, each step for all texts still going.
 
@@ -29,7 +35,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold_of, hashed_sample, heaviest, settled, small_batches, text_or_empty
@@ -46,6 +52,8 @@ GAIN = 0.002
 TOKENS = 600_000
 #: Weight of the overall distribution in a state's emissions, in tokens.
 PRIOR = 500.0
+#: Weight of its class's profile in a word's, in tokens.
+TAU = 1.0
 
 
 def words_of(text: str) -> list[bytes]:
@@ -57,13 +65,18 @@ def tail_class(word: bytes, classes: int) -> int:
     return crc32(word[-3:]) % classes
 
 
+def class_of(classes: int) -> Column:
+    """The same for a column ``word``."""
+    return (F.crc32(F.expr("substring(encode(word, 'UTF-8'), -3)")) % classes).cast("int")
+
+
 @dataclass
 class Lexicon:
     """What a task knows of the training counts: the head words, and the classes of the rest."""
 
     at: dict[bytes, int]
     counts: np.ndarray  # of head words, by rank
-    symbols: int
+    symbols: int  # the number of head words; classes come after them
     classes: int
     class_words: np.ndarray  # n of each class
     class_kinds: np.ndarray  # v of each class
@@ -75,7 +88,7 @@ class Lexicon:
         return self.symbols + self.classes
 
     def symbol_share(self) -> np.ndarray:
-        n = np.concatenate([np.pad(self.counts[: self.symbols].astype(float), (0, max(0, self.symbols - len(self.counts)))), self.class_words]) + 0.5
+        n = np.concatenate([self.counts.astype(float), self.class_words]) + 0.5
         return n / n.sum()
 
 
@@ -109,37 +122,37 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def lexicon(counts: DataFrame, *, head: int, symbols: int, classes: int) -> Lexicon:
-    rows = heaviest(counts.where(F.col("word") != END.decode()), "c", head).toPandas().sort_values(["c", "word"], ascending=[False, True])
+def lexicon(counts: DataFrame, *, head: int, classes: int) -> Lexicon:
+    rows = heaviest(counts.where(F.col("word") != END.decode()), "c", head - 1).toPandas().sort_values(["c", "word"], ascending=[False, True])
     n_end = counts.where(F.col("word") == END.decode()).agg(F.sum("c")).first()[0] or 0
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     names = [END, *(w.encode() for w in rows["word"])]
     c = np.array([n_end, *rows["c"]], dtype=np.int64)
-    # all words by the class of their last three bytes, the symbols' share taken off
-    by = counts.where(F.col("word") != END.decode()).groupBy((F.crc32(F.expr("substring(encode(word, 'UTF-8'), -3)")) % classes).cast("int").alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    # all words by class, the head's share taken off
+    by = counts.where(F.col("word") != END.decode()).groupBy(class_of(classes).alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
     n, v = np.zeros(classes), np.zeros(classes)
     n[by["k"]], v[by["k"]] = by["n"], by["v"]
-    for w, k in zip(names[1:symbols], c[1:symbols], strict=False):
+    for w, k in zip(names[1:], c[1:], strict=True):
         n[tail_class(w, classes)] -= k
         v[tail_class(w, classes)] -= 1
-    return Lexicon({w: i for i, w in enumerate(names)}, c, symbols, classes, n, v, int(total["n"] or 0), int(total["v"]))
+    return Lexicon({w: i for i, w in enumerate(names)}, c, len(names), classes, n, v, int(total["n"] or 0), int(total["v"]))
 
 
-CODED = "key long, doc_id {0}, held_out boolean, n_tokens long, n_known long, known_log double, rest_log double, symbols array<int>, unseen array<string>, times array<int>"
+CODED = "key long, doc_id {0}, held_out boolean, n_tokens long, n_known long, known_log double, symbols array<int>, rare array<string>, at array<int>"
+CODED_NAMES = ["key", "doc_id", "held_out", "n_tokens", "n_known", "known_log", "symbols", "rare", "at"]
 
 
 def code(docs: DataFrame, lex: Lexicon) -> DataFrame:
-    """Each text as symbols, with its sums over head words, and its other words for the join.
+    """Each text as symbols (a head word's rank, or the number of head words plus a class), with its words beyond the head.
 
-    known_log is the sum of log10(c + 0.5) over head words; rest_log the part of the model's score below the
-    symbols that needs no join: for words of a class, log10 of (c + 0.5, if a head word) / (n + 0.5 (v + 1)).
+    rare holds each such word once, at the place in rare of every one of their occurrences. n_known and known_log, the sum of log10(c + 0.5),
+    are those of head words.
     """
     shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
-        at, log_c = lex.at, np.log10(lex.counts + 0.5)
-        log_class = np.log10(lex.class_words + 0.5 * (lex.class_kinds + 1))
+        find, log_c = lex.at, np.log10(lex.counts + 0.5)
         suffix: dict[bytes, int] = {}
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
@@ -148,27 +161,23 @@ def code(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 for text in batch.column("text"):
                     words = words_of(text.as_py())
                     words.append(END)
-                    i = np.array([at.get(w, -1) for w in words], dtype=np.int32)
-                    known = i[i >= 0]
-                    s = i.copy()
-                    classed = np.flatnonzero((i < 0) | (i >= lex.symbols))
-                    rest = 0.0
-                    if len(classed):
+                    s = np.array([find.get(w, -1) for w in words], dtype=np.int32)
+                    known = s[s >= 0]
+                    beyond = np.flatnonzero(s < 0)
+                    rare: dict[bytes, int] = {}
+                    at = [rare.setdefault(words[j], len(rare)) for j in beyond]
+                    if at:
                         if len(suffix) > 200_000:
                             suffix.clear()
-                        k = np.array([suffix[x] if (x := words[j][-3:]) in suffix else suffix.setdefault(x, crc32(x) % lex.classes) for j in classed], dtype=np.int32)
-                        s[classed] = lex.symbols + k
-                        rest = float(log_c[i[classed][i[classed] >= 0]].sum() - log_class[k].sum())
-                    unseen = Counter(words[j] for j in np.flatnonzero(i < 0))
-                    out.append((len(words), int((lex.counts[known] > 0).sum()), float(log_c[known].sum()), rest, s, list(unseen), list(unseen.values())))
-                n, known, known_log, rest_log, syms, unseen, times = zip(*out, strict=True)
-                sizes = np.cumsum([0, *map(len, syms)])
-                kept = np.cumsum([0, *map(len, unseen)])
+                        k = np.array([suffix[x] if (x := w[-3:]) in suffix else suffix.setdefault(x, crc32(x) % lex.classes) for w in rare], dtype=np.int32)
+                        s[beyond] = lex.symbols + k[at]
+                    out.append((len(words), int((lex.counts[known] > 0).sum()), float(log_c[known].sum()), s, list(rare), at))
+                n, known, known_log, syms, rare, at = zip(*out, strict=True)
                 cols = [
-                    pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(known_log, pa.float64()), pa.array(rest_log, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(np.concatenate(syms), pa.int32())),
-                    pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array([w for x in unseen for w in x], pa.binary()).cast(pa.string())),
-                    pa.ListArray.from_arrays(pa.array(kept, pa.int32()), pa.array([w for x in times for w in x], pa.int32())),
+                    pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(known_log, pa.float64()),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, syms)]), pa.int32()), pa.array(np.concatenate(syms), pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array([w for x in rare for w in x], pa.binary()).cast(pa.string())),
+                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), pa.array([i for x in at for i in x], pa.int32())),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "held_out")] + cols, names=CODED_NAMES)
 
@@ -176,9 +185,6 @@ def code(docs: DataFrame, lex: Lexicon) -> DataFrame:
     return rows.mapInArrow(run, CODED.format(dict(docs.dtypes)["doc_id"]))
 
 
-CODED_NAMES = ["key", "doc_id", "held_out", "n_tokens", "n_known", "known_log", "rest_log", "symbols", "unseen", "times"]
-
-
 # -- recursion ---------------------------------------------------------------------------------------
 
 
@@ -202,10 +208,11 @@ def forward(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -
     return out
 
 
-def expected(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> tuple:
+def expected(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None, watch=None) -> tuple:
     """Expected counts (emissions (S, K), steps (K, K), starts (K,)) and the log-likelihood of segments.
 
-    Only places lo..hi of a segment count, and the steps into them; the others are context.
+    Only places lo..hi of a segment count, and the steps into them; the others are context. ``watch`` is shown the places in
+    ``flat``, their symbols and their posteriors (none outside lo..hi).
     """
     lo = np.zeros_like(size) if lo is None else lo
     hi = size if hi is None else hi
@@ -240,6 +247,8 @@ def expected(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray,
         starts += gammas[0][first[: live[0]]].sum(axis=0)
         g, s = np.concatenate(gammas), np.concatenate(syms)
         emits = np.stack([np.bincount(s, g[:, j], minlength=len(model.emit)) for j in range(k)], axis=1)
+        if watch:
+            watch(np.concatenate([begin[:m] + t for t, m in enumerate(live)]), s, g)
     else:
         emits = np.zeros_like(model.emit)
     return emits, steps * model.step, starts, fit
@@ -302,15 +311,34 @@ def seeded(sample: list[np.ndarray], share: np.ndarray, states: int, rounds=25)
     return Hmm(mix.copy(), step, emit, mix)
 
 
-def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, float]:
-    """One pass over all training texts: the next model, and the log-likelihood a token under the one given."""
+def places_of(rare, at) -> tuple[np.ndarray, int]:
+    """For each occurrence of a word beyond the head in a batch, in order, its place among all texts' such words; and how many these are.
+
+    ``rare`` is the sizes of the texts' lists, ``at`` the column of places within them.
+    """
+    values, _, size = lists(at)
+    return values + np.repeat(np.cumsum(rare) - rare, size), int(rare.sum())
+
+
+def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray, symbols: int | None = None) -> tuple[Hmm, float, np.ndarray, DataFrame | None]:
+    """One pass over all training texts: the next model, the log-likelihood a token under the one given, and the expected counts.
+
+    With ``symbols``, the number of head words, there is also the table of word, c, e0.. of all words beyond the head.
+    """
     k = len(model.start)
     shared = coded.sparkSession.sparkContext.broadcast(model)
-    names = ["row", *[f"e{j}" for j in range(k)]]
+    states = [f"e{j}" for j in range(k)]
+    names = ["row", "word", "c", *states]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         emits, steps, starts, fit = np.zeros_like(model.emit), np.zeros((k, k)), np.zeros(k), 0.0
+        seen: list[tuple] = []
+
+        def watch(places, syms, g):
+            own = (syms >= symbols) & (g.sum(axis=1) > 0.5)
+            seen.append((places[own], g[own]))
+
         for batch in batches:
             flat, at, size = lists(batch.column("symbols"))
             parts = segments(at, size)
@@ -319,71 +347,130 @@ def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray) -> tuple[Hmm, fl
                 own = slice(*np.searchsorted(edge, [at_token, at_token + TOKENS], side="right"))
                 if at_token == 0:
                     own = slice(0, own.stop)
-                e, s, p, f = expected(model, flat, *(x[own] for x in parts))
+                e, s, p, f = expected(model, flat, *(x[own] for x in parts), watch=watch if symbols is not None else None)
                 emits += e
                 steps += s
                 starts += p
                 fit += f
+            if seen:
+                which, n = places_of(lists(batch.column("rare"))[2], batch.column("at"))
+                places, g = (np.concatenate(x) for x in zip(*seen, strict=True))
+                seen.clear()
+                which = which[np.searchsorted(np.flatnonzero(flat >= symbols), places)]
+                sums = [pa.array(np.bincount(which, g[:, j], minlength=n), pa.float64()) for j in range(k)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), batch.column("rare").flatten(), pa.array(np.bincount(which, minlength=n)), *sums], names=names)
         rows = np.vstack([emits, steps, starts[None], np.full((1, k), fit)])
         used = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *[pa.array(rows[used, j]) for j in range(k)]], names=names)
-
-    sums = coded.where(~F.col("held_out")).select("symbols").mapInArrow(run, "row int, " + ", ".join(f"{n} double" for n in names[1:])).groupBy("row").agg(*[F.sum(n).alias(n) for n in names[1:]])
-    found = sums.toPandas()  # at most symbols + classes + states + 2 rows
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.string()), pa.array(np.zeros(len(used), np.int64)), *[pa.array(rows[used, j]) for j in range(k)]], names=names)
+
+    columns = ["symbols"] if symbols is None else ["symbols", "rare", "at"]
+    sums = coded.where(~F.col("held_out")).select(*columns).mapInArrow(run, "row int, word string, c long, " + ", ".join(f"{n} double" for n in states))
+    sums = sums.groupBy("row", "word").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in states])
+    if symbols is not None:
+        sums = settled(sums, "op1-words")
+    found = sums.where("row >= 0").toPandas()  # at most head + classes + states + 2 rows
     table = np.zeros((len(share) + k + 2, k))
-    table[found["row"]] = found[names[1:]].to_numpy()
+    table[found["row"]] = found[states].to_numpy()
     emits = table[: len(share)]
-    return normalised(emits, table[len(share) : -2], table[-2], share), table[-1, 0] / max(emits.sum(), 1.0)
+    words = None if symbols is None else sums.where("row < 0").drop("row")
+    return normalised(emits, table[len(share) : -2], table[-2], share), table[-1, 0] / max(emits.sum(), 1.0), emits, words
 
 
-def score(coded: DataFrame, model: Hmm) -> DataFrame:
-    """The columns of ``coded`` that sums need, and path_log: log10 of the probability of the symbols."""
-    shared = coded.sparkSession.sparkContext.broadcast(model)
-    keep = CODED_NAMES[:7]
+@dataclass
+class Classes:
+    """Of each class and state: the shares g of expected counts, and the sums Z of words and the unknown word."""
+
+    g: np.ndarray
+    z: np.ndarray
+
+
+def profiles(words: DataFrame, emits: np.ndarray, share: np.ndarray, lex: Lexicon) -> tuple[DataFrame, Classes]:
+    """word, c and profile p of each word beyond the head, and the classes' sums; ``share`` is the states' own, for classes without words."""
+    k = len(share)
+    own = emits[lex.symbols :]
+    total = own.sum(axis=1, keepdims=True)
+    g = np.where(total > 0, own / np.where(total > 0, total, 1.0), share)
+    by_class = words.sparkSession.createDataFrame([(i, row.tolist()) for i, row in enumerate(g)], "k int, g array<double>")  # one row a class
+    p = F.array(*[(F.col(f"e{j}") + TAU * F.col("g")[j]) / (F.col("c") + TAU) for j in range(k)]).cast("array<float>")
+    table = words.withColumn("k", class_of(lex.classes)).join(F.broadcast(by_class), "k").select("word", "c", "k", p.alias("p"))
+    sums = table.groupBy("k").agg(*[F.sum((F.col("c") + 0.5) * F.col("p")[j].cast("double")).alias(f"z{j}") for j in range(k)]).toPandas()
+    z = 0.5 * g
+    z[sums["k"]] += sums[[f"z{j}" for j in range(k)]].to_numpy()
+    return table.select("word", "c", "p"), Classes(g, z)
+
+
+def score(coded: DataFrame, model: Hmm, words: DataFrame, classes: Classes) -> DataFrame:
+    """The columns of ``coded`` that sums need, rare_known and rare_log of words beyond the head, and path_log: log10 of a text's probability."""
+    shared = coded.sparkSession.sparkContext.broadcast((model, classes))
+    keep = CODED_NAMES[:6]
     types = dict(coded.dtypes)
+    pairs = coded.select("key", F.posexplode("rare").alias("i", "word"))
+    found = pairs.join(words, "word").groupBy("key").agg(F.collect_list(F.struct("i", "c", "p")).alias("found"))  # as many as the text has words beyond the head
+    rows = coded.select(*keep, "symbols", F.size("rare").alias("n_rare"), "at").join(found, "key", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model, classes = shared.value
+        k, head = len(model.start), len(model.emit) - len(classes.z)
+        unknown = model.emit.copy()
+        unknown[head:] *= 0.5 * classes.g / classes.z
         for batch in batches:
-            ll = forward(model, *lists(batch.column("symbols")))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ll)], names=[*keep, "path_log"])
-
-    return coded.select(*keep, "symbols").mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", path_log double")
-
-
-def train(coded: DataFrame, lex: Lexicon, *, states: int, max_passes: int) -> Hmm:
-    share = lex.symbol_share()
+            flat, begin, size = lists(batch.column("symbols"))
+            flat = flat.copy()
+            n_rare = batch.column("n_rare").to_numpy()
+            which, n = places_of(n_rare, batch.column("at"))
+            beyond = np.flatnonzero(flat >= head)
+            kind = np.zeros(n, np.int64)
+            kind[which] = flat[beyond] - head
+            got = batch.column("found")
+            i, c, p = (got.flatten().field(f) for f in ("i", "c", "p"))
+            owner = np.repeat(np.arange(len(batch)), got.value_lengths().fill_null(0).to_numpy())
+            slot = (np.cumsum(n_rare) - n_rare)[owner] + i.to_numpy()
+            c, p = c.to_numpy(), p.flatten().to_numpy().astype(float).reshape(-1, k)
+            own = kind[slot]
+            count, row = np.zeros(n, np.int64), np.full(n, -1)
+            count[slot], row[slot] = c, len(unknown) + np.arange(len(slot))
+            flat[beyond] = np.where(row[which] >= 0, row[which], flat[beyond])
+            emit = np.vstack([unknown, model.emit[head + own] * (c[:, None] + 0.5) * p / classes.z[own]])
+            ll = forward(Hmm(model.start, model.step, emit, model.share), flat, begin, size)
+            text = np.repeat(np.arange(len(batch)), lists(batch.column("at"))[2])
+            known = np.bincount(text, count[which] > 0, len(batch)).astype(np.int64)
+            logs = np.bincount(text, np.log10(count[which] + 0.5), len(batch))
+            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in keep], pa.array(known), pa.array(logs, pa.float64()), pa.array(ll)], names=[*keep, "rare_known", "rare_log", "path_log"])
+
+    return rows.mapInArrow(run, ", ".join(f"{c} {types[c]}" for c in keep) + ", rare_known long, rare_log double, path_log double")
+
+
+def first_model(coded: DataFrame, lex: Lexicon, states: int) -> Hmm:
     places = F.explode(F.sequence(F.lit(0), F.floor((F.size("symbols") - 1) / SEED_TOKENS).cast("int")))
     parts = coded.where(~F.col("held_out")).select("key", "symbols", places.alias("part"))
     parts = parts.select("key", "part", F.slice("symbols", F.col("part") * SEED_TOKENS + 1, SEED_TOKENS).alias("s"))
     rows = hashed_sample(parts, SEED_SEGMENTS, "key", "part")
-    model = seeded([np.array(r, dtype=np.int32) for r in rows.toPandas()["s"]], share, states)
+    return seeded([np.array(r, dtype=np.int32) for r in rows.toPandas()["s"]], lex.symbol_share(), states)
+
+
+def train(coded: DataFrame, lex: Lexicon, *, states: int, max_passes: int) -> tuple[Hmm, DataFrame, Classes]:
+    """The model, the profiles of the words beyond the head, and their classes: passes by class, then one by word."""
+    share = lex.symbol_share()
+    model = first_model(coded, lex, states)
     seen = -np.inf
-    for _ in range(max_passes):
-        model, fit = baum_welch(coded, model, share)
+    for _ in range(max_passes - 1):
+        model, fit, _, _ = baum_welch(coded, model, share)
         if fit - seen < GAIN:
             break
         seen = fit
-    return model
+    model, _, emits, words = baum_welch(coded, model, share, lex.symbols)
+    return model, *profiles(words, emits, model.share, lex)
 
 
-def lm_scores(docs: DataFrame, *, states=8, max_passes=4, head=250_000, symbols=16_384, classes=2048) -> DataFrame:
+def lm_scores(docs: DataFrame, *, states=8, max_passes=4, head=250_000, classes=2048) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     training = docs.where(fold_of("doc_id", FOLDS) != HELD_OUT)
     counts = settled(count_words(training), "op1-counts")
-    lex = lexicon(counts, head=head, symbols=symbols, classes=classes)
+    lex = lexicon(counts, head=head, classes=classes)
     coded = settled(code(docs, lex), "op1-coded")
-    model = train(coded, lex, states=states, max_passes=max_passes)
-    pairs = coded.select("key", F.explode(F.arrays_zip("unseen", "times")).alias("w")).select("key", F.col("w.unseen").alias("word"), F.col("w.times").alias("n"))
-    c = F.coalesce("c", F.lit(0))
-    joined = pairs.join(counts, "word", "left").groupBy("key").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("rare_log"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
-    rare = F.coalesce("rare_log", F.lit(0.0))
-    return (
-        score(coded, model).join(joined, "key", "left")
-        .select(
-            "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
-            F.lit(lex.total).cast("long").alias("train_tokens"),
-            (F.col("known_log") + rare - F.col("n_tokens") * float(np.log10(lex.total + 0.5 * (lex.kinds + 1)))).alias("base_score"),
-            (F.col("path_log") + F.col("rest_log") + rare).alias("score"),
-        )
+    model, words, by_class = train(coded, lex, states=states, max_passes=max_passes)
+    return score(coded, model, words, by_class).select(
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("rare_known")).alias("n_known"), F.lit(lex.total).cast("long").alias("train_tokens"),
+        (F.col("known_log") + F.col("rare_log") - F.col("n_tokens") * float(np.log10(lex.total + 0.5 * (lex.kinds + 1)))).alias("base_score"),
+        F.col("path_log").alias("score"),
     )

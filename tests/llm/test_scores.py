@@ -74,23 +74,49 @@ def test_segments_count_every_token_and_step_once():
 
 
 def test_score_is_the_sum_over_all_paths(spark):
-    """Scores of tiny texts by enumerating the state paths, times each classed word's share of its class."""
-    texts = [(i, t) for i, t in enumerate(["the cat sat", "The cat", "a dog sat on the cat", "", "zebra the", "on on on"] * 4)]
+    """Scores of tiny texts by enumerating the state paths, each word with its own emissions, those from the posteriors of every training text."""
+    texts = [(i, t) for i, t in enumerate(["the cat sat", "The cat", "a dog sat on the cat", "", "zebra the", "on on on"] * 4 + ["unheard zebra"] * 3)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
+    held = lambda i: crc32(str(i).encode()) % 5 == 1
     training = docs.where(common.fold_of("doc_id", hmm.FOLDS) != hmm.HELD_OUT)
     counts = common.settled(hmm.count_words(training), "t")
-    lex = hmm.lexicon(counts, head=4, symbols=3, classes=2)
-    coded = common.settled(hmm.code(docs, lex), "t")
-    model = hmm.train(coded, lex, states=3, max_passes=2)
+    lex = hmm.lexicon(counts, head=3, classes=2)
+    first = hmm.first_model(common.settled(hmm.code(docs, lex), "t"), lex, 3)
     c = {r["word"].encode(): r["c"] for r in counts.collect()}
+    head, k = lex.symbols, 3
+    coded = lambda t: ([*hmm.words_of(t), hmm.END], [lex.at[w] if w in lex.at else head + hmm.tail_class(w, 2) for w in [*hmm.words_of(t), hmm.END]])
+    emits, steps, starts, by_word = np.zeros((head + 2, k)), np.zeros((k, k)), np.zeros(k), defaultdict(lambda: np.zeros(k))
+    for i, t in texts:
+        if held(i):
+            continue
+        words, seq = coded(t)
+        _, e, s, p = paths(first, seq)
+        emits, steps, starts = emits + e, steps + s, starts + p
+        for place, w in enumerate(words):
+            if w not in lex.at:  # the place as a symbol of its own: its posterior alone
+                own = hmm.Hmm(first.start, first.step, np.vstack([first.emit, first.emit[seq[place]]]), first.share)
+                by_word[w] += paths(own, [*seq[:place], head + 2, *seq[place + 1 :]])[1][head + 2]
+    model = hmm.normalised(emits, steps, starts, lex.symbol_share())
+    inside = {}
+    for n in range(2):
+        own = [w for w in by_word if hmm.tail_class(w, 2) == n]
+        assert all(math.isclose(by_word[w].sum(), c[w]) for w in own)
+        total = emits[head + n].sum()
+        g = emits[head + n] / total if total else model.share
+        weight = {w: (c[w] + 0.5) * (by_word[w] + hmm.TAU * g) / (c[w] + hmm.TAU) for w in own} | {None: 0.5 * g}
+        z = sum(weight.values())
+        inside |= {(n, w): x / z for w, x in weight.items()}
+    assert len(by_word) >= 3 and set(c) - set(lex.at) == set(by_word)
     want = {}
     for i, t in texts:
-        words = [*hmm.words_of(t), hmm.END]
-        symbols = [at if (at := lex.at.get(w, 99)) < 3 else 3 + hmm.tail_class(w, 2) for w in words]
-        inside = sum(math.log10((c.get(w, 0) + 0.5) / (lex.class_words[s - 3] + 0.5 * (lex.class_kinds[s - 3] + 1))) for w, s in zip(words, symbols, strict=True) if s >= 3)
-        want[i] = math.log10(paths(model, symbols)[0]) + inside
-    got = {r["doc_id"]: r["score"] for r in hmm.lm_scores(docs, states=3, max_passes=2, head=4, symbols=3, classes=2).collect()}
+        words, seq = coded(t)
+        rows = [model.emit[s] * (1 if w in lex.at else inside[s - head, w if w in c else None]) for w, s in zip(words, seq, strict=True)]
+        want[i] = math.log10(paths(hmm.Hmm(model.start, model.step, np.array(rows), model.share), range(len(rows)))[0])
+    got = {r["doc_id"]: r["score"] for r in hmm.lm_scores(docs, states=3, max_passes=1, head=3, classes=2).collect()}
     assert all(math.isclose(got[i], want[i], rel_tol=1e-6) for i in want)
+    # in each state, head words and each class's known words and one unknown make a distribution
+    each = model.emit[:head].sum(axis=0) + sum(model.emit[head + n] * x for (n, _), x in inside.items())
+    assert np.allclose(each, 1)
 
 
 def test_long_texts_do_not_underflow():
@@ -104,7 +130,7 @@ def test_scores(spark, sf):
     docs = docs_of(spark, sf).select("doc_id", "text")
     odd = spark.createDataFrame([(-1, None), (-2, "  \n"), (-3, "zzzq unseen-word"), (-3, "zzzq unseen-word"), (None, "the")], docs.schema)
     rows = docs.unionByName(odd)
-    got = hmm.lm_scores(rows, head=300, symbols=64, classes=16).collect()
+    got = hmm.lm_scores(rows, head=300, classes=16).collect()
     texts = [(r["doc_id"], r["text"] or "") for r in rows.collect()]
     held = lambda i: crc32(("" if i is None else str(i)).encode()) % 5 == 1
     words = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t)) if w] + [" "]
@@ -120,11 +146,11 @@ def test_scores(spark, sf):
 def test_word_probabilities_sum_to_one(spark, sf):
     """Symbols and, within a class, its known words and one unknown make a distribution."""
     counts = common.settled(hmm.count_words(docs_of(spark, sf)), "t")
-    lex = hmm.lexicon(counts, head=200, symbols=40, classes=8)
+    lex = hmm.lexicon(counts, head=40, classes=8)
     c = {r["word"].encode(): r["c"] for r in counts.collect()}
     assert lex.total == sum(c.values()) and lex.kinds == len(c)
     for k in range(8):
-        own = [w for w in c if (lex.at.get(w, 999) >= 40) and hmm.tail_class(w, 8) == k]
+        own = [w for w in c if w not in lex.at and hmm.tail_class(w, 8) == k]
         assert lex.class_words[k] == sum(c[w] for w in own) and lex.class_kinds[k] == len(own)
         total = lex.class_words[k] + 0.5 * (lex.class_kinds[k] + 1)
         assert math.isclose(sum((c[w] + 0.5) / total for w in own) + 0.5 / total, 1)
