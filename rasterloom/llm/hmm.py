@@ -8,7 +8,7 @@ hold sums of such words by class alone, a class being the words with equal hash
 word that the training texts lack has the emission of its class's one unknown word.
 
 With E(w, j) the expected count of word w in state j, c its count, g the shares of its class's expected counts
-by state: w's profile is p(j) = (E(w, j) + TAU g(j)) / (c + TAU), and a state that emits the class emits w in
+by state: w's profile is p(j) = (E(w, j) + TAU g(j)) / (c + TAU), rounded to a byte, and a state that emits the class emits w in
 it with (c + 0.5) p(j) / Z(j), the unknown word with 0.5 g(j) / Z(j), where Z sums these over the class. So all words and,
 for each class, one unknown one make a distribution in each state, and every text has an exact probability.
 
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, hashed_sample, heaviest, settled, small_batches, text_or_empty
+from .common import fold_of, hashed_sample, heaviest, settled, small_batches, text_or_empty, trim
 
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text; no word holds a space.
@@ -54,6 +54,8 @@ TOKENS = 600_000
 PRIOR = 500.0
 #: Weight of its class's profile in a word's, in tokens.
 TAU = 1.0
+#: A word's expected counts are summed in whole parts of 1 / FINE, its profile is stored in parts of 1 / COARSE, at least one a state.
+FINE, COARSE = 1 << 16, 127
 
 
 def words_of(text: str) -> list[bytes]:
@@ -323,7 +325,7 @@ def places_of(rare, at) -> tuple[np.ndarray, int]:
 def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray, symbols: int | None = None) -> tuple[Hmm, float, np.ndarray, DataFrame | None]:
     """One pass over all training texts: the next model, the log-likelihood a token under the one given, and the expected counts.
 
-    With ``symbols``, the number of head words, there is also the table of word, c, e0.. of all words beyond the head.
+    With ``symbols``, the number of head words, there is also the table of word, c, e0.. (in parts of 1 / FINE) of all words beyond the head.
     """
     k = len(model.start)
     shared = coded.sparkSession.sparkContext.broadcast(model)
@@ -357,7 +359,7 @@ def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray, symbols: int | N
                 places, g = (np.concatenate(x) for x in zip(*seen, strict=True))
                 seen.clear()
                 which = which[np.searchsorted(np.flatnonzero(flat >= symbols), places)]
-                sums = [pa.array(np.bincount(which, g[:, j], minlength=n), pa.float64()) for j in range(k)]
+                sums = [pa.array(np.rint(FINE * np.bincount(which, g[:, j], minlength=n)), pa.float64()) for j in range(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), batch.column("rare").flatten(), pa.array(np.bincount(which, minlength=n)), *sums], names=names)
         rows = np.vstack([emits, steps, starts[None], np.full((1, k), fit)])
         used = np.flatnonzero(rows.any(axis=1))
@@ -369,6 +371,8 @@ def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray, symbols: int | N
     if symbols is not None:
         sums = settled(sums, "op1-words")
     found = sums.where("row >= 0").toPandas()  # at most head + classes + states + 2 rows
+    shared.unpersist()
+    trim()
     table = np.zeros((len(share) + k + 2, k))
     table[found["row"]] = found[states].to_numpy()
     emits = table[: len(share)]
@@ -391,9 +395,9 @@ def profiles(words: DataFrame, emits: np.ndarray, share: np.ndarray, lex: Lexico
     total = own.sum(axis=1, keepdims=True)
     g = np.where(total > 0, own / np.where(total > 0, total, 1.0), share)
     by_class = words.sparkSession.createDataFrame([(i, row.tolist()) for i, row in enumerate(g)], "k int, g array<double>")  # one row a class
-    p = F.array(*[(F.col(f"e{j}") + TAU * F.col("g")[j]) / (F.col("c") + TAU) for j in range(k)]).cast("array<float>")
+    p = F.array(*[F.greatest(F.lit(1.0), F.rint(COARSE * (F.col(f"e{j}") / FINE + TAU * F.col("g")[j]) / (F.col("c") + TAU))) for j in range(k)]).cast("array<tinyint>")
     table = words.withColumn("k", class_of(lex.classes)).join(F.broadcast(by_class), "k").select("word", "c", "k", p.alias("p"))
-    sums = table.groupBy("k").agg(*[F.sum((F.col("c") + 0.5) * F.col("p")[j].cast("double")).alias(f"z{j}") for j in range(k)]).toPandas()
+    sums = table.groupBy("k").agg(*[F.sum((F.col("c") + 0.5) * F.col("p")[j] / COARSE).alias(f"z{j}") for j in range(k)]).toPandas()
     z = 0.5 * g
     z[sums["k"]] += sums[[f"z{j}" for j in range(k)]].to_numpy()
     return table.select("word", "c", "p"), Classes(g, z)
@@ -425,7 +429,7 @@ def score(coded: DataFrame, model: Hmm, words: DataFrame, classes: Classes) -> D
             i, c, p = (got.flatten().field(f) for f in ("i", "c", "p"))
             owner = np.repeat(np.arange(len(batch)), got.value_lengths().fill_null(0).to_numpy())
             slot = (np.cumsum(n_rare) - n_rare)[owner] + i.to_numpy()
-            c, p = c.to_numpy(), p.flatten().to_numpy().astype(float).reshape(-1, k)
+            c, p = c.to_numpy(), p.flatten().to_numpy().reshape(-1, k) / COARSE
             own = kind[slot]
             count, row = np.zeros(n, np.int64), np.full(n, -1)
             count[slot], row[slot] = c, len(unknown) + np.arange(len(slot))
@@ -462,7 +466,7 @@ def train(coded: DataFrame, lex: Lexicon, *, states: int, max_passes: int) -> tu
     return model, *profiles(words, emits, model.share, lex)
 
 
-def lm_scores(docs: DataFrame, *, states=8, max_passes=4, head=250_000, classes=2048) -> DataFrame:
+def lm_scores(docs: DataFrame, *, states=8, max_passes=4, head=100_000, classes=2048) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     training = docs.where(fold_of("doc_id", FOLDS) != HELD_OUT)
     counts = settled(count_words(training), "op1-counts")

@@ -103,7 +103,8 @@ def test_score_is_the_sum_over_all_paths(spark):
         assert all(math.isclose(by_word[w].sum(), c[w]) for w in own)
         total = emits[head + n].sum()
         g = emits[head + n] / total if total else model.share
-        weight = {w: (c[w] + 0.5) * (by_word[w] + hmm.TAU * g) / (c[w] + hmm.TAU) for w in own} | {None: 0.5 * g}
+        part = lambda w, g=g: np.maximum(1, np.rint(hmm.COARSE * (by_word[w] + hmm.TAU * g) / (c[w] + hmm.TAU))) / hmm.COARSE
+        weight = {w: (c[w] + 0.5) * part(w) for w in own} | {None: 0.5 * g}
         z = sum(weight.values())
         inside |= {(n, w): x / z for w, x in weight.items()}
     assert len(by_word) >= 3 and set(c) - set(lex.at) == set(by_word)
