@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ _SQL: dict[str, str] = {}
 
 PIX = "image_id, x, y, r, g, b, a"
 KEY = "(x*31+y*17+1)*(r*3+g*5+b*7+a*11)"
+#: The same in Spark: x and y of a large image would overflow an int.
+LONG_KEY = "(bigint(x)*31+bigint(y)*17+1)*(r*3+g*5+b*7+a*11)"
 
 
 def add(name: str, fn: Query, sql: str | None = None) -> None:
@@ -56,7 +59,7 @@ def _doubles(sql: str) -> str:
 
 
 def digest(df: DataFrame) -> DataFrame:
-    return df.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.expr(KEY).cast("long")).alias("checksum"))
+    return df.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.expr(LONG_KEY).cast("long")).alias("checksum"))
 
 
 def digest_sql(table: str) -> str:
@@ -358,7 +361,7 @@ def _restore(spark: SparkSession, sf: str, mode: str) -> DataFrame:
     d = raster(spark, sf, "scene")
     colour = "#ffffff" if mode == "solid" else "#8080c0"
     out = N.restore_color(_white_strip(d), d, colour, 26 if mode == "solid" else 40, 1, 5, mode)
-    return out.groupBy("image_id").agg(F.count_if("restored").alias("restored"), F.sum(F.expr(KEY).cast("long")).alias("checksum"))
+    return out.groupBy("image_id").agg(F.count_if("restored").alias("restored"), F.sum(F.expr(LONG_KEY).cast("long")).alias("checksum"))
 
 
 def restore_ctes(colour: tuple[int, int, int], tol: float, mode: str, original: str = "src", search: int = 5) -> str:
@@ -742,7 +745,13 @@ same_sql("drop_shadow_tiles_event", lambda t: digest(TP.unpack(TP.drop_shadow(t,
 
 def banded(df: DataFrame) -> DataFrame:
     """One checksum for 64 rows of places."""
-    return df.groupBy(F.floor(F.col("y") / 64).alias("band")).agg(F.count("*").alias("n"), F.sum(F.expr(KEY).cast("long")).alias("checksum"))
+    return df.groupBy(F.floor(F.col("y") / 64).alias("band")).agg(F.count("*").alias("n"), F.sum(F.expr(LONG_KEY).cast("long")).alias("checksum"))
+
+
+def banded_tiles(t: DataFrame) -> DataFrame:
+    """``banded`` of the pixels of tiles, summed tile by tile."""
+    sums = TP.row_sums(t, lambda px, x, y: (x * 31 + y * 17 + 1) * (px.astype(np.int64) @ np.array([3, 5, 7, 11])), 64)
+    return sums.select("band", "n", F.col("total").alias("checksum"))
 
 
 def banded_sql(table: str) -> str:
@@ -753,7 +762,7 @@ def mosaic(name: str, ctes: str, table: str, *, pixels: Callable[[DataFrame], Da
     if pixels:
         add(f"{name}_mosaic", lambda s, d: banded(pixels(raster(s, d, "mosaic"))), src("mosaic", ctes) + banded_sql(table))
     if tiled:
-        add(f"{name}_tiles_mosaic", lambda s, d: banded(TP.unpack(tiled(tiles(s, d, "mosaic")))), src("mosaic", ctes) + banded_sql(table))
+        add(f"{name}_tiles_mosaic", lambda s, d: banded_tiles(tiled(tiles(s, d, "mosaic"))), src("mosaic", ctes) + banded_sql(table))
 
 
 mosaic("erode_wide", sep_sql("src", "a", 40, "min", "m", ", r, g, b") + ", o AS (SELECT image_id, x, y, r, g, b, v AS a FROM m)", "o", pixels=lambda d: N.erode_alpha(d, 40), tiled=lambda t: TP.erode_alpha(t, 40))
@@ -774,7 +783,15 @@ mosaic("sharpen", sharpen_ctes("src", "o", 0.25), "o", tiled=lambda t: TP.sharpe
 #: The gradient by windows: joins on one image's id would pair all its places.
 _SOBEL_WINDOWS = f"""lum AS (SELECT x, y, {_LUMA6} AS l FROM src), rd AS (SELECT x, y, lead(l) OVER w-lag(l) OVER w AS d, lag(l) OVER w+2*l+lead(l) OVER w AS s FROM lum WINDOW w AS (PARTITION BY y ORDER BY x)),
  gr AS (SELECT x, y, coalesce(sqrt(pow(lag(d) OVER w+2*d+lead(d) OVER w,2)+pow(lead(s) OVER w-lag(s) OVER w,2)),0) AS g FROM rd WINDOW w AS (PARTITION BY x ORDER BY y)), gm AS (SELECT *, max(g) OVER () AS top FROM gr)"""
-add("edge_map_tiles_mosaic", lambda s, d: (lambda e: e.groupBy(F.floor(F.col("y") / 64).alias("band")).agg(F.count("*").alias("n"), F.sum((F.round(F.col("cost") * 10000) * (F.col("x") % 7 + 1)).cast("long")).alias("checksum")))(TP.unpack(TP.edge_map(tiles(s, d, "mosaic")), ("cost",), "f8", "double")),
+def _edge_bands(spark: SparkSession, sf: str) -> DataFrame:
+    def cost(px: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.floor(px[..., 0] * 10000 + 0.5) * (x % 7 + 1)
+
+    sums = TP.row_sums(TP.edge_map(tiles(spark, sf, "mosaic")), cost, 64, dtype="f8", channels=1)
+    return sums.select("band", "n", F.col("total").alias("checksum"))
+
+
+add("edge_map_tiles_mosaic", _edge_bands,
     src("mosaic", _SOBEL_WINDOWS) + "SELECT CAST(floor(y/64.0) AS BIGINT) AS band, count(*) AS n, CAST(sum(round(CASE WHEN top=0 THEN 1.0 ELSE greatest(0.05, 1-sqrt(g/top)) END*10000)*(x%7+1)) AS BIGINT) AS checksum FROM gm GROUP BY ALL")
 _SIZE = "sz AS (SELECT CAST(max(x)+1 AS DOUBLE) AS w, CAST(max(y)+1 AS DOUBLE) AS h FROM src)"
 
@@ -797,7 +814,7 @@ _SPIN = f"""{_SIZE}, pm AS (SELECT x, y, {', '.join(f'{c}*(a/255) AS {c}' for c
  cn AS (SELECT x, y, CAST(floor(sx) AS BIGINT)+dx AS kx, CAST(floor(sy) AS BIGINT)+dy AS ky, CASE WHEN dx=1 THEN sx-floor(sx) ELSE 1-(sx-floor(sx)) END*CASE WHEN dy=1 THEN sy-floor(sy) ELSE 1-(sy-floor(sy)) END AS wt FROM bx CROSS JOIN range(2) u(dx) CROSS JOIN range(2) v(dy)),
  sm AS (SELECT cn.x, cn.y, {', '.join(f'coalesce(sum(pm.{c}*wt),0) AS {c}' for c in 'rgba')} FROM cn LEFT JOIN pm ON pm.x=cn.kx AND pm.y=cn.ky GROUP BY ALL),
  o AS (SELECT x, y, {', '.join('CASE WHEN a>0 THEN ' + st(f'{c}*(255/a)') + f' ELSE 0 END AS {c}' for c in 'rgb')}, {st('a')} AS a FROM sm)"""
-mosaic("rotate", _SPIN, "o", tiled=lambda t: TP.rotate_degrees(t, 30))
+mosaic("rotate", _SPIN, "o", tiled=lambda t: TP.rotate_degrees(t, 30, sparse=True))
 
 
 # -- values that spread over tiles --------------------------------------------------------------------------------------------------

@@ -120,3 +120,40 @@ def test_resampling_of_low_alpha_equals_the_relational_form(spark):
     d = spark.createDataFrame(df, "image_id long, x int, y int, r int, g int, b int, a int")
     for n, name in ((40, "bilinear"), (7, "bilinear"), (24, "lanczos2")):
         same(kernels.resample_images(d, n, n, name), geometry.resample(d, (16, 16), (n, n), name))
+
+
+def test_sums_by_tiles_on_images_whose_checksums_leave_an_int(spark):
+    from rasterloom import queries
+
+    far = spark.createDataFrame([(0, 0, 0, 1, 2, 3, 4), (0, 3, 40_000, 255, 255, 255, 255), (0, 2, 39_999, 9, 9, 9, 9)], "image_id int, x int, y int, r int, g int, b int, a int")
+    want = {r["band"]: r["checksum"] for r in queries.banded(far).collect()}
+    assert want[625] == (3 * 31 + 40_000 * 17 + 1) * 255 * 26 > 2**31
+    got = {r["band"]: (r["n"], r["checksum"]) for r in queries.banded_tiles(packed.pack(far, tile=32)).collect()}
+    assert {k: v[1] for k, v in got.items() if v[1]} == want and sum(n for n, _ in got.values()) == 4 * 40_001
+
+
+def test_a_long_image_is_turned_without_its_clear_tiles(spark):
+    rows = [(0, x, y, 200, y % 256, x, 255) for y in range(400) for x in range(8)]
+    tiles = packed.pack(spark.createDataFrame(rows, "image_id int, x int, y int, r int, g int, b int, a int"), tile=16)
+    from rasterloom import queries
+
+    whole, few = packed.rotate_degrees(tiles, 30), packed.rotate_degrees(tiles, 30, sparse=True)
+    assert few.count() < whole.count() / 3
+    assert sorted(queries.banded_tiles(whole).collect()) == sorted(queries.banded_tiles(few).collect())
+
+
+def test_a_far_reduction_holds_partial_sums(spark):
+    rng = np.random.default_rng(7)
+    px = rng.integers(0, 256, (900, 12, 4))
+    y, x = np.indices(px.shape[:2])
+    df = spark.createDataFrame(pd.DataFrame({"image_id": 0, "x": x.ravel(), "y": y.ravel()} | {c: px[..., i].ravel() for i, c in enumerate("rgba")}), "image_id int, x int, y int, r int, g int, b int, a int")
+    tiles = packed.pack(df, tile=16)
+    got = packed.unpack(packed.resample(tiles, 7, 5)).toPandas().sort_values(["y", "x"])
+    assert (got[list("rgba")].to_numpy().reshape(5, 7, 4) == kernels.resample_array(px.astype(float), 7, 5)).all()
+
+
+def test_mosaic_tiles_are_those_of_its_pixels(spark, sf):
+    from rasterloom.sources import fixtures
+
+    made = fixtures.mosaic_tiles(spark, sf, 64)
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, packed.pack(fixtures.raster(spark, sf, "mosaic"), tile=64).collect()))
