@@ -128,3 +128,13 @@ def test_letters_go_and_the_disc_stays(spark, sf):
 
     out = q.queries()["remove_text_letters"](spark, sf).collect()
     assert len(out) == 5 and all(300 < r["still_visible"] < 600 and r["lowest"] == 177 for r in out)
+
+
+def test_scenes_are_drawn_as_their_sql_says_without_a_shuffle_of_pixels(spark, sf):
+    from rasterloom.sources import fixtures
+
+    drawn, said = fixtures.scene(spark, sf), fixtures._spark_sql(spark, sf, "scene")
+    assert [t for _, t in drawn.dtypes] == [t for _, t in said.dtypes]
+    assert drawn.exceptAll(said).isEmpty() and said.exceptAll(drawn).isEmpty() and drawn.count() == said.count()
+    plan = drawn._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
