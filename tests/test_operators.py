@@ -36,7 +36,6 @@ def same(a, b):
 
 @pytest.fixture(scope="module")
 def noise(spark):
-    rng = np.random.default_rng(3)
     return make(spark, [rng.integers(0, 256, (9, 7, 4)), rng.integers(0, 256, (1, 1, 4))]).cache()
 
 
@@ -201,3 +200,13 @@ def test_debug_overlay(event):
 
 def test_rows_pandas_unused():
     assert isinstance(K.rows_of(1, {"v": np.zeros((2, 2))}), pd.DataFrame)
+
+
+def test_turned_levels_at_a_half_round_as_their_sql_says():
+    import numpy as np
+
+    from rasterloom.operators import kernels
+
+    sx, sy = kernels.rotated_from(np.array(3.0), np.array(5.0), 16, 16, 30)
+    c, s = np.cos(np.radians(30.0)), np.sin(np.radians(30.0))
+    assert sx == (3 + 0.5 - 11) * c + (5 + 0.5 - 11) * s + 7.5 and sy == -(3 + 0.5 - 11) * s + (5 + 0.5 - 11) * c + 7.5
