@@ -606,7 +606,7 @@ add("suppress_close_scene", on("scene", lambda d: D.suppress_close(D.colour_cand
 def _ink(spark: SparkSession, sf: str) -> DataFrame:
     """A sheet of 128 x 48 for each supplier: two rows of bars in two inks that depend on its key, on coloured ground."""
     key = F.col("s_suppkey")
-    d = spark.read.parquet(f"{sf}/supplier.parquet").select(key.cast("int").alias("image_id"), "s_suppkey").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(127)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(47))))
+    d = spark.read.parquet(f"{sf}/supplier.parquet").select(key.cast("int").alias("image_id"), "s_suppkey").repartition(4 * spark.sparkContext.defaultParallelism, "image_id").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(127)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(47))))
     bar = lambda n: (F.col("x") >= 4) & (F.col("x") < 4 + 12 * n) & ((F.col("x") - 4) % 12 < 4)
     one, two = bar(10) & F.col("y").between(10, 17), bar(9) & F.col("y").between(30, 37)
     return d.select("image_id", "x", "y", *[F.when(one, i).when(two, j).otherwise(k).cast("int").alias(c) for c, i, j, k in zip("rgb", *[[F.lit(v) if isinstance(v, int) else v for v in t] for t in _inks(key)], strict=True)], F.lit(255).alias("a"))
@@ -621,7 +621,7 @@ _INKED = """WITH k AS (SELECT CAST(s_suppkey AS INTEGER) AS image_id, s_suppkey
  SELECT image_id, 10 AS n, CAST(200+s%50 AS INTEGER) AS r, 30 AS g, 20 AS b FROM k UNION ALL SELECT image_id, 9, 20, CAST(150+s%60 AS INTEGER), 60 FROM k),
  sc AS (SELECT *, n*(1+(greatest(r,g,b)-least(r,g,b))/greatest(r,g,b)*1.5+greatest(0.0, 1-(r+g+b)/765-0.3)*1.2) AS score FROM i)
 SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY score DESC) AS INTEGER) AS rank, printf('#%02x%02x%02x', r, g, b) AS hex, CAST(n*32 AS BIGINT) AS pixels, CAST(n AS BIGINT) AS components, CAST(8 AS INTEGER) AS median_height, 32.0 AS mean_pixels FROM sc"""
-add("detect_text_colours_ink", lambda s, d: D.detect_text_colours(_ink(s, d)), _INKED)
+add("detect_text_colours_ink", lambda s, d: D.detect_text_colours(settled(_ink(s, d), "ink")), _INKED)
 add("colour_mask_scene", on("scene", lambda d: D.colour_mask(d, "#8040c0").groupBy("image_id").agg(F.sum("m").cast("long").alias("m"))), src("scene") + "SELECT image_id, count(*) FILTER (a>=128 AND (r-128)*(r-128)+(g-64)*(g-64)+(b-192)*(b-192)<=18*18) AS m FROM src GROUP BY image_id")
 
 

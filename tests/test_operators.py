@@ -210,3 +210,11 @@ def test_turned_levels_at_a_half_round_as_their_sql_says():
     sx, sy = kernels.rotated_from(np.array(3.0), np.array(5.0), 16, 16, 30)
     c, s = np.cos(np.radians(30.0)), np.sin(np.radians(30.0))
     assert sx == (3 + 0.5 - 11) * c + (5 + 0.5 - 11) * s + 7.5 and sy == -(3 + 0.5 - 11) * s + (5 + 0.5 - 11) * c + 7.5
+
+
+def test_text_colours_deal_only_the_places_of_a_colour(spark):
+    from rasterloom import queries
+    from rasterloom.operators import detect
+
+    plan = detect.detect_text_colours(queries._ink(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftOuter" not in plan and "strategy=shuffle_hash" in plan
