@@ -67,3 +67,16 @@ def test_tracer_of_a_colour(spark, sf):
     d = raster(spark, sf, "scene").where("image_id = 0")
     rings = vectorize_colour(d, "#ffffff", (64, 64), (64, 64), trace.tracer(0.0))
     assert trace.filled(rings).count() == d.where("r = 255 and g = 255 and b = 255").count()
+
+
+@pytest.mark.parametrize("side", [2, 7, 64])
+def test_rings_do_not_depend_on_squares(spark, shapes, side):
+    mask = mask_of(spark, [a[:20, :20] for a in shapes])
+    same = {(r["image_id"], r["ring"], tuple(map(tuple, r["points"])), r["area"], r["length"]) for r in trace.rings(mask).collect()}
+    assert same == {(r["image_id"], r["ring"], tuple(map(tuple, r["points"])), r["area"], r["length"]) for r in trace.rings(mask, side).collect()}
+
+
+def test_pixels_are_not_dealt_one_by_one(spark, shapes):
+    mask = mask_of(spark, shapes)
+    plan = trace.chains(mask)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.index("MapInArrow") > plan.index("Exchange")  # packed before they are dealt
