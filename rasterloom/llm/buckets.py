@@ -27,6 +27,8 @@ BLOCK, BLOCK_BYTES = 200, 8 << 20
 BITS = 1 << 20
 #: Pairs (key, id) of a part, 16 bytes each: what one task holds.
 PART_PAIRS = 2_000_000
+#: Rows of a broadcast side of one integer.
+FEW = 100_000
 #: Edges that one task's union-find takes at most (about 100 MB).
 LOCAL_EDGES = 500_000
 SKETCH = "bands array<long>, links array<struct<bh:long,lead:long>>"
@@ -121,12 +123,20 @@ class Likeness:
 
     prepare(text, names) gives (what alike needs, the item's distinct parts as numbers, ...), numbered by means of the shared
     dictionary names; alike(x, y) judges two prepared items; least(n, m) is the overlap of part sets of those sizes
-    below which no two items are alike (arrays in, array out).
+    below which no two items are alike (arrays in, array out). view and agree, if given, do the same for one pair, without numbers.
     """
 
     prepare: Callable[[str, dict], tuple]
     alike: Callable[[tuple, tuple], bool]
     least: Callable[[np.ndarray, np.ndarray], np.ndarray]
+    view: Callable[[str], object] | None = None
+    agree: Callable[[object, object], bool] | None = None
+
+    def one(self, text: str, names: dict) -> object:
+        return self.view(text) if self.view else self.prepare(text, names)
+
+    def same(self, x: object, y: object) -> bool:
+        return self.agree(x, y) if self.agree else self.alike(x, y)
 
 
 def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
@@ -141,8 +151,8 @@ def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
             for i, x, y in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
                 if i != at:
                     at, names = i, {}
-                    lead = like.prepare(x.as_py(), names)
-                ok.append(like.alike(lead, like.prepare(y.as_py(), names)))
+                    lead = like.one(x.as_py(), names)
+                ok.append(like.same(lead, like.one(y.as_py(), names)))
                 if len(names) > 2_000_000:
                     at = None
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
@@ -274,7 +284,6 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
         if len(set(roots)) == 1:  # one class already
             return []
         names: dict = {}
-        items = [like.prepare(t, names) for t in texts]
         first = min(own)
         left = [i for i, o in enumerate(own) if o == first]
         right = left if same else [i for i, o in enumerate(own) if o != first]
@@ -286,16 +295,24 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                 r = up[r]
             return r
 
-        def compare(i: int, j: int) -> None:
-            if (not same or i < j) and (a := find(roots[i])) != (b := find(roots[j])) and like.alike(items[i], items[j]):
+        def compare(i: int, j: int, alike: Callable[[int, int], bool]) -> None:
+            if (not same or i < j) and (a := find(roots[i])) != (b := find(roots[j])) and alike(i, j):
                 out.append((ids[i], ids[j]))
                 up[a] = b
 
         if len(left) * len(right) <= 400:
+            seen: dict[int, object] = {}  # items of a class that meet no other need no look
+
+            def item(i: int) -> object:
+                if i not in seen:
+                    seen[i] = like.prepare(texts[i], names)
+                return seen[i]
+
             for i in left:
                 for j in right:
-                    compare(i, j)
+                    compare(i, j, lambda i, j: like.alike(item(i), item(j)))
             return out
+        items = [like.prepare(t, names) for t in texts]
         parts = [np.fromiter(x[1], dtype=np.int64, count=len(x[1])) for x in items]
         size, root, other = np.array([len(x) for x in parts]), np.array(roots), np.array(right)
         pairs = []
@@ -306,7 +323,7 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
             pairs.append((i, apart[np.minimum(size[apart], size[i]) >= like.least(size[i], size[apart])]))
         for (i, apart), both in zip(pairs, shared_parts(parts, pairs), strict=True):
             for j in apart[both >= like.least(size[i], size[apart])]:
-                compare(i, int(j))
+                compare(i, int(j), lambda i, j: like.alike(items[i], items[j]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,7 +362,9 @@ def classes(found: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
     star = found.withColumn("a", F.least("lead", "id")).withColumn("b", F.greatest("lead", "id"))
     # buckets of three or more with a link that did not hold
     open_ = star.join(small_side(failed.withColumn("bad", F.lit(1))), ["a", "b"], "left").groupBy("bh").agg(F.count("*").alias("n"), F.sum("bad").alias("bad")).where("n > 1 and bad > 0")
-    inside = dealt_join(star, settled(open_.select("bh", "n"), "open"), "bh", "id", "left_semi")
+    open_ = settled(open_.select("bh", "n"), "open")
+    # few of them go to the buckets' rows, of which most are in none
+    inside = star.join(F.broadcast(open_.select("bh")), "bh", "left_semi") if open_.count() <= FEW else dealt_join(star, open_, "bh", "id", "left_semi")
     inside = inside.select("bh", "id").unionByName(inside.select("bh", F.col("lead").alias("id"))).dropDuplicates(["bh", "id"])
     inside = settled(inside.join(small_side(roots), "id", "left").select("bh", "id", F.coalesce("root", "id").alias("root")), "inside")
     size = inside.groupBy("bh").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))

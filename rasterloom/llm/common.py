@@ -113,26 +113,31 @@ def fold_of(id_col: str, n: int) -> Column:
     return (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n).cast("int")
 
 
-#: A key of more rows than this is dealt to several tasks.
-HOT = 256
+#: A key of more rows than this is dealt to several tasks, and the most keys that are.
+HOT, HOT_KEYS = 256, 2_000
 
 
 def dealt_join(rows: DataFrame, side: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``side`` (one row a key; its column n says how many rows of ``rows`` have the key).
 
     Keys of more than HOT rows are dealt to tasks by ``by``, a column of ``rows``, and their side row goes to each of
-    those. At most rows / HOT keys can be so hot, and the bound rises with the table, so that the hot keys' own
-    list, which is broadcast, never has more than 100,000 rows.
+    those. At most rows / HOT keys can be so hot, and the bound rises with the table, so that there are never more than HOT_KEYS
+    of them: they stand in the plan, by powers of two of their tasks, and the rows of all other keys pass no other join.
     """
     total = side.agg(F.sum("n")).first()[0] or 0
-    bound = max(HOT, total // 100_000)
-    hot = settled(side.where(F.col("n") > bound).select(key, F.ceil(F.col("n") / bound).cast("int").alias("__parts")), "hot")
-    if hot.isEmpty():
+    bound = max(HOT, -(-total // HOT_KEYS))
+    hot: dict[int, list[int]] = {}
+    for k, n in side.where(F.col("n") > bound).select(key, "n").collect():
+        if k is not None:
+            hot.setdefault(1 << (-(-n // bound) - 1).bit_length(), []).append(k)
+    if not hot:
         return rows.join(side.drop("n"), key, how)
-    parts = F.coalesce("__parts", F.lit(1))
-    left = rows.join(F.broadcast(hot), key, "left").withColumn("__deal", F.pmod(F.xxhash64(by), parts).cast("int"))
-    right = side.drop("n").join(F.broadcast(hot), key, "left").withColumn("__deal", F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.drop("__parts").join(right.drop("__parts"), [key, "__deal"], how).drop("__deal")
+    parts = F.lit(1)
+    for n, keys in sorted(hot.items()):
+        parts = F.when(F.col(key).isin(sorted(keys)), n).otherwise(parts)
+    left = rows.withColumn("__deal", F.pmod(F.xxhash64(by), parts).cast("int"))
+    right = side.drop("n").withColumn("__deal", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right, [key, "__deal"], how).drop("__deal")
 
 
 def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:

@@ -63,6 +63,8 @@ LIKENESS = buckets.Likeness(
     lambda line, names: (None, frozenset(names.setdefault(g, len(names)) for g in shingles(line))),
     lambda x, y: jaccard(x[1], y[1]),
     lambda n, m: np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9),
+    shingles,
+    jaccard,
 )
 
 

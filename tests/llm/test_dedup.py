@@ -377,3 +377,11 @@ def test_minhash_of_long_lines_is_whole(spark):
     a, b = base, base + " tail"
     out = {r["doc_id"]: r["n_lost"] for r in line_dedup.dedup_lines(spark.createDataFrame([(1, a), (2, b), (3, base[:20_000])], "doc_id long, text string")).collect()}
     assert out == {1: 0, 2: 1, 3: 0}
+
+
+def test_rows_of_other_keys_pass_one_join(spark):
+    rows = spark.range(4000).selectExpr("IF(id < 2000, -5L, id) AS key", "id AS i")
+    side = rows.groupBy("key").count().withColumnRenamed("count", "n")
+    made = dealt_join(rows, side, "key", "i")
+    assert made.count() == 4000
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # before, all rows went through a join with the hot keys first
