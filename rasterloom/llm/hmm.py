@@ -28,17 +28,17 @@ doc_id counts as the empty text in the fold's hash.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, hashed_sample, heaviest, settled, small_batches, text_or_empty, trim
+from .common import fold_of, hashed_sample, heaviest, settled, small_batches, text_or_empty, tidy, trim
 
 FOLDS, HELD_OUT = 5, 1
 #: The end of a text; no word holds a space.
@@ -49,7 +49,13 @@ SEED_SEGMENTS, SEED_TOKENS = 8000, 128
 #: Nats a token: passes that gain less are the last.
 GAIN = 0.002
 #: Tokens in memory at once in a task.
-TOKENS = 600_000
+TOKENS = 300_000
+#: Steps between two scalings of a text's forward row; a step's odds are far above the cube root of the least double.
+SCALED = 3
+#: Bytes of text whose words a task counts at once.
+COUNTED = 24 << 20
+#: Symbols of a part of a task's sums: a row of the shuffle.
+PART = 4096
 #: Weight of the overall distribution in a state's emissions, in tokens.
 PRIOR = 500.0
 #: Weight of its class's profile in a word's, in tokens.
@@ -67,6 +73,12 @@ def tail_class(word: bytes, classes: int) -> int:
     return crc32(word[-3:]) % classes
 
 
+def tail_classes(words: pa.Array, classes: int) -> np.ndarray:
+    """The same for a column of words without nulls."""
+    tails = pc.binary_slice(words.cast(pa.binary()), -3).dictionary_encode()
+    return np.array([tail_class(t, classes) for t in tails.dictionary.to_pylist()], dtype=np.int32)[tails.indices.to_numpy()]
+
+
 def class_of(classes: int) -> Column:
     """The same for a column ``word``."""
     return (F.crc32(F.expr("substring(encode(word, 'UTF-8'), -3)")) % classes).cast("int")
@@ -102,26 +114,43 @@ class Hmm:
     share: np.ndarray  # (K,) of states over all tokens
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """``words_of`` for a column without nulls: all words in a row, as strings, and how many each text has."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    words, edge = cut.flatten(), np.concatenate([[0], np.cumsum(cut.value_lengths().to_numpy())])
+    some = pc.greater(pc.binary_length(words), 0)  # white space at a text's ends leaves empty strings
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    return words.filter(some), np.diff(before[edge])
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """word, c: over all texts of ``docs``; partial counts in the tasks, then one shuffle by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
+        held: list[pa.Array] = []
+        texts = size = 0
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
+            found = pa.chunked_array(held, pa.string()).value_counts()
+            words = pa.concat_arrays([found.field("values"), pa.array([END.decode()], pa.string())])
+            out = pa.RecordBatch.from_arrays([words, pa.concat_arrays([found.field("counts"), pa.array([texts], pa.int64())])], names=["word", "c"])
+            held.clear()
             return out
 
         for batch in batches:
-            for text in batch.column("text"):
-                counts.update(words_of(text.as_py()))
-                counts[END] += 1
-                if len(counts) > 500_000:
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.column("text").slice(a, 1024)
+                words, _ = split_words(part)
+                held.append(words)
+                texts += len(part)
+                size += words.nbytes
+                if size > COUNTED:
                     yield flush()
-        yield flush()
+                    texts = size = 0
+        if texts:
+            yield flush()
 
-    return docs.select(text_or_empty().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return small_batches(docs).select(text_or_empty().alias("text")).mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def lexicon(counts: DataFrame, *, head: int, classes: int) -> Lexicon:
@@ -150,36 +179,37 @@ def code(docs: DataFrame, lex: Lexicon) -> DataFrame:
     rare holds each such word once, at the place in rare of every one of their occurrences. n_known and known_log, the sum of log10(c + 0.5),
     are those of head words.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lex)
+    head = pa.array([w.decode() for w in lex.at], pa.string())  # by rank
+    shared = docs.sparkSession.sparkContext.broadcast((head, lex.counts, lex.classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
-        find, log_c = lex.at, np.log10(lex.counts + 0.5)
-        suffix: dict[bytes, int] = {}
+        head, counts, classes = shared.value
+        log_c = np.log10(counts + 0.5)
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
                 batch = whole.slice(a, 1024)
-                out: list[tuple] = []
-                for text in batch.column("text"):
-                    words = words_of(text.as_py())
-                    words.append(END)
-                    s = np.array([find.get(w, -1) for w in words], dtype=np.int32)
-                    known = s[s >= 0]
-                    beyond = np.flatnonzero(s < 0)
-                    rare: dict[bytes, int] = {}
-                    at = [rare.setdefault(words[j], len(rare)) for j in beyond]
-                    if at:
-                        if len(suffix) > 200_000:
-                            suffix.clear()
-                        k = np.array([suffix[x] if (x := w[-3:]) in suffix else suffix.setdefault(x, crc32(x) % lex.classes) for w in rare], dtype=np.int32)
-                        s[beyond] = lex.symbols + k[at]
-                    out.append((len(words), int((lex.counts[known] > 0).sum()), float(log_c[known].sum()), s, list(rare), at))
-                n, known, known_log, syms, rare, at = zip(*out, strict=True)
+                words, size = split_words(batch.column("text"))
+                last = np.cumsum(size + 1) - 1  # the place of each text's end
+                s = np.empty(len(words) + len(size), dtype=np.int32)
+                inner = np.ones(len(s), dtype=bool)
+                inner[last] = False
+                s[inner] = pc.index_in(words, value_set=head).fill_null(-1).to_numpy()
+                s[last] = 0
+                text = np.repeat(np.arange(len(size)), size + 1)
+                beyond = np.flatnonzero(s < 0)
+                known = np.where(s >= 0, counts[s] > 0, False)
+                logs = np.where(s >= 0, log_c[s], 0.0)
+                coded = words.filter(pa.array(s[inner] < 0)).dictionary_encode()
+                kinds, which = coded.dictionary, coded.indices.to_numpy()
+                s[beyond] = len(head) + tail_classes(kinds, classes)[which]
+                own, at = np.unique(text[beyond] * max(len(kinds), 1) + which, return_inverse=True)
+                owner, kind = np.divmod(own, max(len(kinds), 1))
+                edge = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(size)))])
                 cols = [
-                    pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(known_log, pa.float64()),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, syms)]), pa.int32()), pa.array(np.concatenate(syms), pa.int32())),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array([w for x in rare for w in x], pa.binary()).cast(pa.string())),
-                    pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), pa.int32()), pa.array([i for x in at for i in x], pa.int32())),
+                    pa.array(size + 1, pa.int64()), pa.array(np.bincount(text, known, len(size)).astype(np.int64)), pa.array(np.bincount(text, logs, len(size))),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last + 1]), pa.int32()), pa.array(s)),
+                    pa.ListArray.from_arrays(pa.array(edge, pa.int32()), kinds.take(pa.array(kind))),
+                    pa.ListArray.from_arrays(pa.array(np.searchsorted(beyond, np.concatenate([[0], last + 1])), pa.int32()), pa.array((at - edge[text[beyond]]).astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("key", "doc_id", "held_out")] + cols, names=CODED_NAMES)
 
@@ -195,16 +225,20 @@ def forward(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray) -
     order = np.argsort(-size, kind="stable")
     begin, size = start[order], size[order]
     ll = np.zeros(len(size))
-    n = int(np.searchsorted(-size, -1, side="right"))  # sequences with a first symbol
-    alpha = np.tile(model.start, (n, 1))
-    for t in range(int(size[0]) if n else 0):
-        m = int(np.searchsorted(-size[:n], -t, side="left"))  # of more than t symbols
-        alpha = alpha[:m] @ model.step if t else alpha[:m]
-        alpha = alpha * model.emit[flat[begin[:m] + t]]
-        scale = alpha.sum(axis=1)
-        alpha /= scale[:, None]
-        ll[:m] += np.log10(scale)
-        n = m
+    top = int(size[0]) if len(size) else 0
+    live = np.searchsorted(-size, -np.arange(top + 1), side="left")  # of more than t symbols
+    alpha = np.tile(model.start, (live[0], 1))
+    for t in range(top):
+        m, after = live[t], live[t + 1]
+        if t:
+            alpha = alpha[:m] @ model.step
+        alpha *= model.emit.take(flat[begin[:m] + t], axis=0)
+        if after < m:  # these end here
+            ll[after:m] += np.log10(alpha[after:].sum(axis=1))
+        if t % SCALED == SCALED - 1:
+            scale = alpha[:after].sum(axis=1)
+            alpha[:after] /= scale[:, None]
+            ll[:after] += np.log10(scale)
     out = np.empty(len(size))
     out[order] = ll
     return out
@@ -223,34 +257,40 @@ def expected(model: Hmm, flat: np.ndarray, start: np.ndarray, size: np.ndarray,
     k = len(model.start)
     steps, starts, fit = np.zeros((k, k)), np.zeros(k), 0.0
     top = int(size[0]) if len(size) else 0
-    live = [int(np.searchsorted(-size, -t, side="left")) for t in range(top)]
-    alphas, scales, syms = [], [], []
+    live = np.searchsorted(-size, -np.arange(top), side="left")
+    edge = np.concatenate([[0], np.cumsum(live)])
+    places = np.concatenate([begin[:m] + t for t, m in enumerate(live)]) if top else np.zeros(0, np.int64)
+    s = flat[places]
+    own = np.concatenate([(lo[:m] <= t) & (t < hi[:m]) for t, m in enumerate(live)]) if top else np.zeros(0, bool)
+    # by steps: forward rows, which become posteriors on the way back, and scaled emissions
+    g, odds, scales = np.empty((len(s), k)), np.empty((len(s), k)), np.empty(len(s))
     alpha = np.where(first[:, None], model.start, model.share)
     for t in range(top):
-        m = live[t]
-        s = flat[begin[:m] + t]
-        alpha = (alpha[:m] @ model.step if t else alpha[:m]) * model.emit[s]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
-        alphas.append(alpha), scales.append(scale), syms.append(s)
-        fit += float(np.log(scale[(lo[:m] <= t) & (t < hi[:m])]).sum())
+        at = slice(edge[t], edge[t + 1])
+        if t:
+            alpha = alpha[: live[t]] @ model.step
+        b, scale = model.emit.take(s[at], axis=0, out=odds[at], mode="clip"), scales[at]
+        np.einsum("ij,ij->i", alpha, b, out=scale)
+        b /= scale[:, None]
+        alpha = np.multiply(alpha, b, out=g[at])
+    fit += float(np.log(scales[own]).sum())
     beta = np.ones((live[-1] if top else 0, k))
-    gammas: list[np.ndarray] = [None] * top
     for t in range(top - 1, -1, -1):
+        at = slice(edge[t], edge[t + 1])
         if live[t] > len(beta):
             beta = np.vstack([beta, np.ones((live[t] - len(beta), k))])
-        own = ((lo[: live[t]] <= t) & (t < hi[: live[t]]))[:, None]
-        gammas[t] = alphas[t] * beta * own
+        g[at] *= beta
         if t:
-            onward = beta * model.emit[syms[t]] / scales[t][:, None]
-            steps += alphas[t - 1][: live[t]].T @ (onward * own)
+            onward = np.multiply(odds[at], beta, out=odds[at])
+            before, mine = g[edge[t - 1] : edge[t - 1] + live[t]], own[at]
+            steps += before.T @ onward if mine.all() else before[mine].T @ onward[mine]
             beta = onward @ model.step.T
     if top:
-        starts += gammas[0][first[: live[0]]].sum(axis=0)
-        g, s = np.concatenate(gammas), np.concatenate(syms)
+        g[~own] = 0
+        starts += g[: live[0]][first[: live[0]]].sum(axis=0)
         emits = np.stack([np.bincount(s, g[:, j], minlength=len(model.emit)) for j in range(k)], axis=1)
         if watch:
-            watch(np.concatenate([begin[:m] + t for t, m in enumerate(live)]), s, g)
+            watch(places, s, g)
     else:
         emits = np.zeros_like(model.emit)
     return emits, steps * model.step, starts, fit
@@ -322,6 +362,17 @@ def places_of(rare, at) -> tuple[np.ndarray, int]:
     return values + np.repeat(np.cumsum(rare) - rare, size), int(rare.sum())
 
 
+def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, sums as bytes) to one row a part; a task holds its parts' sums alone."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, sums in zip(batch.column("part").to_pylist(), batch.column("sums"), strict=True):
+            own = np.frombuffer(sums.as_buffer())
+            total[part] = total[part] + own if part in total else own.copy()
+    for part, sums in total.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([sums.tobytes()], pa.binary())], names=["part", "sums"])
+
+
 def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray, symbols: int | None = None) -> tuple[Hmm, float, np.ndarray, DataFrame | None]:
     """One pass over all training texts: the next model, the log-likelihood a token under the one given, and the expected counts.
 
@@ -362,21 +413,28 @@ def baum_welch(coded: DataFrame, model: Hmm, share: np.ndarray, symbols: int | N
                 sums = [pa.array(np.rint(FINE * np.bincount(which, g[:, j], minlength=n)), pa.float64()) for j in range(k)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, -1, np.int32)), batch.column("rare").flatten(), pa.array(np.bincount(which, minlength=n)), *sums], names=names)
         rows = np.vstack([emits, steps, starts[None], np.full((1, k), fit)])
+        if symbols is None:
+            for i, part in enumerate(np.split(rows, range(PART, len(rows), PART))):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "sums"])
+            return
         used = np.flatnonzero(rows.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.nulls(len(used), pa.string()), pa.array(np.zeros(len(used), np.int64)), *[pa.array(rows[used, j]) for j in range(k)]], names=names)
 
-    columns = ["symbols"] if symbols is None else ["symbols", "rare", "at"]
-    sums = coded.where(~F.col("held_out")).select(*columns).mapInArrow(run, "row int, word string, c long, " + ", ".join(f"{n} double" for n in states))
-    sums = sums.groupBy("row", "word").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in states])
-    if symbols is not None:
-        sums = settled(sums, "op1-words")
-    found = sums.where("row >= 0").toPandas()  # at most head + classes + states + 2 rows
+    training = coded.where(~F.col("held_out"))
+    table, words = np.zeros((len(share) + k + 2, k)), None
+    if symbols is None:
+        parts = training.select("symbols").mapInArrow(run, "part int, sums binary").repartition(-(-len(table) // PART), "part").mapInArrow(tidy(added), "part int, sums binary")
+        for row in parts.collect():  # head + classes + states + 2 rows of the table in all
+            table[row["part"] * PART :][:PART] += np.frombuffer(row["sums"]).reshape(-1, k)
+    else:
+        sums = training.select("symbols", "rare", "at").mapInArrow(run, "row int, word string, c long, " + ", ".join(f"{n} double" for n in states))
+        sums = settled(sums.groupBy("row", "word").agg(F.sum("c").alias("c"), *[F.sum(n).alias(n) for n in states]), "op1-words")
+        found = sums.where("row >= 0").toPandas()  # at most as many
+        table[found["row"]] = found[states].to_numpy()
+        words = sums.where("row < 0").drop("row")
     shared.unpersist()
     trim()
-    table = np.zeros((len(share) + k + 2, k))
-    table[found["row"]] = found[states].to_numpy()
     emits = table[: len(share)]
-    words = None if symbols is None else sums.where("row < 0").drop("row")
     return normalised(emits, table[len(share) : -2], table[-2], share), table[-1, 0] / max(emits.sum(), 1.0), emits, words
 
 

@@ -9,6 +9,7 @@ from zlib import crc32
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -517,3 +518,26 @@ def test_topk_few_candidates_and_empty(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 1, 256 * 512)]
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_words_by_columns_are_those_of_the_texts():
+    texts = ["", " \n ", "  A b\x0bc \t", "É é\u00a0x\u2003y Zz", "one", "a\x1cb\x00 C\r\n\n\x0cd "]
+    words, size = hmm.split_words(pa.array(["left out", *texts], pa.string()).slice(1))
+    assert [w.encode() for w in words.to_pylist()] == [w for t in texts for w in hmm.words_of(t)]
+    assert size.tolist() == [len(hmm.words_of(t)) for t in texts]
+    assert hmm.tail_classes(words, 64).tolist() == [hmm.tail_class(w.encode(), 64) for w in words.to_pylist()]
+
+
+def test_sums_of_a_pass_are_shuffled_by_parts():
+    one = [np.arange(6.0), np.ones(4), np.full(6, 0.5)]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1, 0], pa.int32()), pa.array([x.tobytes() for x in one], pa.binary())], names=["part", "sums"])
+    got = {p: np.frombuffer(b).tolist() for out in hmm.added(iter([batch, batch])) for p, b in zip(*(out.column(c).to_pylist() for c in ("part", "sums")), strict=True)}
+    assert got == {0: (2 * (one[0] + one[2])).tolist(), 1: [2.0] * 4}
+
+
+def test_forward_rows_of_tiny_odds_do_not_vanish():
+    model = small_model(3, 4, 7)
+    model.emit[1] = 1e-90
+    flat = np.array([1] * 50 + [0, 1])
+    got = hmm.forward(model, flat, np.array([0, 50, 52]), np.array([50, 2, 0]))
+    assert abs(got[0] + 90 * 50) < 1e-6 and -100 < got[1] < -90 and got[2] == 0
