@@ -4,7 +4,8 @@ Items have 64-bit ids (hashes of their content, so equal items are one). Each it
 share one with high probability. A bucket is never expanded into its pairs: its items are linked to its smallest
 id, first inside the chunk that made the sketches (so a hot bucket reaches the shuffle as one row a
 chunk), then over the whole table, part by part of the keys. Links are verified on the items themselves. If all links of
-a bucket hold, its items are one class and no other pair of it can matter. Otherwise the bucket is settled
+a bucket hold, its items are one class and no other pair of it can matter. A large bucket else tries a few links
+to other items of its largest class. If it is not one class then, it is settled
 exactly: its items are cut into blocks and every two blocks meet in one task, which compares only items
 that are not in one class yet. So no link between items of a bucket is lost, whatever the bucket's size.
 """
@@ -19,10 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_join, settled, small_side, tidy
+from .common import bucketed, dealt_join, settled, small_side, tidy
 
 #: Items of a block of an open bucket, and bytes of their texts; an item beyond them is a block of its own.
 BLOCK, BLOCK_BYTES = 200, 8 << 20
+#: Times that the classes of an open bucket of more than a block meet its largest class by one item each, before it is cut into blocks.
+TURNS = 3
+#: Bytes of texts whose sets are made at once.
+SET_BYTES = 1 << 20
 #: Parts compared as bits at a time: 400 items take 50 MB.
 BITS = 1 << 20
 #: Pairs (key, id) of a part, 16 bytes each: what one task holds.
@@ -123,20 +128,19 @@ class Likeness:
 
     prepare(text, names) gives (what alike needs, the item's distinct parts as numbers, ...), numbered by means of the shared
     dictionary names; alike(x, y) judges two prepared items; least(n, m) is the overlap of part sets of those sizes
-    below which no two items are alike (arrays in, array out). view and agree, if given, do the same for one pair, without numbers.
+    below which no two items are alike (arrays in, array out). If the number of parts that two items share settles the matter, sets gives
+    the sorted distinct parts of each of many texts, as numbers for this call, and enough(both, n, m) judges two items of n and m parts.
     """
 
     prepare: Callable[[str, dict], tuple]
     alike: Callable[[tuple, tuple], bool]
     least: Callable[[np.ndarray, np.ndarray], np.ndarray]
-    view: Callable[[str], object] | None = None
-    agree: Callable[[object, object], bool] | None = None
+    sets: Callable[[list[str]], list[np.ndarray]] | None = None
+    enough: Callable[[int, int, int], bool] | None = None
 
-    def one(self, text: str, names: dict) -> object:
-        return self.view(text) if self.view else self.prepare(text, names)
-
-    def same(self, x: object, y: object) -> bool:
-        return self.agree(x, y) if self.agree else self.alike(x, y)
+    def met(self, x: np.ndarray, y: np.ndarray) -> bool:
+        """Whether two items are alike, by their sets."""
+        return self.enough(min(len(x), len(y)), len(x), len(y)) and self.enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))
 
 
 def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
@@ -146,13 +150,21 @@ def verified(pairs: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, lead, names = None, None, {}  # pairs of one lead mostly follow each other
+        for whole in batches if like.sets else ():
+            rows = max(1, whole.num_rows * SET_BYTES // max(1, whole.nbytes))
+            for start in range(0, whole.num_rows, rows):
+                batch = whole.slice(start, rows)
+                a, first, which = np.unique(batch.column("a").to_numpy(), return_index=True, return_inverse=True)
+                sets = like.sets(batch.column("ta").take(pa.array(first)).to_pylist() + batch.column("tb").to_pylist())
+                ok = [like.met(sets[i], x) for i, x in zip(which.tolist(), sets[len(a) :], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
         for batch in batches:
             ok = []
             for i, x, y in zip(batch.column("a").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
                 if i != at:
                     at, names = i, {}
-                    lead = like.one(x.as_py(), names)
-                ok.append(like.same(lead, like.one(y.as_py(), names)))
+                    lead = like.prepare(x.as_py(), names)
+                ok.append(like.alike(lead, like.prepare(y.as_py(), names)))
                 if len(names) > 2_000_000:
                     at = None
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
@@ -300,6 +312,12 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                 out.append((ids[i], ids[j]))
                 up[a] = b
 
+        if like.sets and len(left) * len(right) <= 400:
+            sets = like.sets(list(texts))
+            for i in left:
+                for j in right:
+                    compare(i, j, lambda i, j: like.met(sets[i], sets[j]))
+            return out
         if len(left) * len(right) <= 400:
             seen: dict[int, object] = {}  # items of a class that meet no other need no look
 
@@ -312,8 +330,8 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                 for j in right:
                     compare(i, j, lambda i, j: like.alike(item(i), item(j)))
             return out
-        items = [like.prepare(t, names) for t in texts]
-        parts = [np.fromiter(x[1], dtype=np.int64, count=len(x[1])) for x in items]
+        items = [] if like.sets else [like.prepare(t, names) for t in texts]
+        parts = like.sets(list(texts)) if like.sets else [np.fromiter(x[1], dtype=np.int64, count=len(x[1])) for x in items]
         size, root, other = np.array([len(x) for x in parts]), np.array(roots), np.array(right)
         pairs = []
         for i in left:
@@ -322,8 +340,9 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
                 apart = apart[apart > i]
             pairs.append((i, apart[np.minimum(size[apart], size[i]) >= like.least(size[i], size[apart])]))
         for (i, apart), both in zip(pairs, shared_parts(parts, pairs), strict=True):
-            for j in apart[both >= like.least(size[i], size[apart])]:
-                compare(i, int(j), lambda i, j: like.alike(items[i], items[j]))
+            near = both >= like.least(size[i], size[apart])
+            for j, n in zip(apart[near].tolist(), both[near].tolist(), strict=True):
+                compare(i, j, lambda i, j, n=n: like.enough(n, len(parts[i]), len(parts[j])) if like.sets else like.alike(items[i], items[j]))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,8 +371,10 @@ def _tiles(rest: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
 def classes(found: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
     """id, root of all items in a class of two or more.
 
-    found is settled members; payload has id and text for their ids.
+    found is settled members; payload has id and text for their ids. Texts are dealt by id once, into buckets; then they are shuffled to
+    the other text of a pair, and to pairs of blocks, alone.
     """
+    payload = bucketed(payload, "id", "payload")
     pairs = settled(found.select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).dropDuplicates(["a", "b"]), "pairs")
     judged = settled(verified(pairs, payload, like), "verified")
     links = judged.where("ok").select("a", "b")
@@ -367,10 +388,40 @@ def classes(found: DataFrame, payload: DataFrame, like: Likeness) -> DataFrame:
     inside = star.join(F.broadcast(open_.select("bh")), "bh", "left_semi") if open_.count() <= FEW else dealt_join(star, open_, "bh", "id", "left_semi")
     inside = inside.select("bh", "id").unionByName(inside.select("bh", F.col("lead").alias("id"))).dropDuplicates(["bh", "id"])
     inside = settled(inside.join(small_side(roots), "id", "left").select("bh", "id", F.coalesce("root", "id").alias("root")), "inside")
+    rest, more = _still_open(inside), None
+    for turn in range(TURNS):
+        met = _met_anew(rest.where(F.col("members") > BLOCK), payload, like, turn)
+        if met is None:
+            break
+        more = met.select("a", "b") if more is None else more.unionByName(met.select("a", "b"))
+        up = components(met.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("id").alias("root"), F.col("root").alias("to"))
+        up = settled(up.join(rest.groupBy("root").agg(F.count("*").alias("n")), "root"), "up")
+        rest = _still_open(dealt_join(rest.select("bh", "id", "root"), up, "root", "id", "left").select("bh", "id", F.coalesce("to", "root").alias("root")))
+    if not rest.isEmpty():
+        last = settled(_tiles(rest, payload, like), "more")
+        more = last if more is None else more.unionByName(last)
+    return roots if more is None or more.isEmpty() else settled(components(links.unionByName(more)), "roots2")
+
+
+def _still_open(inside: DataFrame) -> DataFrame:
+    """bh, id, root, members of the buckets (bh, id, root) of three or more items that are not one class."""
     size = inside.groupBy("bh").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi"))
     size = settled(size.where("n > 2 and lo <> hi").select("bh", "n", F.col("n").alias("members")), "sizes")
-    rest = settled(dealt_join(inside, size, "bh", "id"), "rest")
+    return settled(dealt_join(inside, size, "bh", "id"), "rest")
+
+
+def _met_anew(rest: DataFrame, payload: DataFrame, like: Likeness, turn: int) -> DataFrame | None:
+    """a, b, ra, rb: links that hold of an item of each class of a bucket to one of the bucket's largest class, which differs by turn; None without any.
+
+    Most of a large class's outsiders are unlike its least item alone, and a bucket that becomes one class this way need not be cut into blocks.
+    """
     if rest.isEmpty():
-        return roots
-    more = settled(_tiles(rest, payload, like), "more")
-    return settled(components(links.unionByName(more)), "roots2") if not more.isEmpty() else roots
+        return None
+    sides = rest.groupBy("bh", "root").agg(F.count("*").alias("n"), F.min_by("id", F.xxhash64("id", "bh", F.lit(turn))).alias("id"))
+    sides = settled(sides, "sides")
+    largest = sides.groupBy("bh").agg(F.max(F.struct("n", "root", "id")).alias("top"), F.count("*").alias("n"))
+    pairs = dealt_join(sides.drop("n"), settled(largest, "largest"), "bh", "root").where(F.col("root") != F.col("top.root"))
+    pairs = pairs.select(F.least("id", "top.id").alias("a"), F.greatest("id", "top.id").alias("b"), F.least("root", "top.root").alias("ra"), F.greatest("root", "top.root").alias("rb"))
+    pairs = settled(pairs.dropDuplicates(["a", "b"]), "anew")
+    met = settled(verified(pairs.select("a", "b"), payload, like).where("ok").join(pairs, ["a", "b"]).select("a", "b", "ra", "rb"), "met")
+    return None if met.isEmpty() else met

@@ -32,6 +32,8 @@ SHINGLE = 8
 BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 CHUNK = 1 << 21
+#: Lines hashed at once.
+SLAB = 200
 
 _RNG = np.random.default_rng(4)
 _MUL = (_RNG.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -59,12 +61,39 @@ def similar(a: str, b: str) -> bool:
     return jaccard(shingles(a), shingles(b))
 
 
+def shingle_sets(lines: list[str]) -> list[np.ndarray]:
+    """The distinct shingles of each line as sorted numbers, equal for equal shingles of these lines alone.
+
+    With at most 256 characters in use a shingle is one in 64 bits; else, or with a line shorter than a shingle, a dictionary gives the numbers.
+    """
+    size = np.array([len(x) for x in lines], dtype=np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    kinds = np.arange(256)
+    if len(codes) and codes.max() > 255:
+        kinds, codes = np.unique(codes, return_inverse=True)
+    if not len(lines) or size.min() < SHINGLE or len(kinds) > 256:
+        names: dict = {}
+        return [np.unique(np.array([names.setdefault(g, len(names)) for g in shingles(x)], dtype=np.uint64)) for x in lines]
+    n, codes = len(codes) - SHINGLE + 1, codes.astype(np.uint64)
+    h = np.zeros(n, dtype=np.uint64)
+    for j in range(SHINGLE):
+        h <<= np.uint64(8)
+        h |= codes[j : j + n]
+    first = np.cumsum(size) - size
+    out = []
+    for a, k in zip(first.tolist(), size.tolist(), strict=True):
+        x = np.sort(h[a : a + k - SHINGLE + 1])
+        again = x[1:] == x[:-1]
+        out.append(x[np.flatnonzero(np.concatenate([[True], ~again]))] if again.any() else x)
+    return out
+
+
 LIKENESS = buckets.Likeness(
     lambda line, names: (None, frozenset(names.setdefault(g, len(names)) for g in shingles(line))),
     lambda x, y: jaccard(x[1], y[1]),
     lambda n, m: np.ceil(THRESHOLD / (1 + THRESHOLD) * (n + m) - 1e-9),
-    shingles,
-    jaccard,
+    shingle_sets,
+    lambda both, n, m: both >= THRESHOLD * (n + m - both),
 )
 
 
@@ -112,7 +141,7 @@ def _chunk(where: list[tuple], lines: list[str], ids: np.ndarray) -> pa.RecordBa
     _, at = np.unique(ids, return_index=True)
     at.sort()
     firsts = [i for i in at.tolist() if len(lines[i]) >= SHINGLE]
-    keys = np.concatenate([band_keys([lines[i] for i in firsts[a : a + 2000]]) for a in range(0, len(firsts), 2000)]) if firsts else np.zeros((0, BANDS), np.int64)
+    keys = np.concatenate([band_keys([lines[i] for i in firsts[a : a + SLAB]]) for a in range(0, len(firsts), SLAB)]) if firsts else np.zeros((0, BANDS), np.int64)
     counts = np.zeros(len(lines), np.int64)
     counts[firsts] = BANDS
     bands, links = buckets.chunk_stars(ids, keys.reshape(-1), counts)
@@ -179,7 +208,7 @@ def lost_lines(docs: DataFrame) -> DataFrame:
     # only lines that stand twice or have a neighbour matter from here on
     times = rows.groupBy("id").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     firsts = settled(times.join(near, "id", "left").where("n > 1 or near"), "op4-firsts")
-    payload = settled(_fetch(docs, firsts.where("near").select("first.row", "first.line", "id")), "op4-payload")
+    payload = _fetch(docs, firsts.where("near").select("first.row", "first.line", "id"))
     roots = buckets.classes(found, payload, LIKENESS)
     named = settled(firsts.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("root"), "first", F.col("n").alias("times")), "op4-named")
     stays = named.groupBy("root").agg(F.min("first").alias("stays"), F.sum("times").alias("lines"), F.count("*").alias("n")).where("lines > 1")

@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from rasterloom.llm import buckets, line_dedup, near_dedup
+from rasterloom.llm import buckets, common, line_dedup, near_dedup
 from rasterloom.llm.common import dealt_join
 
 WORDS = [f"w{i}" for i in range(900)]
@@ -385,3 +385,31 @@ def test_rows_of_other_keys_pass_one_join(spark):
     made = dealt_join(rows, side, "key", "i")
     assert made.count() == 4000
     assert made._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # before, all rows went through a join with the hot keys first
+
+
+def test_shingles_as_numbers_are_those_of_the_texts():
+    plain = ["abcdefgh", "abcdefghi" * 3, "x" * 40, "é" + "abcdefgh" * 2, "0123456789abcdefgh"]
+    for lines in (plain, [*plain, "一丁" * 9, "\U0001f600abcdefgh"], [*plain, "short", ""], [*plain, "".join(map(chr, range(0x400, 0x540)))], []):
+        sets = line_dedup.shingle_sets(lines)
+        assert [len(x) for x in sets] == [len(line_dedup.shingles(x)) for x in lines]
+        for i, x in enumerate(lines):
+            for j, y in enumerate(lines):
+                assert len(np.intersect1d(sets[i], sets[j])) == len(line_dedup.shingles(x) & line_dedup.shingles(y))
+                assert line_dedup.LIKENESS.met(sets[i], sets[j]) == line_dedup.similar(x, y)
+
+
+def test_large_class_takes_its_outsiders_without_blocks(spark, monkeypatch):
+    value = {i: 0 if i == 0 else 5 if i <= 250 else 14 for i in range(271)}  # the least item is unlike the last twenty
+    found = common.settled(spark.createDataFrame([(7, 0, i) for i in range(1, 271)], "bh long, lead long, id long"), "t")
+    payload = spark.createDataFrame([(i, str(v)) for i, v in value.items()], "id long, text string")
+    like = buckets.Likeness(lambda t, names: (int(t), frozenset()), lambda a, b: abs(a[0] - b[0]) <= 10, lambda n, m: 0 * m)
+    monkeypatch.setattr(buckets, "_tiles", lambda *_: pytest.fail("cut into blocks"))
+    roots = {r["id"]: r["root"] for r in buckets.classes(found, payload, like).collect()}
+    assert roots == dict.fromkeys(value, 0)
+
+
+def test_texts_stay_in_their_buckets_at_any_size(spark, sf):
+    plain = near_dedup.numbered(spark.read.parquet(f"{sf}/documents.parquet"))
+    joined = plain.join(plain.select("row").limit(5).hint("shuffle_hash"), "row", "left_anti")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
