@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import buckets
-from .common import dealt_join, fresh, settled, small_batches, text_or_empty, tidy
+from .common import bucketed, dealt_join, fresh, settled, small_batches, text_or_empty, tidy
 
 K = 5
 ELEMENTS, PICK = 32, 2
@@ -41,8 +41,6 @@ THRESHOLD = 0.8
 #: Words in a block of the alignment: bits of a vector.
 WIDTH = 16_384
 CHUNK = 1 << 21
-#: Rows of a broadcast side, of two integers: 4 MB.
-SMALL = 100_000
 
 _RNG = np.random.default_rng(5)
 _WORD = (_RNG.integers(0, 2**62, K, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -222,7 +220,7 @@ def near_classes(docs: DataFrame, row: str = "row") -> DataFrame:
     near = found.select("id").unionByName(found.select(F.col("lead").alias("id"))).distinct()
     texts = settled(rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("n")), "op5-texts")
     wanted = settled(texts.join(near, "id").select("id", F.col("first.row").alias("row")), "op5-wanted")
-    payload = settled(docs.select("row", text_or_empty().alias("text")).join(few(wanted), "row").select("id", "text"), "op5-payload")
+    payload = docs.select("row", text_or_empty().alias("text")).join(wanted.hint("shuffle_hash"), "row").select("id", "text")
     roots = buckets.classes(found, payload, LIKENESS)
     named = settled(texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "op5-named")
     lead = named.groupBy("root").agg(F.min("first").alias("lead"), F.sum("n").alias("n_rows"), F.count("*").alias("n")).where("n_rows > 1")
@@ -236,14 +234,9 @@ def near_classes(docs: DataFrame, row: str = "row") -> DataFrame:
     )
 
 
-def few(rows: DataFrame) -> DataFrame:
-    """``rows`` (two integers each) marked for broadcast if they are few."""
-    return F.broadcast(rows) if rows.limit(SMALL + 1).count() <= SMALL else rows
-
-
 def numbered(docs: DataFrame, row: str = "row") -> DataFrame:
-    """A copy on the shared folder with the column ``row``, so that a reread gives the same numbers."""
-    return settled(docs.withColumn(row, F.monotonically_increasing_id()), "op5-docs")
+    """A copy on the shared folder with the column ``row``, dealt by it into buckets: a reread gives the same numbers, and texts are shuffled once at any size."""
+    return bucketed(docs.withColumn(row, F.monotonically_increasing_id()), row, "op5-docs")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -251,4 +244,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     row = fresh("row", docs.columns)
     plain = numbered(docs, row)
     lost = settled(near_classes(plain, row).where(~F.col("kept")).select(F.col("row").alias(row)), "op5-lost")
-    return plain.join(few(lost), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return plain.join(lost.hint("shuffle_hash"), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
