@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import geometry, graph, kernels, point, window
+from rasterloom.operators import aggregate, geometry, graph, kernels, point, window
 from rasterloom.plans import pipelines
+from rasterloom.sources.fixtures import raster
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +72,23 @@ def test_resampling_deals_pixels_once(image):
     out = geometry.resample(image, (9, 12), (18, 24), "bicubic")
     assert dealt(out) == 1
     assert out.count() == 3 * 18 * 24
+
+
+def merged(df):
+    """Whether pixels meet pixels by sort and merge; a broadcast of them ends the driver, however small their files."""
+    return "SortMergeJoin [image_id" in plan(df) and not any("x#" in line for line in plan(df).splitlines() if "BroadcastHashJoin" in line)
+
+
+@pytest.fixture(scope="module")
+def scene(spark, sf):
+    return raster(spark, sf, "scene")
+
+
+def holed(df):
+    return df.withColumn("a", F.when(F.col("x") % 2 == 0, 0).otherwise(F.col("a")))
+
+
+def test_audit_top_broadcasts_no_pixels(scene):
+    out = aggregate.audit_top(aggregate.erase_audit(scene, holed(scene)), "edge_frac", 2)
+    assert merged(out)
+    assert [tuple(r) for r in out.select("image_id", "total_erased", "area").collect()] == [(0, 2048, 4096), (1, 2048, 4096)]
