@@ -92,3 +92,9 @@ def test_audit_top_broadcasts_no_pixels(scene):
     out = aggregate.audit_top(aggregate.erase_audit(scene, holed(scene)), "edge_frac", 2)
     assert merged(out)
     assert [tuple(r) for r in out.select("image_id", "total_erased", "area").collect()] == [(0, 2048, 4096), (1, 2048, 4096)]
+
+
+def test_removed_count_broadcasts_no_pixels(scene):
+    out = aggregate.removed_count(scene, holed(scene))
+    assert merged(out)
+    assert {r["removed"] for r in out.collect()} == {2048}
