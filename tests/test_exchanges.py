@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.operators import aggregate, geometry, graph, kernels, point, window
+from rasterloom.operators import aggregate, detect, geometry, graph, kernels, point, window
 from rasterloom.plans import pipelines
 from rasterloom.sources.fixtures import raster
 
@@ -98,3 +98,9 @@ def test_removed_count_broadcasts_no_pixels(scene):
     out = aggregate.removed_count(scene, holed(scene))
     assert merged(out)
     assert {r["removed"] for r in out.collect()} == {2048}
+
+
+def test_source_type_holds_the_colours(scene):
+    d = detect.classified(scene, detect.checker_colours(scene), 576, strict=True)
+    joins = [line for line in plan(d).splitlines() if "Join" in line]
+    assert "ShuffledHashJoin" in joins[0] and "BuildRight" in joins[0]
