@@ -104,3 +104,9 @@ def test_source_type_holds_the_colours(scene):
     d = detect.classified(scene, detect.checker_colours(scene), 576, strict=True)
     joins = [line for line in plan(d).splitlines() if "Join" in line]
     assert "ShuffledHashJoin" in joins[0] and "BuildRight" in joins[0]
+
+
+def test_erase_audit_broadcasts_no_pixels(scene):
+    out = aggregate.erase_audit(scene, scene.withColumn("a", F.when(F.col("x") < 4, 0).otherwise(F.col("a"))))
+    assert merged(out)
+    assert {(r["total_erased"], r["edge_erased"]) for r in out.collect()} == {(256, 256)}
