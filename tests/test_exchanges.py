@@ -110,3 +110,11 @@ def test_erase_audit_broadcasts_no_pixels(scene):
     out = aggregate.erase_audit(scene, scene.withColumn("a", F.when(F.col("x") < 4, 0).otherwise(F.col("a"))))
     assert merged(out)
     assert {(r["total_erased"], r["edge_erased"]) for r in out.collect()} == {(256, 256)}
+
+
+def test_leakage_broadcasts_no_pixels(scene):
+    out = aggregate.leakage(scene, holed(scene))
+    assert merged(out)
+    white = F.col("r") + F.col("g") + F.col("b") == 765
+    want = scene.where(white & (F.col("x") % 2 == 0)).groupBy("image_id").count().collect()
+    assert {r["image_id"]: r["removed_bg"] for r in out.collect()} == {r["image_id"]: r["count"] for r in want}
