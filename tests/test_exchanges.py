@@ -118,3 +118,10 @@ def test_leakage_broadcasts_no_pixels(scene):
     white = F.col("r") + F.col("g") + F.col("b") == 765
     want = scene.where(white & (F.col("x") % 2 == 0)).groupBy("image_id").count().collect()
     assert {r["image_id"]: r["removed_bg"] for r in out.collect()} == {r["image_id"]: r["count"] for r in want}
+
+
+def test_sample_alpha_holds_the_points(spark, scene):
+    regions = spark.createDataFrame([("all", 0, 0, 63, 63)], "label string, x0 int, y0 int, x1 int, y1 int")
+    out = aggregate.sample_alpha(holed(scene), aggregate.sample_points(scene, regions))
+    assert "ShuffledHashJoin [image_id" in plan(out) and not any("x#" in line for line in plan(out).splitlines() if "BroadcastHashJoin" in line)
+    assert out.count() == scene.select("image_id").distinct().count()
